@@ -35,5 +35,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def id_text(column: Column) -> Column:
+    """An id as a join key that is never null; ``version`` keeps null and empty ids apart."""
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def version(id_col: str, text_col: str) -> Column:
+    """A hash that tells apart rows with one id and different texts."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(text_col))
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -11,6 +11,9 @@ from casegraph.llm.bpe import bpe_round_trip
 from casegraph.llm.exact_dedup import exact_dedup
 from casegraph.llm.line_dedup import line_dedup
 from casegraph.llm.mixing import plan_mix
+from casegraph.llm.ngram_join import ngram_join
+from casegraph.llm.token_files import read_token_shards, write_token_shards
+from casegraph.scratch import new_path
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -50,6 +53,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-shards")
+    write_token_shards(_table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return read_token_shards(spark, path)
+
+
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -81,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_line_dedup": op5_line_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_ngram_join": op8_ngram_join,
+        "op9_token_files": op9_token_files,
     }
 
 
