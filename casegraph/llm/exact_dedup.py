@@ -28,6 +28,10 @@ from casegraph.llm.common import ASCII_SPACE, text_of
 from casegraph.scratch import materialize
 
 
+#: A hash is hot from one row in so many.
+HOT_SHARE = 1000
+
+
 def normalised(text: Column) -> Column:
     """Each run of ASCII white space becomes one space."""
     return F.regexp_replace(text, ASCII_SPACE, " ")
@@ -52,8 +56,7 @@ def exact_dedup(
     rows = docs.select(F.col(id_col).alias("id"), normalise(text_of(text_col)).alias("t"))
     keyed = rows.select("id", hasher(F.col("t")).alias("k"), F.sha2(F.col("t"), 256).alias("sha"))
     groups = _groups(keyed)
-    suspects = rows.select(hasher(F.col("t")).alias("k"), "t").join(groups.filter("group_size > 1"), "k", "left_semi")
-    compared = suspects.groupBy("k").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    compared = _compare(rows.select(hasher(F.col("t")).alias("k"), "t"), materialize(groups, "hash-groups"))
     collided = materialize(compared.filter("first <> last").select("k"), "collided-hashes")
     if not collided.isEmpty():
         split = keyed.join(collided.withColumn("hit", F.lit(True)), "k", "left")
@@ -68,5 +71,23 @@ def exact_dedup(
     )
 
 
+def _compare(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(k, first, last): the smallest and the greatest text of every repeated hash.
+
+    A hash with more than a thousandth of all rows is hot; there are fewer than a thousand such
+    hashes, so they may be broadcast, and their texts are combined before the shuffle. The texts of
+    the other repeated hashes meet by hash.
+    """
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    repeated = groups.filter("group_size > 1")
+    hot = repeated.filter(F.col("group_size") * HOT_SHARE > total).select("k")
+    cold = repeated.filter(F.col("group_size") * HOT_SHARE <= total).select("k")
+    ends = [F.min("t").alias("first"), F.max("t").alias("last")]
+    return (
+        texts.join(F.broadcast(hot), "k", "left_semi").groupBy("k").agg(*ends)
+        .unionByName(texts.join(cold, "k", "left_semi").groupBy("k").agg(*ends))
+    )
+
+
 def _groups(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("k").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
