@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -62,6 +63,10 @@ def special_strings(spec: dict) -> list[str]:
     return [t["content"] for t in spec.get("added_tokens", [])]
 
 
+def split_pattern(spec: dict) -> str:
+    return next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+
+
 class Splitting:
     """Decides whether a text may be encoded piece by piece between white space."""
 
@@ -97,8 +102,7 @@ class BpeCodec:
         library = Tokenizer.from_file(path)
         self._normalise = library.normalizer.normalize_str
         self._presplit = library.pre_tokenizer.pre_tokenize_str
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._words = regex.compile(split["pattern"]["Regex"]).findall
+        self._words = regex.compile(split_pattern(spec)).findall
         self._specials = special_strings(spec)
         self._special = re.compile("|".join(map(re.escape, self._specials)) or r"(?!)")
         self._splitting = Splitting(spec)
@@ -170,26 +174,39 @@ class BpeCodec:
 
 
 class LibraryCodec:
-    """The same interface, encoding with the tokenizers library itself."""
+    """The same interface, encoding with the tokenizers library itself.
 
-    def __init__(self, path: str):
+    Words of plain texts go straight to the library's model, once per distinct piece of text; any
+    other text goes through the whole library.
+    """
+
+    def __init__(self, path: str, remembered: int = 1_000_000):
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            self._splitting = Splitting(json.load(file))
+            spec = json.load(file)
+        self._splitting = Splitting(spec)
+        self._words = regex.compile(split_pattern(spec)).findall
+        self._bytes = byte_symbols()
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
+        self._model = self._library.model
         self.size = self._library.get_vocab_size()
-        self._by_piece = Remembered(self._whole)
+        self._by_piece = Remembered(self._piece, remembered)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        ids = array("i")
+        for word in self._words(piece):
+            spelt = word if word.isascii() else "".join([self._bytes[b] for b in word.encode()])
+            ids.extend([t.id for t in self._model.tokenize(spelt)])
+        return ids.tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         if self._splitting.apart(text):
-            return b"".join(map(self._by_piece.__getitem__, text.split()))
-        return self._whole(text)
+            return b"".join(map(self._by_piece.__getitem__, text.lower().split()))
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
 
 _codecs: dict[tuple[type, str], BpeCodec | LibraryCodec] = {}

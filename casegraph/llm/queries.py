@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.llm.bpe import bpe_round_trip
+from casegraph.llm.embedding_dedup import embedding_dedup
 from casegraph.llm.exact_dedup import exact_dedup
 from casegraph.llm.line_dedup import line_dedup
 from casegraph.llm.mixing import plan_mix
@@ -39,6 +40,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(_table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "positions")
@@ -91,6 +96,7 @@ SELECT doc_id, text, sha256(text) AS text_sha256 FROM r
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_mixing": op4_mixing,
         "op5_line_dedup": op5_line_dedup,
         "op7_exact_dedup": op7_exact_dedup,
