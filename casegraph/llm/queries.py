@@ -13,7 +13,10 @@ from casegraph.llm.exact_dedup import exact_dedup
 from casegraph.llm.line_dedup import line_dedup
 from casegraph.llm.mixing import plan_mix
 from casegraph.llm.ngram_join import ngram_join
+from casegraph.llm.labelled import remainder
+from casegraph.llm.quality import ACCEPT, score_quality, train_quality
 from casegraph.llm.token_files import read_token_shards, write_token_shards
+from casegraph.llm.toxicity import REJECT, score_toxicity, train_toxicity
 from casegraph.scratch import new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -49,6 +52,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "positions")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, model)
+    held_out = remainder("doc_id", 3) == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +79,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(spark, path)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, _table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, model)
+    held_out = remainder("doc_id", 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -99,9 +118,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_mixing": op4_mixing,
         "op5_line_dedup": op5_line_dedup,
+        "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_ngram_join": op8_ngram_join,
         "op9_token_files": op9_token_files,
+        "op10_quality": op10_quality,
     }
 
 
