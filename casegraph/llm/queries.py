@@ -13,6 +13,7 @@ from casegraph.llm.exact_dedup import exact_dedup
 from casegraph.llm.line_dedup import line_dedup
 from casegraph.llm.mixing import plan_mix
 from casegraph.llm.ngram_join import ngram_join
+from casegraph.llm.html_extraction import extract_main_text
 from casegraph.llm.labelled import remainder
 from casegraph.llm.quality import ACCEPT, score_quality, train_quality
 from casegraph.llm.token_files import read_token_shards, write_token_shards
@@ -32,6 +33,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_round_trip(docs, tokenizer_path())
@@ -114,6 +120,7 @@ SELECT doc_id, text, sha256(text) AS text_sha256 FROM r
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_bpe": op2_bpe,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_mixing": op4_mixing,
