@@ -1,8 +1,72 @@
-"""The corpus pipeline: stages that each read what the one before has written."""
+"""The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
-STAGES = []
+1. toxicity    documents that the positive-unlabelled model rejects go
+2. line_dedup  later occurrences of repeated three-line windows go
+3. ngram_join  one document of each group of near duplicates stays
+4. mixing      documents are repeated, cut or left out to meet the sources' targets, in training order
+5. bpe         documents become token ids
+
+All stages but the last return the columns of ``documents``; where a stage has changed a text,
+``n_chars`` follows it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casegraph.llm.bpe import bpe_round_trip
+from casegraph.llm.line_dedup import line_dedup
+from casegraph.llm.mixing import mix_documents
+from casegraph.llm.ngram_join import keep_one
+from casegraph.llm.queries import tokenizer_path
+from casegraph.llm.toxicity import REJECT, score_toxicity, train_toxicity
+from casegraph.scratch import materialize
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_toxicity(docs, model, score_col="toxicity_score")
+    return scored.filter(F.col("toxicity_score") < REJECT).drop("toxicity_score")
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(line_dedup(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _counted(mix_documents(docs))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = bpe_round_trip(docs.select("doc_id", "source", "text"), tokenizer_path())
+    return coded.select(
+        "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_deduplication),
+    ("ngram_join", near_duplicates),
+    ("mixing", mixing),
+    ("bpe", bpe),
+]
+
+#: The model of the first stage, the sketches of the third and the encoder of the last have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
