@@ -45,5 +45,13 @@ def version(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).isNull(), F.col(text_col))
 
 
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: A table of at most so many narrow rows (keys, counts) may be broadcast.
+BROADCAST_ROWS = 400_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it has at most ``rows`` rows, else as it is.
+
+    ``df`` should be a written table with narrow rows: it is counted first.
+    """
+    return F.broadcast(df) if df.count() <= rows else df

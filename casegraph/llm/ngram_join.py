@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.llm.bpe import Remembered
-from casegraph.llm.common import fresh, id_text, text_of, version
+from casegraph.llm.common import broadcast_if_small, fresh, id_text, text_of, version
 from casegraph.llm.components import block_pairs, connected_components, linked_counts, runs
 from casegraph.scratch import materialize
 
@@ -232,7 +232,7 @@ def _grouped(
     )
     # The text of one row of each candidate class: rows of a class all have the same set.
     chosen = members.select(F.col("node").alias("key"), id_text(F.col("one.id")).alias("rid"), F.col("one.rv").alias("rv"))
-    texts = source.select(id_text(F.col("id")).alias("rid"), "rv", "t").join(chosen, ["rid", "rv"])
+    texts = source.select(id_text(F.col("id")).alias("rid"), "rv", "t").join(broadcast_if_small(chosen), ["rid", "rv"])
     sets = _gram_rows(texts.dropDuplicates(["rid", "rv"]).select("key", "t"), n)
     units = block_pairs(
         members.join(sets.withColumnRenamed("key", "node"), "node").select("component", "node", "copies", "blocks", "set"),
@@ -289,4 +289,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     gone = plan.filter((F.col("first.rv") != F.col("rv")) | ~F.col("first.id").eqNullSafe(F.col("id")))
     gone = materialize(gone.select(id_text(F.col("id")).alias(rid), F.col("rv").alias(rv)).distinct(), "ngram-dropped")
     keyed = docs.withColumns({rid: id_text(F.col(id_col)), rv: version(id_col, text_col)})
-    return keyed.join(gone, [rid, rv], "left_anti").dropDuplicates([rid, rv]).drop(rid, rv)
+    return keyed.join(broadcast_if_small(gone), [rid, rv], "left_anti").dropDuplicates([rid, rv]).drop(rid, rv)
