@@ -194,14 +194,19 @@ class LibraryCodec:
         self._library.no_padding()
         self._model = self._library.model
         self.size = self._library.get_vocab_size()
+        self._by_word = Remembered(self._word)
         self._by_piece = Remembered(self._piece, remembered)
 
+    def _word(self, word: str) -> bytes:
+        spelt = word if word.isascii() else "".join([self._bytes[b] for b in word.encode()])
+        return array("i", [t.id for t in self._model.tokenize(spelt)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        ids = array("i")
-        for word in self._words(piece):
-            spelt = word if word.isascii() else "".join([self._bytes[b] for b in word.encode()])
-            ids.extend([t.id for t in self._model.tokenize(spelt)])
-        return ids.tobytes()
+        if piece.isalpha():
+            return self._by_word[piece]
+        if piece[:-1].isalpha():  # a word and one digit or sign: two words, in every such pattern
+            return self._by_word[piece[:-1]] + self._by_word[piece[-1]]
+        return b"".join(map(self._by_word.__getitem__, self._words(piece)))
 
     def encode_bytes(self, text: str) -> bytes:
         if self._splitting.apart(text):

@@ -40,11 +40,13 @@ def write_wavelet(ids: np.ndarray, bits: int, doc_ids: np.ndarray, doc_nulls: np
     zeros, ones_before, planes = [], [], []
     for plane in range(bits - 1, -1, -1):
         set_bits = (current >> plane) & 1 == 1
-        zeros.append(int(len(current) - np.count_nonzero(set_bits)))
-        counts = np.add.reduceat(set_bits, np.arange(0, len(current), CHUNK), dtype=np.uint64) if len(current) else []
-        ones_before.append(pack(np.concatenate([[0], np.cumsum(counts)]).astype("<u8").tobytes()))
+        # Positions and takes: several times as fast as boolean masks on random bits.
+        ones, rest = np.flatnonzero(set_bits), np.flatnonzero(~set_bits)
+        zeros.append(len(rest))
+        ends = np.append(np.arange(0, len(current), CHUNK), len(current))
+        ones_before.append(pack(np.searchsorted(ones, ends).astype("<u8").tobytes()))
         planes.append([pack(np.packbits(set_bits[i : i + CHUNK]).tobytes()) for i in range(0, len(current), CHUNK)])
-        current = np.concatenate([current[~set_bits], current[set_bits]])
+        current = np.concatenate([current.take(rest), current.take(ones)])
     parts = [pack(np.asarray(doc_ids, "<i8").tobytes()), pack(np.asarray(doc_nulls, "u1").tobytes())]
     parts += [pack(np.asarray(lengths, "<i8").tobytes()), *ones_before, *(c for plane in planes for c in plane)]
     header = {"n": len(ids), "bits": bits, "chunk": CHUNK, "zeros": zeros, "docs": len(lengths), "sizes": [len(p) for p in parts]}
@@ -156,8 +158,8 @@ class Wavelet:
             for c in range(self._chunks):
                 ones[c * self.chunk : (c + 1) * self.chunk] = self._bits_of(plane, c)
             before = np.empty_like(current)
-            before[~ones] = current[: self.zeros[plane]]
-            before[ones] = current[self.zeros[plane] :] | kind(1 << (self.bits - 1 - plane))
+            before[np.flatnonzero(~ones)] = current[: self.zeros[plane]]
+            before[np.flatnonzero(ones)] = current[self.zeros[plane] :] | kind(1 << (self.bits - 1 - plane))
             current = before
         return current
 
