@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -55,3 +56,33 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` should be a written table with narrow rows: it is counted first.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+class Remembered(dict):
+    """key -> value, computed on first use; bounded by forgetting everything when full."""
+
+    def __init__(self, compute: Callable, limit: int = 400_000):
+        super().__init__()
+        self.compute, self.limit = compute, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.compute(key)
+        return value
+
+
+_held: dict[str, dict] = {}
+
+
+def worker_memory(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks.
+
+    A worker runs one task at a time, and workers are used again by later stages: asking for one
+    operator's memory drops all others'.
+    """
+    if owner not in _held:
+        _held.clear()
+        gc.collect()
+        _held[owner] = {}
+    return _held[owner]

@@ -24,12 +24,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import ASCII_SPACE, text_of
+from casegraph.llm.common import ASCII_SPACE, broadcast_if_small, text_of
 from casegraph.scratch import materialize
 
 
 #: A hash is hot from one row in so many.
 HOT_SHARE = 1000
+SALTS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -55,13 +56,13 @@ def exact_dedup(
     """
     rows = docs.select(F.col(id_col).alias("id"), normalise(text_of(text_col)).alias("t"))
     keyed = rows.select("id", hasher(F.col("t")).alias("k"), F.sha2(F.col("t"), 256).alias("sha"))
-    groups = _groups(keyed)
-    compared = _compare(rows.select(hasher(F.col("t")).alias("k"), "t"), materialize(groups, "hash-groups"))
+    groups = materialize(_groups(keyed), "hash-groups")
+    compared = _compare(rows.select("id", hasher(F.col("t")).alias("k"), "t"), groups)
     collided = materialize(compared.filter("first <> last").select("k"), "collided-hashes")
     if not collided.isEmpty():
         split = keyed.join(collided.withColumn("hit", F.lit(True)), "k", "left")
         keyed = split.select("id", F.when(F.col("hit"), F.concat("k", "sha")).otherwise(F.col("k")).alias("k"), "sha")
-        groups = _groups(keyed)
+        groups = materialize(_groups(keyed), "hash-groups")
     return keyed.join(groups, "k").select(
         F.col("id").alias(id_col),
         "keep_id",
@@ -75,18 +76,20 @@ def _compare(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """(k, first, last): the smallest and the greatest text of every repeated hash.
 
     A hash with more than a thousandth of all rows is hot; there are fewer than a thousand such
-    hashes, so they may be broadcast, and their texts are combined before the shuffle. The texts of
-    the other repeated hashes meet by hash.
+    hashes, so they may be broadcast. Their texts are dealt to ``SALTS`` parts, compared part by
+    part, and the parts' ends are compared after that.
     """
     total = groups.agg(F.sum("group_size")).first()[0] or 0
-    repeated = groups.filter("group_size > 1")
-    hot = repeated.filter(F.col("group_size") * HOT_SHARE > total).select("k")
-    cold = repeated.filter(F.col("group_size") * HOT_SHARE <= total).select("k")
-    ends = [F.min("t").alias("first"), F.max("t").alias("last")]
-    return (
-        texts.join(F.broadcast(hot), "k", "left_semi").groupBy("k").agg(*ends)
-        .unionByName(texts.join(cold, "k", "left_semi").groupBy("k").agg(*ends))
+    hot = F.col("group_size") * HOT_SHARE > total
+    repeated = groups.filter("group_size > 1").select("k", F.when(hot, SALTS).otherwise(1).alias("salts"))
+    salted = repeated.select("k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salts = F.broadcast(repeated.filter("salts > 1"))
+    dealt = texts.join(salts, "k", "left").select(
+        "k", "t", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
     )
+    parts = dealt.join(broadcast_if_small(salted), ["k", "salt"], "left_semi").groupBy("k", "salt")
+    ends = parts.agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    return ends.groupBy("k").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def _groups(keyed: DataFrame) -> DataFrame:
