@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What ends a line: Java's \\R lacks the separators U+001C to U+001E.
-LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 #: White space that a Python strip() removes; Java's \\s is ASCII only.
-WHITE = "[\\s\u001c-\u001f\u0085   -     　]+"
+WHITE = "[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

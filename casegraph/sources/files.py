@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
-from casegraph.functions.text import WHITE, extension, let, posix, splitlines, strip
+from casegraph.functions.text import WHITE, basename, extension, let, posix, splitlines, strip
 
 # Languages by extension.
 LANGUAGES = {
@@ -61,20 +64,35 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 def read_contents(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, content) for files that the size and folder rules keep.
 
-    Names and sizes are filtered before a byte is read; contents are read by tasks.
+    Names and sizes are filtered before a byte is read; contents are read by tasks. Spark's source
+    skips names that start with ``_`` or ``.`` even when they are asked for, so tasks open those
+    (``__init__.py``, ``.env``) through Arrow's file systems.
     """
     kept = listing(spark, root).filter(
         ~F.arrays_overlap(F.split("rel_path", "/"), F.array(*[F.lit(p) for p in IGNORED_PARTS]))
         & (F.col("length") <= S.MAX_FILE_BYTES)
     )
-    names = [(r.rel_path, r.path) for r in kept.select("rel_path", "path").toLocalIterator()]
+    hidden = basename(F.col("rel_path")).rlike("^[_.]")
+    odd = kept.filter(hidden).select("rel_path", "path").mapInArrow(_open_files, "rel_path string, content binary")
+    shown = kept.filter(~hidden).select("rel_path", "path")
+    names = [r.path for r in shown.toLocalIterator()]
     if not names:
-        return spark.createDataFrame([], "rel_path string, content binary")
-    paths = spark.createDataFrame(names, "rel_path string, path string")
-    # A path in a file name glob would be read as a pattern: escape it.
-    escaped = [_escape(path) for _, path in names]
-    raw = spark.read.format("binaryFile").load(escaped).select(F.col("path").alias("p"), "content")
-    return raw.join(paths, _bare(F.col("p")) == _bare(F.col("path"))).select("rel_path", "content")
+        return odd
+    # A name is read as a glob pattern: escape it.
+    raw = spark.read.format("binaryFile").load([_escape(n) for n in names]).select(F.col("path").alias("p"), "content")
+    return raw.join(shown, _bare(F.col("p")) == _bare(F.col("path"))).select("rel_path", "content").unionByName(odd)
+
+
+def _open_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for name, path in zip(batch.column("rel_path").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            local = re.sub("^file:/+", "/", path)
+            system, place = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+            with system.open_input_stream(place) as stream:
+                content = stream.read()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["rel_path", "content"])
 
 
 def _escape(path: str) -> str:
@@ -92,7 +110,7 @@ def describe_files(contents: DataFrame) -> DataFrame:
     """
     sized = contents.filter(F.length("content") <= S.MAX_FILE_BYTES)
     head = F.decode(F.substring("content", 1, S.BINARY_SNIFF_BYTES), "ISO-8859-1")
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     rows = sized.filter(~F.contains(head, F.lit("\x00"))).withColumn("text", text)
     rows = rows.withColumn("loc", F.size(splitlines(F.col("text"))).cast("long"))
     rows = rows.filter((F.col("loc") == 0) | (F.length("text") / F.col("loc") <= S.MAX_MEAN_LINE))
