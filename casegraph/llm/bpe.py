@@ -23,17 +23,17 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from casegraph.llm.common import Remembered, fresh, worker_memory
+
 #: Characters on which Python and the library agree about case, normal form and white space.
 _PLAIN = re.compile(r"[\t-\r -~¡-įı-ž]*\Z")
-#: Words remembered by a worker; beyond that it forgets all and starts again. Only speed depends on it.
-REMEMBERED = 400_000
 #: Characters of text turned into one Arrow batch.
 BATCH_CHARS = 8_000_000
 
@@ -45,20 +45,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-class Remembered(dict):
-    """word -> value, computed on first use; bounded by forgetting everything."""
-
-    def __init__(self, compute: Callable[[str], bytes], limit: int = REMEMBERED):
-        super().__init__()
-        self.compute, self.limit = compute, limit
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = self.compute(word)
-        return value
-
-
 def special_strings(spec: dict) -> list[str]:
     return [t["content"] for t in spec.get("added_tokens", [])]
 
@@ -214,14 +200,12 @@ class LibraryCodec:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
 
-_codecs: dict[tuple[type, str], BpeCodec | LibraryCodec] = {}
-
-
 def codec(path: str, kind: type = BpeCodec) -> BpeCodec | LibraryCodec:
     """One codec per worker process and file, so that its memory lasts over tasks."""
-    if (kind, path) not in _codecs:
-        _codecs[kind, path] = kind(path)
-    return _codecs[kind, path]
+    held = worker_memory(f"{kind.__name__} {path}")
+    if "codec" not in held:
+        held["codec"] = kind(path)
+    return held["codec"]
 
 
 def text_slices(batch: pa.RecordBatch, column: str, chars: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -249,11 +233,10 @@ def bpe_round_trip(
     """
     outputs = {ids_col.lower(), decoded_col.lower()}
     kept = [c for c in docs.columns if c.lower() not in outputs]
-    # The text column may itself be replaced; it is read under another name.
-    source = "_bpe_source"
-    while source in {c.lower() for c in docs.columns}:
-        source = "_" + source
-    wanted = docs.select(*[docs[c] for c in kept], docs[text_col].cast("string").alias(source))
+    # The text column may itself be replaced; then it is read under another name.
+    replaced = text_col.lower() in outputs
+    source = fresh(docs, "bpe_source")[0] if replaced else text_col
+    wanted = docs.select(*[docs[c] for c in kept], *([docs[text_col].alias(source)] if replaced else []))
     schema = T.StructType(
         [docs.schema[c] for c in kept]
         + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded_col, T.StringType(), False)]

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegraph.llm.common import fresh, text_of
+from casegraph.llm.common import fresh, text_of, worker_memory
 from casegraph.llm.components import runs
 from casegraph.llm.html_tree import Element, Page
 from casegraph.scratch import materialize
@@ -399,7 +399,7 @@ def extract_main_text(
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField(text_col, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Item] = {}
+        known: dict[str, Item] = worker_memory("html")
         for batch in batches:
             texts = []
             for page, packed in zip(batch.column(source).to_pylist(), batch.column(wrapper).to_pylist(), strict=True):

@@ -36,9 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casegraph.llm.bpe import Remembered
-from casegraph.llm.common import broadcast_if_small, fresh, id_text, text_of, version
+from casegraph.llm.common import Remembered, broadcast_if_small, fresh, id_text, text_of, version, worker_memory
 from casegraph.llm.components import block_pairs, connected_components, linked_counts, runs
 from casegraph.scratch import materialize
 
@@ -68,7 +68,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_hash_of = Remembered(xxhash.xxh64_intdigest)
+def word_hashes() -> Remembered:
+    return worker_memory("ngrams").setdefault("words", Remembered(xxhash.xxh64_intdigest))
 
 
 def ngram_set(text: str, n: int = WORDS) -> np.ndarray:
@@ -76,7 +77,7 @@ def ngram_set(text: str, n: int = WORDS) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
     width = min(n, len(h))
     out = np.full(len(h) - width + 1, _U(width))
     for k in range(width):
@@ -149,7 +150,9 @@ def _sketch_rows(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
 
 
 def _gram_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(key, set) for rows (key, t)."""
+    """``docs`` with the text ``t`` replaced by its n-gram ``set``."""
+    kept = [c for c in docs.columns if c != "t"]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,9 +161,9 @@ def _gram_rows(docs: DataFrame, n: int) -> DataFrame:
                 sets = [ngram_set(t, n).astype(np.int64) for t in part.column("t").to_pylist()]
                 offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column("key"), grams], names=["key", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [grams], names=[*kept, "set"])
 
-    return docs.mapInArrow(run, "key binary, set array<long>")
+    return docs.mapInArrow(run, schema)
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -224,45 +227,52 @@ def _grouped(
     edges = dealt.join(heads.drop("size"), "band").filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
     groups = connected_components(edges)
     # 3. Sizes of the candidate groups decide into how many blocks they are cut.
-    members = groups.join(classes.select(F.col("key").alias("node"), "grams", "copies", "one"), "node")
+    members = classes.select(F.col("key").alias("node"), "grams", "copies", "one").join(broadcast_if_small(groups), "node")
     totals = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g"))
     blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK_ROWS), F.col("g") / F.lit(BLOCK_GRAMS))).cast("int")
     members = materialize(
         members.join(totals.select("component", blocks.alias("blocks")), "component"), "ngram-candidates"
     )
     # The text of one row of each candidate class: rows of a class all have the same set.
-    chosen = members.select(F.col("node").alias("key"), id_text(F.col("one.id")).alias("rid"), F.col("one.rv").alias("rv"))
-    texts = source.select(id_text(F.col("id")).alias("rid"), "rv", "t").join(broadcast_if_small(chosen), ["rid", "rv"])
-    sets = _gram_rows(texts.dropDuplicates(["rid", "rv"]).select("key", "t"), n)
-    units = block_pairs(
-        members.join(sets.withColumnRenamed("key", "node"), "node").select("component", "node", "copies", "blocks", "set"),
-        "blocks", "node",
+    chosen = members.select(
+        "component", F.col("node"), "copies", "blocks", id_text(F.col("one.id")).alias("rid"), F.col("one.rv").alias("rv")
     )
+    texts = source.select(id_text(F.col("id")).alias("rid"), "rv", "t").join(broadcast_if_small(chosen), ["rid", "rv"])
+    units = block_pairs(_gram_rows(texts.select("component", "node", "copies", "blocks", "t"), n), "blocks", "node")
     units = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(table: pa.Table) -> np.ndarray:
             return similar([np.asarray(s.values).astype(np.uint64) for s in table.column("set")], threshold)
 
-        yield from linked_counts(runs(batches, ["component", "i", "j"]), linked, "node", "copies", pa.binary())
+        def distinct(table: pa.Table) -> pa.Table:
+            # Rows that are repeated in the input arrive once each; they are neighbours here.
+            nodes = table.column("node").to_pylist()
+            first = [i for i in range(len(nodes)) if i == 0 or nodes[i] != nodes[i - 1]]
+            return table if len(first) == len(nodes) else table.take(first)
+
+        units_of = map(distinct, runs(batches, ["component", "i", "j"]))
+        yield from linked_counts(units_of, linked, "node", "copies", pa.binary())
 
     found = materialize(units.mapInArrow(verify, "node binary, links long, root binary"), "ngram-links")
     # 4. Components of verified links.
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    result = classes.select(F.col("key").alias("node"), "one", "copies").join(joined, "node", "left").join(links, "node", "left")
-    result = result.withColumn("component", F.coalesce("component", "node"))
-    least = result.groupBy("component").agg(F.min("one").alias("first"))
+    linked = materialize(joined.join(links, "node").withColumnRenamed("node", "key"), "ngram-linked")
+    # Only classes with links or copies differ from a row that stands alone.
+    special = classes.select("key", "one", "copies").join(broadcast_if_small(linked), "key", "left")
+    special = special.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "key"))
+    special = materialize(special, "ngram-special")
+    least = special.groupBy("component").agg(F.min("one").alias("first"))
     result = materialize(
-        result.join(least, "component").select(
-            F.col("node").alias("key"), "first", "copies",
-            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        special.join(least, "component").select(
+            "key", "first", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
         ),
         "ngram-result",
     )
     alone = F.struct(F.col("id").isNull().alias("none"), "id", "rv")
-    return sketched.select("id", "rv", "key").join(result, "key", "left").select(
-        "id", "rv", F.when(F.col("key").isNull(), alone).otherwise(F.col("first")).alias("first"),
+    return sketched.select("id", "rv", "key").join(broadcast_if_small(result), "key", "left").select(
+        "id", "rv", F.coalesce("first", alone).alias("first"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
     )

@@ -36,8 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegraph.llm.bpe import Remembered
-from casegraph.llm.common import fresh, text_of
+from casegraph.llm.common import Remembered, text_of, worker_memory
 from casegraph.llm.labelled import fit_in_one_task, remainder, sample
 
 REFERENCES = 4096
@@ -162,7 +161,7 @@ def train_quality(
     rows = texts.join(F.broadcast(chosen), "id").select("slot", "y", "t")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Remembered(shape)
+        shapes = worker_memory("quality").setdefault("shapes", Remembered(shape))
         for batch in batches:
             found = [text_terms(t, shapes) for t in batch.column("t").to_pylist()]
             ends = pa.array(np.cumsum([0] + [len(n) for n, _ in found]).astype(np.int32))
@@ -186,19 +185,17 @@ def train_quality(
 def score_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the vote for label 1 of each whole text."""
     kept = [c for c in docs.columns if c.lower() != score_col.lower()]
-    (source,) = fresh(docs, "quality_text")
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(score_col, T.DoubleType(), False)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shapes = shared.value, Remembered(shape)
+        own, shapes = shared.value, worker_memory("quality").setdefault("shapes", Remembered(shape))
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            texts = batch.column(source).to_pylist() if own else []
-            for start in range(0, len(texts), BLOCK):
-                found = [text_terms(t, shapes) for t in texts[start : start + BLOCK]]
+            for start in range(0, batch.num_rows if own else 0, BLOCK):
+                found = [text_terms(t or "", shapes) for t in batch.column(text_col).slice(start, BLOCK).to_pylist()]
                 vectors = _directions(_rows(found, own.terms, own.weights), own.axes)
                 scores[start : start + BLOCK] = vote(own, vectors)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(scores)], names=[*kept, score_col])
 
-    return docs.select(*[docs[c] for c in kept], text_of(docs[text_col]).alias(source)).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in kept]).mapInArrow(run, schema)

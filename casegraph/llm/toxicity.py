@@ -39,8 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegraph.llm.bpe import Remembered
-from casegraph.llm.common import fresh, text_of
+from casegraph.llm.common import Remembered, text_of, worker_memory
 from casegraph.llm.labelled import fit_in_one_task, remainder, sample
 
 POSITIVES = 6_000
@@ -99,10 +98,11 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     n_p, n_u = len(positive), len(unlabelled)
     df_p = np.bincount(np.concatenate(positive), minlength=FEATURE_SPACE)
     df_u = np.bincount(np.concatenate(unlabelled), minlength=FEATURE_SPACE) if n_u else np.zeros(FEATURE_SPACE, int)
-    p, u = (df_p + 0.5) / (n_p + 1), (df_u + 0.5) / (n_u + 1)
+    seen = np.flatnonzero(df_p >= 3)
+    p, u = (df_p[seen] + 0.5) / (n_p + 1), (df_u[seen] + 0.5) / (n_u + 1)
     z = (p - u) / np.sqrt(u * (1 - u) * (1 / n_p + 1 / max(n_u, 1)) + 1e-12)
-    chosen = np.flatnonzero((df_p >= 3) & (p > 1.5 * u) & (z > 4))
-    place = np.full(FEATURE_SPACE, -1)
+    chosen = seen[(p > 1.5 * u) & (z > 4)]
+    place = np.full(FEATURE_SPACE, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
 
     def sparse(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -159,9 +159,9 @@ def train_toxicity(
     drawn = confirmed.unionByName(pool.select(F.lit(0).alias("p"), "slot", "id", "t"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Remembered(piece_features)
+        pieces = worker_memory("toxicity").setdefault("pieces", Remembered(piece_features, 100_000))
         for batch in batches:
-            sets = [text_features(t, pieces) for t in batch.column("t").to_pylist()]
+            sets = [text_features(t.as_py(), pieces) for t in batch.column("t")]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("slot"), lists], names=["p", "slot", "f"])
@@ -184,21 +184,22 @@ def train_toxicity(
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the probability that each whole text is toxic."""
     kept = [c for c in docs.columns if c.lower() != score_col.lower()]
-    (source,) = fresh(docs, "toxicity_text")
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(score_col, T.DoubleType(), False)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        worker_memory("toxicity scores")
         weight = dict(zip(own.features.tolist(), own.weights.tolist(), strict=True)) if own else {}
         pieces = Remembered(lambda piece: tuple(f for f in piece_features(piece) if f in weight))
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             if own:
-                for i, text in enumerate(batch.column(source).to_pylist()):
-                    found = {f for piece in set(text.lower().split()) for f in pieces[piece]}
-                    scores[i] = own.bias + sum(weight[f] for f in sorted(found))
+                for start in range(0, batch.num_rows, 256):
+                    for i, text in enumerate(batch.column(text_col).slice(start, 256).to_pylist(), start):
+                        found = {f for piece in set((text or "").lower().split()) for f in pieces[piece]}
+                        scores[i] = own.bias + sum(weight[f] for f in sorted(found))
                 scores = _sigmoid(scores)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(scores)], names=[*kept, score_col])
 
-    return docs.select(*[docs[c] for c in kept], text_of(docs[text_col]).alias(source)).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in kept]).mapInArrow(run, schema)
