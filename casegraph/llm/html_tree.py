@@ -18,6 +18,9 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
+#: Levels of nesting that are told apart; deeper elements count to the last one.
+DEPTH = 150
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes template".split())
@@ -61,11 +64,12 @@ def _plain(name: str) -> str:
 class Element:
     """A structural element: its key, what it is, and its children (elements and block numbers)."""
 
-    __slots__ = ("children", "key", "noise", "parent", "root", "tag")
+    __slots__ = ("children", "depth", "key", "noise", "parent", "root", "tag")
 
     def __init__(self, tag: str, key: str, noise: str, root: int, parent: Element | None):
         self.tag, self.key, self.noise, self.root, self.parent = tag, key, noise, root, parent
         self.children: list[Element | int] = []
+        self.depth = 0 if parent is None else parent.depth + 1
 
 
 _kinds: dict[tuple[str, str], tuple[str, str, int]] = {}
@@ -153,6 +157,8 @@ class Page:
             if node.tag in ends:
                 self._at = node.parent
             node = node.parent
+        if self._at.depth >= DEPTH:
+            return  # markup nested that deep is broken: its text belongs to the last level
         key, noise, root = describe(tag, attrs)
         element = Element(tag, key, noise, root, self._at)
         self._at.children.append(element)
