@@ -118,6 +118,31 @@ SELECT doc_id, text, sha256(text) AS text_sha256 FROM r
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+f AS (SELECT * FROM v WHERE len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+g AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM f),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS reach FROM embeddings UNION SELECT r.id, p.y FROM r JOIN p ON r.reach = p.x),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id), d AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, coalesce(d.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.id = vec_id LEFT JOIN d ON d.x = vec_id
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS g FROM i), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+j AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+p AS (SELECT x, y, k = nx.c AND k = ny.c AS same FROM j JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE k >= 0.8 * (nx.c + ny.c - k) - 1e-9),
+r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT r.id, p.y FROM r JOIN p ON r.reach = p.x),
+c AS (SELECT id, min(reach) AS class_id FROM r GROUP BY id), d AS (SELECT x, count(*) AS n, count(*) FILTER (WHERE same) AS m FROM p GROUP BY x)
+SELECT doc_id, class_id, coalesce(d.n, 0) AS n_links, coalesce(d.m, 0) + 1 AS copies
+FROM documents JOIN c ON c.id = doc_id LEFT JOIN d ON d.x = doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -134,4 +159,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
