@@ -11,7 +11,6 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -53,15 +52,6 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept on the executors' disks for several uses.
-
-    For results whose lineage is short and needn't be cut: what a lost executor held is computed
-    again. ``spark.catalog.clearCache()`` or ``df.unpersist()`` lets go of it.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def release(df: DataFrame | None) -> None:
     """Delete the table behind a DataFrame that ``materialize`` returned, once nothing reads it."""
     path = getattr(df, "_casegraph_path", None)
