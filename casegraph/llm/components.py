@@ -65,12 +65,13 @@ def _join_local(edges: DataFrame) -> DataFrame:
     return edges.repartition(1).mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, written: bool = False) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b: one type, not null).
 
     ``component`` is some node of the component, the same for all its nodes. Self-edges are allowed.
+    ``written``: the edges are columns of a written table already and needn't be written again.
     """
-    current = materialize(edges.select("a", "b").distinct(), "edges")
+    current = edges if written else materialize(edges.select("a", "b").distinct(), "edges")
     parents: list[DataFrame] = []
     while current.count() > local_edges:
         order = len(parents)

@@ -230,9 +230,7 @@ def _grouped(
     members = classes.select(F.col("key").alias("node"), "grams", "copies", "one").join(broadcast_if_small(groups), "node")
     totals = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g"))
     blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK_ROWS), F.col("g") / F.lit(BLOCK_GRAMS))).cast("int")
-    members = materialize(
-        members.join(totals.select("component", blocks.alias("blocks")), "component"), "ngram-candidates"
-    )
+    members = members.join(broadcast_if_small(totals.select("component", blocks.alias("blocks"))), "component")
     # The text of one row of each candidate class: rows of a class all have the same set.
     chosen = members.select(
         "component", F.col("node"), "copies", "blocks", id_text(F.col("one.id")).alias("rid"), F.col("one.rv").alias("rv")
@@ -256,13 +254,12 @@ def _grouped(
 
     found = materialize(units.mapInArrow(verify, "node binary, links long, root binary"), "ngram-links")
     # 4. Components of verified links.
-    joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), written=True)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = materialize(joined.join(links, "node").withColumnRenamed("node", "key"), "ngram-linked")
+    linked = joined.join(links, "node").withColumnRenamed("node", "key")
     # Only classes with links or copies differ from a row that stands alone.
     special = classes.select("key", "one", "copies").join(broadcast_if_small(linked), "key", "left")
     special = special.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "key"))
-    special = materialize(special, "ngram-special")
     least = special.groupBy("component").agg(F.min("one").alias("first"))
     result = materialize(
         special.join(least, "component").select(
