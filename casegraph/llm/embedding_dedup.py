@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegraph.llm.components import block_pairs, component_roots, connected_components, linked_counts, runs
+from casegraph.llm.components import UnionFind, block_pairs, connected_components, linked_counts, runs
 from casegraph.scratch import materialize
 
 THRESHOLD = 0.98
@@ -132,19 +132,13 @@ def _sorted_pass(ordered: DataFrame, window: int, threshold: float) -> DataFrame
             n = len(nodes)
             left, right = _window_links(unit, window, threshold)
             # A star to the first member of each linked stretch keeps the edges few and the paths short.
-            from casegraph.llm.components import UnionFind
-
             groups = UnionFind(n)
             for i, j in zip(left.tolist(), right.tolist(), strict=True):
                 groups.union(i, j)
             linked = [k for k in range(n) if groups.find(k) != k]
-            rows = [([nodes[k] for k in linked], [nodes[groups.find(k)] for k in linked], [None] * len(linked), [None] * len(linked), [None] * len(linked))]
-            edges = pa.RecordBatch.from_arrays(
-                [pa.array(rows[0][0], pa.binary()), pa.array(rows[0][1], pa.binary())]
-                + [pa.nulls(len(linked), k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()))],
-                names=names,
-            )
-            yield edges
+            ends = [pa.array([nodes[k] for k in linked], pa.binary()), pa.array([nodes[groups.find(k)] for k in linked], pa.binary())]
+            rest = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*ends, *(pa.nulls(len(linked), k) for k in rest)], names=names)
             for side, chosen in ((0, range(max(0, n - window), n)), (1, range(0, min(window, n)))):
                 # Side 0: the last rows, met by the first rows (side 1) of the part after this one.
                 picked = list(chosen)

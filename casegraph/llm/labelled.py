@@ -35,8 +35,6 @@ def sample(rows: DataFrame, size: int, seed: int, total: int, key: str = "id") -
 
 def fit_in_one_task(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
     """``fit`` over all of ``rows`` (a bounded sample) in one executor task; its model comes to the driver."""
-    schema = rows.schema
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         table = pa.Table.from_batches(held) if held else None
@@ -46,5 +44,4 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
             model = fit(table)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    del schema
     return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
