@@ -8,9 +8,8 @@ Tables are written whole, once per stage.
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
@@ -26,16 +25,23 @@ from casegraph.operators.store import Store, close_scan, surrogate
 from casegraph.operators.verify import gate_bundles
 from casegraph.scratch import materialize
 from casegraph.sources.files import lines_of, scan_repository, stripped_code_lines
-from casegraph.streaming.events import EventLog
+from casegraph.streaming.events import StoreEventLog
 
 SAME_FILE_CONFIDENCE = 0.85
 
 
-def lockfile_of(root: str) -> bytes | None:
+def lockfile_of(spark: SparkSession, root: str) -> bytes | None:
+    """The first lockfile of the repository, wherever Spark can read it."""
+    jvm = spark.sparkContext._jvm
     for name in LOCKFILES:
-        file = Path(root, name)
-        if file.is_file():
-            return file.read_bytes()
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            stream = fs.open(path)
+            try:
+                return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
     return None
 
 
@@ -93,6 +99,37 @@ def index_repository(spark: SparkSession, store: Store, root: str) -> None:
     store.merge("graph_edge_evidence", fresh)
 
 
+def merge_tool_output(store: Store, endpoints: DataFrame | None = None, findings: DataFrame | None = None, secrets: DataFrame | None = None) -> None:
+    """Rows of the tool readers into the store.
+
+    Items in files that are out of scope for their class are dropped (endpoints have no class); a file
+    that was never discovered is allowed, and gets a placeholder row. Secrets leave placeholders only.
+    """
+    given = [df for df in (endpoints, findings, secrets) if df is not None]
+    if not given:
+        return
+    files = store.read("files")
+    names = None
+    for df in given:
+        own = df.select("rel_path").filter("rel_path <> ''")
+        names = own if names is None else names.union(own)
+    missing = names.distinct().join(files.select("rel_path"), "rel_path", "left_anti")
+    store.merge("files", missing.select("rel_path", F.lit("unknown").alias("language"), F.lit("unknown").alias("file_hash"), F.lit(1).cast("long").alias("loc")))
+    known = store.read("files").select("rel_path", "file_id", "execution_domain")
+    discovered = files.select("rel_path", F.lit(True).alias("discovered"))
+
+    def gated(df: DataFrame, detector: Column) -> DataFrame:
+        rows = df.join(known, "rel_path").join(discovered, "rel_path", "left")
+        return rows.filter(F.col("discovered").isNull() | eligible(F.col("execution_domain"), detector))
+
+    if endpoints is not None:
+        kept = gated(endpoints, F.lit(""))
+        store.merge("endpoints", kept.select("file_id", "http_method", "route_pattern", "line_number", "auth_required", "parameters", "tool_provenance", F.lit(0).alias("seq")), "seq")
+    if findings is not None:
+        kept = gated(findings, F.col("vuln_class"))
+        store.merge("candidate_sinks", kept.select("file_id", "vuln_class", "triage_severity", "line_number", "cwe_id", "sink_expression", "raw_rule_id", "tool_provenance", F.lit(0).alias("seq")), "seq")
+
+
 def match_sinks(store: Store, sinks: DataFrame, same_file: bool = True) -> DataFrame:
     """``sinks`` with the first endpoint, by id, from which they are reached: endpoint_id, nodes, hops, reach, edge_types.
 
@@ -166,19 +203,26 @@ def _record(store: Store, found: DataFrame, scan_id: str) -> None:
     store.merge("scan_dossiers", found.drop("sink_id", "endpoint_id", "hops", "nodes", "triage_severity"))
 
 
-def scan(spark: SparkSession, root: str, audit: str, config: dict[str, str] | None = None) -> str:
-    """Scan the repository at ``root`` into the store at ``audit``; the scan's id."""
+def scan(
+    spark: SparkSession, root: str, audit: str, config: dict[str, str] | None = None,
+    endpoints: DataFrame | None = None, findings: DataFrame | None = None, secrets: DataFrame | None = None,
+) -> str:
+    """Scan the repository at ``root`` into the store at ``audit``; the scan's id.
+
+    ``endpoints``, ``findings`` and ``secrets`` are rows of the tool readers, if tools have run.
+    """
     store = Store(spark, audit)
     config = {"mode": "FULL", **(config or {})}
-    fingerprint = engine_fingerprint(config, lockfile_of(root))
+    fingerprint = engine_fingerprint(config, lockfile_of(spark, root))
     scan_id = f"scan_{uuid.uuid4().hex[:12]}"
-    log = EventLog(f"{audit}/events/{scan_id}.jsonl", scan_id)
+    log = StoreEventLog(spark, f"{audit}/events/{scan_id}", scan_id)
     log.log("Scan", "SCAN_STARTED", {"root": root})
     head = spark.createDataFrame(
         [(scan_id, root, "FULL", fingerprint, "INITIALIZING")], "scan_id string, target_path string, scan_mode string, engine_fingerprint string, status string"
     ).withColumns({"started_at": F.current_timestamp(), "config": F.create_map(*[F.lit(x) for p in config.items() for x in p])})
     store.merge("scans", head)
     index_repository(spark, store, root)
+    merge_tool_output(store, endpoints, findings, secrets)
     matched = match_sinks(store, store.read("candidate_sinks"))
     found = materialize(judge(matched, store.read("files"), store.read("endpoints"), scan_id, fingerprint), "scan-dossiers")
     _record(store, found, scan_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import threading
 import uuid
 from collections.abc import Iterator
@@ -31,15 +32,32 @@ class EventLog:
             "event_id": str(uuid.uuid4()), "timestamp": datetime.now(UTC).isoformat(), "scan_id": self._scan, "component": component,
             "event_type": event_type, "payload": payload or {},
         }
-        line = json.dumps(event, default=str) + "\n"
-        with self._turn, self._file.open("a", encoding="utf-8") as out:
+        with self._turn:
+            self._append(json.dumps(event, default=str) + "\n", event_type in S.CRITICAL_EVENTS, event["event_id"])
+        return event["event_id"]
+
+    def _append(self, line: str, durable: bool, event_id: str) -> None:
+        with self._file.open("a", encoding="utf-8") as out:
             out.write(line)
             out.flush()
-            if event_type in S.CRITICAL_EVENTS:
-                import os
-
+            if durable:
                 os.fsync(out.fileno())
-        return event["event_id"]
+
+
+class StoreEventLog(EventLog):
+    """The same log in any store that Spark writes to: a folder with a file per event, complete when it is closed."""
+
+    def __init__(self, spark: SparkSession, folder: str, scan_id: str):
+        self._folder, self._scan, self._turn = folder.rstrip("/"), scan_id, threading.Lock()
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self._folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _append(self, line: str, durable: bool, event_id: str) -> None:
+        out = self._fs.create(self._path(f"{self._folder}/{event_id}.json"))
+        out.write(bytearray(line.encode()))
+        if durable:
+            out.hsync()
+        out.close()
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

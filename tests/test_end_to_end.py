@@ -9,6 +9,7 @@ from casegraph.operators.store import Store
 from casegraph.plans.diff import diff, report
 from casegraph.plans.scan import resume, scan
 from casegraph.queries import load_all
+from casegraph.streaming.events import read_log
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +42,8 @@ def test_scan_diff_report_resume(spark, repository, tmp_path):
     assert "/api/v1/login" in ssrf["repro_curl_template"] and "BT_FLOW_MARKER_001" in ssrf["repro_curl_template"]
     assert rce["verdict"] == "INSUFFICIENT_CONTEXT" and rce["repro_curl_template"] is None
     assert store.read("scans").first()["status"] == "COMPLETED"
+    events = read_log(spark, f"{audit}/events/{scan_id}")
+    assert sorted(r["event_type"] for r in events.collect()) == ["PATH_TRANSITION", "SCAN_STARTED"]
     path = store.read("scan_candidate_paths").filter("hop_count > 1").first()
     assert path["hop_count"] == 3 and path["state"] == "RESOLVED"
 
@@ -127,3 +130,41 @@ def test_query_equals_its_oracle(spark, name):
     left = sorted(tuple(shown(v) for v in r) for r in found.select(*columns).collect())
     right = sorted(tuple(shown(v) for v in r) for r in expected.select(*[f'"{c}"' for c in columns]).fetchall())
     assert left == right
+
+
+def test_tool_output_is_gated_and_placed(spark, repository, tmp_path):
+    from casegraph.sources.tools import read_endpoints, read_findings, read_secrets
+
+    def raw(value):
+        return spark.createDataFrame([(json.dumps(value),)], "raw string")
+
+    endpoints = read_endpoints(raw({"endpoints": [{"url": "/new", "details": {"file": "app.py", "line": 2}}, {"url": "/no", "details": {"file": "tests/a.spec.js"}}]}))
+    findings = read_findings(raw({"results": [
+        {"check_id": "r.ssrf", "path": p, "start": {"line": 1}, "extra": {"message": "m", "severity": "WARNING", "lines": "x"}} for p in ("unseen.py", "tests/a.spec.js")
+    ]}))
+    secrets = read_secrets(raw({"file": "keys.txt", "Raw": "k"}))
+    audit = str(tmp_path / "audit")
+    scan(spark, str(repository), audit, endpoints=endpoints, findings=findings, secrets=secrets)
+    store = Store(spark, audit)
+    assert {r[0] for r in store.read("endpoints").select("route_pattern").collect()} == {"/new", "/api/v1/login"}
+    assert {r[0] for r in store.read("files").filter("language = 'unknown'").select("rel_path").collect()} == {"unseen.py", "keys.txt"}
+    found = {r["title"]: r for r in store.read("scan_dossiers").collect()}
+    assert set(found) == {"SSRF in login.js:5", "RCE in app.py:3", "SSRF in unseen.py:1"}
+    # The tool's endpoint lies in the sink's own file: a match with less confidence than a path.
+    assert (found["RCE in app.py:3"]["verdict"], found["RCE in app.py:3"]["reachability_confidence"]) == ("EXPLOITABLE", 0.85)
+    assert found["SSRF in unseen.py:1"]["severity"] == "HIGH"
+
+
+def test_command_line(spark, repository, tmp_path, capsys, monkeypatch):
+    from casegraph import __main__ as command
+
+    monkeypatch.chdir(tmp_path)
+    assert command.main(["scan", str(repository)]) == 0
+    out = tmp_path / "r.sarif"
+    assert command.main(["report", str(repository), "--format", "sarif", "--output", str(out)]) == 0
+    assert len(json.loads(out.read_text())["runs"][0]["results"]) == 2
+    assert command.main(["diff", str(repository)]) == 0
+    assert "changed files: 0, reusable dossiers: 2" in capsys.readouterr().out
+    assert command.main(["resume", str(repository)]) == 0
+    with pytest.raises(SystemExit):
+        command.main(["report", str(tmp_path / "nowhere")])
