@@ -11,12 +11,13 @@ from casegraph.functions.text import strip, title_case
 # The report formats' constants, and the marker that does nothing.
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 SARIF_VERSION = "2.1.0"
-TOOL_NAME = "PolyglotSourceCodeSecurityReviewer"
-TOOL_VERSION = "0.1.0"
 MARKER = "BT_FLOW_MARKER_001"
 BEARER = "Authorization: Bearer ${AUTH_TOKEN}"
 TARGET = "${TARGET_URL:-http://localhost:3000}"
 
+TOOL_NAME = "casegraph"
+TOOL_VERSION = "0.1.0"
+
 
 def rule_id(dossiers_cwe: Column, vuln_class: Column) -> Column:
     filled = F.when(dossiers_cwe != "", dossiers_cwe)
