@@ -19,6 +19,7 @@ empty table writes no shard. Ids must be integers.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -74,6 +75,8 @@ def write_token_shards(
                 one.clear()
             return out
 
+        # Remembered words hold no cycles; collections would only walk through them again and again.
+        gc.disable()
         for batch in batches:
             for piece, texts in text_slices(batch, "t"):
                 for doc, text in zip(piece.column("id").to_pylist(), texts, strict=True):
@@ -86,6 +89,7 @@ def write_token_shards(
                         yield close()
         if doc_ids:
             yield close()
+        gc.enable()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
