@@ -11,10 +11,16 @@
    inside one is verified in blocks (matrix products), so that the number of
    links is exact there, however large the group: a window bounds what a pass
    compares, not what is counted.
-4. The number of passes follows from the number of vectors: a pair at the
-   threshold stays inside one window of a pass if its keys agree on the bits
-   that cut the label's vectors into windows, and passes are added until the
-   probability of missing it in all of them is below ``MISS``.
+4. Vectors of one label often share a direction; signs are taken of what is left
+   after subtracting the label's mean, so that keys cut dense labels too.
+   The number of passes of a label is measured, not assumed: probes (sampled
+   vectors, each with a partner exactly at the threshold in a random direction)
+   get keys, the label's vectors between the two are counted over the whole
+   table, and passes are added until the estimated share of probes missed by
+   all passes is at most ``MISS``. The sample decides on passes only.
+5. A label is compared exactly, every pair in blocks, if it is so small that the
+   blocks copy no more rows than the least number of passes, or so dense that
+   they copy no more rows than the passes it would need.
 
 Results for odd input: a vector that is null, empty, zero, or holds a null or
 non-finite component is linked with nothing, and so is one whose label is null;
@@ -35,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casegraph.llm.common import broadcast_if_small
 from casegraph.llm.components import UnionFind, block_pairs, connected_components, linked_counts, runs
 from casegraph.scratch import materialize
 
@@ -44,10 +51,18 @@ MISS = 1e-3
 BITS = 64
 SEED = 20
 BLOCK_ROWS = 512
+LEAST_PASSES = 4
+#: Probes of a label, about, and of all labels together; labels with fewer than ``OWN_PROBES`` share an estimate by size.
+PROBES, ALL_PROBES, OWN_PROBES = 512, 16_384, 256
+#: A table of label means of at most so many rows may be broadcast.
+CENTRES = 20_000
 
 
 def passes_for(vectors: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes needed so that a pair at the threshold is missed by all of them with probability ``miss`` at most."""
+    """Passes needed so that a pair at the threshold is missed by all of them with probability ``miss`` at most.
+
+    This holds where every bit halves the vectors; ``measured_passes`` starts from it and measures the rest.
+    """
     cut_bits = max(1, math.ceil(math.log2(max(2, vectors) / window)))
     found = (1 - math.acos(threshold) / math.pi) ** cut_bits
     return max(4, math.ceil(math.log(miss) / math.log1p(-found))) if found < 1 else 4
@@ -84,19 +99,144 @@ def sort_keys(unit: np.ndarray, turn: int, seed: int = SEED) -> np.ndarray:
     return (keys ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """Every class once per pass: (turn, grp, sortkey, node, vector)."""
+def _centres(classes: DataFrame) -> DataFrame:
+    """(grp, centre): the mean of each group's unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, place = np.unique(np.asarray(batch.column("grp")).astype(str), return_inverse=True)
+            sizes = np.asarray(batch.column("dims"))
+            for dims in np.unique(sizes):
+                mine = sizes == dims
+                unit, at = _unit(_matrix(batch.filter(pa.array(mine)).column("vector"))), place[mine]
+                order = np.argsort(at, kind="stable")
+                some, starts = np.unique(at[order], return_index=True)
+                sums = np.add.reduceat(unit[order], starts, axis=0)
+                counts = np.diff(np.append(starts, len(at)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[some].tolist(), pa.string()), pa.array(counts, pa.int64()), pa.array(list(sums), pa.list_(pa.float64()))], names=["grp", "n", "sums"]
+                )
+
+    parts = classes.select("grp", "dims", "vector").mapInArrow(run, "grp string, n long, sums array<double>")
+    cells = parts.select("grp", "n", F.posexplode("sums").alias("pos", "x")).groupBy("grp", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "x")))
+    return cells.groupBy("grp").agg(F.transform(listed, lambda c: c["x"]).alias("centre"))
+
+
+def _partners(unit: np.ndarray, threshold: float, seed: int) -> np.ndarray:
+    """For each unit vector another one exactly at the threshold, in a random direction."""
+    away = np.random.default_rng([seed, len(unit)]).standard_normal(unit.shape)
+    away -= (away * unit).sum(axis=1, keepdims=True) * unit
+    length = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    away = np.where(length > 1e-9, away / np.maximum(length, 1e-9), 0.0)
+    return threshold * unit + math.sqrt(max(0.0, 1 - threshold * threshold)) * away
+
+
+def _between(rows: DataFrame, probes: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], turns: range, seed: int) -> DataFrame:
+    """(grp, probe, turn, n): how many vectors of the group lie between the keys of a probe and its partner, both ends counted.
+
+    ``probes``: for each group the probes, their partners (both centred) and the probes' numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: dict[str, list] = {}
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = np.asarray(batch.column("grp")).astype(str)
+            for grp in np.unique(names):
+                if grp not in probes:
+                    continue
+                one, other, _ = probes[grp]
+                if grp not in ends:
+                    both = [(sort_keys(one, t, seed), sort_keys(other, t, seed)) for t in turns]
+                    ends[grp] = [(np.minimum(a, b), np.maximum(a, b)) for a, b in both]
+                    counts[grp] = np.zeros((len(turns), len(one)), np.int64)
+                part = batch.filter(pa.array(names == grp))
+                rest = _unit(_matrix(part.column("vector"))) - _matrix(part.column("centre"))
+                for k, turn in enumerate(turns):
+                    keys, (low, high) = np.sort(sort_keys(rest, turn, seed)), ends[grp][k]
+                    counts[grp][k] += np.searchsorted(keys, high, "right") - np.searchsorted(keys, low, "left")
+        for grp, found in counts.items():
+            for k, turn in enumerate(turns):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(probes[grp][2], pa.int32()), pa.array(np.full(found.shape[1], turn, np.int32)), pa.array(found[k])], names=["probe", "turn", "n"]
+                )
+
+    counted = rows.select("grp", "vector", "centre").mapInArrow(run, "probe int, turn int, n long")
+    return counted.groupBy("probe", "turn").agg(F.sum("n").alias("n"))
+
+
+def needed_passes(hits: np.ndarray, trials: int, miss: float = MISS) -> int | None:
+    """The least number of passes, up to half the trials, by which the share of probes missed is ``miss`` at most.
+
+    ``hits``: in how many trials each probe was found. The share missed by k passes is averaged over all choices of k trials.
+    """
+    missed = np.ones(len(hits))
+    for k in range(trials // 2):
+        missed *= np.maximum(trials - hits - k, 0) / (trials - k)
+        if k + 1 >= LEAST_PASSES and missed.mean() <= miss:
+            return k + 1
+    return None
+
+
+def measured_passes(rows: DataFrame, groups: dict[str, tuple[int, int]], window: int, threshold: float, seed: int = SEED) -> dict[str, int]:
+    """Passes for each group that passes serve better than blocks; ``groups`` has the sizes and numbers of blocks.
+
+    ``rows``: (grp, node, vector, centre, n).
+    """
+    if not groups:
+        return {}
+    each = min(PROBES, max(1, ALL_PROBES // len(groups)))
+    picked = F.pmod(F.xxhash64(F.lit("probe"), "node"), F.ceil(F.col("n") / F.lit(each)).cast("long")) == 0
+    table = rows.filter(picked).select("grp", "node", "vector", "centre").toArrow().sort_by([("grp", "ascending"), ("node", "ascending")])
+    probes, cell_of, at = {}, {}, 0
+    for part in runs(iter(table.to_batches()), ["grp"]):
+        grp, unit, centre = part.column("grp")[0].as_py(), _unit(_matrix(part.column("vector"))), _matrix(part.column("centre"))
+        probes[grp] = unit - centre, _partners(unit, threshold, seed) - centre, np.arange(at, at + len(unit), dtype=np.int32)
+        at += len(unit)
+    for grp, (n, _) in groups.items():
+        cell_of[grp] = ("own", grp) if each >= OWN_PROBES else ("size", n.bit_length())
+    hits = np.zeros(at, np.int64)
+    turns: dict[str, int] = {}
+    open_groups, done = dict(groups), 0
+    trials = 2 * passes_for(max(n for n, _ in groups.values()), threshold, window)
+    while open_groups:
+        cells = {cell_of[g] for g in open_groups}
+        asked = {g: p for g, p in probes.items() if cell_of[g] in cells}
+        if not asked:
+            break
+        found = _between(rows, asked, range(done, trials), seed).filter(F.col("n") <= window)
+        for r in found.groupBy("probe").count().collect():
+            hits[r["probe"]] += r["count"]
+        need = {}
+        for cell in cells:
+            numbers = [p[2] for g, p in asked.items() if cell_of[g] == cell]
+            need[cell] = needed_passes(hits[np.concatenate(numbers)], trials) if numbers else None
+        for grp, (_, blocks) in list(open_groups.items()):
+            k = need[cell_of[grp]]
+            if k is not None and k < blocks:
+                turns[grp] = k
+            if k is not None or trials // 2 >= blocks:
+                del open_groups[grp]
+        done, trials = trials, 2 * trials
+    return turns
+
+
+def _keyed(classes: DataFrame, passes: int | dict[str, int], seed: int) -> DataFrame:
+    """Every class once per pass of its group: (turn, grp, sortkey, node, vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.asarray(batch.column("dims"))
             for dims in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dims))
-                unit = _unit(_matrix(part.column("vector")))
-                for turn in range(passes):
-                    keys = sort_keys(unit, turn, seed)
+                rest = _unit(_matrix(part.column("vector"))) - _matrix(part.column("centre"))
+                own = np.array([passes if isinstance(passes, int) else passes.get(g, 0) for g in part.column("grp").to_pylist()])
+                for turn in range(own.max(initial=0)):
+                    mine = own > turn
+                    keys, chosen = sort_keys(rest[mine], turn, seed), part.filter(pa.array(mine))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), turn, np.int32)), part.column("grp"), pa.array(keys), part.column("node"), part.column("vector")],
+                        [pa.array(np.full(len(keys), turn, np.int32)), chosen.column("grp"), pa.array(keys), chosen.column("node"), chosen.column("vector")],
                         names=["turn", "grp", "sortkey", "node", "vector"],
                     )
 
@@ -205,14 +345,24 @@ def embedding_dedup(
         ).withColumn("dims", F.size("vector")).withColumn("grp", F.concat_ws(" ", F.col("dims").cast("string"), "label")),
         "vector-classes",
     )
-    total = classes.count()
-    turns = passes or passes_for(total, threshold, window)
-    ordered = _keyed(classes, turns, seed).repartitionByRange("turn", "grp", "sortkey", "node")
+    counted = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int"))
+    counted = materialize(counted, "vector-groups")
+    large = counted if passes else counted.filter(F.col("blocks") > LEAST_PASSES)
+    centres = materialize(_centres(classes.join(broadcast_if_small(large), "grp")).join(large, "grp"), "vector-centres")
+    rows = classes.join(broadcast_if_small(centres, CENTRES), "grp")
+    turns, exact = passes, counted.limit(0)
+    if not passes:
+        turns = measured_passes(rows, {r["grp"]: (r["n"], r["blocks"]) for r in large.select("grp", "n", "blocks").collect()}, window, threshold, seed)
+        swept_groups = classes.sparkSession.createDataFrame([(g,) for g in turns], "grp string")
+        exact = counted.filter("n > 1").join(broadcast_if_small(swept_groups), "grp", "left_anti")
+    ordered = _keyed(rows, turns, seed).repartitionByRange("turn", "grp", "sortkey", "node")
     ordered = ordered.sortWithinPartitions("turn", "grp", "sortkey", "node")
     swept = materialize(_sorted_pass(ordered, window, threshold), "vector-passes")
     edges = swept.filter("b is not null").select("a", "b").union(_seams(swept.filter("b is null"), window, threshold))
     groups = connected_components(edges)
     members = groups.join(classes.select("node", "copies", "vector"), "node")
+    whole = classes.join(broadcast_if_small(exact.select("grp")), "grp")
+    members = members.unionByName(whole.select("node", F.unhex(F.md5("grp")).alias("component"), "copies", "vector"))
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
     units = block_pairs(members.join(sizes, "component"), "blocks", "node")
     units = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")

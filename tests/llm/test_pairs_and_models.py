@@ -163,6 +163,28 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert passes_for(10**9) > passes_for(10**4) >= 4
 
 
+@pytest.mark.parametrize("block_rows", [512, 16])
+def test_dense_labels_lose_no_links(spark, monkeypatch, block_rows):
+    """Vectors of one label that share a direction: in blocks, and (smaller blocks) by measured passes."""
+    monkeypatch.setattr("casegraph.llm.embedding_dedup.BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(4)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    rest = unit(rng.standard_normal((2600, 64)))
+    shared = unit(rng.standard_normal(64))
+    base = unit(np.sqrt(0.8) * shared + np.sqrt(0.2) * rest)
+    away = unit(rng.standard_normal((400, 64)))
+    vectors = unit(np.concatenate([base, base[:400] + 0.196 * unit(away - (away * base[:400]).sum(1, keepdims=True) * base[:400])]))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(5)
+    expected = (vectors @ vectors.T >= 0.98).sum(axis=1) - 1
+    assert expected.sum() >= 800
+    found = np.array([r["n_links"] for r in embedding_dedup(df).orderBy("vec_id").collect()])
+    assert (found <= expected).all()
+    assert found.sum() == expected.sum() if block_rows == 512 else found.sum() >= 0.995 * expected.sum()
+
+
 def toxic_docs(n=1500):
     rng = random.Random(11)
     words = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
