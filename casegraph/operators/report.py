@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +27,22 @@ def rule_id(dossiers_cwe: Column, vuln_class: Column) -> Column:
     return F.coalesce(filled, vuln_class, F.lit("SEC-VULN"))
 
 
-def sarif_rules(dossiers: DataFrame, order: str = "ord") -> DataFrame:
-    """(id, name, text, level, ord): a rule per id; its first finding supplies the rest."""
+def sarif_rules(dossiers: DataFrame, order: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, name, text, level, ord): a rule per id, inside each value of ``by``; its first finding supplies the rest."""
     rows = dossiers.select(
         rule_id(F.col("cwe_id"), F.col("vuln_class")).alias("id"), F.coalesce("vuln_class", F.lit("SecurityVulnerability")).alias("name"),
-        F.coalesce("title", F.lit("")).alias("text"), sarif_level(F.coalesce("severity", F.lit(""))).alias("level"), F.col(order).alias("ord"),
+        F.coalesce("title", F.lit("")).alias("text"), sarif_level(F.coalesce("severity", F.lit(""))).alias("level"), F.col(order).alias("ord"), *by,
     )
-    picked = rows.groupBy("id").agg(F.min_by(F.struct("name", "text", "level"), "ord").alias("r"), F.min("ord").alias("ord"))
-    return picked.select("id", "r.*", "ord")
+    picked = rows.groupBy(*by, "id").agg(F.min_by(F.struct("name", "text", "level"), "ord").alias("r"), F.min("ord").alias("ord"))
+    return picked.select("id", "r.*", "ord", *by)
 
 
 def message(title: Column, verdict: Column, confidence: Column) -> Column:
     return F.concat(title, F.lit(": "), verdict, F.lit(" (confidence: "), confidence.cast("string"), F.lit(")"))
 
 
-def sarif_results(dossiers: DataFrame, order: str = "ord") -> DataFrame:
-    """(ord, result): one result struct per finding."""
+def sarif_results(dossiers: DataFrame, order: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, result): one result struct per finding, and the columns ``by``."""
     first = F.get(F.col("source_trace"), F.lit(0))
     file, line = F.coalesce(first["file"], F.lit("unknown")), F.coalesce(first["line"], F.lit(1))
 
@@ -59,32 +62,38 @@ def sarif_results(dossiers: DataFrame, order: str = "ord") -> DataFrame:
         F.array(F.struct(place(file, line).alias("physicalLocation"))).alias("locations"),
         flows.alias("codeFlows"),
     )
-    return dossiers.select(F.col(order).alias("ord"), result.alias("result"))
+    return dossiers.select(F.col(order).alias("ord"), result.alias("result"), *by)
+
 
+def sarif_document(dossiers: DataFrame, order: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (document): the SARIF log as JSON. A report is one document by nature; rows are sorted inside it.
 
-def sarif_document(dossiers: DataFrame, order: str = "ord") -> DataFrame:
-    """One row (document): the SARIF log as JSON. A report is one document by nature; rows are sorted inside it."""
+    ``by``: a document for each value of these columns instead, beside them, by grouped aggregates.
+    """
     def listed(df: DataFrame, value: Column) -> DataFrame:
         pairs = F.array_sort(F.collect_list(F.struct(F.col("ord"), value.alias("v"))))
-        return df.agg(F.transform(pairs, lambda p: p["v"]).alias("items"))
+        return df.groupBy(*by).agg(F.transform(pairs, lambda p: p["v"]).alias("items"))
 
     rule = F.struct(
         "id", "name", F.struct(F.col("text")).alias("shortDescription"), F.struct(F.col("level")).alias("defaultConfiguration")
     )
-    rules = listed(sarif_rules(dossiers, order), rule).withColumnRenamed("items", "rules")
+    rules = listed(sarif_rules(dossiers, order, by), rule).withColumnRenamed("items", "rules")
     # Results hold optional parts, which don't compare: they are sorted as JSON text, by their place.
-    results = sarif_results(dossiers, order).select("ord", F.to_json("result").alias("r"))
+    results = sarif_results(dossiers, order, by).select("ord", F.to_json("result").alias("r"), *by)
     results = listed(results, F.col("r")).withColumnRenamed("items", "results")
     driver = F.to_json(F.struct(F.lit(TOOL_NAME).alias("name"), F.lit(TOOL_VERSION).alias("semanticVersion"), F.col("rules")))
     text = F.concat(
         F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":'), driver,
         F.lit('},"results":['), F.array_join("results", ","), F.lit("]}]}"),
     )
-    return rules.crossJoin(results).select(text.alias("document"))
+    if not by:
+        return rules.crossJoin(results).select(text.alias("document"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    return rules.alias("l").join(results.alias("r"), reduce(and_, same)).select(*[f"l.{c}" for c in by], text.alias("document"))
 
 
-def markdown_rows(dossiers: DataFrame) -> DataFrame:
-    """(dossier_id, summary, section) per finding; the section lacks its number."""
+def markdown_rows(dossiers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(dossier_id, summary, section) per finding, and the columns ``keep``; the section lacks its number."""
     confidence = F.col("confidence").cast("string")
     summary = F.concat(
         F.lit("| `"), F.col("dossier_id"), F.lit("` | "), F.col("title"), F.lit(" | `"), F.col("vuln_class"), F.lit("` | **"), F.col("severity"),
@@ -99,22 +108,27 @@ def markdown_rows(dossiers: DataFrame) -> DataFrame:
     analysis = F.array_join(F.transform(entries, lambda e: F.concat(F.lit("\n**"), title_case(e["key"]), F.lit(":** "), e["value"], F.lit("\n"))), "")
     curl = F.when(F.coalesce("repro_curl_template", F.lit("")) != "", F.concat(F.lit("\n#### Reproduction Blueprint (curl)\n```bash\n"), strip(F.col("repro_curl_template")), F.lit("\n```\n"))).otherwise("")
     mitigation = F.when(F.coalesce("mitigation_notes", F.lit("")) != "", F.concat(F.lit("\n#### Mitigation & Remediation\n"), strip(F.col("mitigation_notes")), F.lit("\n"))).otherwise("")
-    return dossiers.select("dossier_id", summary.alias("summary"), F.concat(facts, analysis, curl, mitigation, F.lit("\n---")).alias("section"), "title")
+    return dossiers.select("dossier_id", summary.alias("summary"), F.concat(facts, analysis, curl, mitigation, F.lit("\n---")).alias("section"), "title", *keep)
 
 
-def markdown_document(dossiers: DataFrame, scan_id: str | None = None, order: str = "ord") -> DataFrame:
-    """One row (document): the report. Findings in the order of ``order``."""
-    rows = markdown_rows(dossiers).join(dossiers.select("dossier_id", F.col(order).alias("_o")), "dossier_id")
-    whole = rows.agg(F.array_sort(F.collect_list(F.struct("_o", "summary", "title", "section"))).alias("f"))
+def markdown_document(dossiers: DataFrame, scan_id: str | None = None, order: str = "ord", by: str | None = None) -> DataFrame:
+    """One row (document): the report. Findings in the order of ``order``.
+
+    ``by``: a document for each value of this column instead, beside it, which stands for ``scan_id``.
+    """
+    own = () if by is None else (by,)
+    rows = markdown_rows(dossiers.withColumn("_o", F.col(order)), ("_o", *own))
+    whole = rows.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("_o", "summary", "title", "section"))).alias("f"))
+    scan = F.lit(scan_id or "N/A") if by is None else F.coalesce(F.col(by).cast("string"), F.lit("N/A"))
     head = F.concat(
-        F.lit(f"# Security Review Research Dossier\n**Scan ID:** `{scan_id or 'N/A'}`\n**Total Findings:** "), F.size("f").cast("string"),
+        F.lit("# Security Review Research Dossier\n**Scan ID:** `"), scan, F.lit("`\n**Total Findings:** "), F.size("f").cast("string"),
         F.lit("\n\n## Executive Summary\n\n| Finding ID | Title | Vuln Class | Severity | Verdict | Confidence |\n|---|---|---|---|---|---|\n"),
     )
     table = F.array_join(F.transform("f", lambda x: F.concat(x["summary"], F.lit("\n"))), "")
     sections = F.array_join(
         F.transform("f", lambda x, i: F.concat(F.lit("\n### "), (i + 1).cast("string"), F.lit(". "), x["title"], F.lit("\n"), x["section"])), ""
     )
-    return whole.select(F.concat(head, table, F.lit("\n---\n\n## Detailed Vulnerability Theories & Reproductions\n"), sections).alias("document"))
+    return whole.select(*own, F.concat(head, table, F.lit("\n---\n\n## Detailed Vulnerability Theories & Reproductions\n"), sections).alias("document"))
 
 
 def graph_document(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:

@@ -62,10 +62,11 @@ def markdown_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("report_documents")
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both documents of one scan's worth of findings: the suppliers' customers' open orders of one customer each."""
-    own = dossiers(spark, sf_dir).filter("o_custkey % 100 = 1")
+    """Both documents of every scan, over all orders; a scan stands for one customer's orders."""
+    own = dossiers(spark, sf_dir).withColumn("scan_id", F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
     ranked = severity_order(own.drop("ord"))
-    return sarif_document(own).withColumn("kind", F.lit("sarif")).unionByName(markdown_document(ranked, "s").withColumn("kind", F.lit("md")))
+    sarif, markdown = sarif_document(own, by=("scan_id",)), markdown_document(ranked, by="scan_id")
+    return sarif.withColumn("kind", F.lit("sarif")).unionByName(markdown.withColumn("kind", F.lit("md")))
 
 
 @register("severity_alpha_sort", f"SELECT dossier_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY severity, dossier_id) AS ord FROM (SELECT o_orderstatus, d.* FROM ({DOSSIERS_SQL}) d JOIN orders o ON o.o_orderkey = d.o_orderkey)")

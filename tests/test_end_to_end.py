@@ -101,6 +101,23 @@ def test_documents(spark):
     assert json.loads(sarif_document(dossiers.limit(0)).first()[0])["runs"][0]["results"] == []
 
 
+def test_report_documents_hold_every_dossier(spark):
+    orders = {}
+    for key, customer in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect():
+        orders.setdefault(f"c{customer}", []).append(key)
+    found = load_all()[0]["report_documents"](spark, SF).collect()
+    markdown, sarif = ({r["scan_id"]: r["document"] for r in found if r["kind"] == kind} for kind in ("md", "sarif"))
+    assert len(found) == 2 * len(orders) and set(markdown) == set(sarif) == set(orders)
+    for scan_id, keys in orders.items():
+        assert f"**Scan ID:** `{scan_id}`\n**Total Findings:** {len(keys)}\n" in markdown[scan_id]
+        assert all(f"| `d{key}` |" in markdown[scan_id] for key in keys)
+        run = json.loads(sarif[scan_id])["runs"][0]
+        # A result's place is its dossier's, in the order of keys.
+        lines = [r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in run["results"]]
+        assert lines == [1 if key % 5 == 0 else key % 9 + 1 for key in sorted(keys)]
+        assert {r["ruleId"] for r in run["results"]} == {r["id"] for r in run["tool"]["driver"]["rules"]}
+
+
 def test_blueprints(spark):
     ddl = "method string, route string, auth_state string, param_location string, param_name string, siblings array<struct<location:string,name:string,dummy:string>>, sink string"
     rows = [("POST", "/x", "REQUIRED", "BODY", "id", [(None, "n", "1")], "eval"), (None, None, "UNKNOWN", None, None, None, "eval"), ("get", "/y", "UNKNOWN", None, None, None, "eval")]
