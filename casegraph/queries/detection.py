@@ -111,7 +111,7 @@ SELECT doc_id, k, CAST(len(string_split(array_to_string(g[1:k], 'th'), chr(10)))
 def match_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.explode(matches_with_lines(F.col("text"), "(th)", 1))
     rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("m"))
-    return rows.select("doc_id", (F.col("m.ord") + 1).cast("long").alias("k"), F.col("m.line").alias("line")).filter("k <= 20")
+    return rows.select("doc_id", (F.col("m.ord") + 1).cast("long").alias("k"), F.col("m.line").alias("line"))
 
 
 @register("mount_prefix_join", """WITH m AS (SELECT n_nationkey AS ord, 'r' || CAST(n_nationkey AS VARCHAR) AS key, '/p' || CAST(n_nationkey AS VARCHAR) AS prefix FROM nation),

@@ -58,3 +58,16 @@ def test_matches_keep_their_order(spark):
 def test_authorization(spark, route, code, gap, relation):
     found = analyze_authorization(spark.createDataFrame([(route, code)], "route string, code string")).first()
     assert (found["has_gap"], found["relationship"]) == (gap, relation)
+
+
+def test_line_numbers_of_every_match(spark, tmp_path):
+    from casegraph.queries import load_all
+
+    texts = {1: "th\n" * 57 + "x thth\n\nth", 2: "none", 3: None, 4: "th " * 30}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = []
+    for doc_id, text in texts.items():
+        places = [i for i in range(len(text or "")) if text.startswith("th", i)]
+        expected += [(doc_id, k, text.count("\n", 0, at) + 1) for k, at in enumerate(places, 1)]
+    found = load_all()[0]["match_line_numbers"](spark, str(tmp_path)).select("doc_id", "k", "line").collect()
+    assert sorted(tuple(r) for r in found) == expected
