@@ -168,6 +168,26 @@ def plan_mix(
     )
 
 
+def _in_training_order(rows: DataFrame, position: str, id_col: str) -> DataFrame:
+    return rows.repartitionByRange(position, id_col).sortWithinPartitions(position, id_col)
+
+
+def ordered_plan(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``plan_mix`` by way of the mix's order: a document's entries, one for each epoch that takes words of it, are
+    range-sorted by training position and written in that order, then gathered by document again."""
+    row = F.monotonically_increasing_id()
+    # The plan is written first: range boundaries are sampled, and rows must keep their numbers meanwhile.
+    plan = materialize(plan_mix(docs, id_col, **options).withColumn("row", row), "mix-plan")
+    entries = plan.select("row", "id", F.posexplode("positions").alias("epoch", "e")).select("row", "id", "epoch", "e.position", "e.words")
+    ordered = materialize(_in_training_order(entries, "position", "id"), "mix-order")
+    listed = F.array_sort(F.collect_list(F.struct("epoch", "position", "words")))
+    own = ordered.groupBy("row").agg(F.transform(listed, lambda e: F.struct(e["position"].alias("position"), e["words"].alias("words"))).alias("positions"))
+    kind = plan.schema["positions"].dataType
+    positions = F.coalesce("positions", F.array().cast(kind)).alias("positions")
+    columns = [c for c in plan.columns if c not in ("row", "positions")]
+    return plan.drop("positions").join(own, "row", "left").select(*columns, positions)
+
+
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: ``docs``' columns, one row per document and epoch that takes words of it.
 
@@ -190,4 +210,4 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.col(share)["position"].alias(pos),
     )
-    return out.repartitionByRange(pos, id_col).sortWithinPartitions(pos, id_col).drop(pos)
+    return _in_training_order(out, pos, id_col).drop(pos)

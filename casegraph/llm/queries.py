@@ -11,7 +11,7 @@ from casegraph.llm.bpe import bpe_round_trip
 from casegraph.llm.embedding_dedup import embedding_dedup
 from casegraph.llm.exact_dedup import exact_dedup
 from casegraph.llm.line_dedup import line_dedup
-from casegraph.llm.mixing import plan_mix
+from casegraph.llm.mixing import ordered_plan
 from casegraph.llm.ngram_join import ngram_join
 from casegraph.llm.html_extraction import extract_main_text
 from casegraph.llm.labelled import remainder
@@ -54,7 +54,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = plan_mix(_table(spark, sf_dir, "documents"))
+    plan = ordered_plan(_table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "positions")
 
 

@@ -162,6 +162,30 @@ def test_plan(spark):
     assert all(r["taken"] == 0 for r in plan_mix(spark.createDataFrame([(1, None, "a"), (2, " ", "b")], DOCS)).collect())
 
 
+def test_query_sorts_the_mix(spark, monkeypatch, tmp_path):
+    from casegraph.llm import mixing
+    from casegraph.llm.queries import queries
+
+    _, docs = mixed_docs(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    written = {}
+    keep = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name, *a: written.setdefault(name, keep(df, name, *a)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = queries()["op4_mixing"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = [(r["f"], r["position"]) for r in written["mix-order"].select(F.input_file_name().alias("f"), "position").collect()]
+    assert len({f for f, _ in ordered}) > 1
+    by_file = sorted(ordered, key=lambda r: r[0])  # stable: rows of a file stay in their order
+    assert [p for _, p in by_file] == sorted(p for _, p in ordered)
+    columns = ("size", "source_size", "target", "taken", "positions")
+    expected = plan_mix(docs).select(F.col("id").alias("doc_id"), *columns).collect()
+    assert sorted(map(str, found)) == sorted(map(str, expected))
+    assert len(ordered) == sum(len(r["positions"]) for r in expected)
+
+
 def test_mix(spark):
     _, docs = mixed_docs(spark)
     docs = docs.withColumn("size", F.lit("clash")).withColumn("position", F.lit(1))
