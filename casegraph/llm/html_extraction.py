@@ -37,6 +37,7 @@ columns pass through, and one named like an output column is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from typing import Any
@@ -59,6 +60,8 @@ PERIOD = 3
 TEXT = "#"
 #: Distinct expressions that a task counts before it passes them on.
 COUNTED = 2_000
+#: Texts of slots up to this length are kept as they are, longer ones as hashes.
+TEXT_CHARS = 200
 
 
 class Item:
@@ -322,6 +325,13 @@ def _shape_key(item: Item) -> str:
     return f"{item.key}{'+' if item.many else ''}[{' '.join(map(_shape_key, item.kids))}]"
 
 
+def _short(text: str | None) -> str | None:
+    """The text, or a hash of a long one: wrappers ask only whether texts are equal."""
+    if text is None or len(text) <= TEXT_CHARS:
+        return text
+    return "\x00" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper): one labelled wrapper per host, as JSON of ``Item.pack``."""
     source = pages.select(host_of(F.col(url_col)).alias("host"), text_of(html_col).alias("html")).filter("host is not null and html <> ''")
@@ -343,8 +353,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 own = page_expression(Page(source))
                 for item in own.walk():
                     item.blocks = []
-                    if item.text is not None and len(item.text) > 200:
-                        item.text = None  # template texts are short
+                    item.text = _short(item.text)
                 key = host, _shape_key(own)
                 if key in counted:
                     for a, b in _same_shape(counted[key], own):

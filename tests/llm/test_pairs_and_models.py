@@ -287,6 +287,15 @@ def test_wrapper_of_a_host(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [5, 400])
+def test_template_of_any_length(spark, words):
+    template = "same words on every page " * words
+    page = '<body><div><div class="text"><p>%s</p></div><div class="box">' + template + "</div></div></body>"
+    own = [f"article {i} " + f"own words of number {i} " * words for i in range(5)]
+    pages = spark.createDataFrame([(i, f"http://t.example/{i}", page % own[i]) for i in range(5)], "page_id long, url string, html string").repartition(3)
+    assert [r["text"] for r in extract_main_text(pages).orderBy("page_id").collect()] == [t.strip() for t in own]
+
+
 def test_expression_is_union_free():
     import json
 
