@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 _TOKEN = re.compile(
@@ -18,7 +19,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
-#: Levels of nesting that are told apart; deeper elements count to the last one.
+#: Levels of nesting that are told apart. Deeper elements are open until their own ends, but their content counts to the
+#: last level, except that noise, headers, articles and main parts that begin there stay elements of their own.
 DEPTH = 150
 
 # Element names of the HTML standard.
@@ -34,6 +36,8 @@ CLOSES = {
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "thead": {"tr", "td", "th", "p"}, "body": {"head"},
     "tbody": {"thead", "tr", "td", "th", "p"}, "tfoot": {"tbody", "tr", "td", "th", "p"},
 }
+#: A bit for each tag that an implied end can reach.
+ENDABLE = {tag: 1 << i for i, tag in enumerate(sorted({"p"}.union(*CLOSES.values())))}
 #: Implied ends don't reach past these.
 FENCES = frozenset("ul ol dl table div article section main aside body html nav header footer form select".split())
 
@@ -64,12 +68,19 @@ def _plain(name: str) -> str:
 class Element:
     """A structural element: its key, what it is, and its children (elements and block numbers)."""
 
-    __slots__ = ("children", "depth", "key", "noise", "parent", "root", "tag")
+    __slots__ = ("children", "depth", "endable", "key", "marks", "noise", "parent", "root", "tag")
 
     def __init__(self, tag: str, key: str, noise: str, root: int, parent: Element | None):
         self.tag, self.key, self.noise, self.root, self.parent = tag, key, noise, root, parent
         self.children: list[Element | int] = []
         self.depth = 0 if parent is None else parent.depth + 1
+        #: What it and the elements around it are marked as.
+        self.marks = (0 if parent is None else parent.marks) | _MARKS[noise] | root << 2
+        #: Tags, from here up to a fence, that an implied end can reach.
+        self.endable = 0 if parent is None or tag in FENCES else parent.endable | ENDABLE.get(tag, 0)
+
+
+_MARKS = {"": 0, "noise": 1, "header": 2}
 
 
 _kinds: dict[tuple[str, str], tuple[str, str, int]] = {}
@@ -110,6 +121,7 @@ class Page:
         self._pieces: list[str] = []
         self._link_chars = 0
         self._at = self.root
+        self._open: Counter[str] = Counter()
         self._in_link = False
         self._dropped: str | None = None  # an inline element that is noise
         for kind, name, value in _tokens(source):
@@ -152,18 +164,27 @@ class Page:
         self._close_block()
         self._in_link = False
         ends = CLOSES.get(tag) or {"p"}
+        reach = sum(ENDABLE[e] for e in ends)
         node = self._at
-        while node.parent is not None and node.tag not in FENCES:
+        while node.parent is not None and node.endable & reach:
             if node.tag in ends:
-                self._at = node.parent
+                self._leave(node)
             node = node.parent
-        if self._at.depth >= DEPTH:
-            return  # markup nested that deep is broken: its text belongs to the last level
         key, noise, root = describe(tag, attrs)
         element = Element(tag, key, noise, root, self._at)
-        self._at.children.append(element)
+        if element.depth <= DEPTH or element.marks != self._at.marks:
+            self._at.children.append(element)
+        else:
+            element.children = self._at.children
         if tag not in VOID:
             self._at = element
+            self._open[tag] += 1
+
+    def _leave(self, node: Element) -> None:
+        """Close what is open up to and with ``node``."""
+        while self._at is not node.parent:
+            self._open[self._at.tag] -= 1
+            self._at = self._at.parent
 
     def _end(self, tag: str) -> None:
         if tag in INLINE:
@@ -172,13 +193,14 @@ class Page:
             if tag == self._dropped:
                 self._dropped = None
             return
+        if not self._open[tag]:
+            return
         node = self._at
-        while node.parent is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.parent
-        if node.parent is not None:
-            self._close_block()
-            self._in_link = False
-            self._at = node.parent
+        self._close_block()
+        self._in_link = False
+        self._leave(node)
 
 
 def _tokens(source: str) -> Iterator[tuple[str, str, str]]:

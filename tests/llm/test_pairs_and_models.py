@@ -1,6 +1,7 @@
 """N-gram join, embedding dedup, components, toxicity, quality, HTML, and the pipeline."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -287,6 +288,24 @@ def test_wrapper_of_a_host(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [10, 140, 149, 150, 200, 5000])
+def test_depth_loses_nothing(depth):
+    noise = '<footer>tags</footer><nav><ul><li><a>M</a></ul></nav><aside><div>side</div></aside><section id="comments"><p>nice!</p></section>'
+    deep = "<div>" * depth + "<p>one<p>two" + noise + "<p>three" + "</div>" * depth
+    after = "<p>four</p><div><p>five</p></div>"
+    whole = "one\ntwo\nthree\nfour\nfive"
+    assert extract(f"<body><article>{deep}{after}</article><p>outside</p></body>", None) == whole
+    inner = "<div>" * depth + f"<article><p>one<p>two{noise}<p>three</article>" + "</div>" * depth
+    assert extract(f"<body>{inner}<p>outside</p></body>", None) == "one\ntwo\nthree"
+
+
+@pytest.mark.parametrize("tag", ["div", "x", "tbody"])
+def test_deep_pages_take_linear_time(tag):
+    began = time.perf_counter()
+    Page(f"<{tag}>" * 60_000 + "<p>a" + "</y>" * 60_000 + "<p>b" * 1000)
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("words", [5, 400])
 def test_template_of_any_length(spark, words):
     template = "same words on every page " * words
