@@ -4,13 +4,18 @@
    labels are one class, so copies cost nothing later.
 2. A pass hashes a class by the signs of random projections, concatenated into
    one 64-bit key, and sorts classes by (label, key) with a range shuffle.
-   Neighbours within a bounded window are compared; a task keeps the last
-   ``WINDOW`` vectors only. Vectors at a task's ends meet those of the next
-   task in a small second step. Pairs at or above the threshold are united.
-3. Components over all passes' pairs are the candidate groups, and every pair
-   inside one is verified in blocks (matrix products), so that the number of
-   links is exact there, however large the group: a window bounds what a pass
-   compares, not what is counted.
+   Neighbours within a bounded window are compared; a task streams through its
+   rows and keeps the last ``WINDOW`` of a label only. Rows at a task's ends meet
+   those of the tasks around it in a small second step.
+   What is sorted is narrow whatever the vectors' length: a class carries a
+   sketch of ``SKETCH`` sign bits and the greatest number of bits in which a
+   partner at the threshold differs from it (``reach_of``; a partner differs in
+   more with probability below 4e-6), and neighbours within that are candidates.
+   Vectors themselves are shuffled for candidates only, to be verified.
+3. Components over all passes' candidates are the candidate groups, and every
+   pair inside one is verified in blocks by its exact cosine (matrix products);
+   the pairs that hold are united. The number of links is exact there, however
+   large the group: a window bounds what a pass compares, not what is counted.
 4. Vectors of one label often share a direction; signs are taken of what is left
    after subtracting the label's mean, so that keys cut dense labels too.
    The number of passes of a label is measured, not assumed: probes (sampled
@@ -22,6 +27,9 @@
    blocks copy no more rows than the least number of passes, or so dense that
    they copy no more rows than the passes it would need.
 
+Ties: rows with equal keys are ordered by their class, so reruns agree; a cosine
+of exactly the threshold is a link.
+
 Results for odd input: a vector that is null, empty, zero, or holds a null or
 non-finite component is linked with nothing, and so is one whose label is null;
 such a vector is a component of its own and kept. Vectors of different lengths
@@ -49,6 +57,8 @@ THRESHOLD = 0.98
 WINDOW = 32
 MISS = 1e-3
 BITS = 64
+#: Bits of the sketch that a pass carries, and how many standard deviations a partner's differing bits may lie above their mean.
+SKETCH, SPREAD = 512, 4.5
 SEED = 20
 BLOCK_ROWS = 512
 LEAST_PASSES = 4
@@ -222,8 +232,26 @@ def measured_passes(rows: DataFrame, groups: dict[str, tuple[int, int]], window:
     return turns
 
 
-def _keyed(classes: DataFrame, passes: int | dict[str, int], seed: int) -> DataFrame:
-    """Every class once per pass of its group: (turn, grp, sortkey, node, vector)."""
+def sketch_of(rest: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Sign bits of further projections, as rows of 64-bit words."""
+    turns = range(10**6, 10**6 + SKETCH // BITS)
+    return np.stack([sort_keys(rest, t, seed).view(np.uint64) for t in turns], axis=1)
+
+
+def reach_of(rest: np.ndarray, threshold: float) -> np.ndarray:
+    """In how many sketch bits a vector at the threshold may differ.
+
+    Unit vectors at the threshold are ``d`` apart, and so are they after the label's mean is taken from both: seen from
+    the mean the angle between them has a sine of ``d / length`` at most. A bit differs with probability angle / pi.
+    """
+    length = np.sqrt((rest * rest).sum(axis=1))
+    d = math.sqrt(max(0.0, 2 - 2 * threshold))
+    share = np.where(length > d, np.arcsin(np.minimum(d / np.maximum(length, 1e-300), 1.0)) / math.pi, 1.0)
+    return np.ceil(SKETCH * share + SPREAD * np.sqrt(SKETCH * share * (1 - share)) + 1).astype(np.int32)
+
+
+def _keyed(classes: DataFrame, passes: int | dict[str, int], threshold: float, seed: int) -> DataFrame:
+    """Every class once per pass of its group: (turn, grp, sortkey, node, sketch, reach)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,89 +260,99 @@ def _keyed(classes: DataFrame, passes: int | dict[str, int], seed: int) -> DataF
                 part = batch.filter(pa.array(sizes == dims))
                 rest = _unit(_matrix(part.column("vector"))) - _matrix(part.column("centre"))
                 own = np.array([passes if isinstance(passes, int) else passes.get(g, 0) for g in part.column("grp").to_pylist()])
+                if not own.any():
+                    continue
+                sketches = pa.array([row.tobytes() for row in sketch_of(rest, seed)], pa.binary())
+                reach = pa.array(reach_of(rest, threshold))
                 for turn in range(own.max(initial=0)):
-                    mine = own > turn
-                    keys, chosen = sort_keys(rest[mine], turn, seed), part.filter(pa.array(mine))
+                    mine = pa.array(own > turn)
+                    keys = sort_keys(rest[own > turn], turn, seed)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), turn, np.int32)), chosen.column("grp"), pa.array(keys), chosen.column("node"), chosen.column("vector")],
-                        names=["turn", "grp", "sortkey", "node", "vector"],
+                        [
+                            pa.array(np.full(len(keys), turn, np.int32)), part.column("grp").filter(mine), pa.array(keys),
+                            part.column("node").filter(mine), sketches.filter(mine), reach.filter(mine),
+                        ],
+                        names=["turn", "grp", "sortkey", "node", "sketch", "reach"],
                     )
 
-    return classes.mapInArrow(run, "turn int, grp string, sortkey long, node binary, vector array<double>")
+    return classes.mapInArrow(run, "turn int, grp string, sortkey long, node binary, sketch binary, reach int")
 
 
-def _window_links(unit: np.ndarray, window: int, threshold: float, first_new: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) within the window and at the threshold, j at or after ``first_new``."""
-    left, right = [], []
-    for lag in range(1, min(window, len(unit) - 1) + 1):
-        hit = np.flatnonzero(np.einsum("ij,ij->i", unit[:-lag], unit[lag:]) >= threshold)
-        hit = hit[hit + lag >= first_new]
+def _window_pairs(sketches: np.ndarray, reach: np.ndarray, window: int, first_new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) within the window that differ in no more bits than either allows, j at or after ``first_new``."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for lag in range(1, min(window, len(sketches) - 1) + 1):
+        start = max(0, first_new - lag)
+        differ = np.bitwise_count(sketches[start:-lag] ^ sketches[start + lag :]).sum(axis=1, dtype=np.int64)
+        hit = np.flatnonzero(differ <= np.minimum(reach[start:-lag], reach[start + lag :])) + start
         left.append(hit)
         right.append(hit + lag)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
-_EDGE = "a binary, b binary, turn int, part int, side int, place int, grp string, vector array<double>"
-
-
-def _sorted_pass(ordered: DataFrame, window: int, threshold: float) -> DataFrame:
-    """Links inside each task (a, b), and each task's first and last rows (b null) for its neighbours."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        names = ["a", "b", "turn", "part", "side", "place", "grp", "vector"]
-        for table in runs(batches, ["turn", "grp"]):
-            turn, grp = table.column("turn")[0].as_py(), table.column("grp")[0].as_py()
-            nodes = table.column("node").to_pylist()
-            unit = _unit(_matrix(table.column("vector")))
-            n = len(nodes)
-            left, right = _window_links(unit, window, threshold)
-            # A star to the first member of each linked stretch keeps the edges few and the paths short.
-            groups = UnionFind(n)
-            for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                groups.union(i, j)
-            linked = [k for k in range(n) if groups.find(k) != k]
-            ends = [pa.array([nodes[k] for k in linked], pa.binary()), pa.array([nodes[groups.find(k)] for k in linked], pa.binary())]
-            rest = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*ends, *(pa.nulls(len(linked), k) for k in rest)], names=names)
-            for side, chosen in ((0, range(max(0, n - window), n)), (1, range(0, min(window, n)))):
-                # Side 0: the last rows, met by the first rows (side 1) of the part after this one.
-                picked = list(chosen)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([nodes[k] for k in picked], pa.binary()),
-                        pa.nulls(len(picked), pa.binary()),
-                        pa.array([turn] * len(picked), pa.int32()),
-                        pa.array([part - side] * len(picked), pa.int32()),
-                        pa.array([side] * len(picked), pa.int32()),
-                        pa.array(picked, pa.int32()),
-                        pa.array([grp] * len(picked), pa.string()),
-                        table.column("vector").take(pa.array(picked)).combine_chunks(),
-                    ],
-                    names=names,
-                )
-
-    return ordered.mapInArrow(run, _EDGE)
-
-
-def _seams(ends: DataFrame, window: int, threshold: float) -> DataFrame:
-    """Links between the last rows of a task and the first rows of the next."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["turn", "grp", "part"]):
-            side = np.asarray(table.column("side"))
-            if side.min() == side.max():
-                continue
-            unit, nodes = _unit(_matrix(table.column("vector"))), table.column("a").to_pylist()
-            left, right = _window_links(unit, window, threshold, int((side == 0).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in right], pa.binary()), pa.array([nodes[i] for i in left], pa.binary())], names=["a", "b"]
-            )
-
-    dealt = ends.repartition("turn", "grp", "part").sortWithinPartitions("turn", "grp", "part", "side", "place")
-    return dealt.mapInArrow(run, "a binary, b binary")
+_EDGE = "a binary, b binary, turn int, grp string, part int, place long, sketch binary, reach int"
+
+
+def _swept(batches: Iterator[pa.RecordBatch], window: int, ends: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) among neighbours of each (turn, grp) run, batch by batch; with ``ends`` also the run's first and last rows (b null)."""
+    part, names = TaskContext.get().partitionId(), [f.split()[0] for f in _EDGE.split(", ")]
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
+    last, held, place, carried = None, None, 0, None
+
+    def tail() -> Iterator[pa.RecordBatch]:
+        if ends and last is not None:
+            yield rows_of(last, carried, place - carried.num_rows)
+
+    def rows_of(run: tuple, table: pa.Table, first: int) -> pa.RecordBatch:
+        n = table.num_rows
+        columns = [table.column("node"), pa.nulls(n, pa.binary()), [run[0]] * n, [run[1]] * n, [part] * n, range(first, first + n), table.column("sketch"), table.column("reach")]
+        return pa.RecordBatch.from_arrays(
+            [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
+        )
+
+    for table in _stretches(batches):
+        run = table.column("turn")[0].as_py(), table.column("grp")[0].as_py()
+        rows = table.select(["node", "sketch", "reach"])
+        if run != last:
+            yield from tail()
+            last, place, carried = run, 0, rows.slice(0, 0)
+        if ends and place < window:
+            yield rows_of(run, rows.slice(0, window - place), place)
+        held = pa.concat_tables([carried, rows])
+        nodes = held.column("node").to_pylist()
+        sketches = np.frombuffer(b"".join(held.column("sketch").to_pylist()), np.uint64).reshape(len(nodes), -1)
+        left, right = _window_pairs(sketches, np.asarray(held.column("reach")), window, carried.num_rows)
+        # A star to the first member of each linked stretch keeps the edges few and the paths short.
+        groups = UnionFind(len(nodes))
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            groups.union(i, j)
+        linked = [k for k in np.unique(np.concatenate([left, right])).tolist() if groups.find(k) != k]
+        if linked:
+            pairs = [pa.array([nodes[k] for k in linked], pa.binary()), pa.array([nodes[groups.find(k)] for k in linked], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*pairs, *(pa.nulls(len(linked), k) for k in kinds[2:])], names=names)
+        place += rows.num_rows
+        carried = held.slice(max(0, held.num_rows - window))
+    yield from tail()
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The parts of each batch that belong to one (turn, grp)."""
+    for batch in batches:
+        if batch.num_rows:
+            yield from runs(iter([batch]), ["turn", "grp"])
+
+
+def _sorted_pass(ordered: DataFrame, window: int) -> DataFrame:
+    """Candidates inside each task (a, b), and each task's first and last rows of a run (b null) for the tasks around it."""
+    return ordered.select("turn", "grp", "node", "sketch", "reach").mapInArrow(lambda b: _swept(b, window, True), _EDGE)
+
+
+def _seams(ends: DataFrame, window: int) -> DataFrame:
+    """Candidates among the rows at the tasks' ends, which are neighbours across tasks."""
+    once = ends.select("turn", "grp", "part", "place", F.col("a").alias("node"), "sketch", "reach").dropDuplicates(["turn", "grp", "part", "place"])
+    dealt = once.repartition("turn", "grp").sortWithinPartitions("turn", "grp", "part", "place")
+    found = dealt.select("turn", "grp", "node", "sketch", "reach").mapInArrow(lambda b: _swept(b, window, False), _EDGE)
+    return found.select("a", "b")
 
 
 def embedding_dedup(
@@ -328,10 +366,12 @@ def embedding_dedup(
     seed: int = SEED,
 ) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept (module docstring: method, odd input)."""
+    # Single precision stays as it is in tables and shuffles; every sum is in double precision.
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     rows = vectors.select(
         F.col(id_col).alias("id"),
         F.col(label_col).cast("string").alias("label"),
-        F.col(vector_col).cast("array<double>").alias("vector"),
+        F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"),
     )
     good = F.col("label").isNotNull() & usable(F.col("vector"))
     # Adding 0.0 makes -0.0 and 0.0 one value.
@@ -355,10 +395,10 @@ def embedding_dedup(
         turns = measured_passes(rows, {r["grp"]: (r["n"], r["blocks"]) for r in large.select("grp", "n", "blocks").collect()}, window, threshold, seed)
         swept_groups = classes.sparkSession.createDataFrame([(g,) for g in turns], "grp string")
         exact = counted.filter("n > 1").join(broadcast_if_small(swept_groups), "grp", "left_anti")
-    ordered = _keyed(rows, turns, seed).repartitionByRange("turn", "grp", "sortkey", "node")
+    ordered = _keyed(rows, turns, threshold, seed).repartitionByRange("turn", "grp", "sortkey", "node")
     ordered = ordered.sortWithinPartitions("turn", "grp", "sortkey", "node")
-    swept = materialize(_sorted_pass(ordered, window, threshold), "vector-passes")
-    edges = swept.filter("b is not null").select("a", "b").union(_seams(swept.filter("b is null"), window, threshold))
+    swept = materialize(_sorted_pass(ordered, window), "vector-passes")
+    edges = swept.filter("b is not null").select("a", "b").union(_seams(swept.filter("b is null"), window))
     groups = connected_components(edges)
     members = groups.join(classes.select("node", "copies", "vector"), "node")
     whole = classes.join(broadcast_if_small(exact.select("grp")), "grp")
