@@ -59,16 +59,26 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 class Remembered(dict):
-    """key -> value, computed on first use; bounded by forgetting everything when full."""
+    """key (a text) -> value, computed on first use.
 
-    def __init__(self, compute: Callable, limit: int = 400_000):
+    Bounded by entries and by characters: when either is full everything is forgotten, and a key of more than
+    ``LONG_KEY`` characters is computed each time.
+    """
+
+    LONG_KEY = 200
+
+    def __init__(self, compute: Callable, limit: int = 400_000, chars: int = 16_000_000):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.chars, self.held = compute, limit, chars, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value, size = self.compute(key), len(key)
+        if size <= self.LONG_KEY:
+            if len(self) >= self.limit or self.held + size > self.chars:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[key] = value
         return value
 
 

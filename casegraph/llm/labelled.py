@@ -7,11 +7,10 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 1 << 30
-
+from casegraph.scratch import materialize
 
 def remainder(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as an empty text."""
@@ -19,18 +18,29 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sample_slot(column: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(SLOTS))
+def sample_ids(ids: DataFrame, size: int, seed: int) -> DataFrame:
+    """At most ``size`` rows of ``ids`` (id, ...), which has a row for each id: those with the least hash of the id."""
+    return ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size)
 
 
-def sample(rows: DataFrame, size: int, seed: int, total: int, key: str = "id") -> DataFrame:
-    """About ``size`` of ``total`` rows, chosen by a hash of ``key``; all rows if there are fewer.
+def sample_texts(rows: DataFrame, size: int, chars: int, seed: int, total: int | None = None) -> DataFrame:
+    """``rows`` (id, t, ...) cut to a sample that one task can hold: at most ``size`` rows and ``chars`` characters, with ``slot``.
 
-    The column ``slot`` orders them, so that a caller can cut to exactly ``size``.
+    The rows with the least hash of id *and* text are taken. Rows that are repeated count once, so an id that a
+    third of all rows share is sampled like any other; of two that share a hash the lesser text counts. Slots are
+    chosen on hashes and lengths alone; texts of chosen slots are combined on the map side, so that no task sends
+    more than the sample. With ``total``, the number of rows, hashes that are too great are left out early.
     """
-    slot = sample_slot(F.col(key), seed)
-    share = min(1.0, 1.1 * size / max(total, 1) + 8 * (size**0.5) / max(total, 1))
-    return rows.withColumn("slot", slot).filter(F.col("slot") < int(share * SLOTS))
+    slot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "t"), 1)
+    keyed = rows.withColumn("slot", slot)
+    share = 1.0 if total is None else min(1.0, (1.1 * size + 8 * size**0.5) / max(total, 1))
+    likely = keyed if share >= 1.0 else keyed.filter(F.col("slot") < int(share * 2**63))
+    least = likely.groupBy("slot").agg(F.min(F.length("t")).alias("n")).orderBy("slot").limit(size)
+    before = F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = materialize(least.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") + F.col("n") <= chars).select("slot"), "sample")
+    others = [c for c in rows.columns if c != "t"]
+    drawn = likely.join(F.broadcast(chosen), "slot").groupBy("slot")
+    return drawn.agg(F.min("t").alias("t"), *[F.min(c).alias(c) for c in others])
 
 
 def fit_in_one_task(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:

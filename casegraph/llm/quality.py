@@ -1,24 +1,31 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-A text becomes counts of terms: the shape of every piece between white space
-(letters by case, digits and runs shortened, signs kept), pairs of neighbouring
-shapes, repeats of the piece before, and distinct pieces. Counts are shares of
-the text's pieces, square-rooted and weighted by inverse document frequency. A
-truncated singular value decomposition of labelled texts gives the latent
-space. The labelled texts' vectors are broadcast (their number is bounded by
-``REFERENCES``), every document is compared with all of them by exact cosine, in
-blocks of documents, and the labels of the nearest ``NEIGHBOURS`` vote with a
-power of their similarity.
+A text becomes counts of terms: its words (lower case), the shape of every piece
+between white space (letters by case, digits and runs shortened, signs kept),
+pairs of neighbouring shapes, repeats of the piece before, and distinct pieces.
+Counts are shares of the text's pieces, square-rooted and weighted by inverse
+document frequency. A truncated singular value decomposition of labelled texts
+gives the latent space. The labelled texts' vectors are broadcast (their number
+is bounded by ``REFERENCES``), every document is compared with all of them by
+exact cosine, in blocks of documents, and the labels of the nearest
+``NEIGHBOURS`` vote with a power of their similarity.
 
 Learning looks at no more than ``REFERENCES`` labelled texts outside the
-held-out fold (a documented bound of the sample); every row of the table is
-scored over its whole text in one pass without a shuffle.
+held-out fold with ``FIT_CHARS`` characters together (documented bounds of the
+sample); every row of the table is scored over its whole text in one pass
+without a shuffle.
+
+Ties: of references at equal similarity the first ones, in the order of their
+hashes, vote; similarities are rounded to six digits before they are compared,
+so that the order in which a product is summed up decides nothing.
 
 Results for odd input: a null or empty text has no direction and gets the share
 of label 1 among the references; without any usable label every score is 0; a
 document with several label rows takes their rounded mean; label rows with null
 ids or null labels are ignored; repeated rows and null ids are scored like any
-other; other columns pass through.
+other, and learned from once; a very long text is scored whole; an empty table
+gives no model and an empty result; other columns pass through, and one named
+like the score column is replaced.
 """
 
 from __future__ import annotations
@@ -37,15 +44,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph.llm.common import Remembered, text_of, worker_memory
-from casegraph.llm.labelled import fit_in_one_task, remainder, sample
+from casegraph.llm.labelled import fit_in_one_task, remainder, sample_ids, sample_texts
 
 REFERENCES = 4096
+FIT_CHARS = 64_000_000
 NEIGHBOURS = 15
 DIMENSIONS = 64
 POWER = 4
+#: Numbers of shapes and pairs of shapes; words have as many more.
 TERM_SPACE = 1 << 15
-#: Terms of the latent space: the most frequent ones that occur in two texts at least.
-TERMS = 4096
+#: Terms of the latent space, of either kind: the most frequent ones that occur in two texts at least.
+TERMS = 2048
+#: What a word counts beside its shape.
+WORD_SHARE = 0.25
 ACCEPT = 0.3
 SEED = 10
 BLOCK = 512
@@ -69,20 +80,30 @@ def _number(term: str) -> int:
     return zlib.crc32(term.encode()) % TERM_SPACE
 
 
-def text_terms(text: str, shapes: Remembered) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and their shares of the text's pieces."""
+def piece_terms(piece: str) -> tuple[str, int, tuple[int, ...]]:
+    """A piece's shape, the shape's term number, and the term numbers of its words, which have a space of their own."""
+    form = shape(piece)
+    return form, _number(form), tuple(TERM_SPACE + _number(word) for word in _LETTERS.findall(piece.lower()))
+
+
+def text_terms(text: str, known: Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers and their shares of the text's pieces; ``known`` remembers ``piece_terms``."""
     pieces = text.split()
     if not pieces:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     n = len(pieces)
-    forms = [shapes[p] for p in pieces]
     shares: Counter[int] = Counter()
-    for form, k in Counter(forms).items():
-        shares[_number(form)] += k / n
+    counted = Counter(pieces)
+    for piece, k in counted.items():
+        _, form, words = known[piece]
+        shares[form] += k / n
+        for word in words:
+            shares[word] += WORD_SHARE * k / n
+    forms = [known[p][0] for p in pieces]
     for (left, right), k in Counter(zip(forms, forms[1:], strict=False)).items():
         shares[_number(f"{left} {right}")] += 0.5 * k / n
     shares[_number("= again")] += 2 * sum(map(eq, pieces, pieces[1:])) / n
-    shares[_number("= distinct")] += len(set(pieces)) / n
+    shares[_number("= distinct")] += len(counted) / n
     return np.fromiter(shares, np.int32, len(shares)), np.fromiter(shares.values(), np.float32, len(shares))
 
 
@@ -114,8 +135,9 @@ def _directions(matrix: np.ndarray, axes: np.ndarray) -> np.ndarray:
 
 def fit_quality(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dimensions: int = DIMENSIONS) -> QualityModel:
     """Latent semantic axes by a randomised singular value decomposition with power steps."""
-    df = np.bincount(np.concatenate([t[0] for t in texts]), minlength=TERM_SPACE)
-    frequent = np.argsort(-df, kind="stable")[:TERMS]
+    df = np.bincount(np.concatenate([t[0] for t in texts]), minlength=2 * TERM_SPACE)
+    kinds = np.split(np.argsort(-df.reshape(2, TERM_SPACE), axis=1, kind="stable")[:, :TERMS], 2)
+    frequent = np.concatenate([kinds[0][0], TERM_SPACE + kinds[1][0]])
     terms = np.sort(frequent[df[frequent] >= min(2, len(texts))]).astype(np.int32)
     weights = (np.log((1 + len(texts)) / (1 + df[terms])) + 1).astype(np.float32)
     matrix = _rows(texts, terms, weights)
@@ -131,9 +153,12 @@ def fit_quality(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
 def vote(model: QualityModel, vectors: np.ndarray, neighbours: int = NEIGHBOURS, power: float = POWER) -> np.ndarray:
     """Share of label 1 among the nearest references, weighted by similarity to ``power``."""
     k = min(neighbours, len(model.labels))
-    near = vectors @ model.references.T
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** power
+    # Similarity in millionths, then the place: keys are distinct, so the nearest ones are the same however they are found.
+    places = len(model.labels)
+    near = np.rint((vectors @ model.references.T).astype(np.float64) * 1e6).astype(np.int64)
+    rank = near * places + (places - 1 - np.arange(places))
+    top = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+    weight = np.maximum(np.take_along_axis(near, top, axis=1) / 1e6, 0) ** power
     total = weight.sum(axis=1)
     voted = (weight * model.labels[top]).sum(axis=1)
     return np.divide(voted, total, out=np.full(len(vectors), float(model.labels.mean())), where=total > 0).clip(0, 1)
@@ -148,6 +173,7 @@ def train_quality(
     modulus: int = 5,
     held_out: int = 0,
     references: int = REFERENCES,
+    fit_chars: int = FIT_CHARS,
 ) -> QualityModel | None:
     """Learn from labelled documents outside the held-out fold; None if there is none."""
     usable = remainder(id_col, modulus) != held_out
@@ -155,15 +181,13 @@ def train_quality(
         labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label_col)).cast("int").alias("y"))
     )
-    total = known.count()
-    chosen = sample(known, references, SEED, total)
     texts = docs.filter(usable).select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    rows = texts.join(F.broadcast(chosen), "id").select("slot", "y", "t")
+    rows = sample_texts(texts.join(F.broadcast(sample_ids(known, references, SEED)), "id"), references, fit_chars, SEED).select("slot", "y", "t")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = worker_memory("quality").setdefault("shapes", Remembered(shape))
+        pieces = worker_memory("quality").setdefault("pieces", Remembered(piece_terms))
         for batch in batches:
-            found = [text_terms(t, shapes) for t in batch.column("t").to_pylist()]
+            found = [text_terms(t, pieces) for t in batch.column("t").to_pylist()]
             ends = pa.array(np.cumsum([0] + [len(n) for n, _ in found]).astype(np.int32))
             numbers = pa.array(np.concatenate([n for n, _ in found] or [np.empty(0, np.int32)]))
             shares = pa.array(np.concatenate([s for _, s in found] or [np.empty(0, np.float32)]))
@@ -175,8 +199,7 @@ def train_quality(
             (slot, np.asarray(n.values), np.asarray(s.values), y)
             for slot, y, n, s in zip(table.column("slot").to_pylist(), table.column("y").to_pylist(), table.column("n"), table.column("s"), strict=True)
         ]
-        own.sort(key=lambda x: (x[0], x[1].tobytes(), x[2].tobytes()))
-        own = own[:references]
+        own.sort(key=lambda x: x[0])
         return fit_quality([(n, s) for _, n, s, _ in own], np.array([y for *_, y in own]))
 
     return fit_in_one_task(rows.mapInArrow(terms, "slot long, y int, n array<int>, s array<float>"), fit)
@@ -189,11 +212,11 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shapes = shared.value, worker_memory("quality").setdefault("shapes", Remembered(shape))
+        own, pieces = shared.value, worker_memory("quality").setdefault("pieces", Remembered(piece_terms))
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for start in range(0, batch.num_rows if own else 0, BLOCK):
-                found = [text_terms(t or "", shapes) for t in batch.column(text_col).slice(start, BLOCK).to_pylist()]
+                found = [text_terms(t or "", pieces) for t in batch.column(text_col).slice(start, BLOCK).to_pylist()]
                 vectors = _directions(_rows(found, own.terms, own.weights), own.axes)
                 scores[start : start + BLOCK] = vote(own, vectors)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(scores)], names=[*kept, score_col])

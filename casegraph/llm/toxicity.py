@@ -15,15 +15,19 @@ Features of a text are which words occur and which word beginnings of three to
 six letters, so that a stem with new endings is known. Features that are
 clearly more frequent in P than in U are kept; all others have weight 0.
 
-Learning looks at most at ``POSITIVES`` and ``UNLABELLED`` texts (documented
-bounds of the sample, not of what is scored): every row of the table is scored,
-over its whole text, in one pass without a shuffle.
+Learning looks at most at ``POSITIVES`` and ``UNLABELLED`` texts, and of each at
+most at ``FIT_CHARS`` characters together (documented bounds of the sample, not
+of what is scored; texts are taken whole or not at all): every row of the table
+is scored, over its whole text, in one pass without a shuffle.
 
 Results for odd input: a null or empty text has no features and gets the
 model's base score; without any confirmed toxic text, every score is 0; a
 document with several label rows is toxic if one of them says so; label rows
 with null ids or null labels are ignored; a null id is scored like any other;
-repeated rows are scored each; other columns pass through.
+repeated rows are scored each, and learned from once; equal texts have equal
+scores; a very long text is scored whole; an empty table gives no model and an
+empty result; other columns pass through, and one named like the score column
+is replaced.
 """
 
 from __future__ import annotations
@@ -40,10 +44,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casegraph.llm.common import Remembered, text_of, worker_memory
-from casegraph.llm.labelled import fit_in_one_task, remainder, sample
+from casegraph.llm.labelled import fit_in_one_task, remainder, sample_ids, sample_texts
 
 POSITIVES = 6_000
 UNLABELLED = 12_000
+FIT_CHARS = 64_000_000
 FEATURE_SPACE = 1 << 22
 STEPS = 400
 REJECT = 0.7
@@ -142,6 +147,7 @@ def train_toxicity(
     held_out: int = 1,
     positives: int = POSITIVES,
     unlabelled: int = UNLABELLED,
+    fit_chars: int = FIT_CHARS,
 ) -> ToxicityModel | None:
     """Learn from documents outside the held-out fold; None if no document is confirmed toxic."""
     usable = remainder(id_col, modulus) != held_out
@@ -153,10 +159,10 @@ def train_toxicity(
     if not n_toxic:
         return None
     texts = docs.filter(usable).select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    chosen = sample(known.filter("toxic = 1").select("id"), positives, SEED, n_toxic)
-    confirmed = texts.join(F.broadcast(chosen), "id").select(F.lit(1).alias("p"), "slot", "id", "t")
-    pool = sample(texts, unlabelled, SEED + 1, texts.count())
-    drawn = confirmed.unionByName(pool.select(F.lit(0).alias("p"), "slot", "id", "t"))
+    toxic_ids = sample_ids(known.filter("toxic = 1").select("id"), positives, SEED)
+    confirmed = sample_texts(texts.join(F.broadcast(toxic_ids), "id"), positives, fit_chars, SEED)
+    pool = sample_texts(texts, unlabelled, fit_chars, SEED + 1, texts.count())
+    drawn = confirmed.withColumn("p", F.lit(1)).unionByName(pool.withColumn("p", F.lit(0)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = worker_memory("toxicity").setdefault("pieces", Remembered(piece_features, 100_000))
@@ -170,13 +176,13 @@ def train_toxicity(
     prior = n_toxic / n_known
 
     def fit(table: pa.Table) -> ToxicityModel | None:
-        def part(p: int, most: int) -> list[np.ndarray]:
+        def part(p: int) -> list[np.ndarray]:
             own = [(s, np.sort(np.asarray(f.values))) for q, s, f in zip(table.column("p").to_pylist(), table.column("slot").to_pylist(), table.column("f"), strict=True) if q == p]
-            own.sort(key=lambda x: (x[0], x[1].tobytes()))
-            return [f for _, f in own[:most]]
+            own.sort(key=lambda x: x[0])
+            return [f for _, f in own]
 
-        confirmed = part(1, positives)
-        return fit_nnpu(confirmed, part(0, unlabelled), prior) if confirmed else None
+        confirmed = part(1)
+        return fit_nnpu(confirmed, part(0), prior) if confirmed else None
 
     return fit_in_one_task(rows, fit)
 
