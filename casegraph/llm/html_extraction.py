@@ -5,19 +5,23 @@
    repeated groups, of one to three elements a period; what is left is the
    page's own expression: elements, repeated groups ``( )+``, text slots.
 2. Expressions of one host are aligned one after the other (longest common
-   subsequence of element keys, level by level). Equal elements are merged,
+   subsequence of element keys, level by level, by bit-parallel rows: pages of
+   tens of thousands of blocks take seconds and megabytes). Equal elements are merged,
    elements that one side lacks become optional ``( )?``, differing text
    becomes a slot. The result has no unions: it is the host's wrapper. Slots
    carry counts: pages, characters, characters in links, and their text while
    it is the same on all pages.
-   Equal expressions are counted once per task before any shuffle; wrappers
-   are merged per (host, salt) and then per host, so a host with a third of all
-   pages is spread over tasks and no task ever holds its pages.
+   Equal expressions are counted once per task before any shuffle; a host's
+   expressions are merged as they stream past, at most ``FAN`` of them by one
+   task, and the merged ones again until one is left, so a host with a third of
+   all pages is spread over tasks and no task ever holds its pages.
 3. Slots are labelled on the wrapper, with all the host's pages behind the
    counts: the article element (else the main one, else the element that holds
    most of the text outside links and outside what is marked as noise), without
-   noise. Where no element is marked as the article, link lists and texts that
-   are the same on every page of the host are template and go, too.
+   noise. What a class name only hints at (a "widget", "related" things) is noise
+   by the counts: unless it holds most of the text around it, or is prose (long,
+   hardly a link). Where no element is marked as the article, link lists and
+   texts that are the same on every page of the host are template and go, too.
 4. Every page is aligned with its host's wrapper, and the blocks in slots
    labelled as content are its text. If a page has none there, its own
    expression is used as a wrapper of one page.
@@ -30,6 +34,9 @@ block. Headings inside an article's own ``header`` belong to the article.
 
 Results for odd input: null or empty html gives an empty text; html without
 markup is one block; broken markup is read as far as it goes and never raises;
+pages of any length are read whole; of two alignments of equal length the same
+one is taken each time; elements nested below ``html_tree.DEPTH`` levels are
+judged with what is around them unless they are marked;
 a page whose url is null or has no host is its own wrapper; repeated rows and
 null ids are extracted each; an empty table gives an empty result; other
 columns pass through, and one named like an output column is replaced.
@@ -39,6 +46,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -47,14 +55,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegraph.llm.common import fresh, text_of, worker_memory
-from casegraph.llm.components import runs
+from casegraph.llm.common import broadcast_if_small, fresh, text_of, worker_memory
 from casegraph.llm.html_tree import Element, Page
 from casegraph.scratch import materialize
 
 #: Wrappers are broadcast up to this many characters together.
 BROADCAST_BYTES = 64_000_000
 SALTS = 16
+#: Expressions of a host that one task merges.
+FAN = 1_000
+#: Share of the text around it, and characters a page with hardly a link, by which an element with a hint of noise is none.
+MOST, PROSE = 0.6, 400
 #: Longest period, in elements, of a repeated group.
 PERIOD = 3
 TEXT = "#"
@@ -120,32 +131,79 @@ def _merge_into(a: Item, b: Item, same_page: bool) -> None:
     a.kids = align(a.kids, b.kids, same_page)
 
 
+def common(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence, as places in both.
+
+    Equal ends are cut off. For the rest each row of the usual table is one number with a bit for each place of ``right``
+    (0 where the row's length grows), which a few whole-number operations turn into the next row. Every so many rows are
+    kept, and the rows between are computed again on the way back.
+    """
+    n, m, start = len(left), len(right), 0
+    while start < n and start < m and left[start] == right[start]:
+        start += 1
+    while n > start and m > start and left[n - 1] == right[m - 1]:
+        n, m = n - 1, m - 1
+    head = [(i, i) for i in range(start)]
+    tail = [(n + i, m + i) for i in range(len(left) - n)]
+    rows, columns = left[start:n], right[start:m]
+    if not rows or not columns:
+        return head + tail
+    places: dict[str, list[int]] = {}
+    for j, key in enumerate(columns):
+        places.setdefault(key, []).append(j)
+    wanted, whole = set(rows), (1 << len(columns)) - 1
+    masks = {k: sum(1 << j for j in p) for k, p in places.items() if k in wanted and len(p) > 3}
+
+    def following(row: int, key: str) -> int:
+        mask = masks.get(key)
+        if mask is None:
+            mask = sum(1 << j for j in places.get(key, ()))
+        grown = row & mask
+        return ((row + grown) | (row - grown)) & whole
+
+    stride = math.isqrt(len(rows)) + 1
+    row, kept = whole, []
+    for i, key in enumerate(rows):
+        if i % stride == 0:
+            kept.append(row)
+        row = following(row, key)
+    block, first = [], len(rows)
+
+    def flat(i: int, j: int) -> int:
+        """Whether the length stays the same at place ``j`` of row ``i``."""
+        nonlocal block, first
+        if not first <= i < first + len(block):
+            first = i // stride * stride
+            block, at = [], kept[i // stride]
+            for key in rows[first : first + stride]:
+                at = following(at, key)
+                block.append(at)
+        return block[i - first] >> j & 1
+
+    found, i, j = [], len(rows), len(columns)
+    while i and j:
+        if flat(i - 1, j - 1):
+            j -= 1
+            continue
+        i -= 1
+        if i and not flat(i - 1, j - 1):
+            continue
+        j -= 1
+        found.append((start + i, start + j))
+    return head + found[::-1] + tail
+
+
 def align(left: list[Item], right: list[Item], same_page: bool = False) -> list[Item]:
     """One expression for both: equal keys merge, all else becomes optional."""
-    n, m = len(left), len(right)
-    if n == m and all(a.key == b.key for a, b in zip(left, right, strict=True)):
-        for a, b in zip(left, right, strict=True):
-            _merge_into(a, b, same_page)
-        return left
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        key, row, below = left[i].key, best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if key == right[j].key else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and left[i].key == right[j].key:
-            _merge_into(left[i], right[j], same_page)
-            out.append(left[i])
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            left[i].optional = True
-            out.append(left[i])
-            i += 1
-        else:
-            right[j].optional = True
-            out.append(right[j])
-            j += 1
+    for a, b in [*common([x.key for x in left], [x.key for x in right]), (len(left), len(right))]:
+        for alone in [*left[i:a], *right[j:b]]:
+            alone.optional = True
+            out.append(alone)
+        if a < len(left):
+            _merge_into(left[a], right[b], same_page)
+            out.append(left[a])
+        i, j = a + 1, b + 1
     return out
 
 
@@ -207,10 +265,37 @@ def _mass(item: Item, inside: bool = False) -> int:
     return sum(_mass(k, inside or item.root > 0) for k in item.kids)
 
 
+def _judge_hints(wrapper: Item) -> None:
+    """Elements that are noise by a hint become noise or none, by what the host's pages hold there."""
+    sizes: dict[int, tuple[int, int]] = {}
+
+    def measure(item: Item) -> tuple[int, int]:
+        chars, linked = (item.chars, item.linked) if item.key == TEXT else (0, 0)
+        for kid in item.kids:
+            if (kid_size := measure(kid)) and kid.noise != "noise":
+                chars, linked = chars + kid_size[0], linked + kid_size[1]
+        sizes[id(item)] = chars, linked
+        return chars, linked
+
+    def judge(item: Item, around: int) -> None:
+        chars, linked = sizes[id(item)]
+        if item.root:
+            around = chars - linked
+        if item.noise == "hint":
+            prose = chars >= PROSE * item.pages and linked * 10 < chars
+            item.noise = "" if prose or (chars - linked) >= MOST * max(around, 1) else "noise"
+        for kid in item.kids:
+            judge(kid, around)
+
+    measure(wrapper)
+    judge(wrapper, sizes[id(wrapper)][0] - sizes[id(wrapper)][1])
+
+
 def label(wrapper: Item) -> Item:
     """Mark the slots that hold the article (module docstring, 3)."""
     for item in wrapper.walk():
         item.content = False
+    _judge_hints(wrapper)
     whole = _mass(wrapper)
 
     def roots(item: Item, rank: int) -> Iterator[Item]:
@@ -255,22 +340,10 @@ def _mark(item: Item, marked: bool, template_pages: int | None) -> None:
 
 def _content_blocks(page: list[Item], wrapper: list[Item]) -> Iterator[int]:
     """Numbers of the page's blocks that lie in content slots of the wrapper."""
-    n, m = len(page), len(wrapper)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if page[i].key == wrapper[j].key else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < n and j < m:
-        if page[i].key == wrapper[j].key:
-            if wrapper[j].content:
-                yield from page[i].blocks
-            yield from _content_blocks(page[i].kids, wrapper[j].kids)
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    for i, j in common([x.key for x in page], [x.key for x in wrapper]):
+        if wrapper[j].content:
+            yield from page[i].blocks
+        yield from _content_blocks(page[i].kids, wrapper[j].kids)
 
 
 def _same_shape(page: Item, wrapper: Item) -> Iterator[tuple[Item, Item]]:
@@ -291,8 +364,7 @@ def extract(source: str, wrapper: Item | None) -> str:
     return "\n".join(page.blocks[i] for i in found)
 
 
-def merge_wrappers(packed: Iterable[str]) -> Item | None:
-    merged: Item | None = None
+def merge_wrappers(packed: Iterable[str], merged: Item | None = None) -> Item | None:
     for one in packed:
         item = Item.unpack(json.loads(one))
         if merged is None:
@@ -369,24 +441,38 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         if counted:
             yield flush()
 
-    def merge(batches: Iterator[pa.RecordBatch], keys: list[str], final: bool) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, keys):
-            merged = merge_wrappers(sorted(table.column("wrapper").to_pylist()))
+    def merge(batches: Iterator[pa.RecordBatch], final: bool) -> Iterator[pa.RecordBatch]:
+        host, merged = None, None
+
+        def row() -> pa.RecordBatch:
             if final:
                 label(merged)
                 for item in merged.walk():
                     item.text = None  # labels are set; texts aren't needed any more
-            row = {**{k: [table.column(k)[0].as_py()] for k in keys}, "wrapper": [json.dumps(merged.pack(), ensure_ascii=False, separators=(",", ":"))]}
-            if "salt" in row:
-                row["salt"] = pa.array(row["salt"], pa.int32())
-            yield pa.RecordBatch.from_pydict(row)
-
-    own = source.mapInArrow(read, "host string, shape string, wrapper string")
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int")).select("host", "salt", "wrapper")
-    parts = salted.repartition("host", "salt").sortWithinPartitions("host", "salt")
-    some = parts.mapInArrow(lambda b: merge(b, ["host", "salt"], False), "host string, salt int, wrapper string")
-    whole = some.select("host", "wrapper").repartition("host").sortWithinPartitions("host")
-    return whole.mapInArrow(lambda b: merge(b, ["host"], True), "host string, wrapper string")
+            packed = json.dumps(merged.pack(), ensure_ascii=False, separators=(",", ":"))
+            return pa.RecordBatch.from_pydict({"host": [host[0]], "wrapper": [packed]})
+
+        for batch in batches:
+            for *key, packed in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "wrapper")), strict=True):
+                if key != host and merged is not None:
+                    yield row()
+                    merged = None
+                host, merged = key, merge_wrappers([packed], merged)
+        if merged is not None:
+            yield row()
+
+    found = materialize(source.mapInArrow(read, "host string, shape string, wrapper string").select("host", "wrapper"), "html-expressions")
+    while True:
+        counts = materialize(found.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).cast("int").alias("salts")), "html-hosts")
+        final = (counts.agg(F.max("salts")).first()[0] or 1) == 1
+        salted = found.withColumn("salt", F.lit(0))
+        if not final:
+            salted = found.join(broadcast_if_small(counts), "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.col("salts")).cast("int"))
+        parts = salted.select("host", "salt", "wrapper").repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")
+        following = parts.mapInArrow(lambda b, last=final: merge(b, last), "host string, wrapper string")
+        if final:
+            return following
+        found = materialize(following, "html-expressions")
 
 
 def extract_main_text(

@@ -52,10 +52,13 @@ NOISE_ROLES = frozenset(
 #: Words in class or id names that mark what is not the article.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion "
-    "banner banners breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond cookie cookies consent gdpr "
-    "notice notices alert alerts popup modal overlay toolbar nav navbar navigation menu menus sidebar sidebars widget widgets "
-    "footer footers masthead topbar related recommended recommendations share sharing social subscribe subscription newsletter "
-    "signup login signin search pagination pager skip skiplink skiplinks outbrain taboola copyright disclaimer".split()
+    "breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond cookie cookies consent gdpr "
+    "notice notices alert alerts popup modal overlay toolbar nav navbar navigation menu menus sidebar sidebars "
+    "footer footers masthead topbar login signin search pagination pager skip skiplink skiplinks outbrain taboola copyright disclaimer".split()
+)
+#: Words that are a hint only: the wrapper's counts decide.
+HINT_WORDS = frozenset(
+    "banner banners widget widgets related recommended recommendations share sharing social subscribe subscription newsletter signup".split()
 )
 #: Words that mark a page's header unless it stands inside the article.
 HEADER_WORDS = frozenset("header head".split())
@@ -75,19 +78,19 @@ class Element:
         self.children: list[Element | int] = []
         self.depth = 0 if parent is None else parent.depth + 1
         #: What it and the elements around it are marked as.
-        self.marks = (0 if parent is None else parent.marks) | _MARKS[noise] | root << 2
+        self.marks = (0 if parent is None else parent.marks) | _MARKS[noise] | root << 3
         #: Tags, from here up to a fence, that an implied end can reach.
         self.endable = 0 if parent is None or tag in FENCES else parent.endable | ENDABLE.get(tag, 0)
 
 
-_MARKS = {"": 0, "noise": 1, "header": 2}
+_MARKS = {"": 0, "noise": 1, "header": 2, "hint": 4}
 
 
 _kinds: dict[tuple[str, str], tuple[str, str, int]] = {}
 
 
 def describe(tag: str, attrs: str) -> tuple[str, str, int]:
-    """(key, noise, root): noise is '', 'noise' or 'header'; root is 2 for an article, 1 for a main part."""
+    """(key, noise, root): noise is '', 'noise', 'hint' or 'header'; root is 2 for an article, 1 for a main part."""
     known = _kinds.get((tag, attrs))
     if known is None:
         values = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
@@ -103,6 +106,8 @@ def describe(tag: str, attrs: str) -> tuple[str, str, int]:
         noise = "noise" if tag in NOISE_TAGS or role in NOISE_ROLES or hidden or (words & NOISE_WORDS and tag not in ("html", "body")) else ""
         if not noise and (tag == "header" or (words & HEADER_WORDS and tag not in ("html", "body"))):
             noise = "header"
+        if not noise and words & HINT_WORDS and tag not in ("html", "body"):
+            noise = "hint"
         key = ".".join([tag, *sorted({_plain(n) for n in names})]) + ("!" if noise else "") + ("^" * root)
         known = key, noise, root
         if len(_kinds) > 50_000:
@@ -158,7 +163,7 @@ class Page:
                 return
             if tag == "a":
                 self._in_link = True
-            if self._dropped is None and attrs and describe(tag, attrs)[1] == "noise":
+            if self._dropped is None and attrs and describe(tag, attrs)[1] in ("noise", "hint"):
                 self._dropped = tag
             return
         self._close_block()
