@@ -417,12 +417,14 @@ def embedding_dedup(
     found = materialize(units.mapInArrow(verify, "node binary, links long, root binary"), "vector-links")
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    result = classes.select("node", "least", "copies").join(joined, "node", "left").join(links, "node", "left")
-    result = result.withColumn("component", F.coalesce("component", "node"))
-    least = result.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = materialize(joined.join(links, "node"), "vector-linked")
+    # Only classes with links meet by component; any other one is its own.
+    result = classes.select("node", "least", "copies").join(broadcast_if_small(linked), "node", "left")
+    least = materialize(result.filter("component is not null").groupBy("component").agg(F.min("least").alias("first")), "vector-least")
     result = materialize(
-        result.join(least, "component").select(
-            "node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        result.join(broadcast_if_small(least), "component", "left").select(
+            "node", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"),
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         ),
         "vector-result",
     )
