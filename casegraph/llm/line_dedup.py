@@ -6,12 +6,12 @@ its first occurrence, by (document id, document text hash, position), stays and
 all later ones are removed. A document loses the union of the lines that its
 later occurrences cover.
 
-Windows are built row by row with array functions, so documents themselves are
-shuffled only once, for the last join; what is grouped globally is 40 bytes a
-window, pre-aggregated on the map side, so a passage that a third of all
-documents share sends one row per task. The join that finds the later
-occurrences is a plain equi-join, which adaptive execution splits where one
-window is hot.
+Windows are built row by row with array functions and written once, 40 bytes
+each. They are grouped with map-side combining, so a passage that a third of all
+documents share sends one row per task. Repeated windows, and then the lines to
+remove by document, are broadcast if a count shows that they are few; then texts
+are not shuffled at all. Otherwise both are equi-joins, which adaptive execution
+splits where one key is hot, and texts are shuffled once.
 
 Results for odd input:
 
@@ -23,6 +23,8 @@ Results for odd input:
 * ids may be null or repeated: rows with the same id *and* text are one
   document that is listed twice, and keep or lose the same lines; rows with the
   same id and different texts are different documents;
+* a very long text or line is hashed whole; of equal windows the first one, in
+  the order above, stays, so reruns agree;
 * an empty table gives an empty result; all other columns are passed through,
   whatever their names.
 """
@@ -32,9 +34,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import fresh, let
+from casegraph.llm.common import broadcast_if_small, fresh, let
+from casegraph.scratch import materialize
 
 WINDOW = 3
+#: The lines to remove are broadcast if they are at most so many windows' lines together.
+BROADCAST_STARTS = 1_000_000
 
 
 def _windows(lines: Column, width: int) -> Column:
@@ -69,18 +74,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(text_col).alias("version"),
         F.explode(_windows(lines, width)).alias("w"),
     ).select("id", "version", "w.pos", "w.h1", "w.h2")
+    base = materialize(base, "line-windows")
     first = base.groupBy("h1", "h2").agg(
         F.min(F.struct("id", "version", "pos")).alias("first"), F.count(F.lit(1)).alias("n")
     )
-    repeated = first.filter("n > 1").drop("n")
-    later = base.join(repeated, ["h1", "h2"]).filter(~F.struct("id", "version", "pos").eqNullSafe(F.col("first")))
+    repeated = materialize(first.filter("n > 1").drop("n"), "line-repeats")
+    later = base.join(broadcast_if_small(repeated), ["h1", "h2"]).filter(~F.struct("id", "version", "pos").eqNullSafe(F.col("first")))
     # Positions covered by later occurrences, merged: pos .. pos + width - 1.
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.lit(width - 1)))))
-    removed = later.groupBy("id", "version").agg(F.collect_set("pos").alias("starts"))
+    removed = materialize(later.groupBy("id", "version").agg(F.collect_set("pos").alias("starts")), "line-removed")
+    n_starts = removed.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
 
     v, rid, rv, gone = fresh(docs, "version", "rid", "rversion", "removed")
+    lost = removed.select(F.col("id").alias(rid), F.col("version").alias(rv), covered.alias(gone))
     out = docs.withColumn(v, F.xxhash64(text_col)).join(
-        removed.select(F.col("id").alias(rid), F.col("version").alias(rv), covered.alias(gone)),
+        F.broadcast(lost) if n_starts <= BROADCAST_STARTS else lost,
         F.col(id_col).eqNullSafe(F.col(rid)) & (F.col(v) == F.col(rv)),
         "left",
     )
