@@ -1,7 +1,9 @@
 """Token-ID output: documents in id order, encoded, one wavelet-matrix file per shard.
 
 Texts are range-partitioned by document id (a sampled range shuffle; the only
-shuffle of texts) and sorted inside each partition. A task encodes its texts
+shuffle of texts) and sorted inside each partition. Where one id has more than
+``HOT_ID`` rows the range goes on with the texts' first characters and the rows'
+place in the input, so that no task gets all rows of an id. A task encodes its texts
 with the tokenizers library and closes a shard whenever it holds
 ``SHARD_TOKENS`` ids, so memory is bounded by a shard and its longest document.
 Shards are ordered by (partition, sequence).
@@ -13,8 +15,11 @@ the same bytes. ``file`` is the complete file of ``casegraph.llm.wavelet``;
 Parquet is its envelope and isn't compressed again.
 
 Results for odd input: a null or empty text is the end id alone; null ids come
-first; rows with the same id are ordered by text; other columns are ignored; an
-empty table writes no shard. Ids must be integers.
+first; rows with the same id are ordered by text (by its first ``HEAD``
+characters where an id has more than ``HOT_ID`` rows), and equal rows each have
+their own ids in the files; texts of any length are encoded whole, and a shard
+ends after the document that fills it; other columns are ignored, whatever their
+names; an empty table writes no shard. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from casegraph.llm.bpe import LibraryCodec, codec, text_slices
@@ -35,6 +40,8 @@ from casegraph.llm.wavelet import Wavelet, write_wavelet
 
 END_ID = 1
 SHARD_TOKENS = 4_000_000
+#: Rows of one id from which on it is split, and the characters of text that split it.
+HOT_ID, HEAD = 100_000, 256
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, file binary"
 DOC_SCHEMA = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -77,22 +84,29 @@ def write_token_shards(
 
         # Remembered words hold no cycles; collections would only walk through them again and again.
         gc.disable()
-        for batch in batches:
-            for piece, texts in text_slices(batch, "t"):
-                for doc, text in zip(piece.column("id").to_pylist(), texts, strict=True):
-                    coded = np.frombuffer(own.encode_bytes(text), "<i4")
-                    ids += [coded.astype(np.uint16 if bits <= 16 else np.uint32), end.astype(np.uint16 if bits <= 16 else np.uint32)]
-                    doc_ids.append(doc)
-                    lengths.append(len(coded) + 1)
-                    held += len(coded) + 1
-                    if held >= shard_tokens:
-                        yield close()
-        if doc_ids:
-            yield close()
-        gc.enable()
+        try:
+            for batch in batches:
+                for piece, texts in text_slices(batch, "t"):
+                    for doc, text in zip(piece.column("id").to_pylist(), texts, strict=True):
+                        coded = np.frombuffer(own.encode_bytes(text), "<i4")
+                        ids += [coded.astype(np.uint16 if bits <= 16 else np.uint32), end.astype(np.uint16 if bits <= 16 else np.uint32)]
+                        doc_ids.append(doc)
+                        lengths.append(len(coded) + 1)
+                        held += len(coded) + 1
+                        if held >= shard_tokens:
+                            yield close()
+            if doc_ids:
+                yield close()
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
+    most = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > HOT_ID:
+        split = rows.withColumn("head", F.substring("t", 1, HEAD)).withColumn("place", F.spark_partition_id())
+        ordered = split.repartitionByRange("id", "head", "place").sortWithinPartitions("id", "t").select("id", "t")
+    else:
+        ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
     ordered.mapInArrow(build, SHARD_SCHEMA).write.mode("overwrite").option("compression", "none").parquet(path)
 
 
@@ -121,9 +135,13 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
-    # One row per shard of millions of ids, so a single task can add them up.
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
+    # Sums inside each part, and over the parts, of which there are as many as tasks wrote.
+    def before(column: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("held")).select("part", before("held", Window.orderBy("part")).alias("first"))
+    inside = shards.select("part", "seq", before("n_tokens", Window.partitionBy("part").orderBy("seq")).alias("later"))
+    bases = inside.join(parts, "part").select("part", "seq", (F.col("first") + F.col("later")).alias("base"))
     documents = shards.select("part", "seq", "file").mapInArrow(digest, DOC_SCHEMA)
     return documents.join(bases, ["part", "seq"]).select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
