@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
-from casegraph.functions.text import WHITE, basename, extension, let, posix, splitlines, strip
+from casegraph.functions.text import WHITE, extension, let, posix, splitlines, strip
+from casegraph.scratch import materialize
 
 # Languages by extension.
 LANGUAGES = {
@@ -42,67 +43,77 @@ def inside_root(path: str, root: str) -> str:
     return str(target)
 
 
+#: Directory levels that are listed one after the other before the folders below are dealt to tasks.
+LEVELS = 2
+
+
+def _file_system(path: str):
+    """Arrow's file system for a path or URI, and the place in it."""
+    from pyarrow import fs
+
+    local = re.sub("^file:/+", "/", path)
+    return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
+    """(path, is_folder, length) of what lies in each folder, or anywhere below it."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            system, place = _file_system(folder)
+            head = folder[: len(folder) - len(place)] if folder.endswith(place) else ""
+            found = [i for i in system.get_file_info(fs.FileSelector(place, recursive=deep, allow_not_found=True)) if i.type != fs.FileType.NotFound]
+            for start in range(0, len(found), 10_000):
+                some = found[start : start + 10_000]
+                columns = [[head + i.path for i in some], [i.type == fs.FileType.Directory for i in some], [int(i.size or 0) for i in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.int64())], names=["path", "is_folder", "length"])
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, path, length) of every file below ``root``, hidden ones included.
+    """(rel_path, path, length) of every file below ``root``, hidden ones included; the driver holds none of them.
 
-    Spark's file source leaves out names that start with ``.`` or ``_``, so the tree is listed with
-    the Hadoop file system API, one directory level per job: a level's directories are dealt to
-    tasks only through the listing itself, contents are never read here.
+    Spark's file source leaves out names that start with ``.`` or ``_``, so tasks list folders with Arrow's file systems:
+    the first ``LEVELS`` levels folder by folder, then all that lies below each folder that is left. Folders that are
+    never read are not entered in these levels.
     """
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(hadoop)
-    base = fs.makeQualified(top).toString().rstrip("/") + "/"
-    found, rows = fs.listFiles(top, True), []
-    while found.hasNext():
-        status = found.next()
-        path = status.getPath().toString()
-        rows.append((path.removeprefix(base), path, status.getLen()))
-    return spark.createDataFrame(rows, "rel_path string, path string, length long")
+    top = root if re.match("^[a-z0-9+]+:/", root) else str(Path(root).resolve())
+    base = top.rstrip("/") + "/"
+    schema = "path string, is_folder boolean, length long"
+    folders, files = spark.createDataFrame([(top,)], "path string"), None
+    for _ in range(LEVELS):
+        found = materialize(folders.mapInArrow(lambda b: _list_folders(b, False), schema), "listing")
+        shown = found.filter(~F.substring_index("path", "/", -1).isin(*IGNORED_PARTS))
+        own = found.filter("not is_folder")
+        files = own if files is None else files.unionByName(own)
+        folders = shown.filter("is_folder").select("path").repartition("path")
+    below = folders.mapInArrow(lambda b: _list_folders(b, True), schema).filter("not is_folder")
+    whole = files.unionByName(below)
+    return whole.select(F.substring("path", len(base) + 1, 1 << 30).alias("rel_path"), "path", "length")
 
 
 def read_contents(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, content) for files that the size and folder rules keep.
 
-    Names and sizes are filtered before a byte is read; contents are read by tasks. Spark's source
-    skips names that start with ``_`` or ``.`` even when they are asked for, so tasks open those
-    (``__init__.py``, ``.env``) through Arrow's file systems.
+    Names and sizes are filtered before a byte is read; the files are dealt evenly to tasks, which open them one by one.
     """
     kept = listing(spark, root).filter(
         ~F.arrays_overlap(F.split("rel_path", "/"), F.array(*[F.lit(p) for p in IGNORED_PARTS]))
         & (F.col("length") <= S.MAX_FILE_BYTES)
     )
-    hidden = basename(F.col("rel_path")).rlike("^[_.]")
-    odd = kept.filter(hidden).select("rel_path", "path").mapInArrow(_open_files, "rel_path string, content binary")
-    shown = kept.filter(~hidden).select("rel_path", "path")
-    names = [r.path for r in shown.toLocalIterator()]
-    if not names:
-        return odd
-    # A name is read as a glob pattern: escape it.
-    raw = spark.read.format("binaryFile").load([_escape(n) for n in names]).select(F.col("path").alias("p"), "content")
-    return raw.join(shown, _bare(F.col("p")) == _bare(F.col("path"))).select("rel_path", "content").unionByName(odd)
+    dealt = materialize(kept.select("rel_path", "path"), "listing").repartition("rel_path")
+    return dealt.mapInArrow(_open_files, "rel_path string, content binary")
 
 
 def _open_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
     for batch in batches:
         for name, path in zip(batch.column("rel_path").to_pylist(), batch.column("path").to_pylist(), strict=True):
-            local = re.sub("^file:/+", "/", path)
-            system, place = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+            system, place = _file_system(path)
             with system.open_input_stream(place) as stream:
                 content = stream.read()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["rel_path", "content"])
 
 
-def _escape(path: str) -> str:
-    return "".join(f"\\{c}" if c in "*?[]{}" else c for c in path)
-
-
-def _bare(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "/")
-
-
 def describe_files(contents: DataFrame) -> DataFrame:
     """Rows (rel_path, content binary) as file records; binaries, huge and minified files are dropped.
 

@@ -5,11 +5,15 @@ The engine doesn't run tools; their output is landed and read. Broken documents
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.functions.text import LINE_END, strip
 from casegraph.operators.classify import rule_class, tool_severity
+from casegraph.sources.files import hydrate_snippet
 
 ENDPOINT_JSON = (
     "endpoints array<struct<method:string,url:string,details:struct<file:string,line:int>,"
@@ -39,8 +43,11 @@ def read_endpoints(raw: DataFrame, column: str = "raw") -> DataFrame:
     )
 
 
-def read_findings(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Static-analysis JSON -> rows of candidate sinks; a list of CWEs gives its first."""
+def read_findings(raw: DataFrame, column: str = "raw", files: DataFrame | None = None) -> DataFrame:
+    """Static-analysis JSON -> rows of candidate sinks; a list of CWEs gives its first.
+
+    With ``files`` (rel_path, text) an expression that the tool withheld is the line of the file.
+    """
     parsed = raw.select(F.from_json(column, RESULT_JSON).alias("d")).select(F.explode("d.results").alias("r"))
     rule = F.coalesce("r.check_id", F.lit("unknown-rule"))
     message = F.coalesce("r.extra.message", F.lit(""))
@@ -48,7 +55,7 @@ def read_findings(raw: DataFrame, column: str = "raw") -> DataFrame:
     cwe = F.col("r.extra.metadata.cwe")
     first = F.when(F.startswith(cwe, F.lit("[")), F.get(F.from_json(cwe, "array<string>"), F.lit(0))).otherwise(cwe)
     lines = strip(F.coalesce("r.extra.lines", F.lit("")))
-    return parsed.select(
+    found = parsed.select(
         F.coalesce("r.path", F.lit("")).alias("rel_path"),
         rule_class(rule, message).alias("vuln_class"),
         tool_severity(F.coalesce("r.extra.severity", F.lit("ERROR"))).alias("triage_severity"),
@@ -57,7 +64,15 @@ def read_findings(raw: DataFrame, column: str = "raw") -> DataFrame:
         F.when(lines != "", lines).otherwise(message).alias("sink_expression"),
         rule.alias("raw_rule_id"),
         F.lit("Semgrep").alias("tool_provenance"),
+        ((lines == "") | (F.lower(lines) == "requires login")).alias("_withheld"),
     )
+    if files is None:
+        return found.drop("_withheld")
+    # Only files with a withheld line are read.
+    texts = files.select("rel_path", F.col("text").alias("_text")).join(found.filter("_withheld").select("rel_path").distinct(), "rel_path", "left_semi")
+    joined = found.join(texts, "rel_path", "left")
+    hydrated = F.coalesce(hydrate_snippet(F.lit(None).cast("string"), F.col("_text"), F.col("line_number")), "sink_expression")
+    return joined.withColumn("sink_expression", F.when(F.col("_withheld"), hydrated).otherwise(F.col("sink_expression"))).drop("_withheld", "_text")
 
 
 def read_secrets(raw: DataFrame, column: str = "raw") -> DataFrame:
@@ -74,10 +89,33 @@ def read_secrets(raw: DataFrame, column: str = "raw") -> DataFrame:
     )
 
 
-def available_tools(found: dict[str, DataFrame | None]) -> DataFrame | None:
-    """The union of the outputs that are there; a missing tool is no failure."""
-    out = None
-    for df in found.values():
-        if df is not None:
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+@dataclass(frozen=True)
+class Adapter:
+    """A tool whose output can be read: its name, what its rows are, and the reader of its raw output."""
+
+    name: str
+    kind: str
+    read: Callable[[DataFrame], DataFrame]
+
+
+# The tools that are known from the start.
+ADAPTERS: dict[str, Adapter] = {
+    a.name: a
+    for a in (Adapter("noir", "endpoints", read_endpoints), Adapter("semgrep", "findings", read_findings), Adapter("trufflehog", "secrets", read_secrets))
+}
+
+
+def register_adapter(adapter: Adapter) -> None:
+    """Read another tool's output, or a known one's in another way."""
+    ADAPTERS[adapter.name] = adapter
+
+
+def read_tools(outputs: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
+    """Rows by kind (endpoints, findings, secrets) from raw outputs by tool; a tool without output or adapter is no failure."""
+    found: dict[str, DataFrame] = {}
+    for name, raw in outputs.items():
+        adapter = ADAPTERS.get(name)
+        if adapter is not None and raw is not None:
+            rows = adapter.read(raw)
+            found[adapter.kind] = found[adapter.kind].unionByName(rows, allowMissingColumns=True) if adapter.kind in found else rows
+    return found
