@@ -1,13 +1,15 @@
 """Code index: symbols, imports and calls per file, and calls linked to symbols of the same file.
 
 Parsing is the one thing here that needs Python on the executors: the standard
-parser for Python files, and a brace-and-token scanner for script languages. A
-file that cannot be parsed gives no rows and stops nothing.
+parser for Python files, a brace-and-token scanner for script languages, and one
+by small grammars for Go, Java, PHP and Ruby. A file that cannot be parsed gives
+no rows and stops nothing.
 """
 
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -33,11 +35,14 @@ class Index:
 
 class _PythonVisitor(ast.NodeVisitor):
     def __init__(self, source: str):
-        self.lines, self.out, self.scope, self.in_class = source.splitlines(), Index(), ["global"], [False]
+        # The parser ends lines at these only.
+        self.lines, self.out, self.scope, self.in_class = re.split("\r\n|[\n\r]", source), Index(), ["global"], [False]
 
     def _define(self, node: ast.AST, kind: str, limit: int) -> None:
-        text = ast.get_source_segment("\n".join(self.lines), node) or ""
-        signature = text.split("\n", 1)[0][:limit]
+        # Columns count bytes; the signature is what the definition's first line holds of it.
+        line = self.lines[node.lineno - 1].encode()
+        end = node.end_col_offset if node.end_lineno == node.lineno else len(line)
+        signature = line[node.col_offset : end].decode(errors="replace")[:limit]
         self.out.symbols.append((node.name, kind, node.lineno, node.col_offset, node.end_lineno, node.end_col_offset, signature, ".".join(self.scope)))
         self.scope.append(node.name)
         self.in_class.append(kind == "CLASS")
@@ -80,6 +85,7 @@ _SCRIPT = re.compile(
     r"|(?P<open>\{)|(?P<close>\})",
     re.DOTALL,
 )
+_MODULE = re.compile(r"\s*['\"]([^'\"]+)['\"]")
 _NOT_CALLS = frozenset("if for while switch catch return function typeof new await super constructor".split())
 
 
@@ -128,10 +134,10 @@ def index_script(source: str) -> Index:
                 define(name, "METHOD", hit.start(), hit.start("method_open"), FUNCTION_SIGNATURE)
                 in_class.append(False)
                 continue
-            at = hit.end("call") + source[hit.end("call") :].index("(") + 1
+            at = source.index("(", hit.end("call")) + 1
             if name not in _NOT_CALLS:
                 out.calls.append((name, *where(hit.start()), ".".join(scopes)))
-                if name == "require" and (module := re.match(r"\s*['\"]([^'\"]+)['\"]", source[at:])):
+                if name == "require" and (module := _MODULE.match(source, at)):
                     out.imports.append((module[1], module[1], None, where(hit.start())[0]))
         elif hit["open"]:
             open_symbols.append((-1, ""))
@@ -147,7 +153,92 @@ def index_script(source: str) -> Index:
     return out
 
 
-PARSERS: dict[str, Callable[[str], Index]] = {"python": index_python, "javascript": index_script, "typescript": index_script}
+@dataclass(frozen=True)
+class Grammar:
+    """What a scanner of one language knows: patterns of what is skipped and of what defines a symbol, and whether calls count."""
+
+    skip: str
+    functions: str = r"(?!)"
+    classes: str = r"(?!)"
+    calls: bool = True
+    not_calls: frozenset[str] = frozenset()
+    #: Signs that open and close a body.
+    body: tuple[str, str] = (r"\{", r"\}")
+
+
+_NAME, _C_COMMENTS = r"[A-Za-z_$][\w$]*", r"//[^\n]*|/\*.*?\*/"
+_QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+#: Go has functions and calls, Java classes, PHP functions and classes, Ruby calls: what an index of these languages holds.
+GRAMMARS = {
+    "go": Grammar(
+        f"{_C_COMMENTS}|{_QUOTED}|`[^`]*`", functions=rf"\bfunc\s+(?P<fn>{_NAME})\s*(?:\[[^\]]*\])?\s*\(",
+        not_calls=frozenset("func if for switch select return go defer range type var const import".split()),
+    ),
+    "java": Grammar(rf"{_C_COMMENTS}|\"\"\".*?\"\"\"|{_QUOTED}", classes=rf"\bclass\s+(?P<cls>{_NAME})", calls=False),
+    "php": Grammar(
+        rf"{_C_COMMENTS}|#(?!\[)[^\n]*|{_QUOTED}", functions=rf"\bfunction\s+&?\s*(?P<fn>{_NAME})\s*\(", classes=rf"\bclass\s+(?P<cls>{_NAME})", calls=False,
+    ),
+    "ruby": Grammar(
+        rf"\#[^\n]*|^=begin\b.*?^=end\b|{_QUOTED}", body=(r"(?!)", r"(?!)"),
+        not_calls=frozenset("if unless while until elsif return and or not def class module puts yield super when case".split()) - {"puts"},
+    ),
+}
+
+
+def index_by_grammar(source: str, grammar: Grammar) -> Index:
+    """A scanner that follows braces, by a language's grammar: top-level functions, classes, calls and their scopes."""
+    out, scopes, bodies, waiting = Index(), ["global"], [], None
+    starts = [0] + [m.end() for m in re.finditer("\n", source)]
+    opened, closed = grammar.body
+    call = rf"(?P<call>{_NAME}[!?]?(?:\s*(?:\.|&\.|::)\s*{_NAME}[!?]?)*)\s*\(" if grammar.calls else r"(?P<call>(?!))"
+    token = re.compile(rf"(?P<skip>{grammar.skip})|{grammar.classes}|{grammar.functions}|{call}|(?P<open>{opened})|(?P<close>{closed})", re.DOTALL | re.MULTILINE)
+    groups = token.groupindex
+
+    def where(offset: int) -> tuple[int, int]:
+        line = bisect.bisect_right(starts, offset)
+        return line, offset - starts[line - 1]
+
+    at = 0
+    while (hit := token.search(source, at)) is not None:
+        at = max(hit.end(), at + 1)
+        name = next((hit[g] for g in ("cls", "fn") if g in groups and hit[g]), None)
+        if hit["skip"]:
+            continue
+        if name:
+            kind = "CLASS" if "cls" in groups and hit["cls"] else "FUNCTION"
+            # PHP's methods aren't functions; what stands in a class body is left to its class.
+            if kind == "FUNCTION" and any(b is not None and out.symbols[b][1] == "CLASS" for b in bodies):
+                waiting = None
+                continue
+            line, col = where(hit.start())
+            limit = CLASS_SIGNATURE if kind == "CLASS" else FUNCTION_SIGNATURE
+            out.symbols.append((name, kind, line, col, line, col, source[hit.start() : hit.start() + limit].strip(), ".".join(scopes)))
+            waiting = len(out.symbols) - 1
+        elif hit["call"]:
+            called = re.sub(r"\s+", "", hit["call"])
+            if called not in grammar.not_calls:
+                out.calls.append((called, *where(hit.start()), ".".join(scopes)))
+        elif hit["open"]:
+            bodies.append(waiting)
+            if waiting is not None:
+                scopes.append(out.symbols[waiting][0])
+            waiting = None
+        elif bodies:
+            number = bodies.pop()
+            if number is not None:
+                scopes.pop()
+                end_line, end_col = where(hit.end() - 1)
+                out.symbols[number] = (*out.symbols[number][:4], end_line, end_col + 1, *out.symbols[number][6:])
+    return out
+
+
+def _by_grammar(grammar: Grammar) -> Callable[[str], Index]:
+    return lambda source: index_by_grammar(source, grammar)
+
+
+PARSERS: dict[str, Callable[[str], Index]] = {
+    "python": index_python, "javascript": index_script, "typescript": index_script, **{name: _by_grammar(g) for name, g in GRAMMARS.items()},
+}
 
 
 def index_source(source: str | None, language: str | None) -> Index:
