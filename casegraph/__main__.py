@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
 
-def locate_store(target: str) -> Path:
-    """The store of a target: the folder itself, or its .audit, or the one in the working folder."""
-    for folder in (Path(target), Path(target, ".audit"), Path(".audit")):
-        if (folder / "scans").is_dir():
+def locate_store(spark, target: str) -> str:
+    """The store of a target, on any file system: the folder itself, or its .audit, or the one in the working folder."""
+    for folder in (target.rstrip("/"), target.rstrip("/") + "/.audit", ".audit"):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/scans")
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
             return folder
     raise SystemExit(f"no store found for {target}")
 
 
+def session(master: str | None):
+    """The session that spark-submit has set up, or one on the given master, or on this machine's cores."""
+    from casegraph.session import build_session
+
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
+    if master is None:
+        return build_session("casegraph", None if submitted else "*")
+    return build_session("casegraph", None, **{"spark.master": master})
+
+
 def last_scan(store) -> str:
     from pyspark.sql import functions as F
 
@@ -36,19 +48,26 @@ def main(arguments: list[str] | None = None) -> int:
         if name == "report":
             command.add_argument("--format", choices=("md", "sarif", "graph"), default="md")
             command.add_argument("--output")
+            command.add_argument("--scope", choices=("repository", "symbol", "endpoint", "path", "finding"), default="repository")
+            command.add_argument("--key", help="the symbol, route, path or finding of the scope")
+        if name == "diff":
+            command.add_argument("--tracked", help="a file of names that version control finds changed against the base")
+            command.add_argument("--untracked", help="a file of names that version control doesn't know")
+            command.add_argument("--everything", action="store_true", help="take every file as changed")
+        command.add_argument("--master", help="where to run; what spark-submit says, or this machine, if missing")
     given = parser.parse_args(arguments)
 
     from casegraph.operators.store import Store
     from casegraph.plans import diff as diffs
     from casegraph.plans import scan as scans
-    from casegraph.session import build_session
 
-    spark = build_session("casegraph", "*")
-    audit = given.audit or (f"{given.target}/.audit" if given.command in ("scan", "diff") else str(locate_store(given.target)))
+    spark = session(given.master)
+    audit = given.audit or (f"{given.target}/.audit" if given.command in ("scan", "diff") else locate_store(spark, given.target))
     if given.command == "scan":
         print(scans.scan(spark, given.target, audit))
     elif given.command == "diff":
-        plan = diffs.diff(spark, given.target, audit, lockfile=scans.lockfile_of(spark, given.target))
+        feed = {side: spark.read.text(path).toDF("rel_path") for side in ("tracked", "untracked") if (path := getattr(given, side))}
+        plan = diffs.diff(spark, given.target, audit, lockfile=scans.lockfile_of(spark, given.target), everything=given.everything, **feed)
         changed = plan.paths.filter("status <> 'UNAFFECTED'").count()
         print(f"changed files: {changed}, reusable dossiers: {plan.reusable.count()}")
     else:
@@ -56,11 +75,13 @@ def main(arguments: list[str] | None = None) -> int:
         if given.command == "resume":
             print(f"resolved paths: {scans.resume(spark, audit, scan_id)}")
         else:
-            text = diffs.report(spark, audit, scan_id, given.format)
+            pieces = diffs.report_pieces(spark, audit, scan_id, given.format, given.scope, given.key)
             if given.output:
-                Path(given.output).write_text(text, encoding="utf-8")
+                with Path(given.output).open("w", encoding="utf-8") as out:
+                    out.writelines(pieces)
             else:
-                print(text)
+                sys.stdout.writelines(pieces)
+                print()
     return 0
 
 

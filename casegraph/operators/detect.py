@@ -74,7 +74,7 @@ def detect(lines: DataFrame, patterns: tuple[Pattern, ...], text_col: str = "tex
         return lambda m, j: F.struct(
             F.lit(p.family).alias("family"), F.lit(p.name).alias("name"), F.lit(p.severity).cast("string").alias("severity"),
             F.lit(p.cwe).cast("string").alias("cwe"), F.lit(p.context).cast("string").alias("context"), m.alias("expression"),
-            (F.lit(place) * 100_000 + j).cast("long").alias("ord"),
+            (F.lit(place << 40) + j).cast("long").alias("ord"),
         )
 
     matches = [F.regexp_extract_all(F.col(text_col), F.lit(p.regex), F.lit(0)) for p in patterns]
@@ -115,12 +115,12 @@ def veto_sinks(matches: DataFrame, path_col: str = "rel_path") -> DataFrame:
 
 
 # The patterns of the authorization analysis.
-OBJECT_KEY = r"(?i)\breq\.(?:params|query|body)\.(?:[a-zA-Z0-9_$]*id|id)\b"
+OBJECT_KEY = rf"(?i){START}req\.(?:params|query|body)\.(?:[a-zA-Z0-9_$]*id|id){END}"
 ROLE_GUARD = r"(?i)if\s*\([^)]*(?:req\.user\.(?:role|roles)|is_admin|isAdmin|hasRole|hasPermission)[^)]*\)"
-SCOPED_QUERY = r"(?is)\b([A-Z][a-zA-Z0-9_]*)\.(?:findOne|find|findAll|filter)\s*\(.*?\b(?:userId|ownerid|tenantid)\b"
-TENANT = r"(?i)\b(?:tenantid|tenant_id)\b"
+SCOPED_QUERY = rf"(?is){START}([A-Z][a-zA-Z0-9_]*)\.(?:findOne|find|findAll|filter)\s*\(.*?{START}(?:userId|ownerid|tenantid){END}"
+TENANT = rf"(?i){START}(?:tenantid|tenant_id){END}"
 OWNER_GUARD = r"(?i)if\s*\([^)]*(?:userId|ownerid|tenantid)[^)]*!==?[^)]*req\.user\.id[^)]*\)"
-LOOKUP = r"(?i)\b([A-Z][a-zA-Z0-9_]*)\.(?:findByPk|findById|findOne|find|get)\s*\("
+LOOKUP = rf"(?i){START}([A-Z][a-zA-Z0-9_]*)\.(?:findByPk|findById|findOne|find|get)\s*\("
 ROUTE_IDS = (":id", ":basketId", ":orderId")
 NOT_MODELS = ("app", "router", "express", "req", "request", "res", "response")
 

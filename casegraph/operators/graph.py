@@ -10,11 +10,13 @@ Two ways to reach:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
-from casegraph.scratch import materialize, release
+from casegraph.scratch import materialize
 
 
 def graph_nodes(symbols: DataFrame, endpoints: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -71,8 +73,13 @@ def collapse_edges(edges: DataFrame) -> DataFrame:
 
 
 def _numbered(edges: DataFrame) -> DataFrame:
-    """Edges with their place among their source's edges."""
-    return edges.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("ord")).cast("int"))
+    """Edges with ``place``, which sorts a source's edges as ``ord`` does.
+
+    The order is taken over all edges by a range sort, so a hub's edges needn't meet in one task: a place is the number
+    of the sorted part and the number inside it.
+    """
+    ordered = edges.repartitionByRange("src", "ord").sortWithinPartitions("src", "ord")
+    return ordered.withColumn("place", F.monotonically_increasing_id())
 
 
 def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
@@ -88,7 +95,7 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS)
     wanted = pairs.join(known, pairs["source"] == known["n"], "left_semi").join(known, pairs["target"] == known["n"], "left_semi").distinct()
     front = wanted.select(
         "source", "target", F.col("source").alias("at"), F.array("source").alias("nodes"), F.lit(0).alias("hops"),
-        F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("edge_types"), F.array().cast("array<int>").alias("ord"),
+        F.lit(1.0).alias("confidence"), F.array().cast("array<string>").alias("edge_types"), F.array().cast("array<long>").alias("ord"),
     )
     front = materialize(front, "paths-0")
     found = front.filter("source = target").drop("at")
@@ -108,6 +115,23 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS)
     return found
 
 
+def prune(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``edges`` that lie on some walk from a source to a target of ``pairs``: the others lead a search astray."""
+    def reach(step: DataFrame, starts: DataFrame) -> DataFrame:
+        known = materialize(starts.distinct(), "prune")
+        front = known
+        while not front.isEmpty():
+            moved = front.join(step, front["n"] == step["x"]).select(F.col("y").alias("n")).distinct()
+            front = materialize(moved.join(known, "n", "left_anti"), "prune")
+            known = known.union(front)
+        return known.distinct()
+
+    forward = reach(edges.select(F.col("src").alias("x"), F.col("dst").alias("y")), pairs.select(F.col("source").alias("n")))
+    backward = reach(edges.select(F.col("dst").alias("x"), F.col("src").alias("y")), pairs.select(F.col("target").alias("n")))
+    some = edges.join(forward.withColumnRenamed("n", "src"), "src", "left_semi")
+    return some.join(backward.withColumnRenamed("n", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
 def paths_to_targets(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
     """``simple_paths`` from all of ``sources.source`` to all of ``targets.target`` in one search.
 
@@ -116,10 +140,11 @@ def paths_to_targets(edges: DataFrame, sources: DataFrame, targets: DataFrame, m
     """
     ends = targets.select(F.col("target").alias("dst")).distinct().withColumn("end", F.lit(True))
     step = _numbered(edges).select("src", "dst", "place", F.col("confidence").alias("c"), F.coalesce("edge_type", F.lit("")).alias("t"))
+    step = materialize(step, "graph-numbers")
     step = materialize(step.join(ends, "dst", "left").withColumn("end", F.coalesce("end", F.lit(False))), "graph-edges")
     front = sources.select("source").distinct().select(
         "source", F.col("source").alias("at"), F.array("source").alias("nodes"), F.lit(0).alias("hops"), F.lit(1.0).alias("confidence"),
-        F.array().cast("array<string>").alias("edge_types"), F.array().cast("array<int>").alias("ord"), F.lit(False).alias("end"),
+        F.array().cast("array<string>").alias("edge_types"), F.array().cast("array<long>").alias("ord"), F.lit(False).alias("end"),
     )
     front = materialize(front, "reach-0")
     found = front.filter("end").drop("end")
@@ -165,29 +190,21 @@ def best_reach(edges: DataFrame, sources: DataFrame, max_hops: int = S.MAX_HOPS)
     Relaxation rounds over (source, node) pairs; a pair goes on only if a round has improved it.
     """
     step = materialize(edges.groupBy("src", "dst").agg(F.max("confidence").alias("c")), "reach-edges")
-    state = materialize(
+    changed = materialize(
         sources.select(F.col("source"), F.col("source").alias("node"), F.lit(1.0).alias("confidence"), F.lit(0).alias("hops")).distinct(), "reach"
     )
-    changed = state
+    rounds = changed
     for hop in range(1, max_hops + 1):
-        moved = changed.join(step, F.col("node") == F.col("src")).select(
-            "source", F.col("dst").alias("node"), F.least("confidence", "c").alias("confidence"), F.lit(hop).alias("hops")
-        )
-        reached = moved.groupBy("source", "node").agg(F.max("confidence").alias("c2"), F.min("hops").alias("h2"))
-        both = state.join(reached, ["source", "node"], "full").select(
-            "source", "node",
-            F.greatest("confidence", "c2").alias("confidence"),
-            F.least("hops", "h2").alias("hops"),
-            (F.col("c2").isNotNull() & (F.col("confidence").isNull() | (F.col("c2") > F.col("confidence")))).alias("better"),
-        )
-        following = materialize(both, "reach")
-        release(state)
-        state = following.drop("better")
-        changed = following.filter("better").drop("better")
-        state._casegraph_path = following._casegraph_path
+        moved = changed.join(step, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), F.least("confidence", "c").alias("confidence"))
+        reached = moved.groupBy("source", "node").agg(F.max("confidence").alias("confidence"))
+        before = rounds.groupBy("source", "node").agg(F.max("confidence").alias("_c"))
+        better = reached.join(before, ["source", "node"], "left").filter(F.col("_c").isNull() | (F.col("confidence") > F.col("_c")))
+        # Only what a round has improved is written; the best of all rounds is taken at the end.
+        changed = materialize(better.select("source", "node", "confidence", F.lit(hop).alias("hops")), "reach")
         if changed.isEmpty():
             break
-    return state
+        rounds = rounds.unionByName(changed)
+    return rounds.groupBy("source", "node").agg(F.max("confidence").alias("confidence"), F.min("hops").alias("hops"))
 
 
 def subgraph_nodes(nodes: DataFrame, symbol: str | None = None) -> DataFrame:
@@ -212,3 +229,18 @@ def trace_nodes(dossiers: DataFrame, dossier_id: str) -> DataFrame:
         F.concat(F.lit("trace_"), (F.col("k") + 1).cast("string")).alias("id"), F.lit("TRACE_NODE").alias("node_kind"),
         F.coalesce("s.file", F.lit("")).alias("file"), F.coalesce("s.line", F.lit(1)).alias("line"), F.col("title").alias("finding_title"),
     )
+
+
+def graph_scope(read: Callable[[str], DataFrame], scope: str, key: str | None = None) -> DataFrame:
+    """Nodes of one of five scopes; ``read`` gives the data model's tables, ``key`` names the symbol, route, path or finding."""
+    if scope == "finding":
+        return trace_nodes(read("scan_dossiers"), key)
+    if scope == "path":
+        return path_step_nodes(read("scan_candidate_paths"), key)
+    nodes = graph_nodes(read("symbols"), read("endpoints"), read("candidate_sinks"))
+    if scope == "endpoint":
+        columns = ("id", "node_kind", "method", "route", "file_id", "line")
+        return endpoint_nodes(nodes, key).select(*columns)
+    if scope not in ("repository", "symbol"):
+        raise ValueError(f"unknown scope {scope}")
+    return subgraph_nodes(nodes, key if scope == "symbol" else None)

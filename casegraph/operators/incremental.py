@@ -23,6 +23,11 @@ def change_feed(tracked: DataFrame, untracked: DataFrame) -> DataFrame:
     return both.select(F.replace("rel_path", F.lit("\\"), F.lit("/")).alias("rel_path")).filter("rel_path <> ''").distinct()
 
 
+def all_changed(present: DataFrame) -> DataFrame:
+    """(rel_path) of everything that is there: what a change feed is where nothing is known of changes."""
+    return present.select("rel_path").filter(~F.array_contains(F.split("rel_path", "/"), ".audit")).distinct()
+
+
 def reusable_dossiers(dossiers: DataFrame, paths: DataFrame, sinks: DataFrame, files: DataFrame, changed: DataFrame, fingerprint: str) -> DataFrame:
     """(dossier_id, rel_path) of results of this engine whose sink lies in an unchanged file."""
     own = dossiers.filter(F.col("engine_fingerprint") == fingerprint).select("dossier_id", "path_id")

@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casegraph import schemas as S
 from casegraph.functions.scoring import sarif_level
 from casegraph.functions.text import strip, title_case
 
@@ -22,6 +23,23 @@ TOOL_NAME = "casegraph"
 TOOL_VERSION = "0.1.0"
 
 
+SARIF_HEAD = f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":'
+SARIF_BETWEEN, SARIF_END = '},"results":[', "]}]}"
+# The headings of the Markdown report.
+MARKDOWN_BETWEEN = "\n---\n\n## Detailed Vulnerability Theories & Reproductions\n"
+
+
+def _sarif_rule() -> Column:
+    return F.struct("id", "name", F.struct(F.col("text")).alias("shortDescription"), F.struct(F.col("level")).alias("defaultConfiguration"))
+
+
+def _markdown_head(scan: Column, findings: Column) -> Column:
+    return F.concat(
+        F.lit("# Security Review Research Dossier\n**Scan ID:** `"), scan, F.lit("`\n**Total Findings:** "), findings,
+        F.lit("\n\n## Executive Summary\n\n| Finding ID | Title | Vuln Class | Severity | Verdict | Confidence |\n|---|---|---|---|---|---|\n"),
+    )
+
+
 def rule_id(dossiers_cwe: Column, vuln_class: Column) -> Column:
     filled = F.when(dossiers_cwe != "", dossiers_cwe)
     return F.coalesce(filled, vuln_class, F.lit("SEC-VULN"))
@@ -74,18 +92,12 @@ def sarif_document(dossiers: DataFrame, order: str = "ord", by: tuple[str, ...]
         pairs = F.array_sort(F.collect_list(F.struct(F.col("ord"), value.alias("v"))))
         return df.groupBy(*by).agg(F.transform(pairs, lambda p: p["v"]).alias("items"))
 
-    rule = F.struct(
-        "id", "name", F.struct(F.col("text")).alias("shortDescription"), F.struct(F.col("level")).alias("defaultConfiguration")
-    )
-    rules = listed(sarif_rules(dossiers, order, by), rule).withColumnRenamed("items", "rules")
+    rules = listed(sarif_rules(dossiers, order, by), _sarif_rule()).withColumnRenamed("items", "rules")
     # Results hold optional parts, which don't compare: they are sorted as JSON text, by their place.
     results = sarif_results(dossiers, order, by).select("ord", F.to_json("result").alias("r"), *by)
     results = listed(results, F.col("r")).withColumnRenamed("items", "results")
     driver = F.to_json(F.struct(F.lit(TOOL_NAME).alias("name"), F.lit(TOOL_VERSION).alias("semanticVersion"), F.col("rules")))
-    text = F.concat(
-        F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":'), driver,
-        F.lit('},"results":['), F.array_join("results", ","), F.lit("]}]}"),
-    )
+    text = F.concat(F.lit(SARIF_HEAD), driver, F.lit(SARIF_BETWEEN), F.array_join("results", ","), F.lit(SARIF_END))
     if not by:
         return rules.crossJoin(results).select(text.alias("document"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
@@ -120,15 +132,71 @@ def markdown_document(dossiers: DataFrame, scan_id: str | None = None, order: st
     rows = markdown_rows(dossiers.withColumn("_o", F.col(order)), ("_o", *own))
     whole = rows.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("_o", "summary", "title", "section"))).alias("f"))
     scan = F.lit(scan_id or "N/A") if by is None else F.coalesce(F.col(by).cast("string"), F.lit("N/A"))
-    head = F.concat(
-        F.lit("# Security Review Research Dossier\n**Scan ID:** `"), scan, F.lit("`\n**Total Findings:** "), F.size("f").cast("string"),
-        F.lit("\n\n## Executive Summary\n\n| Finding ID | Title | Vuln Class | Severity | Verdict | Confidence |\n|---|---|---|---|---|---|\n"),
-    )
+    head = _markdown_head(scan, F.size("f").cast("string"))
     table = F.array_join(F.transform("f", lambda x: F.concat(x["summary"], F.lit("\n"))), "")
     sections = F.array_join(
         F.transform("f", lambda x, i: F.concat(F.lit("\n### "), (i + 1).cast("string"), F.lit(". "), x["title"], F.lit("\n"), x["section"])), ""
     )
-    return whole.select(*own, F.concat(head, table, F.lit("\n---\n\n## Detailed Vulnerability Theories & Reproductions\n"), sections).alias("document"))
+    return whole.select(*own, F.concat(head, table, F.lit(MARKDOWN_BETWEEN), sections).alias("document"))
+
+
+def dossier_records(
+    rows: DataFrame, scan_id: str, fingerprint: str, beside: tuple[str, ...] = (),
+) -> DataFrame:
+    """Verdicts with their findings as rows of ``scan_dossiers``, and the columns ``beside``.
+
+    Severities are upper case; a missing id is a hash of the finding's fingerprint; a missing weakness number is unknown.
+    """
+    given = {c.lower() for c in rows.columns}
+    own = F.concat(F.lit("dos_"), F.substring(F.sha2(F.concat_ws("|", F.lit(scan_id), "finding_fingerprint"), 256), 1, 12))
+    fixed = {
+        "dossier_id": F.coalesce("dossier_id", own) if "dossier_id" in given else own,
+        "scan_id": F.lit(scan_id), "engine_fingerprint": F.lit(fingerprint), "severity": F.upper("severity"),
+        "cwe_id": F.coalesce("cwe_id", F.lit("CWE-Unknown")), "created_at": F.current_timestamp(),
+    }
+    columns = [(fixed.get(f.name, F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType)).alias(f.name) for f in S.TABLES["scan_dossiers"].schema.fields]
+    defaults = S.TABLES["scan_dossiers"].defaults
+    shaped = rows.select(*columns, *beside)
+    return shaped.withColumns({c: F.coalesce(c, F.lit(v).cast(shaped.schema[c].dataType)) for c, v in defaults.items()})
+
+
+def markdown_lines(dossiers: DataFrame, scan_id: str | None = None, order: str = "ord") -> DataFrame:
+    """(part, ord, text): ``markdown_document`` in pieces, to be put together in this order; no task holds the document."""
+    rows = markdown_rows(dossiers.withColumn("_o", F.col(order).cast("long")), ("_o",))
+    head = dossiers.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), _markdown_head(F.lit(scan_id or "N/A"), F.col("n").cast("string")).alias("text")
+    )
+    table = rows.select(F.lit(1).alias("part"), F.col("_o").alias("ord"), F.concat("summary", F.lit("\n")).alias("text"))
+    between = head.select(F.lit(2).alias("part"), "ord", F.lit(MARKDOWN_BETWEEN).alias("text"))
+    numbered = F.concat(F.lit("\n### "), F.col("_o").cast("string"), F.lit(". "), F.col("title"), F.lit("\n"), F.col("section"))
+    return head.unionByName(table).unionByName(between).unionByName(rows.select(F.lit(3).alias("part"), F.col("_o").alias("ord"), numbered.alias("text")))
+
+
+def sarif_lines(dossiers: DataFrame, order: str = "ord") -> DataFrame:
+    """(part, ord, text): ``sarif_document`` in pieces, to be put together in this order."""
+    def listed(df: DataFrame, part: int, text: Column) -> DataFrame:
+        first = df.agg(F.min("ord").alias("least"))
+        comma = F.when(F.col("ord") > F.col("least"), ",").otherwise("")
+        # The least place is one row.
+        return df.crossJoin(F.broadcast(first)).select(F.lit(part).alias("part"), F.col("ord").cast("long").alias("ord"), F.concat(comma, text).alias("text"))
+
+    def fixed(part: int, text: str) -> DataFrame:
+        return dossiers.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit(text).alias("text"))
+
+    rules = listed(sarif_rules(dossiers, order), 1, F.to_json(_sarif_rule()))
+    results = listed(sarif_results(dossiers, order), 3, F.to_json("result"))
+    return fixed(0, SARIF_HEAD + f'{{"name":"{TOOL_NAME}","semanticVersion":"{TOOL_VERSION}","rules":[').unionByName(rules).unionByName(
+        fixed(2, "]" + "}" + SARIF_BETWEEN)).unionByName(results).unionByName(fixed(4, SARIF_END))
+
+
+def graph_lines(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(part, ord, text): ``graph_document`` in pieces, each sorted by its text; a comma precedes all but the first."""
+    def listed(df: DataFrame, part: int) -> DataFrame:
+        text = df.select(F.to_json(F.struct(*df.columns)).alias("text")).repartitionByRange("text").sortWithinPartitions("text")
+        return text.select(F.lit(part).alias("part"), F.monotonically_increasing_id().alias("ord"), "text")
+
+    out = listed(nodes, 1)
+    return out if edges is None else out.unionByName(listed(edges, 3))
 
 
 def graph_document(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:

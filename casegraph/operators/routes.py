@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph.functions.text import basename, extension, let, stem, strip
 from casegraph.operators.classify import api_class
+from casegraph.scratch import materialize
 
 # The patterns of route definitions.
 MOUNT = r"app\.use\s*\(\s*['\"]([^'\"]+)['\"]\s*,\s*([a-zA-Z0-9_$]+)\s*\)"
@@ -96,18 +99,46 @@ def mount_prefixes(files: DataFrame) -> DataFrame:
     return joined.groupBy("import_key").agg(F.max_by("prefix", "ord").alias("prefix"), F.min("ord").alias("ord"))
 
 
+def _substrings(text: Column, lengths: Column) -> Column:
+    """All distinct parts of a text that have one of the lengths."""
+    def of_length(k: Column) -> Column:
+        last = F.length(text) - k + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, k))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+
+
+def mount_of(files: DataFrame, mounts: DataFrame) -> DataFrame:
+    """(rel_path, prefix) of files (rel_path) that a mount (import_key, prefix, ord) fits; the first one by ``ord`` wins.
+
+    A mount fits if its key is part of the path, or holds the path's stem. Neither needs a join of all with all: paths
+    are cut into their parts of the keys' lengths and keys into their parts of the stems' lengths, and the parts are
+    joined by equality. Lengths are few, as names are short.
+    """
+    first = mounts.groupBy("import_key").agg(F.min_by("prefix", "ord").alias("prefix"), F.min("ord").alias("ord"))
+    names = files.select("rel_path", stem(F.col("rel_path")).alias("stem"))
+    stems = names.select("stem").distinct()
+
+    def lengths(df: DataFrame, column: str) -> Column:
+        found = [r[0] for r in df.select(F.length(column)).distinct().collect() if r[0] is not None]
+        return F.array(*[F.lit(n) for n in sorted(found)]).cast("array<int>")
+
+    inside = names.select("rel_path", F.explode(_substrings(F.col("rel_path"), lengths(first, "import_key"))).alias("import_key")).join(first, "import_key")
+    parts = first.select("prefix", "ord", F.explode(_substrings(F.col("import_key"), lengths(stems, "stem"))).alias("stem"))
+    by_stem = parts.join(stems, "stem").groupBy("stem").agg(F.min_by("prefix", "ord").alias("prefix"), F.min("ord").alias("ord"))
+    around = names.join(by_stem, "stem").select("rel_path", "prefix", "ord")
+    return inside.select("rel_path", "prefix", "ord").unionByName(around).groupBy("rel_path").agg(F.min_by("prefix", "ord").alias("prefix"))
+
+
 def resolve_routes(files: DataFrame) -> DataFrame:
     """Endpoints of script files: (http_method, route_pattern, rel_path, line_number, handler_symbol, middleware, auth_state).
 
-    Mounts are a handful per repository and meet files by substring, so they are a broadcast theta
-    join; the first mount that fits, in order of definition, wins.
+    Global middleware stands before every route's own; it is one row with the names in order, as each result holds them.
     """
     scripts = script_files(files).select("rel_path", "text")
     shared = scripts.select("rel_path", F.posexplode(F.regexp_extract_all("text", F.lit(GLOBAL_MIDDLEWARE), F.lit(1))).alias("k", "m"))
     shared = shared.filter("m <> 'express'").agg(F.transform(F.array_sort(F.collect_list(F.struct("rel_path", "k", "m"))), lambda x: x["m"]).alias("shared"))
-    mounts = mount_prefixes(scripts)
-    fits = F.contains("rel_path", F.col("import_key")) | F.contains("import_key", stem(F.col("rel_path")))
-    prefixed = scripts.select("rel_path").join(F.broadcast(mounts), fits).groupBy("rel_path").agg(F.min_by("prefix", "ord").alias("prefix"))
+    prefixed = mount_of(scripts, materialize(mount_prefixes(scripts), "mounts"))
 
     direct = scripts.select("rel_path", F.explode(matches_with_lines(F.col("text"), ROUTE, 3)).alias("m")).select(
         "rel_path", F.lit(0).alias("kind"), F.col("m.ord").alias("ord"), F.lit(0).alias("sub"),
@@ -192,7 +223,10 @@ def harvest_vendor(files: DataFrame, root: str = "node_modules") -> DataFrame:
     return named.withColumn("potential_sink_class", api_class(F.col("api_name"))).filter("potential_sink_class is not null")
 
 
-def first_mount(pairs: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The first row per key in an order: ``row_number() = 1``."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return pairs.withColumn("_k", place).filter("_k = 1").drop("_k")
+#: Resolvers of endpoints by framework: files (rel_path, text) in, rows of ``resolve_routes`` out.
+RESOLVERS: dict[str, Callable[[DataFrame], DataFrame]] = {"express": resolve_routes}
+
+
+def register_resolver(framework: str, resolver: Callable[[DataFrame], DataFrame]) -> None:
+    """Resolve the endpoints of another framework, or of a known one in another way."""
+    RESOLVERS[framework] = resolver

@@ -7,6 +7,8 @@ and takes its place when it is complete.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,47 +146,92 @@ def delete_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Dat
 
 
 class Store:
-    """Tables in a folder, a version per write: readers see the last complete one."""
+    """Tables in a folder, a version per write.
+
+    What is current is named by the last commit, a file that lists the version of every table and appears whole
+    (written beside, then renamed). Tables that are committed together are therefore seen together: a writer that
+    dies in between leaves the state before it. One writer at a time.
+    """
+
+    COMMITS = "_commits"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, table: str) -> list[int]:
-        folder = self._path(f"{self.root}/{table}")
-        if not self._fs.exists(folder):
+    def _numbers(self, folder: str, prefix: str, suffix: str = "") -> list[int]:
+        where = self._path(f"{self.root}/{folder}")
+        if not self._fs.exists(where):
             return []
-        found = []
-        for status in self._fs.listStatus(folder):
-            name = status.getPath().getName()
-            if name.startswith("v") and self._fs.exists(self._path(f"{self.root}/{table}/{name}/_SUCCESS")):
-                found.append(int(name[1:]))
-        return sorted(found)
+        names = [status.getPath().getName() for status in self._fs.listStatus(where)]
+        return sorted(int(n.removeprefix(prefix).removesuffix(suffix)) for n in names if n.startswith(prefix) and n.endswith(suffix))
+
+    def _current(self) -> tuple[int, dict[str, int]]:
+        """The last commit's number, and the version of each table."""
+        commits = self._numbers(self.COMMITS, "c", ".json")
+        if not commits:
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/{self.COMMITS}/c{commits[-1]}.json"))
+        try:
+            return commits[-1], json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
 
     def read(self, table: str) -> DataFrame:
         """The current version, in the current shape: columns that an older version lacks have their defaults."""
-        versions = self._versions(table)
-        if not versions:
+        version = self._current()[1].get(table)
+        if version is None:
             return self.spark.createDataFrame([], S.TABLES[table].schema)
-        return S.evolve(self.spark.read.parquet(f"{self.root}/{table}/v{versions[-1]}"), table)
+        return S.evolve(self.spark.read.parquet(f"{self.root}/{table}/v{version}"), table)
+
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """Write new versions of all these tables, then make them current at once."""
+        number, versions = self._current()
+        following = dict(versions)
+        for table, df in tables.items():
+            following[table] = max(self._numbers(table, "v"), default=0) + 1
+            S.evolve(df, table).write.mode("overwrite").parquet(f"{self.root}/{table}/v{following[table]}")
+        target = f"{self.root}/{self.COMMITS}/c{number + 1}.json"
+        beside = self._path(f"{self.root}/{self.COMMITS}/_new-{uuid.uuid4().hex}")
+        out = self._fs.create(beside)
+        out.write(bytearray(json.dumps(following, sort_keys=True).encode()))
+        out.close()
+        if not self._fs.rename(beside, self._path(target)):
+            raise OSError(f"{target} could not be written")
+        for table in tables:  # the version before is kept for readers that are still at work
+            for old in self._numbers(table, "v"):
+                if old < versions.get(table, 0):
+                    self._fs.delete(self._path(f"{self.root}/{table}/v{old}"), True)
+        for old in self._numbers(self.COMMITS, "c", ".json"):
+            if old < number:
+                self._fs.delete(self._path(f"{self.root}/{self.COMMITS}/c{old}.json"), False)
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
-        versions = self._versions(table)
-        following = (versions[-1] if versions else 0) + 1
-        S.evolve(df, table).write.mode("overwrite").parquet(f"{self.root}/{table}/v{following}")
-        for old in versions[:-1]:  # the version before is kept for readers that are still at work
-            self._fs.delete(self._path(f"{self.root}/{table}/v{old}"), True)
+        self.commit({table: df})
         return self.read(table)
 
+    def merged(self, table: str, delta: DataFrame, seq: str | None = None) -> DataFrame:
+        """The table as it would be with ``delta`` merged in."""
+        return upsert_table(table, self.read(table), delta, seq)
+
     def merge(self, table: str, delta: DataFrame, seq: str | None = None) -> DataFrame:
-        return self.write(table, upsert_table(table, self.read(table), delta, seq))
+        return self.write(table, self.merged(table, delta, seq))
 
     def update(self, table: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
         return self.write(table, change(self.read(table)))
 
 
+def resolve_paths(paths: DataFrame, found: DataFrame) -> DataFrame:
+    """``paths`` after those in ``found`` (path_id, reachability_confidence) are resolved; the others stay as they are."""
+    new = found.select("path_id", F.col("reachability_confidence").alias("_reach"), F.lit(True).alias("_hit"))
+    joined = paths.join(new, "path_id", "left")
+    columns = {"state": F.lit("RESOLVED"), "reachability_confidence": F.col("_reach"), "updated_at": F.current_timestamp()}
+    own = {c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in columns.items() if c in paths.columns}
+    return joined.withColumns(own).select(*paths.columns)
+
+
 def close_scan(scans: DataFrame, scan_id: str, status: str, stats: dict[str, str] | None = None) -> DataFrame:
     """The status of one scan; it is completed now only in a terminal state, and old stats stay without new ones."""
     own = F.col("scan_id") == scan_id

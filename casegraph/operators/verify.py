@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from casegraph import schemas as S
 from casegraph.functions.text import first_json, python_round, scrub
+from casegraph.operators.store import upsert_table
 
 # Confidence that a verdict is exploitable (or safe).
 SAFE, PARTIAL, OPEN = 0.95, 0.75, 0.90
@@ -146,3 +147,18 @@ def infer_links(responses: DataFrame, symbols: DataFrame, max_turns: int = S.MAX
     return first.select(
         "caller_symbol_id", "h.callee_symbol_id", F.lit("DYNAMIC_DISPATCH").alias("edge_type"), "h.confidence", F.lit("AGENT_INFERRED").alias("provenance")
     )
+
+
+def link_tables(links: DataFrame, edges: DataFrame, evidence: DataFrame) -> dict[str, DataFrame]:
+    """``graph_edges`` and ``graph_edge_evidence`` with inferred links (rows of ``infer_links``) in them, to be committed together.
+
+    An edge that is there keeps its id; each inference is a piece of evidence of its own.
+    """
+    named = links.select("caller_symbol_id", "callee_symbol_id", "edge_type").distinct()
+    merged = upsert_table("graph_edges", edges, named)
+    found = links.join(merged, ["caller_symbol_id", "callee_symbol_id", "edge_type"])
+    pieces = found.select(
+        F.xxhash64("edge_id", "provenance", "confidence").alias("evidence_id"), "edge_id", F.col("provenance").alias("resolution_method"), "confidence",
+        F.create_map(F.lit("inferred_by"), F.lit("completion")).alias("evidence"), F.lit(True).alias("is_active"), F.current_timestamp().alias("created_at"),
+    )
+    return {"graph_edges": merged, "graph_edge_evidence": upsert_table("graph_edge_evidence", evidence, pieces)}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.functions.scoring import engine_fingerprint
-from casegraph.operators.graph import edges_with_evidence, graph_nodes
-from casegraph.operators.incremental import impact_plan, reusable_dossiers, snapshot_diff
-from casegraph.operators.report import graph_document, markdown_document, sarif_document, severity_order
+from casegraph.operators.graph import edges_with_evidence, graph_scope
+from casegraph.operators.incremental import all_changed, change_feed, impact_plan, reusable_dossiers, snapshot_diff
+from casegraph.operators.matching import of_scan
+from casegraph.operators.report import graph_lines, markdown_lines, sarif_lines, severity_order
 from casegraph.operators.store import Store, delete_files, invalidate_files
 from casegraph.scratch import materialize
 from casegraph.sources.files import scan_repository
@@ -27,47 +29,80 @@ class DiffPlan:
     engine_fingerprint: str
 
 
-def diff(spark: SparkSession, root: str, audit: str, config: dict[str, str] | None = None, lockfile: bytes | None = None) -> DiffPlan:
+def diff(
+    spark: SparkSession, root: str, audit: str, config: dict[str, str] | None = None, lockfile: bytes | None = None,
+    tracked: DataFrame | None = None, untracked: DataFrame | None = None, everything: bool = False,
+) -> DiffPlan:
     """Compare the repository with the index; deactivate what changed, delete what is gone.
 
-    The change feed is the difference of content hashes, so it needs no version control.
+    What changed is the difference of content hashes, which needs no version control; or the names (rel_path) that
+    version control gives, ``tracked`` against the base and ``untracked``; or ``everything``, where nothing is known.
     """
     store = Store(spark, audit)
     current = scan_repository(spark, root).select("rel_path", "file_hash")
     indexed = store.read("files")
-    statuses = snapshot_diff(indexed.select("rel_path", "file_hash"), current)
-    changed = materialize(statuses.filter("status <> 'UNCHANGED'").select("rel_path"), "diff-changed")
+    if everything:
+        named = all_changed(current)
+    elif tracked is not None or untracked is not None:
+        none = current.select("rel_path").limit(0)
+        named = change_feed(tracked if tracked is not None else none, untracked if untracked is not None else none)
+    else:
+        named = snapshot_diff(indexed.select("rel_path", "file_hash"), current).filter("status <> 'UNCHANGED'").select("rel_path")
+    changed = materialize(named, "diff-changed")
     plan = materialize(impact_plan(changed, current, indexed), "diff-plan")
     fingerprint = engine_fingerprint(config or {"mode": "FULL"}, lockfile)
 
     gone = plan.filter("status = 'DELETED' and file_id is not null").select("file_id")
     names = ("files", "symbols", "endpoints", "candidate_sinks", "graph_edges", "graph_edge_evidence", "scan_candidate_paths", "scan_dossiers")
     tables = {n: store.read(n) for n in names}
+    after: dict[str, DataFrame] = {}
     if not gone.isEmpty():
-        for name, df in {n: materialize(d, f"diff-{n}") for n, d in delete_files(tables, gone).items()}.items():
-            store.write(name, df)
-        tables = {n: store.read(n) for n in names}
+        after = {n: materialize(d, f"diff-{n}") for n, d in delete_files(tables, gone).items()}
+        tables |= after
     touched = plan.filter("status = 'CHANGED' and file_id is not null").select("file_id")
     evidence, paths = invalidate_files(
         tables["graph_edges"], tables["graph_edge_evidence"], tables["scan_candidate_paths"], tables["symbols"], tables["candidate_sinks"], touched
     )
-    store.write("graph_edge_evidence", materialize(evidence, "diff-evidence"))
-    store.write("scan_candidate_paths", materialize(paths, "diff-paths"))
+    # All tables change together, or none does.
+    store.commit(after | {"graph_edge_evidence": materialize(evidence, "diff-evidence"), "scan_candidate_paths": materialize(paths, "diff-paths")})
     reusable = reusable_dossiers(
         store.read("scan_dossiers"), store.read("scan_candidate_paths"), store.read("candidate_sinks"), store.read("files"), changed, fingerprint
     )
     return DiffPlan(plan, reusable, fingerprint)
 
 
-def report(spark: SparkSession, audit: str, scan_id: str, kind: str = "md") -> str:
-    """A scan's report as text: Markdown, SARIF, or the whole repository's graph."""
+def report_pieces(spark: SparkSession, audit: str, scan_id: str | None, kind: str = "md", scope: str = "repository", key: str | None = None) -> Iterator[str]:
+    """A scan's report piece by piece: Markdown, SARIF, or a graph of the given scope.
+
+    Pieces are range-sorted by tasks and arrive a part at a time, so neither a task nor the driver holds the document.
+    """
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind}")
     store = Store(spark, audit)
     if kind == "graph":
-        nodes = graph_nodes(store.read("symbols"), store.read("endpoints"), store.read("candidate_sinks"))
-        edges = edges_with_evidence(store.read("graph_edges"), store.read("graph_edge_evidence"))
-        return graph_document(nodes, edges.drop("edge_id")).first()[0]
-    dossiers = severity_order(store.read("scan_dossiers").filter(F.col("scan_id") == scan_id))
-    document = markdown_document(dossiers, scan_id) if kind == "md" else sarif_document(dossiers)
-    return document.first()[0]
+        nodes = graph_scope(store.read, scope, key)
+        edges = None
+        if scope in ("repository", "symbol"):
+            edges = edges_with_evidence(store.read("graph_edges"), store.read("graph_edge_evidence")).drop("edge_id")
+        pieces = graph_lines(nodes.withColumnRenamed("node_kind", "kind"), edges)
+    else:
+        dossiers = severity_order(of_scan(store.read("scan_dossiers"), scan_id))
+        pieces = markdown_lines(dossiers, scan_id) if kind == "md" else sarif_lines(dossiers)
+    ordered = materialize(pieces, "report").repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("part", "text")
+    if kind != "graph":
+        yield from (row["text"] for row in ordered.toLocalIterator())
+        return
+    last = 0
+    for row in ordered.toLocalIterator():
+        if row["part"] != last:
+            yield '{"nodes":[' if row["part"] == 1 else '{"nodes":[],"edges":[' if last == 0 else '],"edges":['
+        else:
+            yield ","
+        last = row["part"]
+        yield row["text"]
+    yield {0: '{"nodes":[],"edges":[]}', 1: '],"edges":[]}', 3: "]}"}[last]
+
+
+def report(spark: SparkSession, audit: str, scan_id: str | None, kind: str = "md", scope: str = "repository", key: str | None = None) -> str:
+    """``report_pieces`` as one text."""
+    return "".join(report_pieces(spark, audit, scan_id, kind, scope, key))

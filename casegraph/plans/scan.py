@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
@@ -17,18 +17,18 @@ from casegraph.functions.scoring import LOCKFILES, engine_fingerprint, finding_f
 from casegraph.functions.text import basename
 from casegraph.operators.classify import authz_relevant, classify_scope, eligible
 from casegraph.operators.detect import SINKS, analyze_authorization, detect, veto_sinks
-from casegraph.operators.graph import collapse_edges, first_paths, graph_edges, paths_to_targets
+from casegraph.operators.graph import graph_edges
 from casegraph.operators.indexer import calls_of, index_files, link_calls, symbols_of
-from casegraph.operators.report import blueprints
-from casegraph.operators.routes import identify_framework, resolve_routes
-from casegraph.operators.store import Store, close_scan, surrogate
+from casegraph.operators.matching import first_endpoints, gated_items, indexable, innermost_symbols, pending_paths, placeholder_files
+from casegraph.operators.report import blueprints, dossier_records
+from casegraph.operators.routes import RESOLVERS, identify_framework
+from casegraph.operators.store import Store, close_scan, resolve_paths, surrogate
 from casegraph.operators.verify import gate_bundles
 from casegraph.scratch import materialize
 from casegraph.sources.files import lines_of, scan_repository, stripped_code_lines
+from casegraph.sources.tools import read_tools
 from casegraph.streaming.events import StoreEventLog
 
-SAME_FILE_CONFIDENCE = 0.85
-
 
 def lockfile_of(spark: SparkSession, root: str) -> bytes | None:
     """The first lockfile of the repository, wherever Spark can read it."""
@@ -51,7 +51,7 @@ def index_repository(spark: SparkSession, store: Store, root: str) -> None:
     scoped = classify_scope(described)
     files = store.merge("files", scoped.drop("text"))
     known = scoped.join(files.select("rel_path", "file_id"), "rel_path")
-    code = materialize(known.filter("not is_vendor"), "scan-code")
+    code = materialize(indexable(known), "scan-code")
 
     symbols_found = index_files(code.select("rel_path", "language", "text"))
     symbols_found = materialize(symbols_found.join(code.select("rel_path", "file_id"), "rel_path"), "scan-index")
@@ -59,8 +59,9 @@ def index_repository(spark: SparkSession, store: Store, root: str) -> None:
     symbols = store.read("symbols")
 
     framework = identify_framework(described.select("rel_path", "text")).first()
-    if framework and framework["framework"] == "express":
-        routes = resolve_routes(described.select("rel_path", "text")).join(files.select("rel_path", "file_id"), "rel_path")
+    resolver = RESOLVERS.get(framework["framework"]) if framework else None
+    if resolver is not None:
+        routes = resolver(described.select("rel_path", "text")).join(files.select("rel_path", "file_id"), "rel_path")
         named = symbols.groupBy("file_id", "name").agg(F.max("symbol_id").alias("handler_symbol_id"))
         routes = routes.join(named, (routes["handler_symbol"] == named["name"]) & (routes["file_id"] == named["file_id"]), "left").drop(named["file_id"], named["name"])
         routes = routes.withColumns({"auth_required": F.col("auth_state") == "REQUIRED", "tool_provenance": F.lit("ExpressResolver")})
@@ -83,10 +84,7 @@ def index_repository(spark: SparkSession, store: Store, root: str) -> None:
     )
     found = sinks.unionByName(gaps)
     # A sink belongs to the innermost symbol around its line.
-    around = found.join(symbols.select("file_id", F.col("symbol_id").alias("own"), "start_line", "end_line"), "file_id", "left")
-    inside = F.when((F.col("line_number") >= F.col("start_line")) & (F.col("line_number") <= F.col("end_line")), F.struct(-F.col("start_line"), "own"))
-    owned = around.groupBy(*found.columns).agg(F.min(inside).alias("o"))
-    store.merge("candidate_sinks", owned.withColumn("symbol_id", F.col("o.own")).drop("o"), "ord")
+    store.merge("candidate_sinks", innermost_symbols(found, symbols), "ord")
 
     calls = calls_of(symbols_found).join(code.select("rel_path", "file_id"), "rel_path")
     links = link_calls(calls.select("file_id", "caller_scope", "callee_name"), symbols.select("file_id", "name", "symbol_id", F.struct("start_line", "start_col").alias("seq")))
@@ -108,53 +106,27 @@ def merge_tool_output(store: Store, endpoints: DataFrame | None = None, findings
     given = [df for df in (endpoints, findings, secrets) if df is not None]
     if not given:
         return
-    files = store.read("files")
+    discovered = materialize(store.read("files").select("rel_path", "execution_domain"), "tool-files")
     names = None
     for df in given:
-        own = df.select("rel_path").filter("rel_path <> ''")
+        own = df.select("rel_path")
         names = own if names is None else names.union(own)
-    missing = names.distinct().join(files.select("rel_path"), "rel_path", "left_anti")
-    store.merge("files", missing.select("rel_path", F.lit("unknown").alias("language"), F.lit("unknown").alias("file_hash"), F.lit(1).cast("long").alias("loc")))
-    known = store.read("files").select("rel_path", "file_id", "execution_domain")
-    discovered = files.select("rel_path", F.lit(True).alias("discovered"))
-
-    def gated(df: DataFrame, detector: Column) -> DataFrame:
-        rows = df.join(known, "rel_path").join(discovered, "rel_path", "left")
-        return rows.filter(F.col("discovered").isNull() | eligible(F.col("execution_domain"), detector))
+    store.merge("files", placeholder_files(names, discovered))
+    known = store.read("files").select("rel_path", "file_id")
 
     if endpoints is not None:
-        kept = gated(endpoints, F.lit(""))
+        kept = gated_items(endpoints, discovered, F.lit("")).join(known, "rel_path")
         store.merge("endpoints", kept.select("file_id", "http_method", "route_pattern", "line_number", "auth_required", "parameters", "tool_provenance", F.lit(0).alias("seq")), "seq")
     if findings is not None:
-        kept = gated(findings, F.col("vuln_class"))
+        kept = gated_items(findings, discovered, F.col("vuln_class")).join(known, "rel_path")
         store.merge("candidate_sinks", kept.select("file_id", "vuln_class", "triage_severity", "line_number", "cwe_id", "sink_expression", "raw_rule_id", "tool_provenance", F.lit(0).alias("seq")), "seq")
 
 
 def match_sinks(store: Store, sinks: DataFrame, same_file: bool = True) -> DataFrame:
-    """``sinks`` with the first endpoint, by id, from which they are reached: endpoint_id, nodes, hops, reach, edge_types.
-
-    One search from all endpoints: in this graph endpoints have no incoming and sinks no outgoing edges,
-    so a path cannot run through either. Without a path, an endpoint of the same file counts with less confidence.
-    """
+    """``first_endpoints`` over the store's graph."""
     endpoints = store.read("endpoints")
-    edges = collapse_edges(graph_edges(endpoints, store.read("candidate_sinks"), store.read("graph_edges"), store.read("graph_edge_evidence")))
-    ends = edges.select(F.col("dst").alias("target")).filter("target like 'sink%'").distinct()
-    starts = edges.select(F.col("src").alias("source")).filter("source like 'ep%'").distinct()
-    paths = first_paths(paths_to_targets(edges, starts, ends))
-    proven = paths.select(
-        F.regexp_extract("source", r"_(-?\d+)$", 1).cast("long").alias("endpoint_id"), F.regexp_extract("target", r"_(-?\d+)$", 1).cast("long").alias("sink_id"),
-        "nodes", F.col("hops"), F.col("confidence").alias("reach"), F.lit(0).alias("rank"),
-    )
-    options = proven
-    if same_file:
-        near = sinks.select("sink_id", "file_id").join(endpoints.select("endpoint_id", "file_id"), "file_id").select(
-            "endpoint_id", "sink_id", F.array(F.concat(F.lit("ep_"), "endpoint_id"), F.concat(F.lit("sink_"), "sink_id")).alias("nodes"),
-            F.lit(1).alias("hops"), F.lit(SAME_FILE_CONFIDENCE).alias("reach"), F.lit(1).alias("rank"),
-        )
-        options = proven.unionByName(near)
-    first = Window.partitionBy("sink_id").orderBy("endpoint_id", "rank")
-    best = options.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k", "rank")
-    return sinks.join(best, "sink_id", "left")
+    edges = graph_edges(endpoints, store.read("candidate_sinks"), store.read("graph_edges"), store.read("graph_edge_evidence"))
+    return first_endpoints(sinks, endpoints, edges, same_file)
 
 
 def judge(matched: DataFrame, files: DataFrame, endpoints: DataFrame, scan_id: str, fingerprint: str) -> DataFrame:
@@ -177,39 +149,46 @@ def judge(matched: DataFrame, files: DataFrame, endpoints: DataFrame, scan_id: s
     shown = blueprints(judged)
     endpoint = F.when(found, F.concat_ws(" ", "http_method", "route_pattern")).otherwise("NONE")
     place = F.concat_ws(":", "rel_path", F.col("line_number").cast("string"))
-    return shown.select(
-        F.concat(F.lit(f"dos_{scan_id}_"), "sink_id").alias("dossier_id"), F.lit(scan_id).alias("scan_id"), F.lit(1).alias("fingerprint_schema_version"),
-        finding_fingerprint(F.col("vuln_class"), endpoint, F.lit("HTTP"), F.col("sink_expression"), place).alias("finding_fingerprint"),
-        F.concat(F.lit(f"path_{scan_id}_"), "sink_id").alias("path_id"), F.lit(fingerprint).alias("engine_fingerprint"),
-        F.concat("vuln_class", F.lit(" in "), basename(F.col("rel_path")), F.lit(":"), F.col("line_number").cast("string")).alias("title"),
-        "vuln_class", F.col("triage_severity").alias("severity"), F.coalesce("cwe_id", F.lit("CWE-Unknown")).alias("cwe_id"), "verdict",
-        F.col("reach").alias("reachability_confidence"), "exploitability_confidence", "confidence",
-        F.array(F.struct(F.col("rel_path").alias("file"), F.col("line_number").alias("line"))).alias("source_trace"),
-        F.create_map(F.lit("bypass_analysis"), F.col("reasoning")).alias("sanitizer_analysis"),
-        F.create_map(F.lit("path_trace_len"), F.coalesce(F.size("path_trace"), F.lit(0)).cast("string")).alias("evidence_bundle"),
-        F.col("curl_command").alias("repro_curl_template"), F.lit("").alias("mitigation_notes"), F.current_timestamp().alias("created_at"),
-        "sink_id", "endpoint_id", "hops", "nodes", "triage_severity",
+    records = dossier_records(
+        shown.withColumns({
+            "dossier_id": F.concat(F.lit(f"dos_{scan_id}_"), "sink_id"), "path_id": F.concat(F.lit(f"path_{scan_id}_"), "sink_id"),
+            "title": F.concat("vuln_class", F.lit(" in "), basename(F.col("rel_path")), F.lit(":"), F.col("line_number").cast("string")),
+            "severity": F.col("triage_severity"), "reachability_confidence": F.col("reach"),
+            "finding_fingerprint": finding_fingerprint(F.col("vuln_class"), endpoint, F.lit("HTTP"), F.col("sink_expression"), place),
+            "source_trace": F.array(F.struct(F.col("rel_path").alias("file"), F.col("line_number").alias("line"))),
+            "sanitizer_analysis": F.create_map(F.lit("bypass_analysis"), F.col("reasoning")),
+            "evidence_bundle": F.create_map(F.lit("path_trace_len"), F.coalesce(F.size("path_trace"), F.lit(0)).cast("string")),
+            "repro_curl_template": F.col("curl_command"), "mitigation_notes": F.lit(""),
+        }),
+        scan_id, fingerprint, ("sink_id", "endpoint_id", "hops", "nodes", "triage_severity"),
     )
+    return records
 
 
-def _record(store: Store, found: DataFrame, scan_id: str) -> None:
+def _record(store: Store, found: DataFrame, scan_id: str, known: bool = False) -> None:
+    """Paths and dossiers into the store, together; ``known``: the paths are there and are resolved."""
     paths = found.select(
         "path_id", "scan_id", "endpoint_id", "sink_id", F.coalesce("hops", F.lit(0)).alias("hop_count"),
         F.coalesce("nodes", F.array().cast("array<string>")).alias("call_sequence"), scan_priority(F.col("triage_severity")).alias("priority_score"),
         "reachability_confidence", F.lit("RESOLVED").alias("state"), F.lit(0).alias("retry_count"),
         F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
     )
-    store.merge("scan_candidate_paths", paths)
-    store.merge("scan_dossiers", found.drop("sink_id", "endpoint_id", "hops", "nodes", "triage_severity"))
+    dossiers = found.drop("sink_id", "endpoint_id", "hops", "nodes", "triage_severity")
+    if known:
+        store.commit({"scan_candidate_paths": resolve_paths(store.read("scan_candidate_paths"), paths), "scan_dossiers": store.merged("scan_dossiers", dossiers)})
+    else:
+        store.commit({"scan_candidate_paths": store.merged("scan_candidate_paths", paths), "scan_dossiers": store.merged("scan_dossiers", dossiers)})
 
 
 def scan(
     spark: SparkSession, root: str, audit: str, config: dict[str, str] | None = None,
     endpoints: DataFrame | None = None, findings: DataFrame | None = None, secrets: DataFrame | None = None,
+    tools: dict[str, DataFrame] | None = None,
 ) -> str:
     """Scan the repository at ``root`` into the store at ``audit``; the scan's id.
 
-    ``endpoints``, ``findings`` and ``secrets`` are rows of the tool readers, if tools have run.
+    ``endpoints``, ``findings`` and ``secrets`` are rows of the tool readers, if tools have run; or ``tools`` has the
+    tools' raw output by name.
     """
     store = Store(spark, audit)
     config = {"mode": "FULL", **(config or {})}
@@ -222,6 +201,9 @@ def scan(
     ).withColumns({"started_at": F.current_timestamp(), "config": F.create_map(*[F.lit(x) for p in config.items() for x in p])})
     store.merge("scans", head)
     index_repository(spark, store, root)
+    if tools:
+        read = read_tools(tools)
+        endpoints, findings, secrets = (given if given is not None else read.get(kind) for given, kind in ((endpoints, "endpoints"), (findings, "findings"), (secrets, "secrets")))
     merge_tool_output(store, endpoints, findings, secrets)
     matched = match_sinks(store, store.read("candidate_sinks"))
     found = materialize(judge(matched, store.read("files"), store.read("endpoints"), scan_id, fingerprint), "scan-dossiers")
@@ -231,12 +213,6 @@ def scan(
     return scan_id
 
 
-def pending_paths(paths: DataFrame, sinks: DataFrame, files: DataFrame, scan_id: str) -> DataFrame:
-    """Paths of a scan that are still to be resolved, with their sink and file."""
-    own = paths.filter((F.col("scan_id") == scan_id) & F.col("state").isin(*S.PENDING_STATES)).select("path_id", "sink_id", "state")
-    return own.join(sinks, "sink_id").join(files.select("file_id", "rel_path"), "file_id")
-
-
 def resume(spark: SparkSession, audit: str, scan_id: str) -> int:
     """Resolve a scan's pending paths by graph paths alone; how many there were."""
     store = Store(spark, audit)
@@ -248,7 +224,7 @@ def resume(spark: SparkSession, audit: str, scan_id: str) -> int:
         fingerprint = store.read("scans").filter(F.col("scan_id") == scan_id).select("engine_fingerprint").first()[0]
         matched = match_sinks(store, chosen, same_file=False)
         found = materialize(judge(matched, store.read("files"), store.read("endpoints"), scan_id, fingerprint), "resume-dossiers")
-        _record(store, found, scan_id)
+        _record(store, found, scan_id, known=True)
     store.update("scans", lambda s: close_scan(s, scan_id, "COMPLETED"))
     return count
 

@@ -113,9 +113,10 @@ def path_states(transitions: DataFrame) -> DataFrame:
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seq, current = state.get if state.exists else (-1, None)
         for batch in batches:
-            for row in batch.sort_values("seq").itertuples():
-                if row.seq > seq and row.state in TRANSITIONS:
-                    seq, current = int(row.seq), row.state
+            later = batch[batch["state"].isin(TRANSITIONS) & (batch["seq"] > seq)]
+            if len(later):
+                last = later.loc[later["seq"].idxmax()]
+                seq, current = int(last["seq"]), last["state"]
         if current is not None:
             state.update((seq, current))
             yield pd.DataFrame({"path_id": [key[0]], "state": [current], "seq": [seq]})
