@@ -36,10 +36,16 @@ def graph_nodes(symbols: DataFrame, endpoints: DataFrame, sinks: DataFrame) -> D
     return sym.unionByName(end, allowMissingColumns=True).unionByName(snk, allowMissingColumns=True)
 
 
+def active(evidence: DataFrame, edge_id: int | None = None) -> DataFrame:
+    """Active pieces of evidence, of one edge if it is given."""
+    rows = evidence.filter("is_active")
+    return rows if edge_id is None else rows.filter(F.col("edge_id") == edge_id)
+
+
 def edges_with_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every edge with each of its active pieces of evidence; one row with defaults if it has none."""
-    active = evidence.filter("is_active").select(F.col("edge_id").alias("_e"), "resolution_method", "confidence")
-    joined = edges.join(active, F.col("edge_id") == F.col("_e"), "left")
+    pieces = active(evidence).select(F.col("edge_id").alias("_e"), "resolution_method", "confidence")
+    joined = edges.join(pieces, F.col("edge_id") == F.col("_e"), "left")
     return joined.select(
         *edges.columns,
         F.coalesce("resolution_method", F.lit("DETERMINISTIC")).alias("provenance"),
@@ -115,16 +121,18 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS)
     return found
 
 
-def prune(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``edges`` that lie on some walk from a source to a target of ``pairs``: the others lead a search astray."""
+def prune(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
+    """``edges`` that lie within reach of a source and of a target of ``pairs``: the others lead a search astray."""
     def reach(step: DataFrame, starts: DataFrame) -> DataFrame:
         known = materialize(starts.distinct(), "prune")
         front = known
-        while not front.isEmpty():
+        for _ in range(max_hops):
             moved = front.join(step, front["n"] == step["x"]).select(F.col("y").alias("n")).distinct()
             front = materialize(moved.join(known, "n", "left_anti"), "prune")
+            if front.isEmpty():
+                break
             known = known.union(front)
-        return known.distinct()
+        return known
 
     forward = reach(edges.select(F.col("src").alias("x"), F.col("dst").alias("y")), pairs.select(F.col("source").alias("n")))
     backward = reach(edges.select(F.col("dst").alias("x"), F.col("src").alias("y")), pairs.select(F.col("target").alias("n")))
@@ -239,7 +247,7 @@ def graph_scope(read: Callable[[str], DataFrame], scope: str, key: str | None =
         return path_step_nodes(read("scan_candidate_paths"), key)
     nodes = graph_nodes(read("symbols"), read("endpoints"), read("candidate_sinks"))
     if scope == "endpoint":
-        columns = ("id", "node_kind", "method", "route", "file_id", "line")
+        columns = ("id", "node_kind", "file_id", "method", "route", "line")
         return endpoint_nodes(nodes, key).select(*columns)
     if scope not in ("repository", "symbol"):
         raise ValueError(f"unknown scope {scope}")

@@ -102,7 +102,7 @@ def first_endpoints(sinks: DataFrame, endpoints: DataFrame, edges: DataFrame, sa
     first = materialize(first, "match-first")
     source, target = F.concat(F.lit("ep_"), "endpoint_id").alias("source"), F.concat(F.lit("sink_"), "sink_id").alias("target")
     pairs = first.filter("rank = 0").select(source, target)
-    paths = first_paths(simple_paths(prune(whole, pairs), pairs, max_hops))
+    paths = first_paths(simple_paths(prune(whole, pairs, max_hops), pairs, max_hops))
     proven = paths.select(
         node_number(F.col("source")).alias("endpoint_id"), node_number(F.col("target")).alias("sink_id"),
         "nodes", "hops", F.col("confidence").alias("reach"), "edge_types",

@@ -19,6 +19,11 @@ SAFE, PARTIAL, OPEN = 0.95, 0.75, 0.90
 INSUFFICIENT = "INSUFFICIENT_CONTEXT"
 
 
+#: The prompts of a debate.
+FOR_PROMPT, AGAINST_PROMPT = "Argue that this flow is exploitable.\n", "Argue that this flow is safe.\n"
+JUDGE_PROMPT, FOR_HEAD, AGAINST_HEAD = "Judge. Answer in JSON with verdict, confidence, reasoning.\n", "\nFOR: ", "\nAGAINST: "
+
+
 def _gate(stop: Column, effective: Column, partial: Column, reach: Column) -> tuple[Column, Column, Column]:
     verdict = (
         F.when(stop, INSUFFICIENT).when(effective, "SAFE_PROVEN").when(partial, "LIKELY_EXPLOITABLE_PARTIAL_SANITIZATION").otherwise("EXPLOITABLE")
@@ -122,11 +127,11 @@ def complete(prompts: DataFrame, router: Router, prompt_col: str = "prompt", tex
 
 def debate(slices: DataFrame, router: Router, slice_col: str = "slice") -> DataFrame:
     """Three completions in turn, for, against and judgement; the judgement's verdict counts."""
-    rows = slices.withColumn("prompt", F.concat(F.lit("Argue that this flow is exploitable.\n"), slice_col))
+    rows = slices.withColumn("prompt", F.concat(F.lit(FOR_PROMPT), slice_col))
     rows = complete(rows, router, text_col="prosecution")
-    rows = rows.withColumn("prompt", F.concat(F.lit("Argue that this flow is safe.\n"), slice_col))
+    rows = rows.withColumn("prompt", F.concat(F.lit(AGAINST_PROMPT), slice_col))
     rows = complete(rows, router, text_col="defence")
-    case = F.concat(F.lit("Judge. Answer in JSON with verdict, confidence, reasoning.\n"), slice_col, F.lit("\nFOR: "), F.coalesce("prosecution", F.lit("")), F.lit("\nAGAINST: "), F.coalesce("defence", F.lit("")))
+    case = F.concat(F.lit(JUDGE_PROMPT), slice_col, F.lit(FOR_HEAD), F.coalesce("prosecution", F.lit("")), F.lit(AGAINST_HEAD), F.coalesce("defence", F.lit("")))
     judged = complete(rows.withColumn("prompt", case), router, text_col="judgement")
     judged = judged.withColumn("judgement", F.replace("judgement", F.lit("\\'"), F.lit("'")))
     return parse_verdicts(judged, "judgement").drop("prompt", "prosecution", "defence", "judgement")

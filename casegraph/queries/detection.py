@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casegraph.operators.detect import SINKS, SOURCES, TRANSFORMS, Pattern, analyze_authorization, detect, first_argument, veto_sinks
 from casegraph.operators.indexer import calls_of, index_files, link_calls, symbols_of
-from casegraph.operators.routes import auth_state, compose_path, harvest_vendor, matches_with_lines, resolve_routes
+from casegraph.operators.routes import auth_state, compose_path, harvest_vendor, matches_with_lines, mount_of, resolve_routes
 from casegraph.queries import register, table
 from casegraph.queries.scans import LINES_SQL
 from casegraph.queries.standins import CODE_LINES_SQL, HANDLERS_SQL, code_lines, handlers
@@ -120,10 +120,19 @@ SELECT d.doc_id, coalesce(j.prefix, '') || '/login' AS route FROM documents d LE
 def mount_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src/r"), (F.col("doc_id") % 30).cast("string"), F.lit("/x.js")).alias("path"))
     number = F.col("n_nationkey").cast("string")
-    mounts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("r"), number).alias("key"), F.concat(F.lit("/p"), number).alias("prefix"))
-    # 25 mounts: a table whose size is fixed.
-    hits = docs.join(F.broadcast(mounts), F.contains("path", F.col("key"))).groupBy("doc_id").agg(F.min_by("prefix", "ord").alias("prefix"))
-    return docs.join(hits, "doc_id", "left").select("doc_id", compose_path(F.coalesce("prefix", F.lit("")), F.lit("login")).alias("route"))
+    mounts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("r"), number).alias("import_key"), F.concat(F.lit("/p"), number).alias("prefix"))
+    hits = mount_of(docs.select(F.col("path").alias("rel_path")).distinct(), mounts).withColumnRenamed("rel_path", "path")
+    return docs.join(hits, "path", "left").select("doc_id", compose_path(F.coalesce("prefix", F.lit("")), F.lit("login")).alias("route"))
+
+
+@register("mount_by_stem", """SELECT s_suppkey, '/m' || CAST(min(n_nationkey) AS VARCHAR) AS prefix FROM supplier JOIN nation
+ON contains('lib/s' || CAST(s_suppkey % 30 AS VARCHAR) || 'x/index', 's' || CAST(n_nationkey AS VARCHAR) || 'x') AND n_nationkey = s_suppkey % 30 GROUP BY s_suppkey""")
+def mount_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other way round: the stem of a file's name is part of the mount's key."""
+    number = F.col("n_nationkey").cast("string")
+    mounts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("lib/s"), number, F.lit("x/index")).alias("import_key"), F.concat(F.lit("/m"), number).alias("prefix"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("q/s"), (F.col("s_suppkey") % 30).cast("string"), F.lit("x.js")).alias("rel_path"))
+    return rows.join(mount_of(rows.select("rel_path").distinct(), mounts), "rel_path").select("s_suppkey", "prefix")
 
 
 @register("auth_states", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'NOT_REQUIRED' WHEN 1 THEN 'REQUIRED' ELSE 'UNKNOWN' END AS auth_state FROM orders""")
@@ -189,3 +198,52 @@ def python_calls_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = link_calls(calls, symbols)
     caller, callee = F.split("caller_symbol_id", r"\|"), F.split("callee_symbol_id", r"\|")
     return linked.select(caller[0].alias("file_id"), caller[1].alias("caller"), callee[1].alias("callee"))
+
+
+#: A small source per language, with what an index of it holds; the name stands for the supplier's number.
+_SOURCES = {
+    "javascript": (
+        "import {x as y} from 'm';\nfunction f#(a) {\n  run(a); // skip(a)\n}\nclass C {\n  go(a) { f#(a); }\n}\n",
+        [("f#", "FUNCTION", 2, 4, "global"), ("C", "CLASS", 5, 7, "global"), ("go", "METHOD", 6, 6, "global.C")], [("run", "global.f#"), ("f#", "global.C.go")],
+    ),
+    "go": ("package p\nfunc f#(a int) {\n  fmt.Println(a) // no(a)\n  if (a > 1) { g(a) }\n}\n", [("f#", "FUNCTION", 2, 5, "global")], [("fmt.Println", "global.f#"), ("g", "global.f#")]),
+    "java": ("package p;\nclass A# extends B {\n  void run() { go(); }\n}\n", [("A#", "CLASS", 2, 4, "global")], []),
+    "php": ("<?php\nfunction f#($a) {\n  return g($a);\n}\nclass A {\n  function m() { }\n}\n", [("f#", "FUNCTION", 2, 4, "global"), ("A", "CLASS", 5, 7, "global")], []),
+    "ruby": ("def m#\n  obj.call(1) # no(1)\n  puts(2)\nend\n", [], [("obj.call", "global"), ("puts", "global")]),
+}
+
+
+def _index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per supplier and language."""
+    out = None
+    for language, (source, *_) in _SOURCES.items():
+        text = F.replace(F.lit(source), F.lit("#"), F.col("s_suppkey").cast("string")) if language != "ruby" else F.replace(F.lit(source), F.lit("m#"), F.concat(F.lit("m"), F.col("s_suppkey").cast("string")))
+        rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit(f"{language}/"), F.col("s_suppkey").cast("string")).alias("rel_path"), F.lit(language).alias("language"), text.alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    return index_files(out)
+
+
+def _index_sql(columns: tuple[str, ...], part: int) -> str:
+    def shown(value: object) -> str:
+        return str(value) if isinstance(value, int) else "replace('" + str(value) + "', '#', CAST(s_suppkey AS VARCHAR))"
+
+    rows = [f"SELECT '{language}/' || CAST(s_suppkey AS VARCHAR) AS rel_path, " + ", ".join(f"{shown(v)} AS {c}" for v, c in zip(row, columns, strict=True)) + " FROM supplier" for language, given in _SOURCES.items() for row in given[part]]
+    return " UNION ALL ".join(rows)
+
+
+@register("script_index", _index_sql(("name", "kind", "start_line", "end_line", "scope"), 1))
+def script_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols_of(_index_of(spark, sf_dir)).select("rel_path", "name", "kind", "start_line", "end_line", "scope")
+
+
+@register("script_calls", _index_sql(("callee_name", "caller_scope"), 2))
+def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls_of(_index_of(spark, sf_dir)).select("rel_path", "callee_name", "caller_scope")
+
+
+@register("signature_limits", "SELECT s_suppkey, substring('def f(' || repeat('a', 150) || CAST(s_suppkey AS VARCHAR) || ', ' || repeat('b', 150) || '):', 1, 200) AS signature FROM supplier")
+def signature_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    code = F.concat(F.lit("def f(" + "a" * 150), key, F.lit(", " + "b" * 150 + "):\n    pass\n"))
+    files = table(spark, sf_dir, "supplier").select(key.alias("rel_path"), F.lit("python").alias("language"), code.alias("text"))
+    return symbols_of(index_files(files)).select(F.col("rel_path").cast("long").alias("s_suppkey"), "signature")

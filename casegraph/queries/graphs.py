@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph.operators.graph import (
-    best_reach, collapse_edges, endpoint_nodes, first_paths, graph_edges, graph_nodes, path_step_nodes, paths_to_targets, simple_paths, simple_paths_sql,
-    subgraph_nodes, trace_nodes,
+    best_reach, collapse_edges, edges_with_evidence, endpoint_nodes, first_paths, graph_edges, graph_nodes, graph_scope, path_step_nodes, paths_to_targets,
+    simple_paths, simple_paths_sql, subgraph_nodes, trace_nodes,
 )
+from casegraph.operators.matching import first_endpoints
+from casegraph.operators.report import graph_document
 from casegraph.queries import register, table
+from casegraph.scratch import materialize
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -93,6 +96,78 @@ def reach_endpoints_to_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths_to_targets(whole, starts, ends).select("source", "target", "hops", "confidence")
 
 
+def _first_sql(same_file: bool) -> str:
+    """Each sink's first endpoint among those that reach it, and, with ``same_file``, those of its file."""
+    near = " UNION ALL SELECT c_custkey, s_suppkey, 1, 1, CAST(0.85 AS DOUBLE) FROM customer JOIN supplier ON c_custkey = s_suppkey" if same_file else ""
+    return f"""WITH RECURSIVE e AS ({EDGES_SQL}), w AS (SELECT src AS source, dst AS node, 1 AS hops, confidence AS c FROM e WHERE src LIKE 'ep%'
+UNION ALL SELECT w.source, e.dst, w.hops + 1, least(w.c, e.confidence) FROM w JOIN e ON e.src = w.node WHERE w.hops < 20),
+o AS (SELECT CAST(substring(source, 4) AS BIGINT) AS endpoint_id, CAST(substring(node, 6) AS BIGINT) AS sink_id, 0 AS rank, hops, c AS reach FROM w WHERE node LIKE 'sink%'{near}),
+f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY sink_id ORDER BY endpoint_id, rank) = 1)
+SELECT s_suppkey AS sink_id, endpoint_id, hops, reach FROM supplier LEFT JOIN f ON sink_id = s_suppkey"""
+
+
+def _first(spark: SparkSession, sf_dir: str, same_file: bool) -> DataFrame:
+    _, endpoints, sinks, edges, evidence = _model(spark, sf_dir)
+    return first_endpoints(sinks, endpoints, graph_edges(endpoints, sinks, edges, evidence), same_file).select("sink_id", "endpoint_id", "hops", "reach")
+
+
+@register("first_match_endpoint", _first_sql(True))
+def first_match_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir, True)
+
+
+@register("first_match_resume", _first_sql(False))
+def first_match_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir, False)
+
+
+_SCOPES_SQL = {
+    "symbol": f"""SELECT '{{"id":"sym_' || CAST(o_orderkey AS VARCHAR) || '","kind":"SYMBOL","symbol_kind":"FUNCTION","name":"' || o_orderpriority || '","file_id":' || CAST(o_custkey AS VARCHAR) || ',"start_line":1,"end_line":2,"signature":"sig"}}' AS j FROM orders""",
+    "endpoint": """SELECT '{"id":"ep_' || CAST(c_custkey AS VARCHAR) || '","kind":"ENDPOINT","file_id":' || CAST(c_custkey AS VARCHAR) || ',"method":"GET","route":"' || c_name || '","line":1}' AS j FROM customer""",
+    "sink": """SELECT '{"id":"sink_' || CAST(s_suppkey AS VARCHAR) || '","kind":"SINK","file_id":' || CAST(s_suppkey AS VARCHAR) || ',"line":3,"vuln_class":"RCE","severity":"HIGH","expression":"' || s_name || '"}' AS j FROM supplier""",
+    "edge": """SELECT '{"caller_symbol_id":' || CAST(o_orderkey AS VARCHAR) || ',"callee_symbol_id":' || CAST(nx AS VARCHAR) || ',"edge_type":"CALLS","provenance":"' || CASE WHEN o_orderkey % 6 = 0 THEN 'AST","confidence":0.75}' ELSE 'DETERMINISTIC","confidence":1.0}' END AS j
+FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nx FROM orders) WHERE nx IS NOT NULL""",
+}
+
+
+def _document_sql(scope: str, nodes: str, edges: str | None = None) -> str:
+    listed = "coalesce((SELECT string_agg(j, ',' ORDER BY j) FROM ({})), '')"
+    right = listed.format(edges) if edges else "''"
+    return f"""SELECT '{scope}' AS scope, '{{"nodes":[' || {listed.format(nodes)} || '],"edges":[' || {right} || ']}}' AS document"""
+
+
+_WITHOUT_SYMBOLS = f"{_SCOPES_SQL['endpoint']} UNION ALL {_SCOPES_SQL['sink']}"
+
+
+@register("graph_documents", " UNION ALL ".join([
+    _document_sql("repository", f"{_SCOPES_SQL['symbol']} UNION ALL {_WITHOUT_SYMBOLS}", _SCOPES_SQL["edge"]),
+    _document_sql("symbol", f"{_SCOPES_SQL['symbol']} WHERE o_orderpriority = '1-URGENT' UNION ALL {_WITHOUT_SYMBOLS}", _SCOPES_SQL["edge"]),
+    _document_sql("endpoint", f"{_SCOPES_SQL['endpoint']} WHERE c_name = (SELECT min(c_name) FROM customer)"),
+    _document_sql("path", """SELECT '{"id":"path_step_' || CAST(k AS VARCHAR) || '","kind":"PATH_STEP","node_reference":"' || ['a', 'b'][k] || '","path_id":"p"}' AS j FROM (SELECT unnest([1, 2]) AS k)"""),
+    _document_sql("finding", """SELECT '{"id":"trace_1","kind":"TRACE_NODE","file":"' || s_name || '","line":4,"finding_title":"t"}' AS j FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier)"""),
+]))
+def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph as a document in each of its five scopes."""
+    symbols, endpoints, sinks, edges, evidence = _model(spark, sf_dir)
+    suppliers = table(spark, sf_dir, "supplier")
+    tables = {
+        "symbols": symbols, "endpoints": endpoints, "candidate_sinks": sinks,
+        "scan_candidate_paths": table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "p").otherwise("q").alias("path_id"), F.array(F.lit("a"), F.lit("b")).alias("call_sequence")),
+        "scan_dossiers": suppliers.select(F.col("s_suppkey").cast("string").alias("dossier_id"), F.lit("t").alias("title"), F.array(F.struct(F.col("s_name").alias("file"), F.lit(4).alias("line"))).alias("source_trace")),
+    }
+    keys = {
+        "repository": None, "symbol": "1-URGENT", "endpoint": table(spark, sf_dir, "customer").agg(F.min("c_name")).first()[0], "path": "p",
+        "finding": str(suppliers.agg(F.min("s_suppkey")).first()[0]),
+    }
+    out = None
+    for scope, key in keys.items():
+        nodes = graph_scope(tables.__getitem__, scope, key).withColumnRenamed("node_kind", "kind")
+        links = edges_with_evidence(edges, evidence).drop("edge_id") if scope in ("repository", "symbol") else None
+        one = graph_document(nodes, links).select(F.lit(scope).alias("scope"), "document")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 TRANSITIONS_SQL = """t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS dst FROM events),
 g AS (SELECT src, dst, round(1 - 1.0::DOUBLE / (count(*) + 1), 9) AS confidence FROM t WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)"""
 
@@ -161,7 +236,7 @@ def _reach_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("reach_multi_source", f"WITH {REACH_SQL} SELECT 'c' || CAST(c AS VARCHAR) AS source, 's' || CAST(s AS VARCHAR) AS target, 'o' || CAST(co.o AS VARCHAR) AS via, 2 AS hops, conf AS confidence FROM co JOIN os ON co.o = os.o")
 def reach_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _reach_edges(spark, sf_dir)
+    edges = materialize(_reach_edges(spark, sf_dir), "reach-input")  # read for the starts, the ends and the steps
     starts = edges.filter("src like 'c%'").select(F.col("src").alias("source"))
     ends = edges.filter("dst like 's%'").select(F.col("dst").alias("target"))
     return paths_to_targets(edges, starts, ends, 3).select("source", "target", F.col("nodes")[1].alias("via"), "hops", "confidence")
@@ -170,5 +245,5 @@ def reach_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("best_path", f"""WITH {REACH_SQL} SELECT 'c' || CAST(c AS VARCHAR) AS source, 's' || CAST(s AS VARCHAR) AS node, max(conf) AS confidence, 2 AS hops FROM co JOIN os ON co.o = os.o GROUP BY ALL
 UNION ALL SELECT 'c' || CAST(c AS VARCHAR), 'o' || CAST(o AS VARCHAR), 1.0, 1 FROM co UNION ALL SELECT DISTINCT 'c' || CAST(c AS VARCHAR), 'c' || CAST(c AS VARCHAR), 1.0, 0 FROM co""")
 def best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _reach_edges(spark, sf_dir)
+    edges = materialize(_reach_edges(spark, sf_dir), "reach-input")
     return best_reach(edges, edges.filter("src like 'c%'").select(F.col("src").alias("source")), 3).select("source", "node", "confidence", "hops")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from casegraph import schemas as S
 from casegraph.functions.scoring import finding_fingerprint, priority_score, scan_priority
-from casegraph.operators.graph import edges_with_evidence
-from casegraph.operators.incremental import cached_results, latest_by, reusable_dossiers
+from casegraph.operators.graph import active, edges_with_evidence
+from casegraph.operators.incremental import cached_results, impact_plan, latest_by, reusable_dossiers
 from casegraph.operators.indexer import link_calls
-from casegraph.operators.store import close_scan, delete_files, invalidate_files, upsert
+from casegraph.operators.matching import innermost_symbols, located, pending_paths, placeholder_files, symbol_by_name, symbols_by_name
+from casegraph.operators.store import close_scan, delete_files, invalidate_files, resolve_paths, upsert_table
 from casegraph.operators.triage import first_pushes, pop_order, top
 from casegraph.operators.verify import gate_arguments, gate_bundles
 from casegraph.queries import register, table
@@ -21,23 +22,34 @@ from casegraph.queries.standins import SEVERITY_SQL
 
 @register("join_inner", "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation")
-    return table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
+    sinks = table(spark, sf_dir, "supplier").withColumn("file_id", F.col("s_nationkey"))
+    files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_id"), F.col("n_name").alias("rel_path"))
+    return located(sinks, files).select("s_suppkey", "s_name", F.col("rel_path").alias("n_name"))
 
 
-@register("join_chain3", "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus IN ('O', 'P')")
+def _pending(spark: SparkSession, sf_dir: str, scan_id: str) -> DataFrame:
+    """Orders as paths of one scan per priority, customers as sinks, nations as files."""
+    state = F.when(F.col("o_orderstatus") == "O", "QUEUED").when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("RESOLVED")
+    paths = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path_id"), F.col("o_orderpriority").alias("scan_id"), F.col("o_custkey").alias("sink_id"), state.alias("state"))
+    sinks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sink_id"), F.col("c_nationkey").alias("file_id"), "c_name")
+    files = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_id"), F.col("n_name").alias("rel_path"))
+    return pending_paths(paths, sinks, files, scan_id)
+
+
+@register("join_chain3", "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority = '1-URGENT'")
 def join_chain3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("O", "P"))
-    rows = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+    return _pending(spark, sf_dir, "1-URGENT").select(F.col("path_id").alias("o_orderkey"), "c_name", F.col("rel_path").alias("n_name"))
 
 
-@register("join_chain4", "SELECT l_orderkey, l_linenumber, c_custkey, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'")
+@register("join_chain4", "SELECT l_orderkey * 10 + l_linenumber AS dossier_id, n_name AS rel_path FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' AND n_nationkey % 5 <> 0")
 def join_chain4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
-    rows = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("l_orderkey", "l_linenumber", "c_custkey", "n_name")
+    dossiers = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("dossier_id"), F.col("l_orderkey").alias("path_id"), F.col("l_returnflag").alias("engine_fingerprint")
+    )
+    paths = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path_id"), F.col("o_custkey").alias("sink_id"))
+    sinks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sink_id"), F.col("c_nationkey").alias("file_id"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_id"), F.col("n_name").alias("rel_path"))
+    return reusable_dossiers(dossiers, paths, sinks, nations, nations.filter("file_id % 5 = 0"), "R")
 
 
 def _edges_and_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -65,13 +77,25 @@ def edges_for_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("active_evidence", "SELECT l_orderkey AS edge_id, 1 - l_discount AS confidence FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R'")
 def active_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges_and_evidence(spark, sf_dir)[1].filter("is_active").select("edge_id", "confidence")
+    return active(_edges_and_evidence(spark, sf_dir)[1]).select("edge_id", "confidence")
+
+
+@register("evidence_of_edge", "SELECT l_orderkey AS edge_id, 1 - l_discount AS confidence FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R' AND l_orderkey = (SELECT min(l_orderkey) FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'R')")
+def evidence_of_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = _edges_and_evidence(spark, sf_dir)[1]
+    return active(evidence, active(evidence).agg(F.min("edge_id")).first()[0]).select("edge_id", "confidence")
+
+
+def _impact(spark: SparkSession, sf_dir: str, changed: DataFrame) -> DataFrame:
+    """Customers as files, all indexed and all there."""
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("rel_path"), F.col("c_custkey").alias("file_id"))
+    return impact_plan(changed.select(F.col("o_custkey").cast("string").alias("rel_path")), files, files)
 
 
 @register("anti_unaffected", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def anti_unaffected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
+    plan = _impact(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"))
+    return plan.filter("status = 'UNAFFECTED'").select(F.col("file_id").alias("c_custkey"))
 
 
 @register("anti_reusable", """SELECT 'd' || CAST(o_orderkey AS VARCHAR) AS dossier_id, c_name AS rel_path FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1
@@ -88,8 +112,8 @@ def anti_reusable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("semi_modified", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW')")
 def semi_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = table(spark, sf_dir, "orders").filter("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(low, "c_custkey", "left_semi").select("c_custkey")
+    plan = _impact(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_orderpriority = '5-LOW'"))
+    return plan.filter("status = 'CHANGED'").select(F.col("file_id").alias("c_custkey"))
 
 
 def _model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -164,49 +188,56 @@ def intrafile_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(calls.filter("caller_scope is not null"), symbols)
 
 
-@register("first_match_endpoint", """SELECT s_suppkey AS sink_id, min(c_custkey) AS endpoint_id FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > 5000 GROUP BY s_suppkey""")
-def first_match_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("s_nationkey"), F.col("c_custkey").alias("endpoint_id"))
-    first = near.groupBy("s_nationkey").agg(F.min("endpoint_id").alias("endpoint_id"))  # the first per key before the join, not after it
-    return table(spark, sf_dir, "supplier").join(first, "s_nationkey", "left").select(F.col("s_suppkey").alias("sink_id"), "endpoint_id")
-
-
-@register("placeholder_rows", """SELECT DISTINCT CAST(l_suppkey * 2 AS VARCHAR) AS rel_path, 'unknown' AS language, CAST(1 AS BIGINT) AS loc FROM lineitem WHERE l_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier)""")
+@register("placeholder_rows", """SELECT DISTINCT CAST(l_suppkey * 2 AS VARCHAR) AS rel_path, 'unknown' AS language, 'unknown' AS file_hash, CAST(1 AS BIGINT) AS loc FROM lineitem WHERE l_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier)""")
 def placeholder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).alias("k")).distinct()
-    missing = items.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k", "left_anti")
-    return missing.select(F.col("k").cast("string").alias("rel_path"), F.lit("unknown").alias("language"), F.lit(1).cast("long").alias("loc"))
-
-
-# One upsert per table of the model: (key, columns with the value in base and in delta). What the model keeps is kept.
-_UPSERTS: dict[str, tuple[str, dict[str, tuple[str, str]]]] = {
-    "files": ("rel_path", {"file_id": ("o_orderkey", "-1"), "rel_path": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "file_hash": ("o_orderstatus", "o_orderpriority"), "loc": ("o_custkey", "o_custkey + 1")}),
-    "symbols": ("name,kind", {"symbol_id": ("o_orderkey", "-1"), "name": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "kind": ("o_orderstatus",) * 2, "end_line": ("1", "2"), "scope": ("'a'", "o_orderpriority")}),
-    "endpoints": ("route_pattern,http_method", {"endpoint_id": ("o_orderkey", "-1"), "route_pattern": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "http_method": ("'GET'", "'GET'"), "auth_state": ("'UNKNOWN'", "'REQUIRED'")}),
-    "candidate_sinks": ("line_number,raw_rule_id", {"sink_id": ("o_orderkey", "-1"), "line_number": ("o_orderkey",) * 2, "raw_rule_id": ("'r'", "'r'"), "cwe_id": ("'CWE-1'", "'CWE-2'"), "vuln_class": ("'RCE'", "'SQLI'")}),
-    "graph_edges": ("caller_symbol_id,callee_symbol_id", {"edge_id": ("o_orderkey", "-1"), "caller_symbol_id": ("o_orderkey",) * 2, "callee_symbol_id": ("o_custkey",) * 2}),
-    "vendor_signatures": ("package_name,api_name", {"sig_id": ("o_orderkey", "-1"), "package_name": ("o_orderpriority",) * 2, "api_name": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "potential_sink_class": ("'RCE'", "'SSRF'")}),
-    "scans": ("scan_id", {"scan_id": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "status": ("'INDEXING'", "'COMPLETED'")}),
-    "scan_candidate_paths": ("path_id", {"path_id": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "sink_id": ("o_custkey", "-1"), "state": ("'QUEUED'", "'RESOLVED'"), "hop_count": ("1", "9"), "priority_score": ("CAST(0.5 AS DOUBLE)", "CAST(0.9 AS DOUBLE)")}),
-    "scan_dossiers": ("dossier_id", {"dossier_id": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "title": ("'old'", "'new'"), "severity": ("'LOW'", "'HIGH'"), "verdict": ("'SAFE_PROVEN'", "'EXPLOITABLE'"), "confidence": ("CAST(0.5 AS DOUBLE)", "CAST(0.9 AS DOUBLE)")}),
+    names = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).cast("string").alias("rel_path"))
+    return placeholder_files(names, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("rel_path")))
+
+
+@register("innermost_symbols", """WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS file_id, CAST(l_quantity AS INTEGER) * 3 AS line FROM lineitem),
+s AS (SELECT p_partkey AS k, p_partkey % 40 + 1 AS file_id, p_size * 2 AS a, p_size * 2 + p_partkey % 90 AS b FROM part),
+h AS (SELECT DISTINCT f.file_id, line, k, a FROM f JOIN s ON s.file_id = f.file_id AND line BETWEEN a AND b),
+o AS (SELECT file_id, line, k FROM h QUALIFY row_number() OVER (PARTITION BY file_id, line ORDER BY a DESC, k) = 1)
+SELECT id, k AS symbol_id FROM f LEFT JOIN o ON o.file_id = f.file_id AND o.line = f.line""")
+def innermost_symbols_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("file_id"), (F.col("l_quantity").cast("int") * 3).alias("line_number")
+    )
+    start = F.col("p_size").cast("int") * 2
+    symbols = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("symbol_id"), (F.col("p_partkey") % 40 + 1).alias("file_id"), start.alias("start_line"), (start + (F.col("p_partkey") % 90).cast("int")).alias("end_line")
+    )
+    return innermost_symbols(found, symbols).select("id", "symbol_id")
+
+
+# One upsert per table of the model: columns with the value in base, in delta, and, where the model normalises it, what is stored of the delta.
+_UPSERTS: dict[str, dict[str, tuple[str, ...]]] = {
+    "files": {"file_id": ("o_orderkey", "-1"), "rel_path": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "file_hash": ("o_orderstatus", "o_orderpriority"), "loc": ("o_custkey", "o_custkey + 1"), "runtime_role": ("'MIDDLEWARE'", "CAST(NULL AS VARCHAR(20))", "'UNKNOWN'")},
+    "symbols": {"symbol_id": ("o_orderkey", "-1"), "file_id": ("o_custkey",) * 2, "name": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "kind": ("'CLASS'", "'CLASS'"), "start_line": ("3", "3"), "start_col": ("4", "4"), "end_line": ("5", "6"), "scope": ("'a'", "o_orderpriority")},
+    "endpoints": {"endpoint_id": ("o_orderkey", "-1"), "file_id": ("o_custkey",) * 2, "route_pattern": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "http_method": ("'GET'", "'get'", "'GET'"), "line_number": ("7", "7"), "auth_state": ("'REQUIRED'", "CAST(NULL AS VARCHAR(20))", "'UNKNOWN'")},
+    "candidate_sinks": {"sink_id": ("o_orderkey", "-1"), "file_id": ("o_custkey",) * 2, "line_number": ("CAST(o_orderkey AS INTEGER)",) * 2, "raw_rule_id": ("'r'", "'r'"), "cwe_id": ("'CWE-1'", "'CWE-2'"), "symbol_id": ("o_custkey", "-2"), "vuln_class": ("'RCE'", "'SQLI'"), "triage_severity": ("'LOW'", "'high'", "'HIGH'")},
+    "graph_edges": {"edge_id": ("o_orderkey", "-1"), "caller_symbol_id": ("o_orderkey",) * 2, "callee_symbol_id": ("o_custkey",) * 2, "edge_type": ("'CALLS'", "'CALLS'")},
+    "vendor_signatures": {"sig_id": ("o_orderkey", "-1"), "package_name": ("o_orderpriority",) * 2, "api_name": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "potential_sink_class": ("'RCE'", "'SSRF'")},
+    "scans": {"scan_id": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "status": ("'INDEXING'", "'COMPLETED'"), "target_path": ("o_orderstatus", "o_orderpriority")},
+    "scan_candidate_paths": {"path_id": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "sink_id": ("o_custkey", "-1"), "state": ("'QUEUED'", "'RESOLVED'"), "hop_count": ("1", "9"), "priority_score": ("CAST(0.5 AS DOUBLE)", "CAST(0.9 AS DOUBLE)")},
+    "scan_dossiers": {"dossier_id": ("CAST(o_orderkey AS VARCHAR(20))",) * 2, "title": ("'old'", "'new'"), "severity": ("'LOW'", "'HIGH'"), "verdict": ("'SAFE_PROVEN'", "'EXPLOITABLE'"), "confidence": ("CAST(0.5 AS DOUBLE)", "CAST(0.9 AS DOUBLE)")},
 }
 
 
 def _upsert_sql(name: str) -> str:
-    key, columns = _UPSERTS[name]
-    keys = key.split(",")
-    kept = set(S.TABLES[name].kept)
-    base = ", ".join(f"{b} AS {c}" for c, (b, _) in columns.items())
-    delta = ", ".join(f"{d} AS {c}" for c, (_, d) in columns.items())
-    on = " AND ".join(f"b.{k} = d.{k}" for k in keys)
+    columns, spec = _UPSERTS[name], S.TABLES[name]
+    base = ", ".join(f"{v[0]} AS {c}" for c, v in columns.items())
+    delta = ", ".join(f"{v[-1]} AS {c}" for c, v in columns.items())
+    on = " AND ".join(f"b.{k} = d.{k}" for k in spec.key)
+    first = spec.key[0]
     out = []
     for c in columns:
-        if c in keys:
+        if c in spec.key:
             out.append(f"coalesce(b.{c}, d.{c}) AS {c}")
-        elif c in kept:
-            out.append(f"CASE WHEN b.{keys[0]} IS NOT NULL THEN b.{c} ELSE d.{c} END AS {c}")
+        elif c in spec.kept:
+            out.append(f"CASE WHEN b.{first} IS NOT NULL THEN b.{c} ELSE d.{c} END AS {c}")
         else:
-            out.append(f"CASE WHEN d.{keys[0]} IS NOT NULL THEN d.{c} ELSE b.{c} END AS {c}")
+            out.append(f"CASE WHEN d.{first} IS NOT NULL THEN d.{c} ELSE b.{c} END AS {c}")
     return (
         f"WITH b AS (SELECT {base} FROM orders WHERE o_orderkey % 3 <> 0), d AS (SELECT {delta} FROM orders WHERE o_orderkey % 2 = 0) "
         f"SELECT {', '.join(out)} FROM b FULL JOIN d ON {on}"
@@ -215,14 +246,14 @@ def _upsert_sql(name: str) -> str:
 
 def _upsert_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key, columns = _UPSERTS[name]
+        columns, key = _UPSERTS[name], S.TABLES[name].key
         orders = table(spark, sf_dir, "orders")
-        base = orders.filter("o_orderkey % 3 <> 0").selectExpr(*[f"{b} AS {c}" for c, (b, _) in columns.items()])
+        base = S.evolve(orders.filter("o_orderkey % 3 <> 0").selectExpr(*[f"{v[0]} AS {c}" for c, v in columns.items()]), name)
         # Every row arrives twice; the first arrival differs and must lose.
         changed = orders.filter("o_orderkey % 2 = 0")
-        late = changed.selectExpr(*[f"{d} AS {c}" for c, (_, d) in columns.items()], "2 AS seq")
-        early = changed.selectExpr(*[f"{d if c in key.split(',') else 'CAST(NULL AS ' + late.schema[c].dataType.simpleString() + ')'} AS {c}" for c, (_, d) in columns.items()], "1 AS seq")
-        return upsert(base, late.unionByName(early), key.split(","), list(S.TABLES[name].kept), "seq")
+        late = changed.selectExpr(*[f"{v[1]} AS {c}" for c, v in columns.items()], "2 AS seq")
+        early = changed.selectExpr(*[f"{v[1] if c in key else 'CAST(NULL AS ' + late.schema[c].dataType.simpleString() + ')'} AS {c}" for c, v in columns.items()], "1 AS seq")
+        return upsert_table(name, base, late.unionByName(early), "seq").select(*columns)
 
     return run
 
@@ -231,11 +262,32 @@ for _name in _UPSERTS:
     register(f"upsert_{_name}", _upsert_sql(_name))(_upsert_query(_name))
 
 
-@register("append_evidence", "SELECT edge_id, count(*) AS n FROM (SELECT l_orderkey AS edge_id FROM lineitem UNION ALL SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) GROUP BY edge_id")
+@register("surrogate_ids", "SELECT CAST(o_orderkey AS VARCHAR) AS rel_path, true AS stable, CAST(1 AS BIGINT) AS n FROM orders")
+def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows get ids from their keys: the same in every run, and one row each."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("rel_path"))
+    empty = S.evolve(rows.limit(0), "files")
+    once, again = (upsert_table("files", empty, df).select("rel_path", "file_id") for df in (rows, rows.repartition(3, "rel_path")))
+    both = once.join(again.withColumnRenamed("file_id", "other"), "rel_path")
+    shared = once.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    return both.join(shared, "file_id").select("rel_path", (F.col("file_id") == F.col("other")).alias("stable"), "n")
+
+
+@register("append_evidence", "SELECT edge_id, count(*) AS n, bool_and(is_active) AS is_active FROM (SELECT l_orderkey AS edge_id, l_returnflag <> 'R' AS is_active FROM lineitem UNION ALL SELECT l_orderkey, true FROM lineitem WHERE l_linenumber = 1) GROUP BY edge_id")
 def append_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edge_id"), "l_linenumber")
-    both = line.unionByName(line.filter("l_linenumber = 1"))
-    return both.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"))
+    line = table(spark, sf_dir, "lineitem")
+    base = S.evolve(line.select(F.col("l_orderkey").alias("edge_id"), (F.col("l_returnflag") != "R").alias("is_active")), "graph_edge_evidence")
+    both = upsert_table("graph_edge_evidence", base, line.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("edge_id")))
+    return both.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("is_active").alias("is_active"))
+
+
+@register("resolve_paths", "SELECT o_orderkey AS path_id, CASE WHEN o_orderkey % 3 = 0 THEN 'RESOLVED' ELSE 'QUEUED' END AS state, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0.75 ELSE 1.0 END AS DOUBLE) AS reachability_confidence, o_orderkey % 3 = 0 AS touched FROM orders")
+def resolve_paths_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("path_id"), F.lit("QUEUED").alias("state"), F.lit(1.0).alias("reachability_confidence"), F.lit(None).cast("timestamp").alias("updated_at")
+    )
+    found = paths.filter("path_id % 3 = 0").select("path_id", F.lit(0.75).alias("reachability_confidence"))
+    return resolve_paths(paths, found).select("path_id", "state", "reachability_confidence", F.col("updated_at").isNotNull().alias("touched"))
 
 
 @register("status_transition", "SELECT CAST(o_orderkey AS VARCHAR) AS scan_id, CASE WHEN o_orderkey = 32 THEN 'COMPLETED' ELSE 'INDEXING' END AS status, o_orderkey = 32 AS closed, 'old' AS stat FROM orders")
@@ -248,10 +300,9 @@ def status_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scan_id", "status", F.col("completed_at").isNotNull().alias("closed"), F.col("stats")["k"].alias("stat"))
 
 
-@register("resume_pending", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'QUEUED' WHEN 'P' THEN 'RUNNING' ELSE 'RESOLVED' END AS state FROM orders WHERE o_orderstatus <> 'F'")
+@register("resume_pending", """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'QUEUED' ELSE 'RUNNING' END AS state FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AND o_orderpriority = '5-LOW'""")
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.when(F.col("o_orderstatus") == "O", "QUEUED").when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("RESOLVED")
-    return table(spark, sf_dir, "orders").select("o_orderkey", state.alias("state")).filter(F.col("state").isin(*S.PENDING_STATES))
+    return _pending(spark, sf_dir, "5-LOW").select(F.col("path_id").alias("o_orderkey"), "state")
 
 
 @register("latest_cached", """SELECT o_orderkey AS dossier_id, o_custkey AS path_id, o_orderpriority AS engine_fingerprint FROM orders WHERE o_custkey % 2 = 0
@@ -269,9 +320,18 @@ def latest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by(table(spark, sf_dir, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("name"))
+
+
 @register("lookup_by_name", "SELECT min(p_partkey) AS symbol_id, p_brand AS name FROM part GROUP BY p_brand")
 def lookup_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("symbol_id"))
+    return symbols_by_name(_symbols(spark, sf_dir))
+
+
+@register("lookup_first", "SELECT p_partkey AS symbol_id, p_brand AS name FROM part WHERE p_brand = 'Brand#13' ORDER BY p_partkey LIMIT 1")
+def lookup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbol_by_name(_symbols(spark, sf_dir), "Brand#13")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:

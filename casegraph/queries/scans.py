@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.functions.text import basename, extension, first_json, last_segment, line_count, python_round, scrub, stem, strip, title_case
-from casegraph.operators.classify import API_CLASSES, ROLE_RULES, RULE_CLASSES, SCOPE_RULES, api_class, classify_scope, eligible, rule_class, tool_severity
-from casegraph.operators.incremental import change_feed, impact_plan, snapshot_diff
+from casegraph.operators.classify import API_CLASSES, ROLE_RULES, RULE_CLASSES, SCOPE_RULES, api_class, authz_relevant, classify_scope, eligible, rule_class, tool_severity
+from casegraph.operators.incremental import all_changed, change_feed, impact_plan, snapshot_diff
+from casegraph.operators.matching import files_in_order, gated_items, indexable
 from casegraph.operators.routes import identify_framework
 from casegraph.queries import register, table
+from casegraph.operators.store import Store
 from casegraph.queries.standins import FILES_SQL, files
+from casegraph.scratch import materialize, new_path
 from casegraph.sources.files import describe_files, grep, hydrate_snippet, is_vendor, language_of, line_range, lines_of
-from casegraph.sources.tools import read_endpoints, read_findings, read_secrets
+from casegraph.sources.tools import read_endpoints, read_findings, read_secrets, read_tools
 
 LINES_SQL = """lines AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents),
@@ -226,3 +229,77 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def python_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", python_round(F.col("l_extendedprice")).alias("price"))
 
+
+@register("indexable_files", f"SELECT doc_id FROM ({FILES_SQL}) WHERE NOT list_has_any(string_split(rel_path, '/'), ['node_modules','vendor','site-packages','.venv','venv'])")
+def indexable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexable(files(spark, sf_dir).withColumn("is_vendor", is_vendor(F.col("rel_path")))).select("doc_id")
+
+
+@register("authz_paths", f"SELECT doc_id FROM ({FILES_SQL}) WHERE regexp_matches(lower(rel_path), 'route|controller|server|app')")
+def authz_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).filter(authz_relevant(F.col("rel_path"))).select("doc_id")
+
+
+@register("files_by_id", f"SELECT doc_id AS file_id, rel_path, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS place FROM ({FILES_SQL})")
+def files_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files_in_order(files(spark, sf_dir).select(F.col("doc_id").alias("file_id"), "rel_path"))
+    # Sorted parts follow each other: a row's place is its place in its part after all parts before.
+    numbered = materialize(rows.select("file_id", "rel_path", F.monotonically_increasing_id().alias("n")), "files-by-id")
+    part, inside = F.shiftright("n", 33), F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("first"))
+    return numbered.withColumn("p", part).join(before, "p").select("file_id", "rel_path", (F.col("first") + inside + 1).cast("long").alias("place"))
+
+
+@register("tool_gate", f"""WITH s AS ({SCOPE_SQL}), f AS (SELECT doc_id, rel_path FROM ({FILES_SQL})), k AS (SELECT DISTINCT rel_path, execution_domain FROM f JOIN s USING (doc_id) WHERE NOT starts_with(rel_path, 'p0/')),
+i AS (SELECT doc_id, rel_path, CASE WHEN doc_id % 2 = 0 THEN 'SECRETS' ELSE 'SSRF' END AS vuln_class FROM f)
+SELECT doc_id, vuln_class FROM i LEFT JOIN k USING (rel_path) WHERE execution_domain IS NULL OR NOT (execution_domain IN ('TEST_MOCK','VENDOR_DEPENDENCY','BUILD_OUTPUT_GENERATED','DATA_SEED_TUTORIAL')
+OR execution_domain = 'CI_CD_PIPELINE' AND vuln_class = 'SSRF' OR execution_domain = 'INFRASTRUCTURE_IAC' AND vuln_class = 'SSRF')""")
+def tool_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scoped = _scoped(spark, sf_dir)
+    items = scoped.select("doc_id", "rel_path", F.when(F.col("doc_id") % 2 == 0, "SECRETS").otherwise("SSRF").alias("vuln_class"))
+    discovered = scoped.filter("not startswith(rel_path, 'p0/')").select("rel_path", "execution_domain").distinct()
+    return gated_items(items, discovered, F.col("vuln_class")).select("doc_id", "vuln_class")
+
+
+@register("tool_outputs", """SELECT event_id, 'endpoints' AS kind FROM events UNION ALL SELECT doc_id, 'secrets' FROM documents""")
+def tool_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tools asked for, one without output and one unknown among them."""
+    endpoints = table(spark, sf_dir, "events").select(F.concat(F.lit('{"endpoints":[{"url":"'), F.col("event_id"), F.lit('"}]}')).alias("raw"))
+    secrets = table(spark, sf_dir, "documents").select(F.concat(F.lit('{"file":"'), F.col("doc_id"), F.lit('","Raw":"k"}')).alias("raw"))
+    found = read_tools({"noir": endpoints, "semgrep": None, "trufflehog": secrets, "unheard-of": endpoints})
+    assert set(found) == {"endpoints", "secrets"}
+    left = found["endpoints"].select(F.col("route_pattern").cast("long").alias("event_id"), F.lit("endpoints").alias("kind"))
+    return left.unionByName(found["secrets"].select(F.col("rel_path").cast("long").alias("event_id"), F.lit("secrets").alias("kind")))
+
+
+@register("findings_hydrated", f"""WITH {LINES_SQL}
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'given' WHEN len(ls) >= 2 THEN trim(ls[2]) WHEN doc_id % 3 = 1 THEN 'requires login' ELSE 'm' END AS expression FROM cut""")
+def findings_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.when(F.col("doc_id") % 3 == 0, "given").when(F.col("doc_id") % 3 == 1, "requires login").otherwise("")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), "text", "doc_id")
+    raw = docs.select(F.concat(
+        F.lit('{"results":[{"check_id":"r","path":"'), "rel_path", F.lit('","start":{"line":2},"extra":{"message":"m","lines":"'), shown, F.lit('"}}]}')
+    ).alias("raw"))
+    found = read_findings(raw, files=docs.select("rel_path", "text"))
+    return found.select(F.col("rel_path").cast("long").alias("doc_id"), F.col("sink_expression").alias("expression"))
+
+
+@register("all_changed", "SELECT DISTINCT 'd' || CAST(doc_id % 40 AS VARCHAR) || '/x' AS rel_path FROM documents WHERE doc_id % 40 <> 3")
+def all_changed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("doc_id") % 40
+    folder = F.when(number == 3, ".audit").otherwise(F.concat(F.lit("d"), number.cast("string")))
+    return all_changed(table(spark, sf_dir, "documents").select(F.concat(folder, F.lit("/x")).alias("rel_path")))
+
+
+@register("store_commit", """SELECT 'files' AS t, CAST(o_orderkey AS VARCHAR) AS k, 'APPLICATION_RUNTIME' AS v FROM orders UNION ALL SELECT 'scans', CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN 'COMPLETED' ELSE 'INITIALIZING' END FROM customer""")
+def store_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables committed together, one of them changed later, a third written but not committed."""
+    store = Store(spark, new_path(spark, "store"))
+    paths = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("rel_path"))
+    scans = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("scan_id"))
+    store.commit({"files": store.merged("files", paths), "scans": store.merged("scans", scans)})
+    store.update("scans", lambda s: s.withColumn("status", F.when(F.col("scan_id").cast("long") % 2 == 0, "COMPLETED").otherwise(F.col("status"))))
+    scans.limit(0).write.parquet(f"{store.root}/files/v9")
+    left = store.read("files").select(F.lit("files").alias("t"), F.col("rel_path").alias("k"), F.col("execution_domain").alias("v"))
+    return left.unionByName(store.read("scans").select(F.lit("scans").alias("t"), F.col("scan_id").alias("k"), F.col("status").alias("v")))
