@@ -106,8 +106,8 @@ def href_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", found.alias("m")).select("page_id", F.col("m.g1").alias("route"))
 
 
-@register("match_line_numbers", """WITH p AS (SELECT doc_id, string_split(text, 'th') AS g FROM documents), q AS (SELECT doc_id, unnest(range(1, len(g))) AS k, g FROM p)
-SELECT doc_id, k, CAST(len(string_split(array_to_string(g[1:k], 'th'), chr(10))) AS INTEGER) AS line FROM q WHERE k <= 20""")
+@register("match_line_numbers", """WITH p AS (SELECT doc_id, string_split(text, 'th') AS g FROM documents), q AS (SELECT doc_id, unnest(range(1, len(g) + 1)) AS k, unnest(g) AS part, len(g) AS n FROM p)
+SELECT doc_id, k, CAST(line AS INTEGER) AS line FROM (SELECT doc_id, k, n, sum(length(part) - length(replace(part, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY k) + 1 AS line FROM q) WHERE k < n""")
 def match_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.explode(matches_with_lines(F.col("text"), "(th)", 1))
     rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("m"))
