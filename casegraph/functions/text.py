@@ -37,6 +37,14 @@ def line_count(text: Column) -> Column:
     return F.size(splitlines(text)).cast("long")
 
 
+def any_of(text: Column, marks: tuple[str, ...]) -> Column:
+    """Whether the text holds one of the marks."""
+    out = F.lit(False)
+    for mark in marks:
+        out = out | F.contains(text, F.lit(mark))
+    return out
+
+
 def posix(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegraph.functions.text import extension, posix
+from casegraph.functions.text import any_of, extension, posix
 
 # Scope rules in order; a path matches if its lower-case form contains one of the marks.
 # (domain, role, environment, confidence, evidence, marks, extensions)
@@ -61,13 +61,6 @@ INFRASTRUCTURE_DETECTORS = ("INFRASTRUCTURE_CONFIG", "SECRETS")
 AUTHZ_PATHS = ("route", "controller", "server", "app")
 
 
-def any_of(text: Column, marks: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for mark in marks:
-        out = out | F.contains(text, F.lit(mark))
-    return out
-
-
 def first_class(text: Column, table: tuple[tuple[str, tuple[str, ...]], ...], otherwise: Column) -> Column:
     out = None
     for name, marks in table:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casegraph.functions.text import strip
+from casegraph.functions.text import any_of, strip
 
 #: A word starts or ends here (letters, digits and _ of any script).
 START, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -27,6 +27,8 @@ class Pattern:
     severity: str | None = None
     cwe: str | None = None
     context: str | None = None
+    #: Plain texts of which a line with a match holds one at least; the expression runs on such lines only.
+    marks: tuple[str, ...] = ()
 
 
 def _calls(*names: str) -> str:
@@ -35,32 +37,32 @@ def _calls(*names: str) -> str:
 
 # The patterns of untrusted sources.
 SOURCES = tuple(
-    Pattern("SOURCE", name, rf"{START}(?:req|request)\.{part}(?:\.[a-zA-Z0-9_$]+)?{END}")
+    Pattern("SOURCE", name, rf"{START}(?:req|request)\.{part}(?:\.[a-zA-Z0-9_$]+)?{END}", marks=(f".{part}",))
     for name, part in (
         ("HTTP_BODY", "body"), ("HTTP_QUERY", "query"), ("HTTP_PARAMS", "params"), ("HTTP_HEADERS", "headers"), ("HTTP_COOKIES", "cookies"),
     )
 )
 # The patterns of transforms.
 TRANSFORMS = (
-    Pattern("TRANSFORM", "PATH_CONSTRUCTION", _calls(r"path\.join", r"os\.path\.join")),
-    Pattern("TRANSFORM", "TYPE_CONSTRAINT", _calls("parseInt", "Number", "parseFloat", "int", "float")),
-    Pattern("TRANSFORM", "ENCODING_DECODING", _calls("decodeURIComponent", "unquote", "b64decode")),
-    Pattern("TRANSFORM", "SANITIZER", _calls("sanitize", "escapeHtml", "DOMPurify")),
+    Pattern("TRANSFORM", "PATH_CONSTRUCTION", _calls(r"path\.join", r"os\.path\.join"), marks=("path.join",)),
+    Pattern("TRANSFORM", "TYPE_CONSTRAINT", _calls("parseInt", "Number", "parseFloat", "int", "float"), marks=("Int", "Number", "Float", "int", "float")),
+    Pattern("TRANSFORM", "ENCODING_DECODING", _calls("decodeURIComponent", "unquote", "b64decode"), marks=("decode", "unquote")),
+    Pattern("TRANSFORM", "SANITIZER", _calls("sanitize", "escapeHtml", "DOMPurify"), marks=("sanitize", "escapeHtml", "DOMPurify")),
 )
 # The patterns of sinks with their class, severity, weakness number and context.
 SINKS = (
     Pattern("SINK", "SSRF", _calls(r"(?:needle|axios|urllib\.request|requests)\.(?:get|post|put|delete|head)", "fetch", "request"),
-            "CRITICAL", "CWE-918", "HTTP_REQUEST"),
+            "CRITICAL", "CWE-918", "HTTP_REQUEST", (".get", ".post", ".put", ".delete", ".head", "fetch", "request")),
     Pattern("SINK", "XXE", _calls(r"(?:libxmljs\.)?parseXmlString", r"xml2js\.parseString", r"etree\.fromstring"),
-            "CRITICAL", "CWE-611", "XML_PARSING"),
-    Pattern("SINK", "NOSQLI", START + r"(?:[a-zA-Z0-9_$]+\.)+find(?:One)?\s*\(\s*\{.*?\$(?:where|regex)", "HIGH", "CWE-943", "NOSQL_QUERY"),
-    Pattern("SINK", "SQLI", _calls(r"(?:models\.)?sequelize\.query", r"db\.raw", r"cursor\.execute"), "CRITICAL", "CWE-89", "SQL_EXECUTION"),
-    Pattern("SINK", "PATH_TRAVERSAL", _calls(r"res\.sendFile", r"fs\.readFile", r"fs\.readFileSync", "open"), "HIGH", "CWE-22", "FILESYSTEM_ACCESS"),
+            "CRITICAL", "CWE-611", "XML_PARSING", ("parseXmlString", "parseString", "fromstring")),
+    Pattern("SINK", "NOSQLI", START + r"(?:[a-zA-Z0-9_$]+\.)+find(?:One)?\s*\(\s*\{.*?\$(?:where|regex)", "HIGH", "CWE-943", "NOSQL_QUERY", ("find",)),
+    Pattern("SINK", "SQLI", _calls(r"(?:models\.)?sequelize\.query", r"db\.raw", r"cursor\.execute"), "CRITICAL", "CWE-89", "SQL_EXECUTION", ("sequelize.query", "db.raw", "cursor.execute")),
+    Pattern("SINK", "PATH_TRAVERSAL", _calls(r"res\.sendFile", r"fs\.readFile", r"fs\.readFileSync", "open"), "HIGH", "CWE-22", "FILESYSTEM_ACCESS", ("sendFile", "readFile", "open")),
     Pattern("SINK", "RCE", _calls(r"child_process\.exec", r"os\.system", r"os\.popen", r"subprocess\.(?:Popen|run|call)", "eval", r"vm\.runInContext", r"new\s+Function"),
-            "CRITICAL", "CWE-78", "COMMAND_EXECUTION"),
-    Pattern("SINK", "DESERIALIZATION", _calls(r"yaml\.load", r"pickle\.loads", "unserialize"), "HIGH", "CWE-502", "OBJECT_DESERIALIZATION"),
+            "CRITICAL", "CWE-78", "COMMAND_EXECUTION", ("process.exec", "os.system", "os.popen", "subprocess", "eval", "runInContext", "Function")),
+    Pattern("SINK", "DESERIALIZATION", _calls(r"yaml\.load", r"pickle\.loads", "unserialize"), "HIGH", "CWE-502", "OBJECT_DESERIALIZATION", ("yaml.load", "pickle.loads", "unserialize")),
     Pattern("SINK", "XSS", rf"!=[^\n]+|\|\s*safe{END}|{START}(?:dangerouslySetInnerHTML|bypassSecurityTrustHtml|bypassSecurityTrustScript){END}",
-            "HIGH", "CWE-79", "TEMPLATE_HTML_OUTPUT"),
+            "HIGH", "CWE-79", "TEMPLATE_HTML_OUTPUT", ("!=", "|", "dangerouslySetInnerHTML", "bypassSecurityTrust")),
 )
 TEMPLATE_SUFFIXES = (".pug", ".jade", ".ejs")
 
@@ -77,10 +79,18 @@ def detect(lines: DataFrame, patterns: tuple[Pattern, ...], text_col: str = "tex
             (F.lit(place << 40) + j).cast("long").alias("ord"),
         )
 
-    matches = [F.regexp_extract_all(F.col(text_col), F.lit(p.regex), F.lit(0)) for p in patterns]
-    found = [F.transform(m, struct_of(i, p)) for i, (m, p) in enumerate(zip(matches, patterns, strict=True))]
-    # One alternation tells lines without any match apart before the arrays are built.
-    some = F.col(text_col).rlike("|".join(f"(?:{p.regex})" for p in patterns))
+    text = F.col(text_col)
+
+    def matches(p: Pattern) -> Column:
+        every = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
+        return F.when(any_of(text, p.marks), every).otherwise(F.array().cast("array<string>")) if p.marks else every
+
+    found = [F.transform(matches(p), struct_of(i, p)) for i, p in enumerate(patterns)]
+    # Lines without any mark are told apart before the arrays are built.
+    bare = [p.regex for p in patterns if not p.marks]
+    some = any_of(text, tuple(sorted({m for p in patterns for m in p.marks})))
+    if bare:
+        some = some | text.rlike("|".join(f"(?:{r})" for r in bare))
     rows = lines.filter(some).withColumn("_m", F.explode(F.concat(*found)))
     return rows.select(*lines.columns, "_m.*")
 

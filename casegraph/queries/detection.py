@@ -15,12 +15,12 @@ from casegraph.sources.files import lines_of, stripped_code_lines
 
 #: A matrix for the shared tables' texts, where web code is rare.
 TEXT_MATRIX = (
-    Pattern("SECRET", "TOKEN", r'token = "[0-9a-f]+"', "CRITICAL", "CWE-798"),
-    Pattern("LICENSE", "GPL", r"GNU General Public License, version [0-9]", "INFO"),
-    Pattern("LICENSE", "APACHE", r"Apache License", "INFO"),
+    Pattern("SECRET", "TOKEN", r'token = "[0-9a-f]+"', "CRITICAL", "CWE-798", marks=('token = "',)),
+    Pattern("LICENSE", "GPL", r"GNU General Public License, version [0-9]", "INFO", marks=("GNU General",)),
+    Pattern("LICENSE", "APACHE", r"Apache License", "INFO", marks=("Apache License",)),
     Pattern("PII", "ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "MEDIUM"),
 )
-PAGE_MATRIX = (Pattern("SINK", "CALL", r"track\([0-9]+\)", "LOW"),)
+PAGE_MATRIX = (Pattern("SINK", "CALL", r"track\([0-9]+\)", "LOW", marks=("track(",)),)
 
 
 def _matrix_sql(patterns: tuple[Pattern, ...], source: str, columns: str, plain: bool = False) -> str:
