@@ -53,6 +53,13 @@ def test_scan_diff_report_resume(spark, repository, tmp_path):
     assert sarif["version"] == "2.1.0" and len(sarif["runs"][0]["results"]) == 2
     assert len(json.loads(report(spark, audit, scan_id, "graph"))["nodes"]) == 6
 
+    graph = json.loads(report(spark, audit, scan_id, "graph"))
+    assert {n["kind"] for n in graph["nodes"]} == {"SYMBOL", "ENDPOINT", "SINK"} and set(graph["edges"][0]) == {"caller_symbol_id", "callee_symbol_id", "edge_type", "provenance", "confidence"}
+    scopes = {"symbol": "helper", "endpoint": "/api/v1/login", "path": path["path_id"], "finding": ssrf["dossier_id"]}
+    sizes = {scope: len(json.loads(report(spark, audit, None, "graph", scope, key))["nodes"]) for scope, key in scopes.items()}
+    assert sizes == {"symbol": 4, "endpoint": 1, "path": 4, "finding": 1}
+    assert json.loads(report(spark, audit, None, "graph", "path", "nowhere")) == {"nodes": [], "edges": []}
+
     edges = store.read("graph_edges").count()
     assert resume(spark, audit, scan_id) == 0
     assert store.read("graph_edges").count() == edges
@@ -78,6 +85,31 @@ def test_index():
         assert not broken.symbols
 
 
+def test_index_by_grammar():
+    go = index_source('package p\nimport "fmt"\n// func no() {}\nfunc Run[T any](a T) {\n\tif (true) { fmt.Println("f(", a) }\n}\nfunc (r *R) Method() { help() }\n', "go")
+    assert [(s[0], s[1], s[2], s[4]) for s in go.symbols] == [("Run", "FUNCTION", 4, 6)] and [(c[0], c[3]) for c in go.calls] == [("fmt.Println", "global.Run"), ("Method", "global"), ("help", "global")]
+    java = index_source("package a;\n/* class No {} */ public class A { class B { void m() {} } }\nclass C {}\n", "java")
+    assert [(s[0], s[7]) for s in java.symbols] == [("A", "global"), ("B", "global.A"), ("C", "global")] and not java.calls
+    php = index_source("<?php\n# function no() {}\nfunction a($x) { return '}'; }\nclass K { function m() { if (1) { } } }\nfunction b() {}\n", "php")
+    assert [(s[0], s[1]) for s in php.symbols] == [("a", "FUNCTION"), ("K", "CLASS"), ("b", "FUNCTION")]
+    ruby = index_source("# skip(1)\nuser.find(1)\nputs('x(y)')\nif (a) then save!(b) end\n", "ruby")
+    assert [c[0] for c in ruby.calls] == ["user.find", "puts", "save!"] and not ruby.symbols
+    for name in ("go", "java", "php", "ruby"):
+        assert index_source("}" * 50 + "{" * 50, name) is not None
+
+
+@pytest.mark.parametrize("way", ["names", "everything"])
+def test_diff_by_other_feeds(spark, repository, tmp_path, way):
+    audit = str(tmp_path / "audit")
+    scan(spark, str(repository), audit)
+    names = spark.createDataFrame([("app.py",), ("routes\\login.js",)], "rel_path string")
+    plan = diff(spark, str(repository), audit, everything=way == "everything", **({"tracked": names} if way == "names" else {}))
+    changed = {r["rel_path"] for r in plan.paths.filter("status = 'CHANGED'").collect()}
+    there = {r["rel_path"] for r in plan.paths.collect()}
+    assert changed == ({"app.py", "routes/login.js"} if way == "names" else there) and len(there) == 6
+    assert plan.reusable.count() == 0
+
+
 DOSSIER = (
     "dossier_id string, scan_id string, title string, vuln_class string, severity string, cwe_id string, verdict string, confidence double, "
     "source_trace array<struct<file:string,line:int>>, sanitizer_analysis map<string,string>, repro_curl_template string, mitigation_notes string"
@@ -183,5 +215,9 @@ def test_command_line(spark, repository, tmp_path, capsys, monkeypatch):
     assert command.main(["diff", str(repository)]) == 0
     assert "changed files: 0, reusable dossiers: 2" in capsys.readouterr().out
     assert command.main(["resume", str(repository)]) == 0
+    assert command.main(["diff", str(repository), "--everything"]) == 0
+    assert "changed files: 6, reusable dossiers: 0" in capsys.readouterr().out
+    assert command.main(["report", str(repository), "--format", "graph", "--scope", "endpoint", "--key", "/api/v1/login"]) == 0
+    assert len(json.loads(capsys.readouterr().out)["nodes"]) == 1
     with pytest.raises(SystemExit):
         command.main(["report", str(tmp_path / "nowhere")])

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from casegraph.operators.classify import classify_scope, eligible
-from casegraph.operators.routes import harvest_vendor, identify_framework, resolve_routes
-from casegraph.sources.files import describe_files, hydrate_snippet, inside_root, line_range, scan_repository
+from casegraph.operators.routes import harvest_vendor, identify_framework, mount_of, resolve_routes
+from casegraph.sources.files import describe_files, hydrate_snippet, inside_root, line_range, listing, read_contents, scan_repository
 from casegraph.sources.tools import read_endpoints, read_findings, read_secrets
 
 
@@ -29,6 +29,40 @@ def test_scan_sees_hidden_files(spark, tmp_path, rows):
     assert rows(scan_repository(spark, str(tmp_path)), "rel_path") == [(".github/workflows/ci.yml",), ("a.py",), ("pkg/__init__.py",), ("we ird [x]*.js",)]
 
 
+def test_listing_goes_down_any_depth(spark, tmp_path, rows):
+    names = ["a.py", "x/b.py", "x/y/c.py", "x/y/z/d.py", "x/y/z/w/v/e.py", "x/.git/no.py", "node_modules/p/q/r/s.js", "__pycache__/no.py"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x\n")
+    (tmp_path / "empty").mkdir()
+    found = listing(spark, str(tmp_path))
+    assert rows(found, "rel_path", "length") == sorted((n, 2) for n in names if ".git" not in n and "__pycache__" not in n)
+    assert rows(read_contents(spark, f"file://{tmp_path}"), "rel_path") == rows(found, "rel_path")
+
+
+def test_tools_can_be_added(spark, rows):
+    from casegraph.sources import tools
+
+    raw = spark.createDataFrame([('{"endpoints":[{"url":"/a"}]}',)], "raw string")
+    tools.register_adapter(tools.Adapter("mapper", "endpoints", read_endpoints))
+    try:
+        found = tools.read_tools({"mapper": raw, "noir": raw, "semgrep": None, "other": raw})
+    finally:
+        del tools.ADAPTERS["mapper"]
+    assert set(found) == {"endpoints"} and found["endpoints"].count() == 2
+
+
+def test_mounts_fit_either_way(spark, rows):
+    files = spark.createDataFrame([("src/routes/user.js",), ("lib/admin.js",), ("lib/none.js",), ("a/user.ts",)], "rel_path string")
+    mounts = spark.createDataFrame([("routes/user", "/u", 2), ("very/admin/place", "/a", 1), ("user", "/first", 0), ("", "/any", 9)], "import_key string, prefix string, ord int")
+    expected = []
+    for (path,) in files.collect():
+        stem = path.rsplit("/", 1)[1].rsplit(".", 1)[0]
+        fits = [(o, p) for k, p, o in mounts.collect() if k in path or stem in k]
+        expected.append((path, min(fits)[1]))
+    assert rows(mount_of(files, mounts)) == sorted(expected)
+
+
 def test_root_is_a_fence(tmp_path):
     assert inside_root("a/b", str(tmp_path)).startswith(str(tmp_path))
     with pytest.raises(ValueError):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casegraph import schemas as S
 from casegraph.operators.incremental import cached_results, change_feed, impact_plan, reusable_dossiers, snapshot_diff
-from casegraph.operators.store import Store, close_scan, delete_files, invalidate_files, last_arrivals, upsert
+from casegraph.operators.store import Store, close_scan, delete_files, invalidate_files, last_arrivals, resolve_paths, upsert
 from casegraph.streaming.events import EventLog, critical, path_states, read_log
 
 
@@ -90,6 +90,34 @@ def test_store_versions_and_evolution(spark, tmp_path, rows):
     assert store.read("files").count() == 2
 
 
+def test_tables_commit_together(spark, tmp_path, rows, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+
+    def named(path, status):
+        return {
+            "files": S.evolve(spark.createDataFrame([(path,)], "rel_path string"), "files"), "scans": S.evolve(spark.createDataFrame([("s", status)], "scan_id string, status string"), "scans")
+        }
+
+    store.commit(named("a.py", "INDEXING"))
+    before = store.read("files")
+    # A writer that dies between two tables, or before the commit is named, changes nothing.
+    broken = named("b.py", "COMPLETED")
+    broken["scans"] = broken["scans"].withColumn("status", F.expr("if(length(scan_id) > 0, raise_error('lost'), status)"))
+    with pytest.raises(Exception, match="lost"):
+        store.commit(broken)
+    assert rows(store.read("files"), "rel_path") == [("a.py",)] and rows(store.read("scans"), "status") == [("INDEXING",)]
+    store.commit(named("c.py", "COMPLETED"))
+    other = Store(spark, str(tmp_path / "s"))
+    assert rows(other.read("files"), "rel_path") == [("c.py",)] and rows(other.read("scans"), "status") == [("COMPLETED",)]
+    assert rows(before, "rel_path") == [("a.py",)]  # a reader at work keeps its version
+
+
+def test_paths_are_resolved_alone(spark, rows):
+    paths = spark.createDataFrame([("p", "QUEUED", 1.0), ("q", "QUEUED", 1.0)], "path_id string, state string, reachability_confidence double")
+    found = spark.createDataFrame([("q", 0.5), ("z", 0.1)], "path_id string, reachability_confidence double")
+    assert rows(resolve_paths(paths, found)) == [("p", "QUEUED", 1.0), ("q", "RESOLVED", 0.5)]
+
+
 def test_evidence_accumulates(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     row = spark.createDataFrame([(1, 0.5)], "edge_id long, confidence double")
