@@ -2,8 +2,8 @@
 
 Two passes over the table, so that unique texts are never shuffled twice:
 
-1. every row becomes (id, hash, sha256) and hashes are counted with map-side
-   combining; hashes that occur once are settled there;
+1. every row becomes (id, hash, sha256), which is written, and hashes are counted
+   with map-side combining; hashes that occur once are settled there;
 2. only texts whose hash repeats are compared: the smallest and the greatest
    text of each hash are aggregated (again combined on the map side, so a
    group with a third of all rows sends one pair per task). If they differ the
@@ -13,8 +13,9 @@ Two passes over the table, so that unique texts are never shuffled twice:
 Results for odd input: a null text is an empty text; empty texts are equal to
 each other; a null id takes part like any other and is kept only if its whole
 group has null ids (nulls sort last); repeated rows with the same id are all
-marked kept when that id is the group's; an empty table gives an empty result;
-other columns of the input are ignored.
+marked kept when that id is the group's; texts of any length are hashed and
+compared whole; an empty table gives an empty result; other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def exact_dedup(
     ``hasher`` can be replaced to test collisions; the result doesn't depend on it.
     """
     rows = docs.select(F.col(id_col).alias("id"), normalise(text_of(text_col)).alias("t"))
-    keyed = rows.select("id", hasher(F.col("t")).alias("k"), F.sha2(F.col("t"), 256).alias("sha"))
+    # Texts are normalised and hashed once; only those with a repeated hash are read again, to be compared.
+    keyed = materialize(rows.select("id", hasher(F.col("t")).alias("k"), F.sha2(F.col("t"), 256).alias("sha")), "hashes")
     groups = materialize(_groups(keyed), "hash-groups")
     compared = _compare(rows.select("id", hasher(F.col("t")).alias("k"), "t"), groups)
     collided = materialize(compared.filter("first <> last").select("k"), "collided-hashes")

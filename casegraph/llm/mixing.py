@@ -7,10 +7,13 @@
 2. A source reads its documents in a pseudo-random order (a seeded hash of id
    and text), again from the start for each further epoch, until its target is
    reached; the document at the end is taken in part, by its first words. Where
-   a document stands in that order comes from a two-level prefix sum: buckets
-   of the hash within a source, sized by the source's number of documents, and
-   a running sum inside each bucket. A source with a third of all documents is
-   spread over as many more buckets.
+   a document stands in that order comes from a three-level prefix sum: buckets
+   of the hash within a source, sized by the source's number of documents, a
+   running sum inside each bucket, and one over buckets inside each block of
+   them, so that no task holds more than a bucket's or a block's rows. A source
+   with a third of all documents is spread over as many more buckets. Equal rows
+   are counted first and stand side by side in that order, so a row that a third
+   of all rows repeat is one row until its copies are dealt out again.
 3. Each source has a schedule: its weight as a piecewise-linear function of
    training time in [0, 1]. The integral of the schedule is its cumulative
    demand for tokens; inverting that at the middle of a document's words gives
@@ -20,18 +23,20 @@
 Results for odd input: a null or empty text has size 0 and takes 0 words; a
 null source is a source of its own, the last; null ids and repeated rows take
 part, each row for itself (equal rows may exchange their shares); a table whose
-texts are all empty, or an empty table, gives targets of 0; other columns are
-ignored by ``plan_mix`` and passed through by ``mix_documents``.
+texts are all empty, or an empty table, gives targets of 0; very long texts are
+counted whole; rows at one position are ordered by id; other columns are ignored
+by ``plan_mix`` and passed through by ``mix_documents``, whatever their names
+(of rows equal in id, text and source, one row's).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from casegraph.llm.common import ASCII_SPACE, ASCII_WORD, fresh, id_text, text_of, version
+from casegraph.llm.common import ASCII_SPACE, ASCII_WORD, broadcast_if_small, fresh, id_text, text_of, version
 from casegraph.scratch import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -42,6 +47,10 @@ BUDGET = 1.5
 CAP = 2
 #: Documents of one bucket of a source's reading order, about.
 BUCKET = 2_000
+#: Words of one part of the mix, at most about.
+PART_WORDS = 16_000_000
+#: Buckets of one block, and copies of a row that are dealt out together.
+BLOCK, LOT = 1_000, 1_000
 #: Hash values are spread over this many slots, which buckets divide.
 SLOTS = 1 << 30
 
@@ -83,6 +92,11 @@ def source_targets(
     return filled.select("source", "source_size", "n_docs", "place", "weight", target.cast("double").alias("target"))
 
 
+def _before(column: str, window: WindowSpec) -> Column:
+    """The sum of the rows before this one."""
+    return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def training_position(share: Column, knots: Column) -> Column:
     """The time in [0, 1] by which a source has been asked for ``share`` of its words.
 
@@ -139,16 +153,28 @@ def plan_mix(
     sized = materialize(rows, "mix-sizes")  # texts are read and counted once
     targets = materialize(source_targets(sized, weights, budget, cap), "mix-targets")
     plan = targets.withColumn("buckets", F.ceil(F.col("n_docs") / F.lit(bucket)).cast("long"))
-    placed = sized.withColumnRenamed("source", "own").join(plan, F.col("own").eqNullSafe(F.col("source")))
+    single = sized.groupBy("id", "version", "source", "size", "key").agg(F.count(F.lit(1)).alias("copies"))
+    placed = single.withColumnRenamed("source", "own").join(plan, F.col("own").eqNullSafe(F.col("source")))
     slot = F.pmod(F.col("key"), F.lit(SLOTS))
-    placed = placed.drop("own").withColumn("bucket", F.floor(slot * F.col("buckets") / F.lit(SLOTS)).cast("int"))
+    placed = placed.drop("own").withColumn("bucket", F.floor(slot * F.col("buckets") / F.lit(SLOTS)).cast("long"))
+    placed = materialize(placed.withColumn("words", F.col("size") * F.col("copies")), "mix-placed")
     inside = Window.partitionBy("place", "bucket").orderBy("key", "id", "version")
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    running = placed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    sums = placed.groupBy("place", "bucket").agg(F.sum("size").alias("held"))
-    order = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("place", "bucket", F.coalesce(F.sum("held").over(order), F.lit(0)).alias("outer"))
+    running = placed.withColumn("inner", _before("words", inside))
+    block = F.floor(F.col("bucket") / F.lit(BLOCK)).alias("block")
+    sums = placed.groupBy("place", "bucket").agg(F.sum("words").alias("held")).select("*", block)
+    whole = sums.groupBy("place", "block").agg(F.sum("held").alias("held"))
+    first = whole.select("place", "block", _before("held", Window.partitionBy("place").orderBy("block")).alias("first"))
+    offsets = sums.select("place", "bucket", "block", _before("held", Window.partitionBy("place", "block").orderBy("bucket")).alias("later"))
+    offsets = offsets.join(first, ["place", "block"]).select("place", "bucket", (F.col("first") + F.col("later")).alias("outer"))
     located = running.join(offsets, ["place", "bucket"])
+    most = placed.agg(F.max("copies")).first()[0] or 1
+    # Copies are dealt out in lots, and the lots of a row with very many copies to many tasks.
+    lots = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / F.lit(LOT)).cast("int"))).alias("lot")
+    dealt = located.select("*", lots)
+    if most > 100 * LOT:
+        dealt = dealt.repartition("key", "lot")
+    own = F.sequence(F.col("lot") * LOT, F.least((F.col("lot") + 1) * LOT, F.col("copies").cast("int")) - 1)
+    located = dealt.select("*", F.explode(own).alias("copy")).withColumn("inner", F.col("inner") + F.col("copy") * F.col("size"))
     at = F.col("inner") + F.col("outer")
     quota = F.round("target").cast("long")
 
@@ -188,26 +214,39 @@ def ordered_plan(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFram
     return plan.drop("positions").join(own, "row", "left").select(*columns, positions)
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: ``docs``' columns, one row per document and epoch that takes words of it.
 
     Rows are range-sorted by training position. A document taken in part holds its first words.
     Documents that take no words are not in the mix. Repeated rows share their plans: together they
     appear as often as the plan says.
+
+    Positions are known before texts are read again: the narrow plan is range-sorted and written with the number of each
+    row's part, and texts, once they have met it, go straight to their parts. They meet it by broadcast if it is small.
     """
-    rid, rv, pos, share = fresh(docs, "rid", "rversion", "position", "share")
-    plan = plan_mix(docs, id_col, text_col, **options).filter("taken > 0")
-    key = [id_text(F.col("id")).alias(rid), F.col("version").alias(rv)]
-    one = F.explode("positions").alias("e")
-    shares = plan.select(*key, "size", one).groupBy(rid, rv).agg(F.collect_list(F.struct("size", "e.*")).alias(share))
-    keyed = docs.withColumns({rid: id_text(F.col(id_col)), rv: version(id_col, text_col)})
-    rows = keyed.join(shares, [rid, rv]).dropDuplicates([rid, rv]).withColumn(share, F.explode(share))
+    rid, rv, pos, words, size, part = fresh(docs, "rid", "rversion", "position", "words", "size", "part")
+    plan = plan_mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
+    own = F.xxhash64("version", "source")
+    entries = plan.select(F.col("id"), id_text(F.col("id")).alias("rid"), own.alias("rv"), "size", F.explode("positions").alias("e"))
+    entries = materialize(entries.select("id", "rid", "rv", "size", "e.position", "e.words"), "mix-entries")
+    # Parts are as many as the cluster's shuffles have, or as hold ``PART_WORDS`` each: the plan is too narrow to tell.
+    held = entries.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // PART_WORDS))
+    ordered = entries.repartitionByRange(wanted, "position", "id").sortWithinPartitions("position", "id")
+    routed = materialize(ordered.withColumn("part", F.spark_partition_id()), "mix-order").drop("id")
+    parts = (routed.agg(F.max("part")).first()[0] or 0) + 1
+    routed = routed.withColumnsRenamed({"rid": rid, "rv": rv, "position": pos, "words": words, "size": size, "part": part})
+    keyed = docs.withColumns({rid: id_text(F.col(id_col)), rv: F.xxhash64(version(id_col, text_col), F.col(source_col).cast("string"))})
+    # Rows listed several times are taken once each: only these are shuffled for it.
+    again = materialize(keyed.groupBy(rid, rv).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(rid, rv), "mix-repeats")
+    once = keyed
+    if not again.isEmpty():
+        listed = broadcast_if_small(again)
+        once = keyed.join(listed, [rid, rv], "left_anti").unionByName(keyed.join(listed, [rid, rv], "left_semi").dropDuplicates([rid, rv]))
+    rows = once.join(broadcast_if_small(routed), [rid, rv])
     body = F.regexp_replace(F.col(text_col), "^" + ASCII_SPACE, "")
-    rest = F.element_at(F.split(body, ASCII_SPACE, (F.col(share)["words"] + 1).cast("int")), -1)
+    rest = F.element_at(F.split(body, ASCII_SPACE, (F.col(words) + 1).cast("int")), -1)
     first = F.regexp_replace(F.substring(body, F.lit(1), F.length(body) - F.length(rest)), ASCII_SPACE + "$", "")
-    text = F.when(F.col(share)["words"] >= F.col(share)["size"], F.col(text_col)).otherwise(first)
-    out = rows.select(
-        *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.col(share)["position"].alias(pos),
-    )
-    return _in_training_order(out, pos, id_col).drop(pos)
+    text = F.when(F.col(words) >= F.col(size), F.col(text_col)).otherwise(first)
+    out = rows.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], pos, part)
+    return out.repartitionById(parts, part).sortWithinPartitions(pos, id_col).drop(pos, part)

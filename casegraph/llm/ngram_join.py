@@ -1,30 +1,37 @@
 """N-gram Jaccard join: MinHash banding to find candidates, full n-gram sets to verify them.
 
 1. One pass over the texts turns each into its set of hashed word n-grams and
-   emits a 128-bit key of the set, a MinHash signature cut into bands, and the
-   set's size. Rows with the same key are one class; only a class's smallest
+   emits a 128-bit key of the set, a MinHash signature of one byte a bin, and the
+   set's size. A band is a stretch of the signature. Rows with the same key are one class; only a class's smallest
    id goes on (combined on the map side, so copies cost nothing later).
-2. Classes are shuffled on band hashes. A band's bucket links its members to
-   its smallest one: one edge a member, never all pairs. The components of
-   these edges are the candidate groups.
+2. Classes are shuffled on band hashes. Inside a band's bucket of up to
+   ``BUCKET`` members, members are joined where their whole signatures agree in
+   as many bins as those of a pair at the threshold do (less ``SPREAD`` standard
+   deviations: a linked pair fails that with probability below 4e-6), searched
+   from member to member, so that chance collisions don't chain groups together.
+   A larger bucket links its members to its smallest one without that look.
+   Either gives one edge a member, never all pairs. The components of these
+   edges are the candidate groups.
 3. The full n-gram sets of the candidates, and only of these, are verified:
    every pair inside a candidate group, also pairs that no band found. A large
-   group is cut into blocks and each pair of blocks is a task of its own with
+   group is cut into blocks and each pair of blocks is a unit of its own with
    bounded memory, so no group has to fit anywhere.
 4. Components of the verified links are the result's groups.
 
 The signature is a sketch that throws every n-gram of a set into one bin per
 round until no bin is empty, so each bin agrees with probability equal to the
-Jaccard similarity at a cost of about one hash per n-gram. Bands and rows come
+Jaccard similarity (and, cut to a byte, in 1/256 of the other cases) at a cost of
+about one hash per n-gram. Bands and rows come
 from the target recall at the threshold (``choose_bands``).
 
 Results for odd input: a null or empty text (no words) has no n-grams, is
 linked with nothing and is a class of its own; a text with fewer words than n
 has its whole word sequence as its one n-gram; texts of any length are used
 whole; repeated rows count as documents of their own that are copies; null ids
-take part (a class's id is its smallest id that isn't null); an empty table
-gives an empty result; other columns are ignored by ``ngram_join`` and kept by
-``keep_one``.
+take part (a class's id is its smallest id that isn't null); of rows that tie as
+a group's first, all equal in id and text, one is kept; an empty table gives an
+empty result; other columns, whatever their names, are ignored by ``ngram_join``
+and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -38,15 +45,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegraph.llm.common import Remembered, broadcast_if_small, fresh, id_text, text_of, version, worker_memory
+from casegraph.llm.common import BROADCAST_ROWS, Remembered, broadcast_if_small, fresh, id_text, text_of, version, worker_memory
 from casegraph.llm.components import block_pairs, connected_components, linked_counts, runs
-from casegraph.scratch import materialize
+from casegraph.scratch import materialize, release
 
 WORDS = 5
 THRESHOLD = 0.8
 #: Probability that a pair exactly at the threshold shares a band.
 RECALL = 0.9995
 ROWS = 8
+#: Members of a bucket that are compared by signature, and how far below its mean a linked pair's agreement may fall.
+BUCKET, SPREAD = 4_096, 4.5
 #: A block holds about so many classes and n-grams at most.
 BLOCK_ROWS = 256
 BLOCK_GRAMS = 400_000
@@ -108,17 +117,8 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return full
 
 
-def band_hashes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit hash for each band, different bands apart."""
-    parts = sketch.reshape(len(sketch), bands, rows)
-    out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sketch), bands)).copy()
-    for k in range(rows):
-        out = mix64(out * _U(0x9E3779B97F4A7C15) + parts[:, :, k])
-    return out.astype(np.int64)
-
-
 def _sketch_rows(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(id, key, grams, bands) of every row; key is null without n-grams."""
+    """(id, rv, key, grams, sig) of every row; key is null without n-grams, sig holds a byte for each bin of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,23 +130,60 @@ def _sketch_rows(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                     held += len(texts[end])
                     end += 1
                 sets = [ngram_set(t, n) for t in texts[start:end]]
-                found = band_hashes(signatures(sets, bands * rows), bands, rows)
+                bins = mix64(signatures(sets, bands * rows)).astype(np.uint8)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                offsets = np.arange(len(sets) + 1, dtype=np.int32) * bands
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(start, end - start),
                         batch.column("rv").slice(start, end - start),
                         pa.array(keys, pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1))),
+                        pa.array([b.tobytes() for b in bins], pa.binary()),
                     ],
-                    names=["id", "rv", "key", "grams", "bands"],
+                    names=["id", "rv", "key", "grams", "sig"],
                 )
                 start = end
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, rv long, key binary, grams long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, rv long, key binary, grams long, sig binary")
+
+
+def least_agreement(bins: int, threshold: float) -> float:
+    """In how many of ``bins`` bins a pair at the threshold agrees, less ``SPREAD`` standard deviations."""
+    return bins * threshold - SPREAD * np.sqrt(bins * threshold * (1 - threshold))
+
+
+def agreeing_groups(sigs: np.ndarray, least: float) -> np.ndarray:
+    """For each row its group's first row; groups are connected by rows that agree in ``least`` bins or more."""
+    roots = np.full(len(sigs), -1)
+    for first in range(len(sigs)):
+        if roots[first] >= 0:
+            continue
+        roots[first], front = first, [first]
+        while front:
+            apart = np.flatnonzero(roots < 0)
+            if not len(apart):
+                break
+            near = apart[(sigs[apart] == sigs[front.pop()]).sum(axis=1) >= least]
+            roots[near] = first
+            front += near.tolist()
+    return roots
+
+
+def _bucket_edges(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) from rows (band, key, sig): an edge for each member of an agreeing group to its first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["band"]):
+            keys, packed = table.column("key").to_pylist(), table.column("sig").to_pylist()
+            sigs = np.frombuffer(b"".join(packed), np.uint8).reshape(len(keys), -1)
+            roots = agreeing_groups(sigs, least_agreement(sigs.shape[1], threshold))
+            linked = np.flatnonzero(roots != np.arange(len(keys))).tolist()
+            if linked:
+                ends = [[keys[i] for i in linked], [keys[roots[i]] for i in linked]]
+                yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()) for e in ends], names=["a", "b"])
+
+    return rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "a binary, b binary")
 
 
 def _gram_rows(docs: DataFrame, n: int) -> DataFrame:
@@ -217,25 +254,36 @@ def _grouped(
     classes = materialize(
         filled.groupBy("key").agg(
             F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rv")).alias("one"), F.count(F.lit(1)).alias("copies"),
-            F.first("grams").alias("grams"), F.first("bands").alias("bands"),
+            F.first("grams").alias("grams"), F.first("sig").alias("sig"),
         ),
         "ngram-classes",
     )
-    # 2. Buckets: members are linked to the smallest key.
-    dealt = classes.select("key", F.explode("bands").alias("band"))
+    # 2. Buckets: members that agree are linked; in a very large bucket all are, to the smallest key.
+    dealt = classes.select("key", "sig", F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("b"))
+    dealt = dealt.select("key", F.xxhash64("b", F.substring("sig", F.col("b") * rows + 1, F.lit(rows))).alias("band"))
     heads = dealt.groupBy("band").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    edges = dealt.join(heads.drop("size"), "band").filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    groups = connected_components(edges)
+    shared = materialize(dealt.join(heads, "band"), "ngram-buckets")
+    close = shared.filter(F.col("size") <= BUCKET).select("key", "band")
+    looked = _bucket_edges(classes.select("key", "sig").join(broadcast_if_small(close), "key"), threshold)
+    plain = shared.filter((F.col("size") > BUCKET) & (F.col("key") != F.col("head"))).select(F.col("key").alias("a"), F.col("head").alias("b"))
+    groups = connected_components(looked.union(plain))
+    release(shared)
+    few = groups.count() <= BROADCAST_ROWS
+
+    def hinted(df: DataFrame) -> DataFrame:
+        """For tables with no more rows than ``groups`` has."""
+        return F.broadcast(df) if few else df
+
     # 3. Sizes of the candidate groups decide into how many blocks they are cut.
-    members = classes.select(F.col("key").alias("node"), "grams", "copies", "one").join(broadcast_if_small(groups), "node")
+    members = classes.select(F.col("key").alias("node"), "grams", "copies", "one").join(hinted(groups), "node")
     totals = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("grams").alias("g"))
     blocks = F.ceil(F.greatest(F.col("m") / F.lit(BLOCK_ROWS), F.col("g") / F.lit(BLOCK_GRAMS))).cast("int")
-    members = members.join(broadcast_if_small(totals.select("component", blocks.alias("blocks"))), "component")
+    members = members.join(hinted(totals.select("component", blocks.alias("blocks"))), "component")
     # The text of one row of each candidate class: rows of a class all have the same set.
-    chosen = members.select(
-        "component", F.col("node"), "copies", "blocks", id_text(F.col("one.id")).alias("rid"), F.col("one.rv").alias("rv")
+    chosen = materialize(
+        members.select("component", F.col("node"), "copies", "blocks", id_text(F.col("one.id")).alias("rid"), F.col("one.rv").alias("rv")), "ngram-chosen"
     )
-    texts = source.select(id_text(F.col("id")).alias("rid"), "rv", "t").join(broadcast_if_small(chosen), ["rid", "rv"])
+    texts = source.select(id_text(F.col("id")).alias("rid"), "rv", "t").join(hinted(chosen), ["rid", "rv"])
     units = block_pairs(_gram_rows(texts.select("component", "node", "copies", "blocks", "t"), n), "blocks", "node")
     units = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
 
@@ -253,20 +301,24 @@ def _grouped(
         yield from linked_counts(units_of, linked, "node", "copies", pa.binary())
 
     found = materialize(units.mapInArrow(verify, "node binary, links long, root binary"), "ngram-links")
+    release(chosen)
+    release(groups)
     # 4. Components of verified links.
     joined = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), written=True)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = joined.join(links, "node").withColumnRenamed("node", "key")
     # Only classes with links or copies differ from a row that stands alone.
-    special = classes.select("key", "one", "copies").join(broadcast_if_small(linked), "key", "left")
+    special = classes.select("key", "one", "copies").join(hinted(linked), "key", "left")
     special = special.filter("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "key"))
-    least = special.groupBy("component").agg(F.min("one").alias("first"))
+    least = materialize(special.groupBy("component").agg(F.min("one").alias("first")), "ngram-firsts")
     result = materialize(
-        special.join(least, "component").select(
+        special.join(broadcast_if_small(least), "component").select(
             "key", "first", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
         ),
         "ngram-result",
     )
+    for done in (classes, found, joined, least):
+        release(done)
     alone = F.struct(F.col("id").isNull().alias("none"), "id", "rv")
     return sketched.select("id", "rv", "key").join(broadcast_if_small(result), "key", "left").select(
         "id", "rv", F.coalesce("first", alone).alias("first"),

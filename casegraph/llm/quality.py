@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -80,31 +79,29 @@ def _number(term: str) -> int:
     return zlib.crc32(term.encode()) % TERM_SPACE
 
 
-def piece_terms(piece: str) -> tuple[str, int, tuple[int, ...]]:
-    """A piece's shape, the shape's term number, and the term numbers of its words, which have a space of their own."""
-    form = shape(piece)
-    return form, _number(form), tuple(TERM_SPACE + _number(word) for word in _LETTERS.findall(piece.lower()))
+def piece_terms(piece: str) -> tuple[int, tuple[int, ...]]:
+    """The term number of a piece's shape, and those of its words, which have a space of their own."""
+    return _number(shape(piece)), tuple(TERM_SPACE + _number(word) for word in _LETTERS.findall(piece.lower()))
+
+
+_AGAIN, _DISTINCT = _number("= again"), _number("= distinct")
 
 
 def text_terms(text: str, known: Remembered) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and their shares of the text's pieces; ``known`` remembers ``piece_terms``."""
+    """Term numbers, ascending, and their shares of the text's pieces; ``known`` remembers ``piece_terms``."""
     pieces = text.split()
-    if not pieces:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
     n = len(pieces)
-    shares: Counter[int] = Counter()
-    counted = Counter(pieces)
-    for piece, k in counted.items():
-        _, form, words = known[piece]
-        shares[form] += k / n
-        for word in words:
-            shares[word] += WORD_SHARE * k / n
-    forms = [known[p][0] for p in pieces]
-    for (left, right), k in Counter(zip(forms, forms[1:], strict=False)).items():
-        shares[_number(f"{left} {right}")] += 0.5 * k / n
-    shares[_number("= again")] += 2 * sum(map(eq, pieces, pieces[1:])) / n
-    shares[_number("= distinct")] += len(counted) / n
-    return np.fromiter(shares, np.int32, len(shares)), np.fromiter(shares.values(), np.float32, len(shares))
+    if not n:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    found = [known[p] for p in pieces]
+    forms = np.array([f for f, _ in found], np.int64)
+    pairs = ((forms[:-1] * 40_503 + forms[1:]) * 2_654_435_761 >> 16) % TERM_SPACE
+    words = np.array([w for _, ws in found for w in ws], np.int64)
+    numbers = np.concatenate([forms, pairs, words, [_AGAIN, _DISTINCT]])
+    counts = [1.0] * 3 + [2.0 * sum(map(eq, pieces, pieces[1:])), float(len(set(pieces)))]
+    shares = np.repeat(np.array(counts) * [1, 0.5, WORD_SHARE, 1, 1] / n, [n, n - 1, len(words), 1, 1])
+    terms, place = np.unique(numbers, return_inverse=True)
+    return terms.astype(np.int32), np.bincount(place, weights=shares).astype(np.float32)
 
 
 @dataclass

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from casegraph.llm.components import component_roots, connected_components
 from casegraph.llm.embedding_dedup import embedding_dedup, passes_for
-from casegraph.llm.html_extraction import extract, extract_main_text, label, merge_wrappers, page_expression
+from casegraph.llm.html_extraction import common, extract, extract_main_text, label, merge_wrappers, page_expression
 from casegraph.llm.html_tree import Page
-from casegraph.llm.ngram_join import choose_bands, keep_one, ngram_join, ngram_set, signatures, similar
-from casegraph.llm.quality import score_quality, train_quality
+from casegraph.llm.ngram_join import agreeing_groups, choose_bands, keep_one, least_agreement, mix64, ngram_join, ngram_set, signatures, similar
+from casegraph.llm.common import Remembered
+from casegraph.llm.labelled import sample_texts
+from casegraph.llm.quality import QualityModel, _directions, _rows, fit_quality, piece_terms, score_quality, text_terms, train_quality, vote
 from casegraph.llm.toxicity import fit_nnpu, score_toxicity, train_toxicity
 
 
@@ -67,6 +69,31 @@ def test_sketch_estimates_similarity():
     assert 1 - (1 - 0.8**8) ** choose_bands(0.8, 0.9995, 8) >= 0.9995
 
 
+def test_agreement_in_a_bucket():
+    """Linked pairs are found through each other; what only a hash collision brought together stays apart."""
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    chain = [base]
+    for _ in range(4):
+        chain.append(np.unique(np.concatenate([chain[-1][: int(0.95 * len(base))], rng.integers(0, 2**63, 15, dtype=np.uint64)])))
+    other = np.unique(np.concatenate([base[:170], rng.integers(0, 2**63, 130, dtype=np.uint64)]))  # a similarity of 0.4
+    bins = mix64(signatures([*chain, other], 336)).astype(np.uint8)
+    order = rng.permutation(6)
+    roots = agreeing_groups(bins[order], least_agreement(336, 0.8))
+    place = {k: i for i, k in enumerate(order.tolist())}
+    assert len({roots[place[k]] for k in range(5)}) == 1 and roots[place[5]] == place[5]
+
+
+@pytest.mark.parametrize("bucket", [4096, 2])
+def test_ngram_join_by_either_bucket(spark, monkeypatch, bucket):
+    monkeypatch.setattr("casegraph.llm.ngram_join.BUCKET", bucket)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    rows = [(i, " ".join([*base[:k], "new", *base[k:]])) for i, k in enumerate(range(0, 200, 20))] + [(100, " ".join(f"v{i}" for i in range(50)))]
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {**{i: (0, 9) for i in range(10)}, 100: (100, 0)}
+
+
 def test_similar_is_exact():
     rng = random.Random(3)
     sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randrange(1, 40))], np.uint64)) for _ in range(40)] + [np.arange(50, dtype=np.uint64)] * 12
@@ -235,6 +262,79 @@ def test_risk_is_corrected():
     assert model.bias + weight[1] > 0 > model.bias and 5 not in weight
 
 
+def test_risk_gradient_against_differences():
+    """One step of the fit moves each weight against the numerical gradient of the risk it states."""
+    positive = [np.array([1, 2], np.int32)] * 30 + [np.array([2], np.int32)] * 10
+    unlabelled = [np.array([1], np.int32)] * 5 + [np.array([9], np.int32)] * 95
+    for prior in (0.05, 0.9):  # a negative part above and below 0
+        one = fit_nnpu(positive, unlabelled, prior, steps=1)
+        place = {f: i for i, f in enumerate(one.features.tolist())}
+
+        def risk(w, b):
+            def loss(texts, sign):
+                s = np.array([b + sum(w[place[f]] for f in t.tolist() if f in place) for t in texts])
+                return np.logaddexp(0, -sign * s).mean()
+
+            negative = loss(unlabelled, -1) - prior * loss(positive, -1)
+            return prior * loss(positive, 1) + negative if negative >= 0 else -negative
+
+        zero, h = np.zeros(len(place)), 1e-5
+        slopes = [(risk(zero + h * np.eye(len(place))[k], 0.0) - risk(zero - h * np.eye(len(place))[k], 0.0)) / (2 * h) for k in range(len(place))]
+        assert len(place) >= 2 and all(np.sign(w) == -np.sign(g) for w, g in zip(one.weights, slopes, strict=True))
+        assert np.sign(one.bias) == -np.sign(risk(zero, h) - risk(zero, -h))
+
+
+def test_samples_are_bounded(spark):
+    """An id in a third of all rows, repeated rows, and long texts don't fill the task that fits."""
+    rows = [(7, f"t{i}") for i in range(300)] + [(1, "same")] * 300 + [(i, "w" * 50) for i in range(1000, 1300)]
+    texts = spark.createDataFrame(rows, "id long, t string").repartition(6)
+    found = sample_texts(texts, 100, 10**6, 3, len(rows)).collect()
+    again = sample_texts(texts.repartition(2), 100, 10**6, 3, len(rows)).collect()
+    assert sorted(map(str, found)) == sorted(map(str, again)) and 60 <= len(found) <= 100
+    assert len({(r["id"], r["t"]) for r in found}) == len(found)
+    assert sum(len(r["t"]) for r in sample_texts(texts, 600, 1000, 3).collect()) <= 1000
+    assert sample_texts(texts.limit(0), 10, 10, 3, 0).count() == 0
+
+
+def test_models_on_odd_tables(spark):
+    text = "plain words of a text"
+    rows = [(1, text), (1, text), (1, "x " * 60_000), (2, "Blarg blarg"), (3, "blarg blarg"), (4, "zz blarg"), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("slot", F.lit(1)).withColumn("t", F.lit(2))
+    table = spark.createDataFrame([(i, int(i > 1), int(i == 1)) for i in range(1, 6)] * 2, "doc_id long, toxic int, quality int")
+    for train, score in ((train_toxicity, score_toxicity), (train_quality, score_quality)):
+        scored = score(docs, train(docs, table))
+        assert sorted(scored.columns) == sorted(docs.columns)
+        found = scored.collect()
+        assert len(found) == len(rows) and all(0 <= r["score"] <= 1 for r in found)
+        assert len({r["score"] for r in found if r["text"] == text}) == 1
+        assert train(docs.limit(0), table) is None
+        assert score(docs.limit(0), train(docs, table)).count() == 0 and score(docs, None).count() == len(rows)
+
+
+def test_vote_against_a_loop():
+    rng = np.random.default_rng(3)
+    references = rng.standard_normal((60, 8)).astype(np.float32)
+    references[30:40] = references[20:30]  # ties
+    references /= np.linalg.norm(references, axis=1, keepdims=True)
+    model = QualityModel(np.empty(0), np.empty(0), np.empty(0), references, rng.integers(0, 2, 60).astype(np.float32))
+    vectors = np.concatenate([rng.standard_normal((20, 8)), references[20:25], np.zeros((1, 8))]).astype(np.float32)
+    for found, v in zip(vote(model, vectors, 7, 4), vectors, strict=True):
+        near = sorted(((-round(float(v.astype(float) @ r.astype(float)), 6), i) for i, r in enumerate(references)))[:7]
+        weights = [max(-s, 0) ** 4 for s, _ in near]
+        expected = sum(w * model.labels[i] for w, (_, i) in zip(weights, near, strict=True)) / sum(weights) if sum(weights) else model.labels.mean()
+        assert abs(found - expected) < 1e-4
+
+
+def test_quality_hears_words():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["lorem", "ipsum", "dolor"]) if rng.random() < 0.7 else rng.choice(["good", "fine"] if y else ["poor", "weak"]) for _ in range(40)) for y in [0, 1] * 150]
+    known = Remembered(piece_terms)
+    found = [text_terms(t, known) for t in texts]
+    model = fit_quality(found[:200], np.array([0, 1] * 100))
+    scores = vote(model, _directions(_rows(found[200:], model.terms, model.weights), model.axes))
+    assert ((scores >= 0.5) == np.array([0, 1] * 50)).mean() > 0.95
+
+
 def test_quality(spark):
     rng = random.Random(12)
     rows, labels = [], []
@@ -315,6 +415,53 @@ def test_template_of_any_length(spark, words):
     assert [r["text"] for r in extract_main_text(pages).orderBy("page_id").collect()] == [t.strip() for t in own]
 
 
+def brute_length(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+    return table[0][0]
+
+
+def test_alignment_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(2000):
+        letters = "abcdef"[: rng.randrange(1, 7)]
+        a, b = ([rng.choice(letters) for _ in range(rng.randrange(14))] for _ in range(2))
+        found = common(a, b)
+        assert all(a[i] == b[j] for i, j in found) and all(x < y and v < w for (x, v), (y, w) in zip(found, found[1:], strict=False))
+        assert len(found) == brute_length(a, b)
+
+
+def test_very_long_pages():
+    rng = random.Random(2)
+
+    def page(words):
+        return "<body>" + "".join(f'<{rng.choice(["p", "h2", "pre", "ul"])} class={rng.choice("abcdefgh")}>{words} {i}' for i in range(20_000))
+
+    began = time.perf_counter()
+    wrapper = label(merge_wrappers(__import__("json").dumps(page_expression(Page(page(w))).pack()) for w in "xyz"))
+    assert len(extract(page("w"), wrapper)) > 10_000
+    assert time.perf_counter() - began < 60
+
+
+def test_hints_are_judged_by_what_is_there():
+    """A class name that only hints at noise deletes neither prose nor the article's frame."""
+    prose = "Earlier studies have looked at this in other ways. " * 20
+    links = "".join(f"<a href=/{i}>story number {i}</a> " for i in range(30))
+    page = f'<body><article><p>Text of its own.</p><section class="related-work"><p>{prose}</p></section><div class="related">{links}</div><div class="entry-social-widget">Share</div></article></body>'
+    assert extract(page, None) == "Text of its own.\n" + prose.strip()
+    assert extract('<body><article><div class="widget"><p>All the text</p></div><div class="share">Tell</div></article></body>', None) == "All the text"
+    assert extract(f'<body><article><p>One</p><div class="comments"><p>{prose}</p></div></article></body>', None) == "One"
+
+
+def test_expressions_of_a_host_merge_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr("casegraph.llm.html_extraction.FAN", 3)
+    pages = [(i, f"http://h.example/{i}", "<body><div id=nav><a href=1>A</a></div><div class=c>" + "".join(f"<p class={c}>{c} {i}</p>" for c in "abcdefgh" if (i + 1) * 37 >> ord(c) - 97 & 1) + "<div>Same end</div></div>") for i in range(24)]
+    found = extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()
+    assert {r["page_id"]: r["text"] for r in found} == {i: "\n".join(f"{c} {i}" for c in "abcdefgh" if (i + 1) * 37 >> ord(c) - 97 & 1) for i, *_ in pages}
+
+
 def test_expression_is_union_free():
     import json
 
@@ -329,6 +476,28 @@ def test_broken_markup_never_raises(page):
     assert isinstance(extract(page, None), str)
 
 
+@pytest.mark.parametrize("rows", [0, 12])
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, rows):
+    """Empty tables, repeated rows, nulls everywhere, and columns named like the operators' own."""
+    import corpus_pipeline
+
+    text = "\n".join(f"line {i} of a text" for i in range(9))
+    given = [(1, text, "en", "s", 5)] * 5 + [(2, "blarg " + text, None, None, None), (None, text, "en", "s", 1), (3, None, None, None, None), (3, "", "en", "s", 0), (4, "one\ntwo", "en", "t", 1), (5, "word " * 30_000, "en", "t", 9), (6, "blarg", "en", "t", 9)]
+    names = ("score", "toxicity_score", "rid", "version", "removed", "position", "words", "size", "part", "rversion")
+    docs = spark.createDataFrame(given[:rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit("clash") for n in names})
+    spark.createDataFrame([(2, 1), (6, 1), (1, 0), (None, 1), (4, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    current = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        following = stage(spark, current, str(tmp_path))
+        assert following.columns == docs.columns
+        found = following.collect()
+        assert all(r[n] == "clash" for r in found for n in names)
+        if name != "mixing":
+            assert len(found) == current.count() or (name, rows) == ("ngram_join", 12)
+        current = spark.createDataFrame(found, following.schema)
+    assert bool(rows) == bool(corpus_pipeline.STAGES[-1][1](spark, current, str(tmp_path)).count())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -113,6 +113,43 @@ def test_token_files(spark, library, tmp_path):
     assert read_token_shards(spark, str(tmp_path / "e")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [100_000, 20])
+def test_token_files_with_an_id_in_many_rows(spark, library, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr("casegraph.llm.token_files.HOT_ID", hot)
+    rows = [(5 if i % 3 else i, f"text {i % 7} " + "word " * (i % 4), "s") for i in range(120)] + [(None, "n", "s")] * 30 + [(3, "long " * 20_000, "s")]
+    docs = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"source": "head"}).withColumn("place", F.lit(1)).repartition(4)
+    write_token_shards(docs, str(tmp_path / "t"), PATH, shard_tokens=100)
+    found = sorted(read_token_shards(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+    assert [r["start"] for r in found] == [sum(r["n_tokens"] for r in found[:k]) for k in range(len(found))]
+    wanted = sorted((d or -1, zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes())) for d, t, _ in rows)
+    assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in found) == wanted
+
+
+def test_a_shard_is_one_file(spark, library, tmp_path):
+    """A shard outside its envelope: opened in place, without a copy in memory."""
+    import mmap
+
+    docs = spark.createDataFrame([(1, "one two two", "s"), (2, None, "s")], DOCS).coalesce(1)
+    write_token_shards(docs, str(tmp_path / "t"), PATH)
+    (tmp_path / "shard").write_bytes(spark.read.schema(SHARD_SCHEMA).parquet(str(tmp_path / "t")).first()["file"])
+    ids = [*library.encode("one two two", add_special_tokens=False).ids, 1, 1]
+    with (tmp_path / "shard").open("rb") as file, mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as held:
+        shard = Wavelet(held)
+        assert shard.decode().tolist() == ids and shard.occurrences(ids[1]) == [1, 2] and shard.count(1) == 2
+        assert [(d, x.tolist()) for d, x in shard.documents()] == [(1, ids[:-1]), (2, [1])]
+        shard._view.release()
+
+
+def test_what_workers_remember_is_bounded():
+    from casegraph.llm.common import Remembered
+
+    known = Remembered(str.upper, limit=10, chars=100)
+    for i in range(1000):
+        assert known[f"word{i}"] == f"WORD{i}" and len(known) <= 10 and sum(map(len, known)) <= 100
+    assert known["x" * 5000] == "X" * 5000 and "x" * 5000 not in known
+
+
 def brute_targets(sizes, weights=(5, 2, 1), budget=1.5, cap=2):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -199,6 +236,21 @@ def test_mix(spark):
     assert words == {k[0]: v for k, v in taken.items() if v}
 
 
+def test_a_row_that_is_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr("casegraph.llm.mixing.LOT", 3)
+    monkeypatch.setattr("casegraph.llm.mixing.BLOCK", 2)
+    rows = [(1, "a b c", "s")] * 700 + [(i, "w " * i, "s") for i in range(40)] + [(2, "x y", None)] * 5
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    found = plan_mix(docs, bucket=4).collect()
+    assert len(found) == len(rows)
+    for source, target in brute_targets({"s": 2100 + sum(range(40)), None: 10}).items():
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - target) <= 1 and all(r["taken"] <= 2 * r["size"] for r in own)
+    mixed = mix_documents(docs, bucket=4).collect()
+    assert len(mixed) == sum(len(r["positions"]) for r in found)
+    assert sum(len(r["text"].split()) for r in mixed) == sum(r["taken"] for r in found)
+
+
 def test_training_position(spark):
     df = spark.range(101).select((F.col("id") / 100).alias("u"))
     found = [r[0] for r in df.select(training_position(F.col("u"), F.array(F.lit(1.5), F.lit(1.0), F.lit(0.5)))).collect()]
@@ -223,6 +275,13 @@ def test_exact_dedup(spark):
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_of_long_texts(spark):
+    long = "word " * 200_000
+    docs = spark.createDataFrame([(1, long), (2, long + "x"), (3, long.replace(" ", "\t\n"))], "doc_id long, text string").withColumns({"k": F.lit("clash"), "t": F.lit(0)})
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(docs).collect()}
+    assert found == {1: (1, 2, True), 2: (2, 1, True), 3: (1, 2, False)}
+
+
 def brute_line_dedup(rows, width=3):
     """The same rule in plain Python, for distinct (id, text) rows with distinct ids."""
     seen, gone = {}, {}
@@ -258,6 +317,16 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_line_dedup_by_either_join(spark, monkeypatch, limit):
+    monkeypatch.setattr("casegraph.llm.line_dedup.BROADCAST_STARTS", limit)
+    monkeypatch.setattr("casegraph.llm.common.BROADCAST_ROWS", limit)
+    long = "\n".join(f"line {i}" for i in range(20_000))
+    rows = [(1, long), (2, "own\n" + long), (3, "x" * 300_000), (4, "a\nb\nc\nd"), (4, "a\nb\nc\nd"), (5, "b\nc\nd\ne")]
+    found = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == [(1, long), (2, "own"), (3, "x" * 300_000), (4, "a\nb\nc\nd"), (4, "a\nb\nc\nd"), (5, "e")]
+
+
 def test_line_dedup_stays_in_the_jvm(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string")
     plan = line_dedup(docs)._jdf.queryExecution().executedPlan().toString()
