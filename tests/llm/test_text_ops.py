@@ -1,5 +1,6 @@
 """BPE, token files, mixing, exact dedup, line dedup on small inputs with odd rows."""
 
+import functools
 import hashlib
 import math
 import random
@@ -42,17 +43,18 @@ def test_encoding_equals_the_library(library, kind, text):
     assert ids == library.encode(text, add_special_tokens=False).ids
 
 
-_made = {}
+@functools.cache
+def _codec(kind):
+    return kind(PATH)
 
 
-def _codec(kind):
-    return _made.setdefault(kind, kind(PATH))
+_reference = functools.cache(tokenizers.Tokenizer.from_file)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40))
 def test_any_text(text):
-    reference = _made.setdefault("library", tokenizers.Tokenizer.from_file(PATH))
+    reference = _reference(PATH)
     ids = reference.encode(text, add_special_tokens=False).ids
     assert _codec(BpeCodec).encode(text) == ids
     assert np.frombuffer(_codec(LibraryCodec).encode_bytes(text), "<i4").tolist() == ids
