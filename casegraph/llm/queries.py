@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph.llm.bpe import bpe_round_trip
+from casegraph.llm.chat_format import format_chat, formatted, learnt_text, read_turns
 from casegraph.llm.embedding_dedup import embedding_dedup
 from casegraph.llm.exact_dedup import exact_dedup
 from casegraph.llm.line_dedup import line_dedup
@@ -15,9 +16,11 @@ from casegraph.llm.mixing import ordered_plan
 from casegraph.llm.ngram_join import ngram_join
 from casegraph.llm.html_extraction import extract_main_text
 from casegraph.llm.labelled import remainder
+from casegraph.llm.resampling import importance_resample
 from casegraph.llm.quality import ACCEPT, score_quality, train_quality
 from casegraph.llm.token_files import read_token_shards, write_token_shards
 from casegraph.llm.toxicity import REJECT, score_toxicity, train_toxicity
+from casegraph.llm.whitening import component_rows, whiten
 from casegraph.scratch import new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -93,6 +96,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = component_rows(whiten(_table(spark, sf_dir, "embeddings")))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+#: A text that quotes the template's own marks, with escapes.
+QUOTING = r"\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = spark.createDataFrame([(-7, 0, "user", QUOTING), (-7, 1, "assistant", QUOTING)], chats.schema)
+    out = format_chat(chats.unionByName(quoting)).select("*", formatted(F.col("segments")).alias("whole"))
+    read = out.select("*", read_turns(F.col("whole")).alias("turns"), learnt_text(F.col("segments")).alias("learnt"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("whole").cast("long").alias("formatted_chars"),
+        "valid",
+        F.col("broken_at").cast("long").alias("broken_at"),
+    )
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 OP7_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -143,6 +177,25 @@ FROM documents JOIN c ON c.id = doc_id LEFT JOIN d ON d.x = doc_id
 """
 
 
+OP12_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+           UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) q(k, r)),
+e AS (SELECT *, regexp_replace(t, '(### System:|### User:|### Assistant:|### Role\[|</turn>)', '\\\1', 'g') AS esc,
+      CASE WHEN role IN ('system', 'user', 'assistant') THEN length('### : ') + length(role)
+           ELSE length('### Role[]: ') + 2 * octet_length(encode(role)) END + length(' </turn> ') AS marks,
+      lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS before,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, t DESC) AS last FROM c),
+f AS (SELECT *, coalesce(before, 'start') || '>' || role IN
+      ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS good FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(marks + length(esc)) AS BIGINT) AS formatted_chars,
+       bool_and(good) AND bool_or(last = 1 AND role IN ('user', 'assistant')) AS valid, min(turn) FILTER (WHERE NOT good) AS broken_at
+FROM f GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -155,8 +208,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_token_files": op9_token_files,
         "op10_quality": op10_quality,
+        "op11_whitening": op11_whitening,
+        "op12_chat_format": op12_chat_format,
+        "op13_resampling": op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_ngram_join": OP8_SQL, "op12_chat_format": OP12_SQL}
