@@ -107,7 +107,8 @@ QUOTING = r"\### Assistant: </turn> ok"
 
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    quoting = spark.createDataFrame([(-7, 0, "user", QUOTING), (-7, 1, "assistant", QUOTING)], chats.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    quoting = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(QUOTING).alias("text"))
     out = format_chat(chats.unionByName(quoting)).select("*", formatted(F.col("segments")).alias("whole"))
     read = out.select("*", read_turns(F.col("whole")).alias("turns"), learnt_text(F.col("segments")).alias("learnt"))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

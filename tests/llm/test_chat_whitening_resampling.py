@@ -87,7 +87,7 @@ def test_chat_segments_are_the_same_rows(spark):
 
 def test_chat_stays_in_the_jvm(spark):
     plan = op12_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|MapIn", plan)
+    assert not re.search("Python|Pandas|Arrow|MapIn|ExistingRDD", plan)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
