@@ -1,9 +1,11 @@
 """The code property graph: nodes, edges, bounded simple paths, weakest links.
 
-Two ways to reach:
+Three ways to reach:
 
 * ``simple_paths`` enumerates every cycle-free path up to a number of edges, in
   the order of a depth-first search (exact, and as large as the answer);
+* ``first_routes`` keeps, per node and number of edges, only the path that such a
+  search finds first, and so stays within hops x nodes however many paths there are;
 * ``best_reach`` keeps, per source and node, the best weakest-link confidence
   and the least hops, and so stays within sources x nodes.
 """
@@ -12,11 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
-from casegraph.scratch import materialize
+from casegraph.scratch import materialize, release
 
 
 def graph_nodes(symbols: DataFrame, endpoints: DataFrame, sinks: DataFrame) -> DataFrame:
@@ -121,25 +123,6 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS)
     return found
 
 
-def prune(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
-    """``edges`` that lie within reach of a source and of a target of ``pairs``: the others lead a search astray."""
-    def reach(step: DataFrame, starts: DataFrame) -> DataFrame:
-        known = materialize(starts.distinct(), "prune")
-        front = known
-        for _ in range(max_hops):
-            moved = front.join(step, front["n"] == step["x"]).select(F.col("y").alias("n")).distinct()
-            front = materialize(moved.join(known, "n", "left_anti"), "prune")
-            if front.isEmpty():
-                break
-            known = known.union(front)
-        return known
-
-    forward = reach(edges.select(F.col("src").alias("x"), F.col("dst").alias("y")), pairs.select(F.col("source").alias("n")))
-    backward = reach(edges.select(F.col("dst").alias("x"), F.col("src").alias("y")), pairs.select(F.col("target").alias("n")))
-    some = edges.join(forward.withColumnRenamed("n", "src"), "src", "left_semi")
-    return some.join(backward.withColumnRenamed("n", "dst"), "dst", "left_semi").select(*edges.columns)
-
-
 def paths_to_targets(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
     """``simple_paths`` from all of ``sources.source`` to all of ``targets.target`` in one search.
 
@@ -192,6 +175,90 @@ def first_paths(paths: DataFrame) -> DataFrame:
     return picked.select("source", "target", "p.*")
 
 
+def hop_distances(edges: DataFrame, targets: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
+    """(node, left): the least number of edges from a node to any of ``targets.target``, for nodes that have a way there.
+
+    A breadth-first search against the edges; only the nodes that a round adds are looked up among those known before.
+    """
+    front = materialize(targets.select(F.col("target").alias("node")).distinct().withColumn("left", F.lit(0)), "distances")
+    known = front
+    for hop in range(1, max_hops + 1):
+        moved = front.join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct()
+        front = materialize(moved.join(known, "node", "left_anti").withColumn("left", F.lit(hop)), "distances")
+        if front.isEmpty():
+            break
+        known = known.unionByName(front)
+    return known
+
+
+def _before(rounds: DataFrame, reached: DataFrame, keys: list[str], best: Column) -> DataFrame:
+    """``best`` of all rounds for the keys in ``reached`` alone.
+
+    ``reached`` is a written table, so Spark knows its size: while it is small it is broadcast, and the rounds aren't moved.
+    """
+    return rounds.join(reached.select(*keys), keys, "left_semi").groupBy(*keys).agg(best.alias("_before"))
+
+
+def first_routes(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_hops: int = S.MAX_HOPS, apart: bool = False) -> DataFrame:
+    """(source, target, nodes, hops, confidence, edge_types): the first path to each target, in the order of a depth-first search.
+
+    ``starts`` (source, label): the searches start in the order of ``label``, so a target's first path comes from the first source that
+    reaches it at all. ``targets`` (target). With ``apart``, ``targets`` is (source, target) and each source has a first path of its own.
+
+    Round k holds, per node, the first simple path with exactly k edges that comes before all shorter ones. That is enough: let P be the
+    first path to a node t and v the node before t. If some path Q to v came before P's part up to v (and were no longer than the limit
+    allows), Q and the edge to t would make a path before P, or, if Q meets t, Q's part up to t would. So P's part up to v is v's
+    first path, and only first paths need to grow; a path that would close a cycle is left out. A node has at most one row
+    per round, whatever the number of sources or paths. Nodes from which no target is within the hops left are never entered.
+    """
+    keys = ["source", "node"] if apart else ["node"]
+    plain = edges.select("src", "dst", F.col("confidence").alias("c"), F.coalesce("edge_type", F.lit("")).alias("t"), "ord")
+    numbered = materialize(_numbered(plain).drop("ord"), "route-numbers")
+    left = hop_distances(numbered, targets, max_hops)
+    step = materialize(numbered.join(left.withColumnRenamed("node", "dst"), "dst"), "route-edges")
+    known = numbered.select(F.col("src").alias("node")).union(numbered.select("dst")).distinct()
+
+    def route(label, order, nodes, confidence, types) -> Column:
+        return F.struct(label.alias("label"), order.alias("ord"), nodes.alias("nodes"), confidence.alias("confidence"), types.alias("edge_types")).alias("route")
+
+    texts = F.array().cast("array<string>")
+    begin = starts.withColumn("node", F.col("source")).join(known, "node", "left_semi").join(left, "node", "left_semi").distinct()
+    front = materialize(begin.select("source", "node", route(F.col("label"), F.array().cast("array<long>"), F.array("source"), F.lit(1.0), texts)), "routes")
+    rounds, written = front, [front]
+    for hop in range(1, max_hops + 1):
+        grown = front.join(step, F.col("node") == F.col("src")).filter((F.col("left") <= max_hops - hop) & ~F.array_contains("route.nodes", F.col("dst")))
+        longer = route(
+            F.col("route.label"), F.concat("route.ord", F.array("place")), F.concat("route.nodes", F.array("dst")), F.least("route.confidence", "c"),
+            F.concat("route.edge_types", F.array("t")),
+        )
+        grown = grown.select("source", F.col("dst").alias("node"), longer)
+        first = grown.groupBy(*keys).agg(F.min("route").alias("route"))
+        reached = materialize(first.select(F.element_at("route.nodes", 1).alias("source"), "node", "route"), "routes-reached")
+        place = F.struct(F.col("route.label"), F.col("route.ord"))
+        better = reached.join(_before(rounds, reached, keys, F.min(place)), keys, "left").filter(F.col("_before").isNull() | (place < F.col("_before")))
+        front = materialize(better.select("source", "node", "route"), "routes")
+        release(reached)
+        written.append(front)
+        if front.isEmpty():
+            break
+        rounds = rounds.unionByName(front)
+    ends = targets.join(known, F.col("target") == F.col("node"), "left_semi").withColumnRenamed("target", "node").distinct()
+    firsts = rounds.join(ends, keys, "left_semi").groupBy(*keys).agg(F.min("route").alias("r"))
+    found = firsts.select(
+        F.element_at("r.nodes", 1).alias("source"), F.col("node").alias("target"), "r.nodes", (F.size("r.nodes") - 1).alias("hops"), "r.confidence", "r.edge_types"
+    )
+    out = materialize(found, "first-routes")
+    for table in (*written, step, numbered):
+        release(table)
+    return out
+
+
+def first_paths_between(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
+    """The path per pair (source, target) that a depth-first search finds first, without enumerating the others."""
+    starts = pairs.select("source", F.lit(0).cast("long").alias("label"))
+    return first_routes(edges, starts, pairs.select("source", "target"), max_hops, apart=True)
+
+
 def best_reach(edges: DataFrame, sources: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
     """(source, node, confidence, hops): the best weakest link, and the least hops, to each node in reach.
 
@@ -205,10 +272,12 @@ def best_reach(edges: DataFrame, sources: DataFrame, max_hops: int = S.MAX_HOPS)
     for hop in range(1, max_hops + 1):
         moved = changed.join(step, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), F.least("confidence", "c").alias("confidence"))
         reached = moved.groupBy("source", "node").agg(F.max("confidence").alias("confidence"))
-        before = rounds.groupBy("source", "node").agg(F.max("confidence").alias("_c"))
-        better = reached.join(before, ["source", "node"], "left").filter(F.col("_c").isNull() | (F.col("confidence") > F.col("_c")))
-        # Only what a round has improved is written; the best of all rounds is taken at the end.
+        reached = materialize(reached, "reach-reached")
+        before = _before(rounds, reached, ["source", "node"], F.max("confidence"))
+        better = reached.join(before, ["source", "node"], "left").filter(F.col("_before").isNull() | (F.col("confidence") > F.col("_before")))
+        # Only what a round has improved is kept; the best of all rounds is taken at the end.
         changed = materialize(better.select("source", "node", "confidence", F.lit(hop).alias("hops")), "reach")
+        release(reached)
         if changed.isEmpty():
             break
         rounds = rounds.unionByName(changed)

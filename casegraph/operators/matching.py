@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from casegraph import schemas as S
 from casegraph.operators.classify import eligible
-from casegraph.operators.graph import best_reach, collapse_edges, first_paths, prune, simple_paths
-from casegraph.scratch import materialize
+from casegraph.operators.graph import collapse_edges, first_routes
+from casegraph.scratch import materialize, release
 
 SAME_FILE_CONFIDENCE = 0.85
 #: Lines of one bucket of a symbol's range.
@@ -85,30 +85,27 @@ def node_number(node: Column) -> Column:
 def first_endpoints(sinks: DataFrame, endpoints: DataFrame, edges: DataFrame, same_file: bool = True, max_hops: int = S.MAX_HOPS) -> DataFrame:
     """``sinks`` with the first endpoint, by id, from which they are reached: endpoint_id, nodes, hops, reach, edge_types.
 
-    ``edges``: of the whole graph. Which endpoint reaches which sink is asked first, for all at once and
-    polynomially; paths are searched for the one pair that counts for a sink. Endpoints have no incoming and sinks
-    no outgoing edges, so a path cannot run through either. Without a path, an endpoint of the same file
-    counts with less confidence.
+    ``edges``: of the whole graph. One search from all endpoints in the order of their ids finds each sink's first endpoint and
+    its first path together (``first_routes``); a node never holds more than one path per round, however many
+    endpoints reach it. Without a path, an endpoint of the same file counts with less confidence.
     """
     whole = materialize(collapse_edges(edges), "match-edges")
-    wanted = sinks.select(F.concat(F.lit("sink_"), "sink_id").alias("node"))
-    starts = whole.select(F.col("src").alias("source")).filter("source like 'ep%'").distinct()
-    reached = best_reach(whole, starts, max_hops).join(wanted, "node", "left_semi")
-    options = reached.select(node_number(F.col("source")).alias("endpoint_id"), node_number(F.col("node")).alias("sink_id"), F.lit(0).alias("rank"))
-    if same_file:
-        near = sinks.select("sink_id", "file_id").join(endpoints.select("endpoint_id", "file_id"), "file_id")
-        options = options.unionByName(near.select("endpoint_id", "sink_id", F.lit(1).alias("rank")))
-    first = options.groupBy("sink_id").agg(F.min(F.struct("endpoint_id", "rank")).alias("o")).select("sink_id", "o.*")
-    first = materialize(first, "match-first")
-    source, target = F.concat(F.lit("ep_"), "endpoint_id").alias("source"), F.concat(F.lit("sink_"), "sink_id").alias("target")
-    pairs = first.filter("rank = 0").select(source, target)
-    paths = first_paths(simple_paths(prune(whole, pairs, max_hops), pairs, max_hops))
-    proven = paths.select(
+    starts = whole.filter("src like 'ep%'").select(F.col("src").alias("source"), node_number(F.col("src")).alias("label")).distinct()
+    routes = first_routes(whole, starts, sinks.select(F.concat(F.lit("sink_"), "sink_id").alias("target")), max_hops)
+    proven = routes.select(
         node_number(F.col("source")).alias("endpoint_id"), node_number(F.col("target")).alias("sink_id"),
-        "nodes", "hops", F.col("confidence").alias("reach"), "edge_types",
-    )
-    beside = first.filter("rank = 1").select(
-        "endpoint_id", "sink_id", F.array(source, target).alias("nodes"), F.lit(1).alias("hops"), F.lit(SAME_FILE_CONFIDENCE).alias("reach"),
-        F.array().cast("array<string>").alias("edge_types"),
+        "nodes", "hops", F.col("confidence").alias("reach"), "edge_types", F.lit(0).alias("rank"),
     )
-    return sinks.join(proven.unionByName(beside), "sink_id", "left")
+    release(whole)
+    if same_file:
+        # The first endpoint of a file is one row, so a file with many of both forms no pairs.
+        first = endpoints.groupBy("file_id").agg(F.min("endpoint_id").alias("endpoint_id"))
+        source, target = F.concat(F.lit("ep_"), "endpoint_id"), F.concat(F.lit("sink_"), "sink_id")
+        beside = sinks.select("sink_id", "file_id").join(first, "file_id").select(
+            "endpoint_id", "sink_id", F.array(source, target).alias("nodes"), F.lit(1).alias("hops"), F.lit(SAME_FILE_CONFIDENCE).alias("reach"),
+            F.array().cast("array<string>").alias("edge_types"), F.lit(1).alias("rank"),
+        )
+        options = proven.unionByName(beside)
+        taken = F.min_by(F.struct("endpoint_id", "nodes", "hops", "reach", "edge_types"), F.struct("endpoint_id", "rank"))
+        proven = options.groupBy("sink_id").agg(taken.alias("o")).select("sink_id", "o.*")
+    return sinks.join(proven.drop("rank"), "sink_id", "left")

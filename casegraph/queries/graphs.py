@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph.operators.graph import (
-    best_reach, collapse_edges, edges_with_evidence, endpoint_nodes, first_paths, graph_edges, graph_nodes, graph_scope, path_step_nodes, paths_to_targets,
+    best_reach, collapse_edges, edges_with_evidence, endpoint_nodes, first_paths_between, graph_edges, graph_nodes, graph_scope, path_step_nodes, paths_to_targets,
     simple_paths, simple_paths_sql, subgraph_nodes, trace_nodes,
 )
 from casegraph.operators.matching import first_endpoints
@@ -221,7 +221,8 @@ def weakest_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Edges are ordered by the name of their end, so the first path is the least one by names.
 @register("first_path", f"SELECT path, hops FROM ({_paths_sql(20)}) ORDER BY path LIMIT 1")
 def first_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_paths(_paths(spark, sf_dir, 20)).select(F.array_join("nodes", ">").alias("path"), "hops")
+    edges = transitions(spark, sf_dir)
+    return first_paths_between(edges, _pairs(spark, edges, "view", "purchase"), 20).select(F.array_join("nodes", ">").alias("path"), "hops")
 
 
 REACH_SQL = """co AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o FROM orders), os AS (SELECT l_orderkey AS o, l_suppkey AS s, max(1 - l_discount) AS conf FROM lineitem GROUP BY ALL)"""
@@ -242,6 +243,17 @@ def reach_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths_to_targets(edges, starts, ends, 3).select("source", "target", F.col("nodes")[1].alias("via"), "hops", "confidence")
 
 
+@register("first_paths_all", f"""WITH {REACH_SQL} SELECT 'c' || CAST(c AS VARCHAR) AS source, 's' || CAST(s AS VARCHAR) AS target, min('o' || CAST(co.o AS VARCHAR)) AS via,
+arg_min(conf, 'o' || CAST(co.o AS VARCHAR)) AS confidence FROM co JOIN os ON co.o = os.o GROUP BY ALL""")
+def first_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first way from every customer to every supplier in reach, customers apart."""
+    edges = materialize(_reach_edges(spark, sf_dir), "reach-input")
+    starts = edges.filter("src like 'c%'").select("src").distinct()
+    supplied = edges.filter("dst like 's%'").select("src", F.col("dst").alias("target"))
+    pairs = edges.select(F.col("src").alias("source"), F.col("dst").alias("o")).join(supplied, F.col("o") == F.col("src")).select("source", "target").distinct()
+    return first_paths_between(edges, pairs.join(starts, F.col("source") == starts["src"], "left_semi"), 3).select("source", "target", F.col("nodes")[1].alias("via"), "confidence")
+
+
 @register("best_path", f"""WITH {REACH_SQL} SELECT 'c' || CAST(c AS VARCHAR) AS source, 's' || CAST(s AS VARCHAR) AS node, max(conf) AS confidence, 2 AS hops FROM co JOIN os ON co.o = os.o GROUP BY ALL
 UNION ALL SELECT 'c' || CAST(c AS VARCHAR), 'o' || CAST(o AS VARCHAR), 1.0, 1 FROM co UNION ALL SELECT DISTINCT 'c' || CAST(c AS VARCHAR), 'c' || CAST(c AS VARCHAR), 1.0, 0 FROM co""")
 def best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
