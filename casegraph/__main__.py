@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 from pathlib import Path
 
@@ -75,12 +76,12 @@ def main(arguments: list[str] | None = None) -> int:
         if given.command == "resume":
             print(f"resolved paths: {scans.resume(spark, audit, scan_id)}")
         else:
-            pieces = diffs.report_pieces(spark, audit, scan_id, given.format, given.scope, given.key)
+            wanted = (given.format, given.scope, given.key)
             if given.output:
-                with Path(given.output).open("w", encoding="utf-8") as out:
-                    out.writelines(pieces)
+                path = given.output if re.match("^[a-z0-9+]+:/", given.output) else str(Path(given.output).resolve())
+                diffs.report_file(spark, audit, scan_id, path, *wanted)
             else:
-                sys.stdout.writelines(pieces)
+                sys.stdout.writelines(diffs.report_pieces(spark, audit, scan_id, *wanted))
                 print()
     return 0
 

@@ -69,3 +69,26 @@ def engine_fingerprint(config: Mapping[str, object], lockfile: bytes | None = No
         "lockfile_hash": hashlib.sha256(lockfile).hexdigest() if lockfile is not None else "none",
     }
     return hashlib.sha256(json.dumps({**identity, **config}, sort_keys=True).encode()).hexdigest()
+
+
+def engine_fingerprints(config: Column, lockfile: Column) -> Column:
+    """``engine_fingerprint`` of every row: ``config`` is a map of texts, ``lockfile`` text or bytes, null if there is none."""
+    def text(value: Column) -> Column:
+        """A JSON string with letters beyond ASCII spelt by their code units, as ``json.dumps`` writes it."""
+        plain = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+        units = F.regexp_extract_all(F.hex(F.encode(plain, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
+        spelt = F.transform(units, lambda u: F.when(u < "0080", F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+        return F.when(plain.rlike(r"[^\x00-\x7F]"), F.array_join(spelt, "")).otherwise(plain)
+
+    lock = F.when(lockfile.isNull(), "none").otherwise(F.sha2(lockfile.cast("binary"), 256))
+    identity = F.create_map(
+        F.lit("engine_version"), F.lit(ENGINE_VERSION), F.lit("resolver_version"), F.lit(RESOLVER_VERSION), F.lit("lockfile_hash"), lock,
+        F.lit("schema_version"), F.lit(str(FINGERPRINT_SCHEMA)),
+    )
+    # A given value replaces the engine's own; the schema's version is a number where it is the engine's.
+    whole = F.map_concat(F.map_filter(identity, lambda k, v: ~F.array_contains(F.map_keys(config), k)), config)
+    number = ~F.array_contains(F.map_keys(config), "schema_version")
+    pairs = F.transform(F.array_sort(F.map_entries(whole)), lambda e: F.concat(
+        text(e["key"]), F.lit(": "), F.when(number & (e["key"] == "schema_version"), e["value"]).otherwise(text(e["value"]))
+    ))
+    return F.sha2(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), 256)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from casegraph import schemas as S
 from casegraph.functions.scoring import sarif_level
 from casegraph.functions.text import strip, title_case
+from casegraph.scratch import materialize
 
 # The report formats' constants, and the marker that does nothing.
 SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
@@ -84,10 +85,13 @@ def sarif_results(dossiers: DataFrame, order: str = "ord", by: tuple[str, ...] =
 
 
 def sarif_document(dossiers: DataFrame, order: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
-    """One row (document): the SARIF log as JSON. A report is one document by nature; rows are sorted inside it.
+    """One row (document): the SARIF log as JSON, its pieces (``sarif_lines``) joined.
 
     ``by``: a document for each value of these columns instead, beside them, by grouped aggregates.
     """
+    if not by:
+        return joined(sarif_lines(dossiers, order))
+
     def listed(df: DataFrame, value: Column) -> DataFrame:
         pairs = F.array_sort(F.collect_list(F.struct(F.col("ord"), value.alias("v"))))
         return df.groupBy(*by).agg(F.transform(pairs, lambda p: p["v"]).alias("items"))
@@ -98,8 +102,6 @@ def sarif_document(dossiers: DataFrame, order: str = "ord", by: tuple[str, ...]
     results = listed(results, F.col("r")).withColumnRenamed("items", "results")
     driver = F.to_json(F.struct(F.lit(TOOL_NAME).alias("name"), F.lit(TOOL_VERSION).alias("semanticVersion"), F.col("rules")))
     text = F.concat(F.lit(SARIF_HEAD), driver, F.lit(SARIF_BETWEEN), F.array_join("results", ","), F.lit(SARIF_END))
-    if not by:
-        return rules.crossJoin(results).select(text.alias("document"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
     return rules.alias("l").join(results.alias("r"), reduce(and_, same)).select(*[f"l.{c}" for c in by], text.alias("document"))
 
@@ -124,20 +126,20 @@ def markdown_rows(dossiers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def markdown_document(dossiers: DataFrame, scan_id: str | None = None, order: str = "ord", by: str | None = None) -> DataFrame:
-    """One row (document): the report. Findings in the order of ``order``.
+    """One row (document): the report, its pieces (``markdown_lines``) joined. Findings in the order of ``order``.
 
     ``by``: a document for each value of this column instead, beside it, which stands for ``scan_id``.
     """
-    own = () if by is None else (by,)
-    rows = markdown_rows(dossiers.withColumn("_o", F.col(order)), ("_o", *own))
-    whole = rows.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("_o", "summary", "title", "section"))).alias("f"))
-    scan = F.lit(scan_id or "N/A") if by is None else F.coalesce(F.col(by).cast("string"), F.lit("N/A"))
-    head = _markdown_head(scan, F.size("f").cast("string"))
+    if by is None:
+        return joined(markdown_lines(dossiers, scan_id, order))
+    rows = markdown_rows(dossiers.withColumn("_o", F.col(order)), ("_o", by))
+    whole = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_o", "summary", "title", "section"))).alias("f"))
+    head = _markdown_head(F.coalesce(F.col(by).cast("string"), F.lit("N/A")), F.size("f").cast("string"))
     table = F.array_join(F.transform("f", lambda x: F.concat(x["summary"], F.lit("\n"))), "")
     sections = F.array_join(
         F.transform("f", lambda x, i: F.concat(F.lit("\n### "), (i + 1).cast("string"), F.lit(". "), x["title"], F.lit("\n"), x["section"])), ""
     )
-    return whole.select(*own, F.concat(head, table, F.lit(MARKDOWN_BETWEEN), sections).alias("document"))
+    return whole.select(by, F.concat(head, table, F.lit(MARKDOWN_BETWEEN), sections).alias("document"))
 
 
 def dossier_records(
@@ -190,24 +192,31 @@ def sarif_lines(dossiers: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def graph_lines(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """(part, ord, text): ``graph_document`` in pieces, each sorted by its text; a comma precedes all but the first."""
+    """(part, ord, text): the graph {"nodes": [...], "edges": [...]} in pieces, each list sorted by its text."""
+    spark = nodes.sparkSession
+
     def listed(df: DataFrame, part: int) -> DataFrame:
-        text = df.select(F.to_json(F.struct(*df.columns)).alias("text")).repartitionByRange("text").sortWithinPartitions("text")
-        return text.select(F.lit(part).alias("part"), F.monotonically_increasing_id().alias("ord"), "text")
+        texts = df.select(F.to_json(F.struct(*df.columns)).alias("text")).repartitionByRange("text").sortWithinPartitions("text")
+        placed = materialize(texts.select(F.lit(part).alias("part"), F.monotonically_increasing_id().alias("ord"), "text"), "graph-lines")
+        first = placed.agg(F.min("ord")).first()[0]
+        return placed.withColumn("text", F.concat(F.when(F.col("ord") == first, "").otherwise(","), "text")) if first is not None else placed
 
-    out = listed(nodes, 1)
-    return out if edges is None else out.unionByName(listed(edges, 3))
+    def fixed(part: int, text: str) -> DataFrame:
+        return spark.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit(text).alias("text"))
+
+    out = fixed(0, '{"nodes":[').unionByName(listed(nodes, 1)).unionByName(fixed(2, '],"edges":['))
+    return (out if edges is None else out.unionByName(listed(edges, 3))).unionByName(fixed(4, "]}"))
 
 
 def graph_document(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """One row (document): {"nodes": [...], "edges": [...]}."""
-    def listed(df: DataFrame | None) -> DataFrame | None:
-        return None if df is None else df.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*df.columns)))).alias("l"))
-
-    left = listed(nodes).select(F.array_join("l", ",").alias("n"))
-    right = listed(edges)
-    right = left.select(F.lit("").alias("e")) if right is None else right.select(F.array_join("l", ",").alias("e"))
-    return left.crossJoin(right).select(F.concat(F.lit('{"nodes":['), "n", F.lit('],"edges":['), "e", F.lit("]}")).alias("document"))
+    """One row (document): the pieces of ``graph_lines`` joined."""
+    return joined(graph_lines(nodes, edges))
+
+
+def joined(pieces: DataFrame) -> DataFrame:
+    """(document): pieces (part, ord, text) as one text, for documents that one row can hold."""
+    listed = F.array_sort(F.collect_list(F.struct("part", "ord", "text")))
+    return pieces.agg(F.array_join(F.transform(listed, lambda p: p["text"]), "").alias("document"))
 
 
 def blueprints(rows: DataFrame) -> DataFrame:

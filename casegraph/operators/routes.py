@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -108,14 +109,26 @@ def _substrings(text: Column, lengths: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
-def mount_of(files: DataFrame, mounts: DataFrame) -> DataFrame:
+#: Up to so many mounts are held against each path where it stands.
+FEW_MOUNTS = 200
+
+
+def mount_of(files: DataFrame, mounts: DataFrame, few: int = FEW_MOUNTS) -> DataFrame:
     """(rel_path, prefix) of files (rel_path) that a mount (import_key, prefix, ord) fits; the first one by ``ord`` wins.
 
-    A mount fits if its key is part of the path, or holds the path's stem. Neither needs a join of all with all: paths
-    are cut into their parts of the keys' lengths and keys into their parts of the stems' lengths, and the parts are
-    joined by equality. Lengths are few, as names are short.
+    A mount fits if its key is part of the path, or holds the path's stem. Up to ``few`` mounts are one constant, and a path
+    is looked up in it without a join. More of them don't need a join of all with all either: paths are cut into their
+    parts of the keys' lengths and keys into their parts of the stems' lengths, and the parts are joined by
+    equality. Lengths are few, as names are short.
     """
     first = mounts.groupBy("import_key").agg(F.min_by("prefix", "ord").alias("prefix"), F.min("ord").alias("ord"))
+    known = first.orderBy("ord", "import_key").limit(few + 1).collect()
+    if len(known) <= few:
+        listed = json.dumps([{"k": r["import_key"], "p": r["prefix"]} for r in known])
+        constant = F.from_json(F.lit(listed), "array<struct<k:string,p:string>>")
+        path = F.col("rel_path")
+        fits = F.filter(constant, lambda m: F.contains(path, m["k"]) | F.contains(m["k"], stem(path)))
+        return files.select("rel_path", F.get(fits, F.lit(0)).alias("m")).filter("m is not null").select("rel_path", F.col("m.p").alias("prefix")).distinct()
     names = files.select("rel_path", stem(F.col("rel_path")).alias("stem"))
     stems = names.select("stem").distinct()
 
@@ -174,8 +187,11 @@ def _named(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
     return out
 
 
-def identify_framework(files: DataFrame) -> DataFrame:
-    """One row (framework): the first hit in manifests, lockfiles, Python manifests, then imports; null if none."""
+def identify_framework(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (framework): the first hit in manifests, lockfiles, Python manifests, then imports; null if none.
+
+    ``by``: a row for each value of these columns (repositories, say), beside them.
+    """
     names = F.map_keys(
         F.map_concat(
             F.coalesce(F.from_json(F.get_json_object("text", "$.dependencies"), "map<string,string>"), F.create_map().cast("map<string,string>")),
@@ -197,8 +213,8 @@ def identify_framework(files: DataFrame) -> DataFrame:
     for mark in EXPRESS_IMPORTS:
         imports = imports | F.contains("text", F.lit(mark))
     picks.append(F.max(F.when(extension(F.col("rel_path")).isin(".js", ".ts") & ~skipped & imports, F.lit("express"))).alias("last"))
-    found = files.agg(*picks)
-    return found.select(F.coalesce(*[F.col(c) for c in found.columns]).alias("framework"))
+    found = files.groupBy(*by).agg(*picks)
+    return found.select(*by, F.coalesce(*[F.col(c) for c in found.columns if c not in by]).alias("framework"))
 
 
 def harvest_vendor(files: DataFrame, root: str = "node_modules") -> DataFrame:

@@ -1,20 +1,24 @@
 """Keyed tables: upserts, invalidation, cascades, on versioned Parquet.
 
 Plain Parquet has no MERGE. An upsert is a full outer join of the base with the
-last arrival per key; a new version of the table is written beside the old one
-and takes its place when it is complete.
+last arrival per key. Tables are dealt to parts by a hash of the key, so a merge
+reads, joins and writes the parts of its own keys and leaves all others as they
+are. New versions are written beside the old ones and take their place together.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from copy import deepcopy
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
+from casegraph.scratch import materialize, release
 
 
 def last_arrivals(delta: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -57,23 +61,23 @@ def surrogate(key: list[str]) -> Column:
     return F.xxhash64(*key)
 
 
-def upsert_table(table: str, base: DataFrame, delta: DataFrame, seq: str | None = None) -> DataFrame:
-    """``upsert`` by the data model: defaults, key and kept columns of the named table."""
+def shaped(table: str, delta: DataFrame, seq: str | None = None) -> DataFrame:
+    """``delta`` as rows of the named table: its columns and types, defaults, ids, what writers normalise, and ``seq``."""
     spec = S.TABLES[table]
     if not spec.key:
-        return base.unionByName(S.evolve(delta, table))
+        return S.evolve(delta, table)
     # D4 and D3: what writers normalise.
     if table == "endpoints":
         delta = delta.withColumn("http_method", F.upper("http_method"))
     if table == "candidate_sinks":
         delta = delta.withColumn("triage_severity", F.upper(F.coalesce("triage_severity", F.lit("MEDIUM"))))
     order = [seq] if seq else []
-    shaped = S.evolve(delta, table).select("*") if not seq else None
+    out = S.evolve(delta, table).select("*") if not seq else None
     if seq:
         columns = {c.lower() for c in delta.columns}
         missing = [f.name for f in spec.schema.fields if f.name not in columns]
-        shaped = delta.select("*", *[F.lit(None).cast(spec.schema[m].dataType).alias(m) for m in missing])
-        shaped = shaped.select(
+        out = delta.select("*", *[F.lit(None).cast(spec.schema[m].dataType).alias(m) for m in missing])
+        out = out.select(
             *[
                 (F.coalesce(F.col(f.name).cast(f.dataType), F.lit(spec.defaults[f.name]).cast(f.dataType)) if f.name in spec.defaults
                  else F.col(f.name).cast(f.dataType)).alias(f.name)
@@ -83,8 +87,14 @@ def upsert_table(table: str, base: DataFrame, delta: DataFrame, seq: str | None
         )
     ident = spec.schema.fields[0]
     if ident.name not in spec.key and ident.dataType.simpleString() == "bigint":
-        shaped = shaped.withColumn(ident.name, F.coalesce(ident.name, surrogate(list(spec.key))))
-    return upsert(base, shaped, list(spec.key), list(spec.kept), seq)
+        out = out.withColumn(ident.name, F.coalesce(ident.name, surrogate(list(spec.key))))
+    return out
+
+
+def upsert_table(table: str, base: DataFrame, delta: DataFrame, seq: str | None = None) -> DataFrame:
+    """``upsert`` by the data model: defaults, key and kept columns of the named table; rows of a table without key are added."""
+    spec, rows = S.TABLES[table], shaped(table, delta, seq)
+    return upsert(base, rows, list(spec.key), list(spec.kept), seq) if spec.key else base.unionByName(rows)
 
 
 def invalidate_files(edges: DataFrame, evidence: DataFrame, paths: DataFrame, symbols: DataFrame, sinks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,69 +155,122 @@ def delete_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Dat
     return out
 
 
+#: Parts of a new table. A table keeps the number that it was made with.
+PARTS = 64
+
+
+def part_of(table: str, parts: int) -> Column:
+    """The part of a row: a hash of its key, or of what it refers to where the table has no key."""
+    spec = S.TABLES[table]
+    return F.pmod(F.xxhash64(*(spec.key or spec.foreign)), F.lit(parts)).cast("int").alias("part")
+
+
 class Store:
-    """Tables in a folder, a version per write.
+    """Tables in a folder, dealt to parts; a version of the parts that a write touches.
 
-    What is current is named by the last commit, a file that lists the version of every table and appears whole
-    (written beside, then renamed). Tables that are committed together are therefore seen together: a writer that
+    What is current is named by the last commit, a file that lists the versions of every part and appears whole
+    (written beside, then renamed). What is written inside one ``transaction`` is therefore seen together: a writer that
     dies in between leaves the state before it. One writer at a time.
     """
 
     COMMITS = "_commits"
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
         self._jvm = spark.sparkContext._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._staged: dict | None = None
+        self._made: set[str] = set()
 
-    def _numbers(self, folder: str, prefix: str, suffix: str = "") -> list[int]:
+    def _names(self, folder: str, prefix: str, suffix: str = "") -> list[int]:
+        """The numbers in the names prefix + number + suffix of a folder's entries."""
         where = self._path(f"{self.root}/{folder}")
         if not self._fs.exists(where):
             return []
         names = [status.getPath().getName() for status in self._fs.listStatus(where)]
         return sorted(int(n.removeprefix(prefix).removesuffix(suffix)) for n in names if n.startswith(prefix) and n.endswith(suffix))
 
-    def _current(self) -> tuple[int, dict[str, int]]:
-        """The last commit's number, and the version of each table."""
-        commits = self._numbers(self.COMMITS, "c", ".json")
-        if not commits:
-            return 0, {}
-        stream = self._fs.open(self._path(f"{self.root}/{self.COMMITS}/c{commits[-1]}.json"))
+    def _commit_file(self, number: int) -> dict:
+        """table -> {"parts": how many, "at": part -> versions}."""
+        stream = self._fs.open(self._path(f"{self.root}/{self.COMMITS}/c{number}.json"))
         try:
-            return commits[-1], json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
         finally:
             stream.close()
 
-    def read(self, table: str) -> DataFrame:
-        """The current version, in the current shape: columns that an older version lacks have their defaults."""
-        version = self._current()[1].get(table)
-        if version is None:
-            return self.spark.createDataFrame([], S.TABLES[table].schema)
-        return S.evolve(self.spark.read.parquet(f"{self.root}/{table}/v{version}"), table)
+    def _current(self) -> tuple[int, dict]:
+        commits = self._names(self.COMMITS, "c", ".json")
+        return (commits[-1], self._commit_file(commits[-1])) if commits else (0, {})
+
+    @staticmethod
+    def _folders(state: dict, table: str, only: list[int] | None = None) -> list[str]:
+        """Folders below the root that hold a table's parts, or some of them."""
+        at = state.get(table, {"at": {}})["at"]
+        return [f"{table}/v{v}/part={p}" for p, versions in at.items() if only is None or int(p) in only for v in versions]
+
+    def read(self, table: str, only: list[int] | None = None) -> DataFrame:
+        """The current rows, or those of some parts, in the current shape: columns that an older version lacks have their defaults."""
+        folders = self._folders(self._staged if self._staged is not None else self._current()[1], table, only)
+        schema = S.TABLES[table].schema
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return S.evolve(self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders]), table)
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """All that is written inside becomes current together, at the end, or not at all; reads inside see it at once.
+
+        A transaction inside another is part of it.
+        """
+        if self._staged is not None:
+            yield
+            return
+        number, before = self._current()
+        self._staged, self._made = deepcopy(before), set()
+        try:
+            yield
+            self._publish(number, before)
+        finally:
+            self._staged = None
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Write new versions of all these tables, then make them current at once."""
-        number, versions = self._current()
-        following = dict(versions)
-        for table, df in tables.items():
-            following[table] = max(self._numbers(table, "v"), default=0) + 1
-            S.evolve(df, table).write.mode("overwrite").parquet(f"{self.root}/{table}/v{following[table]}")
-        target = f"{self.root}/{self.COMMITS}/c{number + 1}.json"
+    def _publish(self, number: int, before: dict) -> None:
         beside = self._path(f"{self.root}/{self.COMMITS}/_new-{uuid.uuid4().hex}")
         out = self._fs.create(beside)
-        out.write(bytearray(json.dumps(following, sort_keys=True).encode()))
+        out.write(bytearray(json.dumps(self._staged, sort_keys=True).encode()))
         out.close()
+        target = f"{self.root}/{self.COMMITS}/c{number + 1}.json"
         if not self._fs.rename(beside, self._path(target)):
             raise OSError(f"{target} could not be written")
-        for table in tables:  # the version before is kept for readers that are still at work
-            for old in self._numbers(table, "v"):
-                if old < versions.get(table, 0):
-                    self._fs.delete(self._path(f"{self.root}/{table}/v{old}"), True)
-        for old in self._numbers(self.COMMITS, "c", ".json"):
+        # Readers of the state before may still be at work; what only earlier states or dead writers have left goes.
+        kept = self._made | {f for state in (before, self._staged) for table in state for f in self._folders(state, table)}
+        for table in {f.split("/")[0] for f in self._made}:
+            for version in self._names(table, "v"):
+                parts = [f"{table}/v{version}/part={p}" for p in self._names(f"{table}/v{version}", "part=")]
+                gone = [f for f in parts if f not in kept] if any(f in kept for f in parts) else [f"{table}/v{version}"]
+                for folder in gone:
+                    self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+        for old in self._names(self.COMMITS, "c", ".json"):
             if old < number:
                 self._fs.delete(self._path(f"{self.root}/{self.COMMITS}/c{old}.json"), False)
 
+    def _write(self, table: str, df: DataFrame) -> tuple[dict, int]:
+        """Write ``df``'s rows by parts as a new version: what is staged of the table, and the version."""
+        own = self._staged.setdefault(table, {"parts": self.parts, "at": {}})
+        version = max(self._names(table, "v"), default=0) + 1
+        dealt = S.evolve(df, table).withColumn("part", part_of(table, own["parts"]))
+        # One shuffle by part; Spark splits a part that is much larger than others and joins small ones.
+        dealt.hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.root}/{table}/v{version}")
+        self._made |= {f"{table}/v{version}/part={p}" for p in self._names(f"{table}/v{version}", "part=")}
+        return own, version
+
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """These tables anew, whole, current at once."""
+        with self.transaction():
+            for table, df in tables.items():
+                own, version = self._write(table, df)
+                own["at"] = {str(p): [version] for p in self._names(f"{table}/v{version}", "part=")}
+
     def write(self, table: str, df: DataFrame) -> DataFrame:
         self.commit({table: df})
         return self.read(table)
@@ -217,7 +280,22 @@ class Store:
         return upsert_table(table, self.read(table), delta, seq)
 
     def merge(self, table: str, delta: DataFrame, seq: str | None = None) -> DataFrame:
-        return self.write(table, self.merged(table, delta, seq))
+        """Merge ``delta`` in: only the parts of its keys are read and written. Rows of a table without key are added as they are."""
+        spec = S.TABLES[table]
+        with self.transaction():
+            if not spec.key:
+                own, version = self._write(table, shaped(table, delta))
+                for p in self._names(f"{table}/v{version}", "part="):
+                    own["at"].setdefault(str(p), []).append(version)
+                return self.read(table)
+            rows = materialize(shaped(table, delta, seq), "merge-delta")
+            parts = self._staged.get(table, {"parts": self.parts})["parts"]
+            touched = [r["part"] for r in rows.select(part_of(table, parts)).distinct().collect()]  # at most so many numbers
+            if touched:
+                own, version = self._write(table, upsert(self.read(table, touched), rows, list(spec.key), list(spec.kept), seq))
+                own["at"] |= {str(p): [version] for p in touched}
+            release(rows)
+            return self.read(table)
 
     def update(self, table: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
         return self.write(table, change(self.read(table)))

@@ -14,8 +14,9 @@ from casegraph.operators.incremental import all_changed, change_feed, impact_pla
 from casegraph.operators.matching import of_scan
 from casegraph.operators.report import graph_lines, markdown_lines, sarif_lines, severity_order
 from casegraph.operators.store import Store, delete_files, invalidate_files
-from casegraph.scratch import materialize
+from casegraph.scratch import materialize, release
 from casegraph.sources.files import scan_repository
+from casegraph.sources.sinks import write_document
 
 FORMATS = ("md", "sarif", "graph")
 
@@ -71,11 +72,8 @@ def diff(
     return DiffPlan(plan, reusable, fingerprint)
 
 
-def report_pieces(spark: SparkSession, audit: str, scan_id: str | None, kind: str = "md", scope: str = "repository", key: str | None = None) -> Iterator[str]:
-    """A scan's report piece by piece: Markdown, SARIF, or a graph of the given scope.
-
-    Pieces are range-sorted by tasks and arrive a part at a time, so neither a task nor the driver holds the document.
-    """
+def report_lines(spark: SparkSession, audit: str, scan_id: str | None, kind: str = "md", scope: str = "repository", key: str | None = None) -> DataFrame:
+    """(part, ord, text): a scan's report in pieces: Markdown, SARIF, or a graph of the given scope."""
     if kind not in FORMATS:
         raise ValueError(f"unknown format {kind}")
     store = Store(spark, audit)
@@ -84,23 +82,23 @@ def report_pieces(spark: SparkSession, audit: str, scan_id: str | None, kind: st
         edges = None
         if scope in ("repository", "symbol"):
             edges = edges_with_evidence(store.read("graph_edges"), store.read("graph_edge_evidence")).drop("edge_id")
-        pieces = graph_lines(nodes.withColumnRenamed("node_kind", "kind"), edges)
-    else:
-        dossiers = severity_order(of_scan(store.read("scan_dossiers"), scan_id))
-        pieces = markdown_lines(dossiers, scan_id) if kind == "md" else sarif_lines(dossiers)
-    ordered = materialize(pieces, "report").repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("part", "text")
-    if kind != "graph":
-        yield from (row["text"] for row in ordered.toLocalIterator())
-        return
-    last = 0
-    for row in ordered.toLocalIterator():
-        if row["part"] != last:
-            yield '{"nodes":[' if row["part"] == 1 else '{"nodes":[],"edges":[' if last == 0 else '],"edges":['
-        else:
-            yield ","
-        last = row["part"]
-        yield row["text"]
-    yield {0: '{"nodes":[],"edges":[]}', 1: '],"edges":[]}', 3: "]}"}[last]
+        return graph_lines(nodes.withColumnRenamed("node_kind", "kind"), edges)
+    dossiers = severity_order(of_scan(store.read("scan_dossiers"), scan_id))
+    return markdown_lines(dossiers, scan_id) if kind == "md" else sarif_lines(dossiers)
+
+
+def report_pieces(spark: SparkSession, audit: str, scan_id: str | None, kind: str = "md", scope: str = "repository", key: str | None = None) -> Iterator[str]:
+    """A scan's report piece by piece, for standard output: range-sorted by tasks, and a part at a time at the driver."""
+    pieces = materialize(report_lines(spark, audit, scan_id, kind, scope, key), "report")
+    ordered = pieces.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("text")
+    yield from (row["text"] for row in ordered.toLocalIterator())
+
+
+def report_file(spark: SparkSession, audit: str, scan_id: str | None, path: str, kind: str = "md", scope: str = "repository", key: str | None = None) -> None:
+    """A scan's report as a file in any store: tasks write the sorted pieces, the commit publishes the document."""
+    pieces = materialize(report_lines(spark, audit, scan_id, kind, scope, key), "report")
+    write_document(pieces, path, "part", "ord")
+    release(pieces)
 
 
 def report(spark: SparkSession, audit: str, scan_id: str | None, kind: str = "md", scope: str = "repository", key: str | None = None) -> str:

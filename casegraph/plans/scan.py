@@ -2,7 +2,7 @@
 
 Stages up to detection are independent DataFrames over one table of files;
 matching, gating and reporting are one plan with the path search in its middle.
-Tables are written whole, once per stage.
+All tables of a scan are committed together: one that dies leaves the state before it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from casegraph.operators.classify import authz_relevant, classify_scope, eligibl
 from casegraph.operators.detect import SINKS, analyze_authorization, detect, veto_sinks
 from casegraph.operators.graph import graph_edges
 from casegraph.operators.indexer import calls_of, index_files, link_calls, symbols_of
-from casegraph.operators.matching import first_endpoints, gated_items, indexable, innermost_symbols, pending_paths, placeholder_files
+from casegraph.operators.matching import first_endpoints, gated_items, indexable, innermost_symbols, of_scan, pending_paths, placeholder_files
 from casegraph.operators.report import blueprints, dossier_records
 from casegraph.operators.routes import RESOLVERS, identify_framework
 from casegraph.operators.store import Store, close_scan, resolve_paths, surrogate
@@ -174,10 +174,17 @@ def _record(store: Store, found: DataFrame, scan_id: str, known: bool = False) -
         F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
     )
     dossiers = found.drop("sink_id", "endpoint_id", "hops", "nodes", "triage_severity")
-    if known:
-        store.commit({"scan_candidate_paths": resolve_paths(store.read("scan_candidate_paths"), paths), "scan_dossiers": store.merged("scan_dossiers", dossiers)})
-    else:
-        store.commit({"scan_candidate_paths": store.merged("scan_candidate_paths", paths), "scan_dossiers": store.merged("scan_dossiers", dossiers)})
+    with store.transaction():
+        if known:
+            # Only the rows that are resolved are merged, not all paths of all scans.
+            waiting = store.read("scan_candidate_paths").join(paths.select("path_id"), "path_id", "left_semi")
+            paths = resolve_paths(waiting, paths)
+        store.merge("scan_candidate_paths", paths)
+        store.merge("scan_dossiers", dossiers)
+
+
+def _close(store: Store, scan_id: str, status: str) -> None:
+    store.merge("scans", close_scan(of_scan(store.read("scans"), scan_id), scan_id, status))
 
 
 def scan(
@@ -200,15 +207,16 @@ def scan(
         [(scan_id, root, "FULL", fingerprint, "INITIALIZING")], "scan_id string, target_path string, scan_mode string, engine_fingerprint string, status string"
     ).withColumns({"started_at": F.current_timestamp(), "config": F.create_map(*[F.lit(x) for p in config.items() for x in p])})
     store.merge("scans", head)
-    index_repository(spark, store, root)
     if tools:
         read = read_tools(tools)
         endpoints, findings, secrets = (given if given is not None else read.get(kind) for given, kind in ((endpoints, "endpoints"), (findings, "findings"), (secrets, "secrets")))
-    merge_tool_output(store, endpoints, findings, secrets)
-    matched = match_sinks(store, store.read("candidate_sinks"))
-    found = materialize(judge(matched, store.read("files"), store.read("endpoints"), scan_id, fingerprint), "scan-dossiers")
-    _record(store, found, scan_id)
-    store.update("scans", lambda s: close_scan(s, scan_id, "COMPLETED"))
+    with store.transaction():
+        index_repository(spark, store, root)
+        merge_tool_output(store, endpoints, findings, secrets)
+        matched = match_sinks(store, store.read("candidate_sinks"))
+        found = materialize(judge(matched, store.read("files"), store.read("endpoints"), scan_id, fingerprint), "scan-dossiers")
+        _record(store, found, scan_id)
+        _close(store, scan_id, "COMPLETED")
     log.log("Scan", "PATH_TRANSITION", {"state": "RESOLVED"})
     return scan_id
 
@@ -219,12 +227,17 @@ def resume(spark: SparkSession, audit: str, scan_id: str) -> int:
     sinks = store.read("candidate_sinks")
     waiting = pending_paths(store.read("scan_candidate_paths"), sinks, store.read("files"), scan_id)
     count = waiting.count()
+    with store.transaction():
+        _resume(store, sinks, waiting, scan_id, count)
+    return count
+
+
+def _resume(store: Store, sinks: DataFrame, waiting: DataFrame, scan_id: str, count: int) -> None:
     if count:
         chosen = sinks.join(waiting.select("sink_id"), "sink_id", "left_semi")
         fingerprint = store.read("scans").filter(F.col("scan_id") == scan_id).select("engine_fingerprint").first()[0]
         matched = match_sinks(store, chosen, same_file=False)
         found = materialize(judge(matched, store.read("files"), store.read("endpoints"), scan_id, fingerprint), "resume-dossiers")
         _record(store, found, scan_id, known=True)
-    store.update("scans", lambda s: close_scan(s, scan_id, "COMPLETED"))
-    return count
+    _close(store, scan_id, "COMPLETED")
 

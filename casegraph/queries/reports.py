@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph import schemas as S
-from casegraph.functions.scoring import engine_fingerprint
-from casegraph.operators.matching import of_scan
+from casegraph.functions.scoring import engine_fingerprint, engine_fingerprints
+from casegraph.operators.graph import graph_edges
+from casegraph.operators.matching import first_endpoints, of_scan
 from casegraph.operators.report import (
     SARIF_BETWEEN, SARIF_END, SARIF_HEAD, TOOL_NAME, TOOL_VERSION, blueprints, dossier_records, markdown_document, markdown_lines, markdown_rows, sarif_document,
     sarif_lines, sarif_results, sarif_rules, severity_order,
 )
 from casegraph.operators.verify import AGAINST_HEAD, AGAINST_PROMPT, FOR_HEAD, FOR_PROMPT, JUDGE_PROMPT, Router, complete, debate, infer_links, link_tables, parse_verdicts
+from casegraph.plans.scan import judge
 from casegraph.queries import register, table
+from casegraph.queries.graphs import _first_sql, _model
 from casegraph.queries.standins import SEVERITY_SQL
-from casegraph.scratch import new_path
-from casegraph.streaming.events import critical, distinct_events, path_states, read_log, sessions, tumbling
+from casegraph.scratch import materialize, new_path
+from casegraph.sources.sinks import write_document
+from casegraph.streaming.events import critical, distinct_events, log_rows, path_states, read_log, sessions, tumbling
 
 CWE_SQL = "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('CWE-', CAST(o_custkey % 7 AS VARCHAR(9))) END"
 
@@ -176,13 +180,13 @@ FROM (SELECT *, CASE event_type WHEN 'view' THEN 'QUEUED' WHEN 'click' THEN 'RUN
 def path_states_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state machine over the events as a stream; of its updates, the last of each path."""
     names = F.create_map(*[F.lit(x) for pair in (("view", "QUEUED"), ("click", "RUNNING"), ("purchase", "RESOLVED"), ("signup", "UNRESOLVED"), ("error", "NONE")) for x in pair])
-    stream = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path_id"), names[F.col("event_type")].alias("state"), F.col("event_id").alias("seq"))
+    stream = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("path_id"), names[F.col("event_type")].alias("state"), F.col("event_id").alias("seq"), "ts")
     out, checkpoint = new_path(spark, "path-states"), new_path(spark, "path-states-state")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("append").parquet(out)
 
-    states = path_states(stream)
+    states = path_states(stream, "ts")
     states.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     updates = spark.read.schema("path_id string, state string, seq long").parquet(out)
     return updates.groupBy("path_id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
@@ -331,3 +335,57 @@ _IDENTITY = '{"engine_version": "0.2.0", "lockfile_hash": "none", "mode": "FULL"
 @register("engine_fingerprint", f"SELECT r_regionkey, sha256('{_IDENTITY}') AS fingerprint FROM region")
 def engine_fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select("r_regionkey", F.lit(engine_fingerprint({"mode": "FULL"})).alias("fingerprint"))
+
+
+@register("engine_fingerprints", """WITH s AS (SELECT o_orderkey, '{"engine_version": "0.2.0", "kind": "' || o_orderstatus || '", "lockfile_hash": "' || CASE WHEN o_custkey % 3 = 0 THEN 'none' ELSE sha256('lock' || CAST(o_custkey AS VARCHAR)) END
+|| '", "mode": "' || o_orderpriority || '", "resolver_version": "' || CASE WHEN o_custkey % 2 = 0 THEN 'own' ELSE '0.2.0' END || '", "schema_version": 1}' AS j FROM orders) SELECT o_orderkey, sha256(j) AS fingerprint FROM s""")
+def engine_fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan per order: its configuration, a lockfile in some, a value that replaces the engine's own in others."""
+    own = F.create_map(F.lit("mode"), F.col("o_orderpriority"), F.lit("kind"), F.col("o_orderstatus"))
+    config = F.when(F.col("o_custkey") % 2 == 0, F.map_concat(own, F.create_map(F.lit("resolver_version"), F.lit("own")))).otherwise(own)
+    lock = F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("lock"), F.col("o_custkey").cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", engine_fingerprints(config, lock).alias("fingerprint"))
+
+
+@register("event_batches", """SELECT CASE WHEN event_type = 'purchase' THEN 'PATH_TRANSITION' ELSE 'SCAN_STARTED' END AS event_type, count(*) AS n, count(*) AS n_ids, CAST(sum(event_id) AS BIGINT) AS ids,
+min('s1') AS scan_id, true AS stamped FROM events GROUP BY 1""")
+def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events written as one batch of the log by tasks, and read back with their ids and UTC times."""
+    folder = new_path(spark, "event-batches")
+    kind = F.when(F.col("event_type") == "purchase", "PATH_TRANSITION").otherwise("SCAN_STARTED")
+    rows = table(spark, sf_dir, "events").select(F.lit("c").alias("component"), kind.alias("event_type"), F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("payload"))
+    log_rows(rows, folder, "s1")
+    stamped = F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$")
+    return read_log(spark, folder).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_ids"), F.sum(F.col("payload")["id"].cast("long")).alias("ids"), F.min("scan_id").alias("scan_id"), F.min(stamped).alias("stamped"),
+    )
+
+
+@register("report_file_lines", f"""WITH m AS (SELECT row_number() OVER (ORDER BY severity, dossier_id) AS k, dossier_id, title, vuln_class, severity FROM ({DOSSIERS_SQL})),
+t AS (SELECT '| `' || dossier_id || '` | ' || title || ' | `' || vuln_class || '` | **' || severity || '** | `EXPLOITABLE` | 0.9 |' AS line, k AS pos FROM m
+UNION ALL SELECT '### ' || CAST(k AS VARCHAR) || '. ' || title, k + (SELECT count(*) FROM m) FROM m) SELECT line, row_number() OVER (ORDER BY pos) AS place FROM t""")
+def report_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report of all orders as a file, written by tasks and published by a commit; its table lines and headings with their places as read back."""
+    path = f"{new_path(spark, 'report-file')}/report.md"
+    own = dossiers(spark, sf_dir).drop("ord").withColumn("scan_id", F.lit("all"))
+    write_document(markdown_lines(severity_order(own), "all"), path, "part", "ord")
+    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).filter("value like '### %' or value like '| `d%'")
+    kept = materialize(lines.select(F.col("value").alias("line"), "n"), "report-read")
+    # The file is read in parts that follow each other: a line's place is its place in its part after all parts before.
+    inside = kept.withColumn("p", F.shiftright("n", 33)).withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("n")))
+    before = inside.groupBy("p").agg(F.count(F.lit(1)).alias("c"))
+    before = before.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    return inside.join(F.broadcast(before), "p").select("line", (F.col("first") + F.col("i")).cast("long").alias("place"))
+
+
+@register("derived_ids", f"""WITH f AS ({_first_sql(True)}) SELECT sink_id, 'path_scan1_' || CAST(sink_id AS VARCHAR) AS path_id, 'dos_scan1_' || CAST(sink_id AS VARCHAR) AS dossier_id, 'RCE in ' || s_name || ':3' AS title,
+endpoint_id, hops, coalesce(reach, 0) AS reachability_confidence, sha256('v1|RCE|' || CASE WHEN endpoint_id IS NULL THEN 'NONE' ELSE 'GET ' || c_name END || '|HTTP|' || s_name || '|src/' || s_name) AS finding_fingerprint
+FROM f JOIN supplier ON s_suppkey = sink_id LEFT JOIN customer ON c_custkey = endpoint_id""")
+def derived_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dossiers of all sinks as a scan judges them: ids from scan and sink, titles, fingerprints."""
+    _, endpoints, sinks, edges, evidence = _model(spark, sf_dir)
+    name = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.lit("src/"), "s_name").alias("rel_path"), F.lit("APPLICATION_RUNTIME").alias("execution_domain"))
+    matched = first_endpoints(sinks.withColumn("cwe_id", F.lit(None).cast("string")), endpoints, graph_edges(endpoints, sinks, edges, evidence))
+    endpoints = endpoints.withColumn("auth_state", F.lit("UNKNOWN"))
+    found = judge(matched, name, endpoints, "scan1", "e1")
+    return found.select("sink_id", "path_id", "dossier_id", "title", "endpoint_id", "hops", "reachability_confidence", "finding_fingerprint")

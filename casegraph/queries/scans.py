@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casegraph.functions.text import basename, extension, first_json, last_segment, line_count, python_round, scrub, stem, strip, title_case
@@ -212,16 +212,41 @@ def framework_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_framework(rows)
 
 
-@register("text_functions", """SELECT o_orderkey, 'c' AS last_part, 'name.tar.gz' AS base, 'name.tar' AS stem, '.gz' AS ext, 'Bypass Notes' AS title, 'ok' AS scrubbed,
-CASE WHEN o_orderkey % 2 = 0 THEN '{"a": {"b": 1}' END AS json, CAST(3 AS BIGINT) AS n_lines, 'x' || CAST(o_orderkey AS VARCHAR) AS stripped FROM orders""")
+# Manifests, lockfiles and sources by customer, so that each step of the ladder decides for some repositories.
+_LADDER = (
+    ("package.json", "c_custkey % 7 = 0", "'{\"dependencies\":{\"express\":\"4\"}}'", "express"), ("package.json", "c_custkey % 7 = 1", "'{\"devDependencies\":{\"koa\":\"2\"}}'", "koa"),
+    ("package.json", "c_custkey % 7 > 1", "'{\"dependencies\":{\"left-pad\":\"1\"}}'", None), ("yarn.lock", "c_nationkey % 3 = 0", "'Fastify@4'", "fastify"),
+    ("requirements.txt", "c_mktsegment = 'BUILDING'", "'Django==5'", "django"), ("pyproject.toml", "c_mktsegment IN ('BUILDING', 'MACHINERY')", "'deps = [fastapi]'", "fastapi"),
+    ("src/a.ts", "c_acctbal > 5000", "'express()'", "express"), ("node_modules/x.js", "c_custkey > 0", "'express()'", None),
+)
+
+
+@register("framework_by_repository", "SELECT c_custkey, CASE " + " ".join(f"WHEN {when} THEN '{name}'" for _, when, _, name in _LADDER if name) + " END AS framework FROM customer")
+def framework_by_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository per customer, all identified in one pass."""
+    customers = table(spark, sf_dir, "customer")
+    held = F.array(*[F.when(F.expr(when), F.struct(F.lit(path).alias("rel_path"), F.expr(text).alias("text"))) for path, when, text, _ in _LADDER])
+    files = customers.select("c_custkey", F.explode(held).alias("f")).filter("f is not null").select("c_custkey", "f.*")
+    return identify_framework(files, ("c_custkey",))
+
+
+@register("text_functions", """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderpriority AS w, CASE o_orderkey % 4 WHEN 0 THEN '.tar.GZ' WHEN 1 THEN '.py' WHEN 2 THEN '' ELSE '.env' END AS s FROM orders)
+SELECT o_orderkey, k || 'c' AS last_part, CASE WHEN s = '.env' THEN s ELSE 'name' || k || s END AS base,
+CASE WHEN s = '.env' THEN s WHEN s = '.tar.GZ' THEN 'name' || k || '.tar' ELSE 'name' || k END AS stem, CASE s WHEN '.tar.GZ' THEN '.gz' WHEN '.py' THEN s ELSE '' END AS ext,
+'Bypass ' || upper(substring(s, 2, 1)) || lower(substring(s, 3)) || ' K' || k AS title, w || ':ok' || k AS scrubbed,
+CASE WHEN o_orderkey % 2 = 0 THEN '{"a": {"b": ' || k || '}' END AS json, CAST(3 + o_orderkey % 5 AS BIGINT) AS n_lines, 'x' || k AS stripped FROM o""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    path = F.lit("a/b/name.tar.gz")
+    key, k = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    suffix = F.when(key % 4 == 0, ".tar.GZ").when(key % 4 == 1, ".py").when(key % 4 == 2, "").otherwise(".env")
+    path = F.concat(F.lit("a/b"), k, F.lit("/"), F.when(suffix == ".env", "").otherwise(F.concat(F.lit("name"), k)), suffix)
+    title = F.concat(F.lit("bypass_"), F.substring(suffix, 2, 9), F.lit("_k"), k)
+    thought = F.concat(F.lit("<thought> Defender:"), F.col("o_orderpriority"), F.lit("scratchpad::ok"), k, F.lit(" </thought>\n"))
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", last_segment(F.lit("a.b.c")).alias("last_part"), basename(path).alias("base"), stem(path).alias("stem"), extension(path).alias("ext"),
-        title_case(F.lit("bypass_notes")).alias("title"), scrub(F.lit("<thought> Defender:ok </thought>\n")).alias("scrubbed"),
-        first_json(F.when(key % 2 == 0, 'say {"a": {"b": 1}} now').otherwise("none")).alias("json"), line_count(F.lit("a\r\nb\x0bc\n")).alias("n_lines"),
-        strip(F.concat(F.lit("\t x"), key.cast("string"), F.lit(" \n"))).alias("stripped"),
+        "o_orderkey", last_segment(F.concat(F.lit("a.b."), k, F.lit("c"))).alias("last_part"), basename(path).alias("base"), stem(path).alias("stem"), extension(path).alias("ext"),
+        title_case(title).alias("title"), scrub(thought).alias("scrubbed"),
+        first_json(F.when(key % 2 == 0, F.concat(F.lit('say {"a": {"b": '), k, F.lit("}} now"))).otherwise(F.concat(F.lit("none"), k))).alias("json"),
+        line_count(F.concat(F.lit("a\r\nb\x0bc"), F.repeat(F.lit("\nd"), (key % 5).cast("int")), F.lit("\n"))).alias("n_lines"),
+        strip(F.concat(F.lit("\t x"), k, F.lit(" \n"))).alias("stripped"),
     )
 
 
@@ -247,7 +272,8 @@ def files_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = materialize(rows.select("file_id", "rel_path", F.monotonically_increasing_id().alias("n")), "files-by-id")
     part, inside = F.shiftright("n", 33), F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("first"))
+    # One row a part, so one running sum.
+    before = sizes.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     return numbered.withColumn("p", part).join(before, "p").select("file_id", "rel_path", (F.col("first") + inside + 1).cast("long").alias("place"))
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -43,11 +45,11 @@ def inside_root(path: str, root: str) -> str:
     return str(target)
 
 
-#: Directory levels that are listed one after the other before the folders below are dealt to tasks.
-LEVELS = 2
+#: Folders that a task lists before it hands those that are left to the next round.
+FOLDERS_A_TASK = 500
 
 
-def _file_system(path: str):
+def file_system(path: str):
     """Arrow's file system for a path or URI, and the place in it."""
     from pyarrow import fs
 
@@ -55,40 +57,67 @@ def _file_system(path: str):
     return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
 
 
-def _list_folders(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
-    """(path, is_folder, length) of what lies in each folder, or anywhere below it."""
+def _list_folders(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(path, length, left, task): the files in the folders given and below them.
+
+    Breadth first, so that folders near the root are at hand when ``most`` folders have been listed: those that are still
+    to be listed then are returned with ``left``. Folders that are never read are not entered.
+    """
     from pyarrow import fs
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
 
+    def rows(paths: list[str], sizes: list[int], left: bool) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(paths), 10_000):
+            some = paths[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.string()), pa.array(sizes[k : k + 10_000], pa.int64()), pa.array([left] * len(some)), pa.array([task] * len(some), pa.int32())],
+                names=["path", "length", "left", "task"],
+            )
+
+    waiting: deque[str] = deque()
+    listed = 0
     for batch in batches:
-        for folder in batch.column("path").to_pylist():
-            system, place = _file_system(folder)
-            head = folder[: len(folder) - len(place)] if folder.endswith(place) else ""
-            found = [i for i in system.get_file_info(fs.FileSelector(place, recursive=deep, allow_not_found=True)) if i.type != fs.FileType.NotFound]
-            for start in range(0, len(found), 10_000):
-                some = found[start : start + 10_000]
-                columns = [[head + i.path for i in some], [i.type == fs.FileType.Directory for i in some], [int(i.size or 0) for i in some]]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.int64())], names=["path", "is_folder", "length"])
+        waiting.extend(batch.column("path").to_pylist())
+    while waiting and listed < most:
+        folder = waiting.popleft()
+        listed += 1
+        system, place = file_system(folder)
+        head = folder[: len(folder) - len(place)] if folder.endswith(place) else ""
+        found = [i for i in system.get_file_info(fs.FileSelector(place, allow_not_found=True)) if i.type != fs.FileType.NotFound]
+        waiting.extend(head + i.path for i in found if i.type == fs.FileType.Directory and i.base_name not in IGNORED_PARTS)
+        files = [i for i in found if i.type != fs.FileType.Directory]
+        yield from rows([head + i.path for i in files], [int(i.size or 0) for i in files], False)
+    yield from rows(list(waiting), [0] * len(waiting), True)
+
+
+def listing_rounds(spark: SparkSession, root: str, most: int = FOLDERS_A_TASK) -> list[DataFrame]:
+    """(path, length, left, task) of each round of listing; files are the rows without ``left``.
+
+    Folders are dealt to tasks, each of which lists ``most`` of its folders and what it meets below; what is left is
+    dealt anew, to all tasks. Wherever a repository's files are, in many folders or below one, all tasks share them
+    after the first round. A table's round is written, so a lost executor costs its own folders again.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    folders, rounds = spark.createDataFrame([(root,)], "path string"), []
+    while True:
+        listed = folders.mapInArrow(lambda b: _list_folders(b, most), "path string, length long, left boolean, task int")
+        rounds.append(materialize(listed, "listing"))
+        left = rounds[-1].filter("left")
+        if left.isEmpty():
+            return rounds
+        folders = left.select("path").repartition(tasks, "path")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, path, length) of every file below ``root``, hidden ones included; the driver holds none of them.
 
-    Spark's file source leaves out names that start with ``.`` or ``_``, so tasks list folders with Arrow's file systems:
-    the first ``LEVELS`` levels folder by folder, then all that lies below each folder that is left. Folders that are
-    never read are not entered in these levels.
+    Spark's file source leaves out names that start with ``.`` or ``_``, so tasks list folders with Arrow's file systems.
     """
     top = root if re.match("^[a-z0-9+]+:/", root) else str(Path(root).resolve())
     base = top.rstrip("/") + "/"
-    schema = "path string, is_folder boolean, length long"
-    folders, files = spark.createDataFrame([(top,)], "path string"), None
-    for _ in range(LEVELS):
-        found = materialize(folders.mapInArrow(lambda b: _list_folders(b, False), schema), "listing")
-        shown = found.filter(~F.substring_index("path", "/", -1).isin(*IGNORED_PARTS))
-        own = found.filter("not is_folder")
-        files = own if files is None else files.unionByName(own)
-        folders = shown.filter("is_folder").select("path").repartition("path")
-    below = folders.mapInArrow(lambda b: _list_folders(b, True), schema).filter("not is_folder")
-    whole = files.unionByName(below)
+    whole = reduce(DataFrame.unionByName, listing_rounds(spark, top)).filter("not left")
     return whole.select(F.substring("path", len(base) + 1, 1 << 30).alias("rel_path"), "path", "length")
 
 
@@ -108,7 +137,7 @@ def read_contents(spark: SparkSession, root: str) -> DataFrame:
 def _open_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, path in zip(batch.column("rel_path").to_pylist(), batch.column("path").to_pylist(), strict=True):
-            system, place = _file_system(path)
+            system, place = file_system(path)
             with system.open_input_stream(place) as stream:
                 content = stream.read()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["rel_path", "content"])

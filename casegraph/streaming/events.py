@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from casegraph import schemas as S
+from casegraph.sources.sinks import append_batch, append_stream
 
 EVENT = "event_id string, timestamp string, scan_id string, component string, event_type string, payload map<string,string>"
 
@@ -61,11 +62,24 @@ class StoreEventLog(EventLog):
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENT).json(path)
+    """Events of a log: single ones and batches (folders below it)."""
+    return spark.read.schema(EVENT).option("recursiveFileLookup", "true").json(path)
 
 
 def stream_log(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(EVENT).json(folder)
+    return spark.readStream.schema(EVENT).option("recursiveFileLookup", "true").json(folder)
+
+
+def log_rows(rows: DataFrame, folder: str, scan_id: str) -> None:
+    """An event per row (component, event_type, payload) into a log, written by tasks, a file a task; all of them or none.
+
+    When this returns the events are committed, critical ones among them.
+    """
+    stamped = rows.select(
+        F.expr("uuid()").alias("event_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("timestamp"),
+        F.lit(scan_id).alias("scan_id"), "component", "event_type", F.coalesce("payload", F.create_map().cast("map<string,string>")).alias("payload"),
+    )
+    append_batch(stamped, folder)
 
 
 def critical(events: DataFrame) -> DataFrame:
@@ -73,8 +87,8 @@ def critical(events: DataFrame) -> DataFrame:
 
 
 def durable_sink(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """An exactly-once JSON sink: what is committed survives a restart from the checkpoint."""
-    return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    """An exactly-once JSON sink: a batch's events appear together, and what is committed survives a restart from the checkpoint."""
+    return append_stream(events, path, checkpoint)
 
 
 def as_event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -102,25 +116,46 @@ def sessions(events: DataFrame, gap: str = "30 minutes", time: str = "ts", delay
 
 # The states of a path, in order; a later state of one path replaces an earlier one.
 TRANSITIONS = {"QUEUED": 0, "RUNNING": 1, "UNRESOLVED": 2, "RESOLVED": 3}
+#: How long, in event time, a resolved path is remembered (so that replays of its earlier transitions change nothing), and one that nobody moves on.
+LINGER_MS, ABANDONED_MS = 3_600_000, 7 * 24 * 3_600_000
 
 
-def path_states(transitions: DataFrame) -> DataFrame:
+def path_states(
+    transitions: DataFrame, time: str | None = None, delay: str = "10 minutes", linger_ms: int = LINGER_MS, abandoned_ms: int = ABANDONED_MS
+) -> DataFrame:
     """A stream of (path_id, state, seq) -> the state of each path after each batch (update mode).
 
-    A transition older than the state on record is ignored, so replays change nothing.
+    A transition older than the state on record is ignored, so replays change nothing while a path is remembered. With
+    ``time``, the transitions' event time, every path has a timer, set anew when it moves: once the watermark has passed it, a
+    resolved path leaves the state ``linger_ms`` after it was resolved, any other one ``abandoned_ms`` after its
+    last transition, and the state holds live paths, not all there ever were; transitions that are late by more than ``delay``
+    are dropped. Event time, as timers by the clock would keep a stream that takes what is there from ending. Without ``time`` nothing leaves.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seq, current = state.get if state.exists else (-1, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before, current = state.get if state.exists else (-1, None)
+        seq, at = before, 0
         for batch in batches:
             later = batch[batch["state"].isin(TRANSITIONS) & (batch["seq"] > seq)]
             if len(later):
                 last = later.loc[later["seq"].idxmax()]
                 seq, current = int(last["seq"]), last["state"]
-        if current is not None:
+            if time is not None and len(batch):
+                at = max(at, int(batch[time].max().timestamp() * 1000))
+        if current is None:
+            return
+        if seq != before:
             state.update((seq, current))
-            yield pd.DataFrame({"path_id": [key[0]], "state": [current], "seq": [seq]})
-
-    return transitions.groupBy("path_id").applyInPandasWithState(
-        advance, "path_id string, state string, seq long", "seq long, state string", "update", "NoTimeout"
+        if time is not None:
+            # A timer does not outlive the call that sees new rows, so it is set by each.
+            deadline = at + (linger_ms if current == "RESOLVED" else abandoned_ms)
+            state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"path_id": [key[0]], "state": [current], "seq": [seq]})
+
+    timed = transitions if time is None else as_event_time(transitions, time).withWatermark(time, delay)
+    return timed.groupBy("path_id").applyInPandasWithState(
+        advance, "path_id string, state string, seq long", "seq long, state string", "update", "NoTimeout" if time is None else "EventTimeTimeout"
     )

@@ -6,7 +6,7 @@ import pytest
 from casegraph.operators.indexer import index_source
 from casegraph.operators.report import blueprints, markdown_document, sarif_document, severity_order
 from casegraph.operators.store import Store
-from casegraph.plans.diff import diff, report
+from casegraph.plans.diff import diff, report, report_file
 from casegraph.plans.scan import resume, scan
 from casegraph.queries import load_all
 from casegraph.streaming.events import read_log
@@ -14,6 +14,27 @@ from casegraph.streaming.events import read_log
 SF = "/root/testdata/sf0.001"
 
 
+def test_a_scan_that_dies_leaves_the_state_before_it(spark, repository, tmp_path, monkeypatch):
+    audit = str(tmp_path / "audit")
+    scan(spark, str(repository), audit)
+    store = Store(spark, audit)
+    names = ("files", "symbols", "endpoints", "candidate_sinks", "graph_edges", "graph_edge_evidence", "scan_candidate_paths", "scan_dossiers")
+    before = {n: sorted(map(str, store.read(n).collect())) for n in names}
+    (repository / "new.py").write_text("import os\ndef run(x):\n    os.system(x)\n")
+    plain = Store.merge
+
+    def dying(self, table, *rest):
+        if table == "graph_edges":
+            raise KeyboardInterrupt
+        return plain(self, table, *rest)
+
+    monkeypatch.setattr(Store, "merge", dying)
+    with pytest.raises(KeyboardInterrupt):
+        scan(spark, str(repository), audit)
+    monkeypatch.undo()
+    assert {n: sorted(map(str, Store(spark, audit).read(n).collect())) for n in names} == before
+
+
 @pytest.fixture
 def repository(tmp_path):
     files = {
@@ -53,6 +74,11 @@ def test_scan_diff_report_resume(spark, repository, tmp_path):
     assert sarif["version"] == "2.1.0" and len(sarif["runs"][0]["results"]) == 2
     assert len(json.loads(report(spark, audit, scan_id, "graph"))["nodes"]) == 6
 
+    for kind in ("md", "sarif", "graph"):
+        report_file(spark, audit, scan_id, f"file://{tmp_path}/out.{kind}", kind)
+        assert (tmp_path / f"out.{kind}").read_text() == report(spark, audit, scan_id, kind)
+    assert not list(tmp_path.glob("_pending*"))
+
     graph = json.loads(report(spark, audit, scan_id, "graph"))
     assert {n["kind"] for n in graph["nodes"]} == {"SYMBOL", "ENDPOINT", "SINK"} and set(graph["edges"][0]) == {"caller_symbol_id", "callee_symbol_id", "edge_type", "provenance", "confidence"}
     scopes = {"symbol": "helper", "endpoint": "/api/v1/login", "path": path["path_id"], "finding": ssrf["dossier_id"]}

@@ -2,10 +2,12 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, StringStartsWith
 
 from casegraph.operators.classify import classify_scope, eligible
 from casegraph.operators.routes import harvest_vendor, identify_framework, mount_of, resolve_routes
-from casegraph.sources.files import describe_files, hydrate_snippet, inside_root, line_range, listing, read_contents, scan_repository
+from casegraph.sources.files import describe_files, hydrate_snippet, inside_root, line_range, listing, listing_rounds, read_contents, scan_repository
+from casegraph.sources.reader import RepositoryReader, open_repository
 from casegraph.sources.tools import read_endpoints, read_findings, read_secrets
 
 
@@ -40,6 +42,45 @@ def test_listing_goes_down_any_depth(spark, tmp_path, rows):
     assert rows(read_contents(spark, f"file://{tmp_path}"), "rel_path") == rows(found, "rel_path")
 
 
+def test_one_deep_folder_is_listed_by_several_tasks(spark, tmp_path, rows):
+    """All files lie below one third-level folder, in 300 folders of three levels."""
+    for k in range(100):
+        for inner in ("", "/m", "/m/n"):
+            folder = tmp_path / f"a/b/c/d{k}{inner}"
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / "f.py").write_text("x\n")
+    rounds = listing_rounds(spark, str(tmp_path), most=20)
+    files = [r.filter("not left") for r in rounds]
+    assert sum(f.count() for f in files) == 300
+    # The first round has one folder to begin with; in the following ones every task has its share.
+    assert files[0].select("task").distinct().count() == 1 and files[1].select("task").distinct().count() == spark.sparkContext.defaultParallelism
+    assert all(r.groupBy("task").count().agg(F.max("count")).first()[0] <= 20 + 100 for r in rounds)
+    assert len(rounds) <= 6
+    assert rows(listing(spark, str(tmp_path)), "rel_path") == sorted((f"a/b/c/d{k}{i}/f.py",) for k in range(100) for i in ("", "/m", "/m/n"))
+
+
+def test_a_repository_as_a_data_source(spark, tmp_path, rows):
+    names = ["a.py", "src/b.py", "src/y/c.js", "src/y/z/d.py", "lib/src/e.py", "x/.git/no.py", "__pycache__/no.py", ".github/w.yml", "srcs/f.py"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "big.py").write_bytes(b"\n" * (2 * 1024 * 1024 + 1))
+    whole = open_repository(spark, str(tmp_path))
+    assert rows(describe_files(whole)) == rows(scan_repository(spark, str(tmp_path)))
+    assert rows(whole, "rel_path") == sorted((n,) for n in names if "no.py" not in n)
+    for condition in ("rel_path like 'src/%'", "rel_path like 'sr%'", "rel_path = 'src/y/c.js'", "rel_path in ('a.py', 'lib/src/e.py')", "rel_path like '%.py' and rel_path like 'src/y%'", "length(rel_path) > 8", "rel_path = 'none'"):
+        assert rows(whole.filter(condition), "rel_path") == rows(read_contents(spark, str(tmp_path)).filter(condition), "rel_path"), condition
+    reader = RepositoryReader(str(tmp_path), 4)
+    other = EqualTo(("content",), b"x")
+    assert list(reader.pushFilters([StringStartsWith(("rel_path",), "src/"), other])) == [other]
+    met = []
+    plain = reader._list
+    reader._list = lambda folder: met.append(folder) or plain(folder)
+    found = [n for share in reader.partitions() for batch in reader.read(share) for n in batch.column("rel_path").to_pylist()]
+    assert sorted(found) == ["src/b.py", "src/y/c.js", "src/y/z/d.py"]
+    assert set(met) == {"", "src", "src/y", "src/y/z"}  # no other folder is listed
+
+
 def test_tools_can_be_added(spark, rows):
     from casegraph.sources import tools
 

@@ -1,4 +1,5 @@
 import threading
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 
 from casegraph import schemas as S
 from casegraph.operators.incremental import cached_results, change_feed, impact_plan, reusable_dossiers, snapshot_diff
-from casegraph.operators.store import Store, close_scan, delete_files, invalidate_files, last_arrivals, resolve_paths, upsert
-from casegraph.streaming.events import EventLog, critical, path_states, read_log
+from casegraph.operators.store import Store, close_scan, delete_files, invalidate_files, last_arrivals, part_of, resolve_paths, upsert
+from casegraph.sources.sinks import write_document
+from casegraph.streaming.events import EventLog, StoreEventLog, critical, durable_sink, log_rows, path_states, read_log, stream_log
 
 
 def test_upsert_keeps_and_replaces(spark, rows):
@@ -112,6 +114,53 @@ def test_tables_commit_together(spark, tmp_path, rows, monkeypatch):
     assert rows(before, "rel_path") == [("a.py",)]  # a reader at work keeps its version
 
 
+def test_a_merge_touches_the_parts_of_its_keys(spark, rows, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    many = spark.range(20_000).select(F.concat(F.lit("f"), "id").alias("rel_path"), F.lit("old").alias("file_hash"))
+    store.merge("files", many)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "s" / "files").rglob("*.parquet")}
+    assert len({f.parent.name for f in before}) == 64
+    ids = dict(store.read("files").select("rel_path", "file_id").collect())
+    delta = [(f"f{k * 977}", "new") for k in range(9)] + [("another", "new")]
+    store.merge("files", spark.createDataFrame(delta, "rel_path string, file_hash string"))
+    written = {f for f in (tmp_path / "s" / "files").rglob("*.parquet")} - set(before)
+    assert 1 <= len({f.parent.name for f in written}) <= 10
+    assert all(f.stat().st_mtime_ns == at for f, at in before.items() if f.exists())
+    after = store.read("files")
+    assert after.count() == 20_001 and rows(after.filter("file_hash = 'new'"), "rel_path") == sorted((p,) for p, _ in delta)
+    assert all(ids[r["rel_path"]] == r["file_id"] for r in after.filter("rel_path <> 'another'").collect())
+    # The base of such a merge is read from the parts of its keys alone.
+    touched = [r[0] for r in spark.createDataFrame(delta, "rel_path string, file_hash string").select(part_of("files", 64)).distinct().collect()]
+    assert len(store.read("files", touched).inputFiles()) < len(after.inputFiles()) / 3
+    # What no state needs any more is gone after the next commit.
+    store.merge("files", spark.createDataFrame(delta, "rel_path string, file_hash string"))
+    assert sum("v1" in str(f) for f in (tmp_path / "s" / "files").rglob("*.parquet")) < len(before)
+    assert store.read("files").count() == 20_001
+
+
+def test_one_transaction_over_merges(spark, rows, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), parts=4)
+    file = lambda name: spark.createDataFrame([(name, "h")], "rel_path string, file_hash string")
+    store.merge("files", file("a"))
+    other = Store(spark, str(tmp_path / "s"))
+    with pytest.raises(RuntimeError):
+        with store.transaction():
+            store.merge("files", file("b"))
+            assert rows(store.read("files"), "rel_path") == [("a",), ("b",)]  # its own writes are seen inside
+            assert rows(other.read("files"), "rel_path") == [("a",)]
+            raise RuntimeError
+    assert rows(store.read("files"), "rel_path") == [("a",)]
+    with store.transaction():
+        store.merge("files", file("c"))
+        store.merge("scans", spark.createDataFrame([("s", "INDEXING")], "scan_id string, status string"))
+        with store.transaction():
+            store.merge("files", file("d"))
+    # A table keeps its number of parts, whoever opens it.
+    assert rows(other.merge("files", file("e")), "rel_path") == [("a",), ("c",), ("d",), ("e",)] and other.read("scans").count() == 1
+    assert {f.name for f in (tmp_path / "s" / "files").glob("v*/part=*")} <= {f"part={k}" for k in range(4)}
+    assert not list((tmp_path / "s" / "files").glob("v2"))  # left by the writer that died
+
+
 def test_paths_are_resolved_alone(spark, rows):
     paths = spark.createDataFrame([("p", "QUEUED", 1.0), ("q", "QUEUED", 1.0)], "path_id string, state string, reachability_confidence double")
     found = spark.createDataFrame([("q", 0.5), ("z", 0.1)], "path_id string, reachability_confidence double")
@@ -190,3 +239,82 @@ def test_path_states(spark, tmp_path):
 
     stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(out)).collect()] == [("p", "RESOLVED", 3)]
+
+
+def test_resolved_and_abandoned_paths_leave_the_state(spark, rows, tmp_path):
+    source, out, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "c"
+    schema = "path_id string, state string, seq long, second long"
+
+    def arrive(transitions):
+        spark.createDataFrame(transitions, schema).coalesce(1).write.mode("append").parquet(str(source))
+        timed = spark.readStream.schema(schema).parquet(str(source)).withColumn("at", F.timestamp_seconds("second"))
+        stream = path_states(timed, "at", delay="1 second", linger_ms=60_000, abandoned_ms=600_000)
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("append").parquet(str(out))).option("checkpointLocation", str(checkpoint))
+        query.trigger(availableNow=True).start().awaitTermination()
+        held = spark.read.format("statestore").load(str(checkpoint)).select("key.path_id", "value.groupState.state")
+        return {r["path_id"]: r["state"] for r in held.collect()}
+
+    many = [(f"r{k}", "RESOLVED", 5, 1_000) for k in range(50)]
+    assert set(arrive([("q", "QUEUED", 1, 1_000), ("w", "RUNNING", 1, 1_000), *many])) == {"q", "w", *[p for p, *_ in many]}
+    # A replay while a path is remembered changes nothing; when its timer has run out it leaves.
+    assert len(arrive([("r1", "RUNNING", 4, 1_010)])) == 52
+    assert arrive([("q", "RUNNING", 2, 1_200)]) == {"q": "RUNNING", "w": "RUNNING"}
+    assert rows(spark.read.parquet(str(out)).filter("path_id in ('q', 'r1')"), "path_id", "state", "seq") == [("q", "QUEUED", 1), ("q", "RUNNING", 2), ("r1", "RESOLVED", 5), ("r1", "RESOLVED", 5)]
+    # Nobody has moved the other on.
+    assert arrive([("z", "QUEUED", 1, 1_700)]) == {"q": "RUNNING", "z": "QUEUED"}
+
+
+def test_many_events_leave_few_files(spark, rows, tmp_path):
+    folder = tmp_path / "log"
+    events = spark.range(10_000, numPartitions=6).select(
+        F.lit("c").alias("component"), F.when(F.col("id") % 2 == 0, "PATH_TRANSITION").otherwise("SCAN_STARTED").alias("event_type"),
+        F.create_map(F.lit("i"), F.col("id").cast("string")).alias("payload"),
+    )
+    log_rows(events, str(folder), "s")
+    files = [f for f in folder.rglob("*") if f.is_file() and not f.name.endswith(".crc")]
+    assert len(files) == 6 and not list(folder.glob("_pending*"))
+    found = read_log(spark, str(folder))
+    assert found.count() == found.select("event_id").distinct().count() == 10_000 and critical(found).count() == 5_000
+    assert found.filter("scan_id = 's' and timestamp like '20%T%+00:00'").count() == 10_000
+    # A batch that fails leaves none of its events, wherever it fails.
+    broken = events.withColumn("component", F.expr("if(payload['i'] = '9999', raise_error('lost'), component)"))
+    with pytest.raises(Exception, match="lost"):
+        log_rows(broken, str(folder), "s")
+    assert read_log(spark, str(folder)).count() == 10_000 and not list(folder.glob("_pending*"))
+    # Beside single events, as the driver logs them.
+    StoreEventLog(spark, str(folder), "s").log("c", "SCAN_STARTED")
+    assert read_log(spark, str(folder)).count() == 10_001
+
+
+def test_a_stream_of_events_appears_once(spark, rows, tmp_path):
+    source, folder, checkpoint = tmp_path / "in", tmp_path / "log", tmp_path / "c"
+    schema = "event_id string, timestamp string, scan_id string, component string, event_type string, payload map<string,string>"
+
+    def arrive(first, n):
+        made = spark.range(first, first + n).select(F.col("id").cast("string").alias("event_id"), *[F.lit("x").alias(c) for c in ("timestamp", "scan_id", "component", "event_type")], F.create_map(F.lit("i"), F.lit("1")).alias("payload"))
+        made.write.mode("append").json(str(source))
+        stream = spark.readStream.schema(schema).json(str(source))
+        durable_sink(stream, str(folder), str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+
+    arrive(0, 100)
+    arrive(100, 50)
+    assert rows(read_log(spark, str(folder)), "event_id") == sorted((str(k),) for k in range(150))
+    assert sorted(f.name for f in folder.iterdir() if f.name[0] != "_") == ["b000000000", "b000000001"]
+    # The last batch is committed again after a restart: it is the same batch.
+    (checkpoint / "commits" / "1").unlink()
+    (checkpoint / "commits" / ".1.crc").unlink(missing_ok=True)
+    arrive(150, 5)
+    assert rows(read_log(spark, str(folder)), "event_id") == sorted((str(k),) for k in range(155))
+    assert stream_log(spark, str(folder)).isStreaming
+
+
+def test_a_document_is_written_in_order(spark, tmp_path):
+    pieces = spark.range(5_000, numPartitions=7).select((F.col("id") % 3).alias("part"), F.col("id").alias("ord"), F.concat(F.col("id").cast("string"), F.lit("é ")).alias("text"))
+    write_document(pieces.repartition(5), str(tmp_path / "doc.txt"), "part", "ord")
+    assert (tmp_path / "doc.txt").read_text() == "".join(f"{k}é " for part in range(3) for k in range(5_000) if k % 3 == part)
+    broken = pieces.withColumn("text", F.expr("if(ord = 4999, raise_error('lost'), text)"))
+    with pytest.raises(Exception, match="lost"):
+        write_document(broken, str(tmp_path / "other.txt"), "part", "ord")
+    assert [f.name for f in tmp_path.iterdir()] == ["doc.txt"]
+    write_document(pieces.limit(0), str(tmp_path / "none.txt"), "part", "ord")
+    assert (tmp_path / "none.txt").read_text() == ""
