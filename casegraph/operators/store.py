@@ -97,24 +97,39 @@ def upsert_table(table: str, base: DataFrame, delta: DataFrame, seq: str | None
     return upsert(base, rows, list(spec.key), list(spec.kept), seq) if spec.key else base.unionByName(rows)
 
 
-def invalidate_files(edges: DataFrame, evidence: DataFrame, paths: DataFrame, symbols: DataFrame, sinks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(evidence, paths) after the given files (file_id) have changed.
+def invalidated(edges: DataFrame, paths: DataFrame, symbols: DataFrame, sinks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edge_id), (path_id) that depend on the given files (file_id).
 
-    Evidence of edges that touch a symbol of the files is inactive; paths to their sinks are unresolved.
-    The condition on caller *or* callee is a union of two semi-joins, not one join on a disjunction.
+    Edges that touch a symbol of the files, and paths to their sinks. The condition on caller *or* callee is a union of
+    two semi-joins, not one join on a disjunction.
     """
     touched = symbols.join(files.select("file_id"), "file_id", "left_semi").select("symbol_id")
     by_caller = edges.join(touched, edges["caller_symbol_id"] == touched["symbol_id"], "left_semi").select("edge_id")
     by_callee = edges.join(touched, edges["callee_symbol_id"] == touched["symbol_id"], "left_semi").select("edge_id")
-    hit = by_caller.union(by_callee).distinct().withColumn("_hit", F.lit(True))
-    new_evidence = evidence.join(hit, "edge_id", "left").withColumn(
-        "is_active", F.when(F.col("_hit"), F.lit(False)).otherwise(F.col("is_active"))
-    ).select(*evidence.columns)
-    sink_hit = sinks.join(files.select("file_id"), "file_id", "left_semi").select("sink_id").distinct().withColumn("_hit", F.lit(True))
-    new_paths = paths.join(sink_hit, "sink_id", "left").withColumn(
-        "state", F.when(F.col("_hit"), F.lit("UNRESOLVED")).otherwise(F.col("state"))
-    ).select(*paths.columns)
-    return new_evidence, new_paths
+    own_sinks = sinks.join(files.select("file_id"), "file_id", "left_semi").select("sink_id").distinct()
+    return by_caller.union(by_callee).distinct(), paths.join(own_sinks, "sink_id", "left_semi").select("path_id").distinct()
+
+
+def _where(rows: DataFrame, keys: DataFrame, key: str, column: str, value: Column) -> DataFrame:
+    """``rows`` with ``value`` in ``column`` where ``keys`` has the row's key."""
+    marked = rows.join(keys.withColumn("_hit", F.lit(True)), key, "left")
+    return marked.withColumn(column, F.when(F.col("_hit"), value).otherwise(F.col(column))).select(*rows.columns)
+
+
+def deactivate(evidence: DataFrame, edges: DataFrame) -> DataFrame:
+    """``evidence`` with that of the given edges (edge_id) inactive."""
+    return _where(evidence, edges, "edge_id", "is_active", F.lit(False))
+
+
+def reopen(paths: DataFrame, hit: DataFrame) -> DataFrame:
+    """``paths`` with the given ones (path_id) unresolved."""
+    return _where(paths, hit, "path_id", "state", F.lit("UNRESOLVED"))
+
+
+def invalidate_files(edges: DataFrame, evidence: DataFrame, paths: DataFrame, symbols: DataFrame, sinks: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evidence, paths) after the given files (file_id) have changed."""
+    hit_edges, hit_paths = invalidated(edges, paths, symbols, sinks, files)
+    return deactivate(evidence, hit_edges), reopen(paths, hit_paths)
 
 
 def delete_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
@@ -297,8 +312,22 @@ class Store:
             release(rows)
             return self.read(table)
 
-    def update(self, table: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        return self.write(table, change(self.read(table)))
+    def update(self, table: str, change: Callable[[DataFrame], DataFrame], touched: DataFrame | None = None) -> DataFrame:
+        """The table after ``change``; with ``touched`` (rows that have the table's key, or what it refers to), only their parts are read and written.
+
+        ``change`` must keep the rows of a part in it.
+        """
+        if touched is None:
+            return self.write(table, change(self.read(table)))
+        with self.transaction():
+            own = self._staged.get(table)
+            if own is not None:
+                parts = [r["part"] for r in touched.select(part_of(table, own["parts"])).distinct().collect()]
+                parts = [p for p in parts if str(p) in own["at"]]
+                if parts:
+                    own, version = self._write(table, change(self.read(table, parts)))
+                    own["at"] |= {str(p): [version] for p in parts}
+            return self.read(table)
 
 
 def resolve_paths(paths: DataFrame, found: DataFrame) -> DataFrame:

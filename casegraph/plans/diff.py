@@ -13,7 +13,7 @@ from casegraph.operators.graph import edges_with_evidence, graph_scope
 from casegraph.operators.incremental import all_changed, change_feed, impact_plan, reusable_dossiers, snapshot_diff
 from casegraph.operators.matching import of_scan
 from casegraph.operators.report import graph_lines, markdown_lines, sarif_lines, severity_order
-from casegraph.operators.store import Store, delete_files, invalidate_files
+from casegraph.operators.store import Store, deactivate, delete_files, invalidated, reopen
 from casegraph.scratch import materialize, release
 from casegraph.sources.files import scan_repository
 from casegraph.sources.sinks import write_document
@@ -61,11 +61,14 @@ def diff(
         after = {n: materialize(d, f"diff-{n}") for n, d in delete_files(tables, gone).items()}
         tables |= after
     touched = plan.filter("status = 'CHANGED' and file_id is not null").select("file_id")
-    evidence, paths = invalidate_files(
-        tables["graph_edges"], tables["graph_edge_evidence"], tables["scan_candidate_paths"], tables["symbols"], tables["candidate_sinks"], touched
-    )
-    # All tables change together, or none does.
-    store.commit(after | {"graph_edge_evidence": materialize(evidence, "diff-evidence"), "scan_candidate_paths": materialize(paths, "diff-paths")})
+    found = invalidated(tables["graph_edges"], tables["scan_candidate_paths"], tables["symbols"], tables["candidate_sinks"], touched)
+    edges, paths = (materialize(rows, "diff-invalid") for rows in found)
+    with store.transaction():  # all tables change together, or none does
+        if after:
+            store.commit(after)
+        # Only the parts that hold what is invalid are rewritten.
+        store.update("graph_edge_evidence", lambda rows: deactivate(rows, edges), touched=edges)
+        store.update("scan_candidate_paths", lambda rows: reopen(rows, paths), touched=paths)
     reusable = reusable_dossiers(
         store.read("scan_dossiers"), store.read("scan_candidate_paths"), store.read("candidate_sinks"), store.read("files"), changed, fingerprint
     )

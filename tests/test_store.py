@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from casegraph import schemas as S
 from casegraph.operators.incremental import cached_results, change_feed, impact_plan, reusable_dossiers, snapshot_diff
-from casegraph.operators.store import Store, close_scan, delete_files, invalidate_files, last_arrivals, part_of, resolve_paths, upsert
+from casegraph.operators.store import Store, close_scan, deactivate, delete_files, invalidate_files, last_arrivals, part_of, resolve_paths, upsert
 from casegraph.sources.sinks import write_document
 from casegraph.streaming.events import EventLog, StoreEventLog, critical, durable_sink, log_rows, path_states, read_log, stream_log
 
@@ -138,6 +138,21 @@ def test_a_merge_touches_the_parts_of_its_keys(spark, rows, tmp_path):
     assert store.read("files").count() == 20_001
 
 
+def test_an_update_touches_the_parts_of_its_rows(spark, rows, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.merge("graph_edge_evidence", spark.range(2_000).select(F.col("id").alias("edge_id"), F.lit(0.5).alias("confidence")))
+    store.merge("graph_edge_evidence", spark.createDataFrame([(7, 0.9)], "edge_id long, confidence double"))
+    before = set((tmp_path / "s" / "graph_edge_evidence").rglob("*.parquet"))
+    hit = spark.createDataFrame([(7,), (11,), (99_999,)], "edge_id long")
+    after = store.update("graph_edge_evidence", lambda e: deactivate(e, hit), touched=hit)
+    assert rows(after.filter("not is_active"), "edge_id", "confidence") == [(11, 0.5), (7, 0.5), (7, 0.9)] and after.count() == 2_001
+    written = set((tmp_path / "s" / "graph_edge_evidence").rglob("*.parquet")) - before
+    assert 1 <= len({f.parent.name for f in written}) <= 3
+    # Nothing is touched, or there is nothing to touch.
+    assert store.update("graph_edge_evidence", lambda e: deactivate(e, hit), touched=hit.limit(0)).count() == 2_001
+    assert store.update("scan_candidate_paths", lambda p: p, touched=spark.createDataFrame([("p",)], "path_id string")).count() == 0
+
+
 def test_one_transaction_over_merges(spark, rows, tmp_path):
     store = Store(spark, str(tmp_path / "s"), parts=4)
     file = lambda name: spark.createDataFrame([(name, "h")], "rel_path string, file_hash string")
