@@ -272,5 +272,18 @@ def _json_text(value: Column) -> Column:
 
 
 def severity_order(dossiers: DataFrame) -> DataFrame:
-    """``dossiers`` with ``ord``: severity as text (CRITICAL, HIGH, INFO, LOW, MEDIUM), then id."""
-    return dossiers.withColumn("ord", F.row_number().over(Window.partitionBy("scan_id").orderBy("severity", "dossier_id")).cast("long"))
+    """``dossiers`` with ``ord``, a scan's findings numbered from 1: severity as text (CRITICAL, HIGH, INFO, LOW, MEDIUM), then id.
+
+    All findings are range-sorted once; a number is what stands in the sorted parts before, by scan, and the place inside
+    the part. So a scan's findings needn't meet in one task.
+    """
+    order = ("scan_id", "severity", "dossier_id")
+    kept = [c for c in dossiers.columns if c != "ord"]
+    ordered = dossiers.select(*kept).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")), "severity-order")
+    # A row for each scan in each part.
+    runs = placed.groupBy(F.col("scan_id").alias("_scan"), F.col("_part").alias("_in")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("_scan").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("_scan", "_in", "_first", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    joined = placed.join(runs, (F.col("_part") == F.col("_in")) & F.col("scan_id").eqNullSafe(F.col("_scan")))
+    return joined.select(*kept, (F.col("_before") + F.col("_place") - F.col("_first") + 1).cast("long").alias("ord"))
