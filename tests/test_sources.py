@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, StringStartsWith
 
+from casegraph.functions.scoring import engine_fingerprint, engine_fingerprints
 from casegraph.operators.classify import classify_scope, eligible
 from casegraph.operators.routes import harvest_vendor, identify_framework, mount_of, resolve_routes
 from casegraph.sources.files import describe_files, hydrate_snippet, inside_root, line_range, listing, listing_rounds, read_contents, scan_repository
@@ -93,7 +94,8 @@ def test_tools_can_be_added(spark, rows):
     assert set(found) == {"endpoints"} and found["endpoints"].count() == 2
 
 
-def test_mounts_fit_either_way(spark, rows):
+@pytest.mark.parametrize("few", [200, 0])
+def test_mounts_fit_either_way(spark, rows, few):
     files = spark.createDataFrame([("src/routes/user.js",), ("lib/admin.js",), ("lib/none.js",), ("a/user.ts",)], "rel_path string")
     mounts = spark.createDataFrame([("routes/user", "/u", 2), ("very/admin/place", "/a", 1), ("user", "/first", 0), ("", "/any", 9)], "import_key string, prefix string, ord int")
     expected = []
@@ -101,7 +103,7 @@ def test_mounts_fit_either_way(spark, rows):
         stem = path.rsplit("/", 1)[1].rsplit(".", 1)[0]
         fits = [(o, p) for k, p, o in mounts.collect() if k in path or stem in k]
         expected.append((path, min(fits)[1]))
-    assert rows(mount_of(files, mounts)) == sorted(expected)
+    assert rows(mount_of(files, mounts, few)) == sorted(expected)
 
 
 def test_root_is_a_fence(tmp_path):
@@ -194,3 +196,20 @@ def test_vendor_harvest(spark, rows):
         "rel_path string, text string",
     )
     assert rows(harvest_vendor(files), "package_name", "api_name", "potential_sink_class") == [("@a/b", "exec_command", "RCE"), ("db-helper", "rawQuery", "SQLI")]
+
+
+def test_fingerprints_of_rows_are_those_of_values(spark):
+    configs = [{"mode": "FULL"}, {}, {"mode": "é\U0001f600\"\\/", "ünï": "x"}, {"schema_version": "7", "a": "1"}, {"resolver_version": "own", "z": "a\nb"}]
+    cases = [(k, config, lock) for k, config in enumerate(configs) for lock in (None, "", "lock é")]
+    df = spark.createDataFrame(cases, "k long, config map<string,string>, lock string")
+    found = [r["f"] for r in df.withColumn("f", engine_fingerprints(F.col("config"), F.col("lock"))).orderBy("k", F.col("lock").asc_nulls_first()).collect()]
+    assert found == [engine_fingerprint(config, None if lock is None else lock.encode()) for _, config, lock in cases]
+
+
+def test_frameworks_of_many_repositories(spark, rows):
+    files = [
+        ("a", "package.json", '{"dependencies":{"koa":"1"}}'), ("a", "yarn.lock", "express"), ("b", "yarn.lock", "express"), ("b", "requirements.txt", "flask"),
+        ("c", "Pipfile", "Flask"), ("d", "src/x.js", "express()"), ("e", "node_modules/x.js", "express()"),
+    ]
+    found = identify_framework(spark.createDataFrame(files, "repo string, rel_path string, text string"), ("repo",))
+    assert rows(found) == [("a", "koa"), ("b", "express"), ("c", "flask"), ("d", "express"), ("e", None)]
