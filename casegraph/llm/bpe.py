@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,7 +36,9 @@ from casegraph.llm.common import Remembered, fresh, worker_memory
 #: Characters on which Python and the library agree about case, normal form and white space.
 _PLAIN = re.compile(r"[\t-\r -~¡-įı-ž]*\Z")
 #: Characters of text turned into one Arrow batch.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 1_000_000
+#: Words, and pieces between white space, that an encoder remembers.
+REMEMBERED = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -92,8 +95,8 @@ class BpeCodec:
         self._specials = special_strings(spec)
         self._special = re.compile("|".join(map(re.escape, self._specials)) or r"(?!)")
         self._splitting = Splitting(spec)
-        self._by_word = Remembered(self._word)
-        self._by_piece = Remembered(self._piece)
+        self._by_word = Remembered(self._word, REMEMBERED)
+        self._by_piece = Remembered(self._piece, REMEMBERED)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge adjacent symbols, lowest rank first and leftmost among equals."""
@@ -209,13 +212,14 @@ def codec(path: str, kind: type = BpeCodec) -> BpeCodec | LibraryCodec:
 
 
 def text_slices(batch: pa.RecordBatch, column: str, chars: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with about ``chars`` characters of text each, and their texts (null as empty)."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
+    """Parts of a batch with about ``chars`` characters of text each, and their texts (null as empty); only one part's texts are Python strings at a time."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
     start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= chars or i == len(texts) - 1:
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= chars or i == len(sizes) - 1:
+            part = batch.slice(start, i + 1 - start)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
             start, held = i + 1, 0
 
 

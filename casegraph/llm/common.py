@@ -61,24 +61,30 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 class Remembered(dict):
     """key (a text) -> value, computed on first use.
 
-    Bounded by entries and by characters: when either is full everything is forgotten, and a key of more than
+    Bounded by entries and by characters, over two generations: when half of either bound is full, the entries become
+    the old ones and the old ones before them are forgotten; an old entry that is used again is kept. A key of more than
     ``LONG_KEY`` characters is computed each time.
     """
 
     LONG_KEY = 200
 
-    def __init__(self, compute: Callable, limit: int = 400_000, chars: int = 16_000_000):
+    def __init__(self, compute: Callable, limit: int = 200_000, chars: int = 8_000_000):
         super().__init__()
-        self.compute, self.limit, self.chars, self.held = compute, limit, chars, 0
+        self.compute, self.limit, self.chars, self.held, self.old = compute, limit // 2, chars // 2, 0, {}
 
     def __missing__(self, key):
-        value, size = self.compute(key), len(key)
-        if size <= self.LONG_KEY:
-            if len(self) >= self.limit or self.held + size > self.chars:
-                self.clear()
-                self.held = 0
-            self.held += size
-            self[key] = value
+        size = len(key)
+        if size > self.LONG_KEY:
+            return self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit or self.held + size > self.chars:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        self.held += size
+        self[key] = value
         return value
 
 

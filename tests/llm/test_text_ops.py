@@ -333,3 +333,25 @@ def test_line_dedup_stays_in_the_jvm(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string")
     plan = line_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+def test_what_is_used_again_is_remembered():
+    from casegraph.llm.common import Remembered
+
+    computed = []
+    known = Remembered(lambda k: computed.append(k) or k.upper(), limit=10)
+    for i in range(100):
+        assert known["often"] == "OFTEN" and known[f"once{i}"] == f"ONCE{i}"
+        assert len(known) + len(known.old) <= 10
+    assert computed.count("often") == 1
+
+
+def test_slices_hold_few_texts():
+    import pyarrow as pa
+
+    from casegraph.llm.bpe import BATCH_CHARS, text_slices
+
+    batch = pa.RecordBatch.from_pydict({"k": range(6), "t": ["x" * 600_000, None, "é" * 600_000, "", "z", None]})
+    parts = list(text_slices(batch, "t"))
+    assert [p.column("k").to_pylist() for p, _ in parts] == [[0, 1, 2], [3, 4, 5]] and [t for _, own in parts for t in own] == ["x" * 600_000, "", "é" * 600_000, "", "z", ""]
+    assert BATCH_CHARS <= 1_000_000
