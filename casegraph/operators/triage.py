@@ -19,6 +19,9 @@ def top(items: DataFrame, k: int, priority: str = "priority", seq: str = "seq",
 
 
 def pop_order(items: DataFrame, by: list[str], priority: str = "priority", seq: str = "seq", key: str = "path_id") -> DataFrame:
-    """Items with ``rank``, their place in the queue of their group (one queue per scan, say)."""
-    window = Window.partitionBy(*by).orderBy(F.col(priority).desc(), F.col(seq))
+    """Items with ``rank``, their place in the queue of their group (one queue per scan, say).
+
+    Of items equal in priority and arrival the smaller key comes first, so reruns agree.
+    """
+    window = Window.partitionBy(*by).orderBy(F.col(priority).desc(), F.col(seq), F.col(key))
     return first_pushes(items, key, seq).withColumn("rank", F.row_number().over(window).cast("long"))
