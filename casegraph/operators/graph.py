@@ -123,36 +123,60 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS)
     return found
 
 
-def paths_to_targets(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table that can be read again; one that ``materialize`` returned is that already."""
+    return df if getattr(df, "_casegraph_path", None) else materialize(df, name)
+
+
+def _split(edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges into the nodes of ``ends`` (node), and all others, written apart: rounds that don't end need only the second table."""
+    into = ends.select(F.col("node").alias("dst"))
+    return materialize(edges.join(into, "dst", "left_semi"), "edges-into"), materialize(edges.join(into, "dst", "left_anti"), "edges-inner")
+
+
+#: Up to so many hops nothing is pruned: two rounds grow before the last edge, and the search against the edges costs more than they do.
+FEW_HOPS = 3
+
+
+def paths_to_targets(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = S.MAX_HOPS, ordered: bool = True) -> DataFrame:
     """``simple_paths`` from all of ``sources.source`` to all of ``targets.target`` in one search.
 
     For graphs whose targets have no outgoing edges (as sinks): a path needn't know where it is going,
-    so no pair of a source and a target is formed before a path has joined them.
+    so no pair of a source and a target is formed before a path has joined them. Only edges that don't end at a target
+    take part in the rounds, and beyond ``FEW_HOPS`` only nodes from which a target is within the hops left; the last
+    edge is joined once, to the paths of all rounds. Without ``ordered`` there is no ``ord``, and edges needn't be sorted.
     """
-    ends = targets.select(F.col("target").alias("dst")).distinct().withColumn("end", F.lit(True))
-    step = _numbered(edges).select("src", "dst", "place", F.col("confidence").alias("c"), F.coalesce("edge_type", F.lit("")).alias("t"))
-    step = materialize(step, "graph-numbers")
-    step = materialize(step.join(ends, "dst", "left").withColumn("end", F.coalesce("end", F.lit(False))), "graph-edges")
+    plain = edges.select("src", "dst", F.col("confidence").alias("c"), F.coalesce("edge_type", F.lit("")).alias("t"), *(["ord"] if ordered else []))
+    ends = materialize(targets.select(F.col("target").alias("node")).distinct(), "ends")
+    into, inner = _split(materialize(_numbered(plain).drop("ord"), "graph-numbers") if ordered else _written(plain, "graph-edges"), ends)
     front = sources.select("source").distinct().select(
         "source", F.col("source").alias("at"), F.array("source").alias("nodes"), F.lit(0).alias("hops"), F.lit(1.0).alias("confidence"),
-        F.array().cast("array<string>").alias("edge_types"), F.array().cast("array<long>").alias("ord"), F.lit(False).alias("end"),
+        F.array().cast("array<string>").alias("edge_types"), *([F.array().cast("array<long>").alias("ord")] if ordered else []),
     )
     front = materialize(front, "reach-0")
-    found = front.filter("end").drop("end")
-    for hop in range(1, max_hops + 1):
-        grown = front.filter("not end").drop("end").join(step, F.col("at") == F.col("src")).filter(~F.array_contains("nodes", F.col("dst")))
-        front = materialize(
-            grown.select(
-                "source", F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"), F.lit(hop).alias("hops"),
-                F.least("confidence", "c").alias("confidence"), F.concat("edge_types", F.array("t")).alias("edge_types"),
-                F.concat("ord", F.array("place")).alias("ord"), "end",
-            ),
-            f"reach-{hop}",
+    found = front.join(ends, F.col("at") == F.col("node"), "left_semi")
+    front = front.join(ends, F.col("at") == F.col("node"), "left_anti")
+    if max_hops > FEW_HOPS:
+        onward = materialize(_ways_on(into, inner, max_hops), "reach-onward")
+        inner = materialize(inner.join(onward.select(F.col("node").alias("dst"), "onward"), "dst"), "reach-edges")
+        front = front.join(onward, F.col("at") == F.col("node"), "left_semi")
+
+    def grown(front: DataFrame, step: DataFrame) -> DataFrame:
+        longer = front.join(step, F.col("at") == F.col("src")).filter(~F.array_contains("nodes", F.col("dst")))
+        return longer.select(
+            "source", F.col("dst").alias("at"), F.concat("nodes", F.array("dst")).alias("nodes"), (F.col("hops") + 1).alias("hops"),
+            F.least("confidence", "c").alias("confidence"), F.concat("edge_types", F.array("t")).alias("edge_types"),
+            *([F.concat("ord", F.array("place")).alias("ord")] if ordered else []),
         )
-        found = found.unionByName(front.filter("end").drop("end"))
-        if front.filter("not end").isEmpty():
+
+    rounds = front if max_hops > 0 else front.filter(F.lit(False))
+    for hop in range(1, max_hops):
+        step = inner.filter(F.col("onward") <= max_hops - hop) if max_hops > FEW_HOPS else inner
+        front = materialize(grown(front, step), f"reach-{hop}")
+        if front.isEmpty():
             break
-    return found.withColumnRenamed("at", "target")
+        rounds = rounds.unionByName(front)
+    return found.unionByName(grown(rounds, into)).withColumnRenamed("at", "target")
 
 
 def simple_paths_sql(edge_view: str, source: str, target: str, max_hops: int) -> str:
@@ -191,6 +215,24 @@ def hop_distances(edges: DataFrame, targets: DataFrame, max_hops: int = S.MAX_HO
     return known
 
 
+def _ways_on(into: DataFrame, inner: DataFrame, max_hops: int) -> DataFrame:
+    """(node, onward): the least number of edges, one at least, from a node to a target, for nodes that have a way there.
+
+    ``into`` and ``inner``: what ``_split`` returns. A breadth-first search against the edges: what leads to a target has
+    been found by the first round, so later rounds read ``inner`` alone; only the nodes that a round adds are looked up among
+    those known before.
+    """
+    front = materialize(into.select(F.col("src").alias("node")).distinct().withColumn("onward", F.lit(1)), "distances")
+    known = front
+    for hop in range(2, max_hops + 1):
+        if front.isEmpty():
+            break
+        moved = inner.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+        front = materialize(moved.join(known, "node", "left_anti").withColumn("onward", F.lit(hop)), "distances")
+        known = known.unionByName(front)
+    return known
+
+
 def _before(rounds: DataFrame, reached: DataFrame, keys: list[str], best: Column) -> DataFrame:
     """``best`` of all rounds for the keys in ``reached`` alone.
 

@@ -162,3 +162,14 @@ def test_inactive_evidence_leaves_defaults(spark, rows):
     evidence = spark.createDataFrame([(1, "AST", 0.5, True), (1, "LLM", 0.4, True), (2, "AST", 0.5, False)], "edge_id long, resolution_method string, confidence double, is_active boolean")
     assert rows(edges_with_evidence(edges, evidence)) == [(1, "AST", 0.5), (1, "LLM", 0.4), (2, "DETERMINISTIC", 1.0)]
     assert edges_with_evidence(edges, evidence.filter(F.lit(False))).count() == 2
+
+
+def test_paths_to_targets_enter_only_what_leads_there(spark, rows, monkeypatch):
+    """Of a hundred chains one leads to the sink; only its nodes are entered."""
+    edges = graph(spark, [(f"e{i}", f"a{i}", 1) for i in range(100)] + [(f"a{i}", f"b{i}", 1) for i in range(100)] + [("b7", "sink", 0.5)])
+    starts, ends = spark.createDataFrame([(f"e{i}",) for i in range(100)], "source string"), spark.createDataFrame([("sink",), ("e1",)], "target string")
+    sizes = written_rows(monkeypatch)
+    found = paths_to_targets(edges, starts, ends, 5, ordered=False)
+    assert rows(found, "source", "target", "hops", "confidence") == [("e1", "e1", 0, 1.0), ("e7", "sink", 3, 0.5)]
+    assert max(n for name, n in sizes if name in [f"reach-{k}" for k in range(1, 6)]) <= 1
+    assert "ord" not in found.columns and "ord" in paths_to_targets(edges, starts, ends, 5).columns
