@@ -199,22 +199,6 @@ def first_paths(paths: DataFrame) -> DataFrame:
     return picked.select("source", "target", "p.*")
 
 
-def hop_distances(edges: DataFrame, targets: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
-    """(node, left): the least number of edges from a node to any of ``targets.target``, for nodes that have a way there.
-
-    A breadth-first search against the edges; only the nodes that a round adds are looked up among those known before.
-    """
-    front = materialize(targets.select(F.col("target").alias("node")).distinct().withColumn("left", F.lit(0)), "distances")
-    known = front
-    for hop in range(1, max_hops + 1):
-        moved = front.join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct()
-        front = materialize(moved.join(known, "node", "left_anti").withColumn("left", F.lit(hop)), "distances")
-        if front.isEmpty():
-            break
-        known = known.unionByName(front)
-    return known
-
-
 def _ways_on(into: DataFrame, inner: DataFrame, max_hops: int) -> DataFrame:
     """(node, onward): the least number of edges, one at least, from a node to a target, for nodes that have a way there.
 
@@ -251,54 +235,83 @@ def first_routes(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_ho
     first path to a node t and v the node before t. If some path Q to v came before P's part up to v (and were no longer than the limit
     allows), Q and the edge to t would make a path before P, or, if Q meets t, Q's part up to t would. So P's part up to v is v's
     first path, and only first paths need to grow; a path that would close a cycle is left out. A node has at most one row
-    per round, whatever the number of sources or paths. Nodes from which no target is within the hops left are never entered.
+    per round, whatever the number of sources or paths. Beyond ``FEW_HOPS``, nodes from which no target is within the hops left are never
+    entered. Rounds hold only nodes that a search can leave again; the last edge, into a target, is joined once, to the rows of all rounds.
     """
     keys = ["source", "node"] if apart else ["node"]
     plain = edges.select("src", "dst", F.col("confidence").alias("c"), F.coalesce("edge_type", F.lit("")).alias("t"), "ord")
     numbered = materialize(_numbered(plain).drop("ord"), "route-numbers")
-    left = hop_distances(numbered, targets, max_hops)
-    step = materialize(numbered.join(left.withColumnRenamed("node", "dst"), "dst"), "route-edges")
-    known = numbered.select(F.col("src").alias("node")).union(numbered.select("dst")).distinct()
+    ends = materialize(targets.select(F.col("target").alias("node")).distinct(), "ends")
+    into, inner = _split(numbered, ends)
+    first_nodes = materialize(starts.select("source", "label").distinct().withColumn("node", F.col("source")), "route-starts")
+    # A search may go on through a target that has edges of its own.
+    through = ends.join(numbered.join(ends, F.col("src") == F.col("node"), "left_semi").select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    if max_hops > FEW_HOPS:
+        onward = materialize(_ways_on(into, inner, max_hops), "route-onward")
+        through = through.join(onward, "node")
+        step = inner.join(onward.withColumnRenamed("node", "dst"), "dst")
+        begin = first_nodes.join(onward, "node", "left_semi")
+    else:
+        through, step, begin = through.withColumn("onward", F.lit(1)), inner.withColumn("onward", F.lit(1)), first_nodes
+    step = materialize(step.unionByName(into.join(through.withColumnRenamed("node", "dst"), "dst")), "route-edges")
 
     def route(label, order, nodes, confidence, types) -> Column:
         return F.struct(label.alias("label"), order.alias("ord"), nodes.alias("nodes"), confidence.alias("confidence"), types.alias("edge_types")).alias("route")
 
-    texts = F.array().cast("array<string>")
-    begin = starts.withColumn("node", F.col("source")).join(known, "node", "left_semi").join(left, "node", "left_semi").distinct()
-    front = materialize(begin.select("source", "node", route(F.col("label"), F.array().cast("array<long>"), F.array("source"), F.lit(1.0), texts)), "routes")
-    rounds, written = front, [front]
-    for hop in range(1, max_hops + 1):
-        grown = front.join(step, F.col("node") == F.col("src")).filter((F.col("left") <= max_hops - hop) & ~F.array_contains("route.nodes", F.col("dst")))
-        longer = route(
+    def begun(rows: DataFrame) -> DataFrame:
+        return rows.select("source", "node", route(F.col("label"), F.array().cast("array<long>"), F.array("source"), F.lit(1.0), F.array().cast("array<string>")))
+
+    def grown(front: DataFrame, step: DataFrame) -> DataFrame:
+        longer = front.join(step, F.col("node") == F.col("src")).filter(~F.array_contains("route.nodes", F.col("dst")))
+        return longer.select("source", F.col("dst").alias("node"), route(
             F.col("route.label"), F.concat("route.ord", F.array("place")), F.concat("route.nodes", F.array("dst")), F.least("route.confidence", "c"),
             F.concat("route.edge_types", F.array("t")),
-        )
-        grown = grown.select("source", F.col("dst").alias("node"), longer)
-        first = grown.groupBy(*keys).agg(F.min("route").alias("route"))
+        ))
+
+    front = materialize(begun(begin), "routes")
+    rounds, written = front if max_hops > 0 else front.filter(F.lit(False)), [front]
+    for hop in range(1, max_hops):
+        first = grown(front, step.filter(F.col("onward") <= max_hops - hop)).groupBy(*keys).agg(F.min("route").alias("route"))
         reached = materialize(first.select(F.element_at("route.nodes", 1).alias("source"), "node", "route"), "routes-reached")
+        written.append(reached)
+        if reached.isEmpty():
+            break
         place = F.struct(F.col("route.label"), F.col("route.ord"))
-        better = reached.join(_before(rounds, reached, keys, F.min(place)), keys, "left").filter(F.col("_before").isNull() | (place < F.col("_before")))
-        front = materialize(better.select("source", "node", "route"), "routes")
-        release(reached)
-        written.append(front)
+        # Written first: if no node has been met before, nothing is compared or moved.
+        before = materialize(_before(rounds, reached, keys, F.min(place)), "routes-before")
+        front = reached
+        if not before.isEmpty():
+            better = reached.join(before, keys, "left").filter(F.col("_before").isNull() | (place < F.col("_before")))
+            front = materialize(better.select("source", "node", "route"), "routes")
+            written.append(front)
+        release(before)
         if front.isEmpty():
             break
         rounds = rounds.unionByName(front)
-    ends = targets.join(known, F.col("target") == F.col("node"), "left_semi").withColumnRenamed("target", "node").distinct()
-    firsts = rounds.join(ends, keys, "left_semi").groupBy(*keys).agg(F.min("route").alias("r"))
-    found = firsts.select(
+    # The last edge of all paths is joined once. A source that is a target has a path without edges, if the graph has it.
+    found = grown(rounds, into)
+    itself = materialize(first_nodes.join(ends, "node", "left_semi"), "route-starts")
+    if not itself.isEmpty():
+        met = numbered.select(F.col("src").alias("node")).union(numbered.select("dst")).join(ends, "node", "left_semi").distinct()
+        found = found.unionByName(begun(itself.join(met, "node", "left_semi")))
+    if apart:
+        found = found.join(targets.withColumnRenamed("target", "node"), keys, "left_semi")
+    firsts = found.groupBy(*keys).agg(F.min("route").alias("r"))
+    firsts = firsts.select(
         F.element_at("r.nodes", 1).alias("source"), F.col("node").alias("target"), "r.nodes", (F.size("r.nodes") - 1).alias("hops"), "r.confidence", "r.edge_types"
     )
-    out = materialize(found, "first-routes")
-    for table in (*written, step, numbered):
+    out = materialize(firsts, "first-routes")
+    for table in (*written, step, into, inner, numbered, first_nodes, itself, ends):
         release(table)
     return out
 
 
 def first_paths_between(edges: DataFrame, pairs: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:
     """The path per pair (source, target) that a depth-first search finds first, without enumerating the others."""
-    starts = pairs.select("source", F.lit(0).cast("long").alias("label"))
-    return first_routes(edges, starts, pairs.select("source", "target"), max_hops, apart=True)
+    pairs = materialize(pairs.select("source", "target"), "pairs")  # read for the starts, the ends and the results
+    out = first_routes(edges, pairs.select("source", F.lit(0).cast("long").alias("label")), pairs, max_hops, apart=True)
+    release(pairs)
+    return out
 
 
 def best_reach(edges: DataFrame, sources: DataFrame, max_hops: int = S.MAX_HOPS) -> DataFrame:

@@ -248,10 +248,10 @@ arg_min(conf, 'o' || CAST(co.o AS VARCHAR)) AS confidence FROM co JOIN os ON co.
 def first_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first way from every customer to every supplier in reach, customers apart."""
     edges = materialize(_reach_edges(spark, sf_dir), "reach-input")
-    starts = edges.filter("src like 'c%'").select("src").distinct()
     supplied = edges.filter("dst like 's%'").select("src", F.col("dst").alias("target"))
-    pairs = edges.select(F.col("src").alias("source"), F.col("dst").alias("o")).join(supplied, F.col("o") == F.col("src")).select("source", "target").distinct()
-    return first_paths_between(edges, pairs.join(starts, F.col("source") == starts["src"], "left_semi"), 3).select("source", "target", F.col("nodes")[1].alias("via"), "confidence")
+    placed = edges.filter("src like 'c%'").select(F.col("src").alias("source"), F.col("dst").alias("o"))
+    pairs = placed.join(supplied, F.col("o") == F.col("src")).select("source", "target")
+    return first_paths_between(edges, pairs, 3).select("source", "target", F.col("nodes")[1].alias("via"), "confidence")
 
 
 @register("best_path", f"""WITH {REACH_SQL} SELECT 'c' || CAST(c AS VARCHAR) AS source, 's' || CAST(s AS VARCHAR) AS node, max(conf) AS confidence, 2 AS hops FROM co JOIN os ON co.o = os.o GROUP BY ALL

@@ -173,3 +173,14 @@ def test_paths_to_targets_enter_only_what_leads_there(spark, rows, monkeypatch):
     assert rows(found, "source", "target", "hops", "confidence") == [("e1", "e1", 0, 1.0), ("e7", "sink", 3, 0.5)]
     assert max(n for name, n in sizes if name in [f"reach-{k}" for k in range(1, 6)]) <= 1
     assert "ord" not in found.columns and "ord" in paths_to_targets(edges, starts, ends, 5).columns
+
+
+def test_targets_are_no_rows_of_first_route_rounds(spark, monkeypatch):
+    """Ends that lead nowhere are joined once, at the end; a target with edges of its own is passed through."""
+    sizes = written_rows(monkeypatch)
+    edges = graph(spark, [("s", "a", 1)] + [("a", f"t{i}", 1) for i in range(50)] + [("t3", "u", 0.5)])
+    wanted = spark.createDataFrame([("s", f"t{i}") for i in range(50)] + [("s", "u"), ("s", "s"), ("none", "none")], "source string, target string")
+    for hops in (3, 5):
+        found = {r["target"]: r["nodes"] for r in first_paths_between(edges, wanted, hops).collect()}
+        assert found == {f"t{i}": ["s", "a", f"t{i}"] for i in range(50)} | {"u": ["s", "a", "t3", "u"], "s": ["s"]}
+    assert max(n for name, n in sizes if name in ("routes-reached", "routes-before")) <= 1
