@@ -319,23 +319,31 @@ def best_reach(edges: DataFrame, sources: DataFrame, max_hops: int = S.MAX_HOPS)
 
     Relaxation rounds over (source, node) pairs; a pair goes on only if a round has improved it.
     """
-    step = materialize(edges.groupBy("src", "dst").agg(F.max("confidence").alias("c")), "reach-edges")
-    changed = materialize(
-        sources.select(F.col("source"), F.col("source").alias("node"), F.lit(1.0).alias("confidence"), F.lit(0).alias("hops")).distinct(), "reach"
-    )
-    rounds = changed
+    plain = _written(edges.select("src", "dst", F.col("confidence").alias("c")), "reach-input")
+    heads = plain.select(F.col("src").alias("dst")).distinct().withColumn("open", F.lit(True))
+    # Parallel edges needn't be collapsed: each round takes the best per pair. Nodes without edges of their own end a way.
+    step = materialize(plain.join(heads, "dst", "left").withColumn("open", F.coalesce("open", F.lit(False))), "reach-edges")
+    front = sources.select(F.col("source"), F.col("source").alias("node"), F.lit(1.0).alias("confidence"), F.lit(0).alias("hops"), F.lit(True).alias("open"))
+    changed = materialize(front.distinct(), "reach")
+    rounds, again = changed, False
     for hop in range(1, max_hops + 1):
-        moved = changed.join(step, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), F.least("confidence", "c").alias("confidence"))
-        reached = moved.groupBy("source", "node").agg(F.max("confidence").alias("confidence"))
-        reached = materialize(reached, "reach-reached")
-        before = _before(rounds, reached, ["source", "node"], F.max("confidence"))
-        better = reached.join(before, ["source", "node"], "left").filter(F.col("_before").isNull() | (F.col("confidence") > F.col("_before")))
+        moved = changed.filter("open").drop("open").join(step, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), F.least("confidence", "c").alias("confidence"), "open")
+        reached = materialize(moved.groupBy("source", "node").agg(F.max("confidence").alias("confidence"), F.lit(hop).alias("hops"), F.max("open").alias("open")), "reach-reached")
+        before = materialize(_before(rounds, reached, ["source", "node"], F.max("confidence")), "reach-before")
         # Only what a round has improved is kept; the best of all rounds is taken at the end.
-        changed = materialize(better.select("source", "node", "confidence", F.lit(hop).alias("hops")), "reach")
-        release(reached)
-        if changed.isEmpty():
-            break
+        if before.isEmpty():
+            changed = reached
+        else:
+            again = True
+            better = reached.join(before, ["source", "node"], "left").filter(F.col("_before").isNull() | (F.col("confidence") > F.col("_before")))
+            changed = materialize(better.select(*reached.columns), "reach")
+            release(reached)
+        release(before)
         rounds = rounds.unionByName(changed)
+        if changed.filter("open").isEmpty():
+            break
+    if not again:  # no pair has been met twice
+        return rounds.drop("open")
     return rounds.groupBy("source", "node").agg(F.max("confidence").alias("confidence"), F.min("hops").alias("hops"))
 
 

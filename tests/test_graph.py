@@ -184,3 +184,11 @@ def test_targets_are_no_rows_of_first_route_rounds(spark, monkeypatch):
         found = {r["target"]: r["nodes"] for r in first_paths_between(edges, wanted, hops).collect()}
         assert found == {f"t{i}": ["s", "a", f"t{i}"] for i in range(50)} | {"u": ["s", "a", "t3", "u"], "s": ["s"]}
     assert max(n for name, n in sizes if name in ("routes-reached", "routes-before")) <= 1
+
+
+def test_best_reach_does_not_carry_on_what_has_no_edges(spark, rows, monkeypatch):
+    """Two rounds reach all; the second round's nodes have no edges, so there is no third, and nothing is written twice."""
+    sizes = written_rows(monkeypatch)
+    found = best_reach(graph(spark, [("a", "b", 0.5), ("a", "b", 0.9), ("b", "c", 0.8), ("b", "d", 1)]), spark.createDataFrame([("a",)], "source string"), 9)
+    assert rows(found, "node", "confidence", "hops") == [("a", 1.0, 0), ("b", 0.9, 1), ("c", 0.8, 2), ("d", 0.9, 2)]
+    assert [n for name, n in sizes if name == "reach-reached"] == [1, 2] and [n for name, n in sizes if name == "reach"] == [1]
