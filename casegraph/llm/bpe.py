@@ -24,6 +24,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +166,7 @@ class BpeCodec:
 class LibraryCodec:
     """The same interface, encoding with the tokenizers library itself.
 
-    Words of plain texts go straight to the library's model, once per distinct piece of text; any
+    Words of plain texts go straight to the library's model, and ``remembered`` of them are kept; any
     other text goes through the whole library.
     """
 
@@ -183,8 +184,7 @@ class LibraryCodec:
         self._library.no_padding()
         self._model = self._library.model
         self.size = self._library.get_vocab_size()
-        self._by_word = Remembered(self._word)
-        self._by_piece = Remembered(self._piece, remembered)
+        self._by_word = Remembered(self._word, remembered)
 
     def _word(self, word: str) -> bytes:
         spelt = word if word.isascii() else "".join([self._bytes[b] for b in word.encode()])
@@ -199,9 +199,24 @@ class LibraryCodec:
 
     def encode_bytes(self, text: str) -> bytes:
         if self._splitting.apart(text):
-            return b"".join(map(self._by_piece.__getitem__, text.lower().split()))
+            return b"".join(map(self._piece, text.lower().split()))
         return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, in views of one array. Arrow splits the plain texts, and each distinct piece among them is looked up once."""
+        apart = [self._splitting.apart(t) for t in texts]
+        plain = pa.array([t for t, a in zip(texts, apart, strict=True) if a], pa.large_string())
+        # On plain characters Arrow's case and white space are Python's; the empty pieces at outer white space have no ids.
+        split = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        pieces = split.flatten().dictionary_encode()
+        known = list(map(self._piece, pieces.dictionary.to_numpy(zero_copy_only=False)))
+        coded = pa.array(known, pa.large_binary()).take(pieces.indices)
+        _, places, data = coded.buffers()
+        ids = np.frombuffer(data or b"", "<i4")
+        ends = (np.frombuffer(places, "<i8")[split.offsets.to_numpy()] // 4).tolist() if len(plain) else [0]
+        own = (ids[a:b] for a, b in pairwise(ends))
+        return [next(own) if a else np.frombuffer(self.encode_bytes(t), "<i4") for t, a in zip(texts, apart, strict=True)]
+
 
 def codec(path: str, kind: type = BpeCodec) -> BpeCodec | LibraryCodec:
     """One codec per worker process and file, so that its memory lasts over tasks."""

@@ -4,8 +4,9 @@ Texts are range-partitioned by document id (a sampled range shuffle; the only
 shuffle of texts) and sorted inside each partition. Where one id has more than
 ``HOT_ID`` rows the range goes on with the texts' first characters and the rows'
 place in the input, so that no task gets all rows of an id. A task encodes its texts
-with the tokenizers library and closes a shard whenever it holds
-``SHARD_TOKENS`` ids, so memory is bounded by a shard and its longest document.
+with the tokenizers library, a slice of ``SLICE_CHARS`` characters at a time, and closes
+a shard whenever it holds ``SHARD_TOKENS`` ids, so memory is bounded by a slice, a shard
+and its longest document.
 Shards are ordered by (partition, sequence).
 
 The files travel as rows (partition, sequence, n_docs, n_tokens, file) that
@@ -40,6 +41,8 @@ from casegraph.llm.wavelet import Wavelet, write_wavelet
 
 END_ID = 1
 SHARD_TOKENS = 4_000_000
+#: Characters of text that are encoded together: a word is looked up once in so many.
+SLICE_CHARS = 8_000_000
 #: Rows of one id from which on it is split, and the characters of text that split it.
 HOT_ID, HEAD = 100_000, 256
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, file binary"
@@ -86,9 +89,8 @@ def write_token_shards(
         gc.disable()
         try:
             for batch in batches:
-                for piece, texts in text_slices(batch, "t"):
-                    for doc, text in zip(piece.column("id").to_pylist(), texts, strict=True):
-                        coded = np.frombuffer(own.encode_bytes(text), "<i4")
+                for piece, texts in text_slices(batch, "t", SLICE_CHARS):
+                    for doc, coded in zip(piece.column("id").to_pylist(), own.encode_all(texts), strict=True):
                         ids += [coded.astype(np.uint16 if bits <= 16 else np.uint32), end.astype(np.uint16 if bits <= 16 else np.uint32)]
                         doc_ids.append(doc)
                         lengths.append(len(coded) + 1)

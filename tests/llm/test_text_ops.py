@@ -43,6 +43,24 @@ def test_encoding_equals_the_library(library, kind, text):
     assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+def test_many_texts_at_once_equal_the_library(library):
+    """Plain and other texts in one call; plain ones alone, none, and every plain character between words, in both cases."""
+    own = _codec(LibraryCodec)
+    plain = [chr(c) for c in range(0x180) if own._splitting.apart(chr(c))]
+    texts = ["", *ODD_TEXTS, " lead", "trail ", *(f"Ab{c}Cd {c} {c}x" for c in plain), "".join(plain), "word " * 3000]
+    for some in (texts, texts[::-1], [t for t in texts if own._splitting.apart(t)], ["🙂"], [""], []):
+        assert [ids.tolist() for ids in own.encode_all(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_many_texts_look_a_piece_up_once(monkeypatch):
+    """CPU follows the distinct pieces of a slice, not its words."""
+    own, asked = LibraryCodec(PATH), []
+    piece = own._piece
+    monkeypatch.setattr(own, "_piece", lambda p: asked.append(p) or piece(p))
+    own.encode_all(["some words, some WORDS again " * 500] * 20)
+    assert sorted(filter(None, asked)) == ["again", "some", "words", "words,"]
+
+
 @functools.cache
 def _codec(kind):
     return kind(PATH)
