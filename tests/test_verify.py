@@ -148,3 +148,18 @@ def test_a_document_is_joined_from_blocks(spark):
     assert blocks(pieces).count() <= 8
     assert joined(pieces).first()[0] == "[" + "".join(f"{i}," for i in range(19_999, -1, -1)) + "]"
     assert joined(pieces.limit(0)).first()[0] == ""
+
+
+def test_a_document_is_no_aggregate_and_a_longer_one_than_a_text_is_refused(spark, monkeypatch):
+    from casegraph.operators import report
+
+    pieces = spark.range(30_000, numPartitions=3).selectExpr("1 AS part", "30000 - id AS ord", "concat('\u00e9', id) AS text")
+    whole = "".join(f"\u00e9{i}" for i in range(29_999, -1, -1))
+    found = report.joined(pieces, scope="s")
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()  # no task gathers rows in its heap
+    size = len(whole.encode())
+    monkeypatch.setattr(report, "LARGEST_TEXT", size)
+    assert [tuple(r) for r in report.joined(pieces, scope="s").collect()] == [("s", whole)]
+    monkeypatch.setattr(report, "LARGEST_TEXT", size - 1)
+    with pytest.raises(Exception, match=f"more than {size - 1} bytes"):
+        report.joined(pieces).collect()
