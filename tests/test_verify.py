@@ -155,8 +155,7 @@ def test_a_document_is_no_aggregate_and_a_longer_one_than_a_text_is_refused(spar
 
     pieces = spark.range(30_000, numPartitions=3).selectExpr("1 AS part", "30000 - id AS ord", "concat('\u00e9', id) AS text")
     whole = "".join(f"\u00e9{i}" for i in range(29_999, -1, -1))
-    found = report.joined(pieces, scope="s")
-    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()  # no task gathers rows in its heap
+    assert "Aggregate" not in report.joined(pieces)._jdf.queryExecution().executedPlan().toString()  # no task gathers rows in its heap
     size = len(whole.encode())
     monkeypatch.setattr(report, "LARGEST_TEXT", size)
     assert [tuple(r) for r in report.joined(pieces, scope="s").collect()] == [("s", whole)]
